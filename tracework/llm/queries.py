@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tracework.llm import line_dedup, mixing
+from tracework.llm import fingerprints, language, line_dedup, mixing, quality
 from tracework.llm.common import table
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
+        "op4_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op6_language": lambda spark, d: language.digest(table(spark, d, "documents")),
         "op7_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+        "op9_fingerprints": lambda spark, d: fingerprints.digest(table(spark, d, "documents")),
     }
 
 
