@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 STEPS, HIDDEN = 64, 8
@@ -216,7 +217,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_A_LANGUAGE) -> dict | None
 def identified(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs with _lang and _score: narrow, Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("_lang", "string", False).add("_score", "double", False)
+    schema = StructType([*docs.schema.fields, StructField("_lang", StringType(), False), StructField("_score", DoubleType(), False)])
 
     def run(batches):
         for b in batches:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 PASSAGE = 32
@@ -192,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_A_CLASS) -
 def scored(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """docs with _score: narrow, Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("_score", "double", False)
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType(), False)])
 
     def run(batches):
         for b in batches:
