@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tracework.llm import fingerprints, language, line_dedup, mixing, quality
+from tracework.llm import decontaminate, fingerprints, language, line_dedup, mixing, quality, warc
 from tracework.llm.common import table
 
 
 def queries() -> dict:
     return {
+        "op1_warc": lambda spark, d: warc.digest(table(spark, d, "pages")),
         "op2_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
+        "op3_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op4_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_language": lambda spark, d: language.digest(table(spark, d, "documents")),
         "op7_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": line_dedup.SQL, "op7_mixing": mixing.sql()}
+    return {"op1_warc": warc.SQL, "op2_line_dedup": line_dedup.SQL, "op7_mixing": mixing.sql()}
