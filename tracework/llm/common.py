@@ -16,16 +16,14 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "tracework-checkpoints")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "tracework-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; executors may be lost afterwards."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write df as a table in the shared folder, once, and read it back. Executors may be lost before and after."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracework.llm import decontaminate, fingerprints, language, line_dedup, mixing, quality, warc
+from tracework.llm import decontaminate, fingerprints, language, line_dedup, mixing, quality, substring_dedup, warc
 from tracework.llm.common import table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
         "op3_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op4_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op5_substring_dedup": lambda spark, d: substring_dedup.digest(table(spark, d, "documents")),
         "op6_language": lambda spark, d: language.digest(table(spark, d, "documents")),
         "op7_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
         "op9_fingerprints": lambda spark, d: fingerprints.digest(table(spark, d, "documents")),
