@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,12 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    """Rows as an Arrow table."""
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
 def plan(docs: DataFrame) -> tuple[int, int, int]:
     """(batches, buckets, hash bits) for a table, from the bytes of its texts."""
     size = text_bytes(docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracework.llm import decontaminate, fingerprints, language, line_dedup, mixing, quality, substring_dedup, warc
+from tracework.llm import decontaminate, fingerprints, language, line_dedup, mixing, quality, substring_dedup, suffix_dedup, warc
 from tracework.llm.common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_substring_dedup": lambda spark, d: substring_dedup.digest(table(spark, d, "documents")),
         "op6_language": lambda spark, d: language.digest(table(spark, d, "documents")),
         "op7_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+        "op8_suffix_dedup": lambda spark, d: suffix_dedup.digest(table(spark, d, "documents")),
         "op9_fingerprints": lambda spark, d: fingerprints.digest(table(spark, d, "documents")),
     }
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tracework.llm import exchange
-from tracework.llm.exchange import pack, unpack
+from tracework.llm.exchange import pack, table_of, unpack
 
 WINDOW = 13
 #: Longest prefix by which suffixes are told apart before they are sent, and the share of windows from which a prefix is frequent.
@@ -179,7 +179,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         for k in range(shares):
             if own := [x for x in prefixes if x[0] % shares == k]:
                 rows.append((batch, -1 - k, np.array(own, np.int64).tobytes(), b""))
-        return _table(rows, sent_schema)
+        return table_of(rows, sent_schema)
 
     least = max(16, batches * exchange.BATCH // 7 // FREQUENT)  # of all windows, seven bytes a word
 
@@ -195,7 +195,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
 
     def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _table([], group_schema)
+            return table_of([], group_schema)
         batch = left.column("batch")[0].as_py()
         ids, data, _ = exchange.in_order(left)
         w = Words(data)
@@ -207,7 +207,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         keep = (elsewhere | (n > 1))[inverse] if len(full) else np.zeros(0, bool)
         starts, h = w.starts[keep], full[keep]
         if not len(starts):
-            return _table([], group_schema)
+            return table_of([], group_schema)
         one, which = same_windows(w, starts, h)
         group = groups_of(w, one, frequent, buckets)
         order = np.argsort(group, kind="stable")
@@ -219,7 +219,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         rows = [(batch, int(group[a]), message(w, one[a:b], own[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         places = pack(np.diff(starts, prepend=0).astype(np.int32))
         rows.append((batch, -1 - batch, len(places).to_bytes(8, "little") + places + pack(np.diff(rank[which], prepend=0).astype(np.int32))))
-        return _table(rows, group_schema)
+        return table_of(rows, group_schema)
 
     group_schema = pa.schema([("batch", pa.int32()), ("group", pa.int32()), ("payload", pa.binary())])
     spread = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(suffixes, "batch int, group int, payload binary")
@@ -254,11 +254,6 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
     return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(end, schema)
 
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-
 def _digests(names: list, split: list[list[bytes]], covered: np.ndarray) -> pa.Table:
     rows, at = [], 0
     for i, ws in zip(names, split, strict=True):
@@ -267,7 +262,7 @@ def _digests(names: list, split: list[list[bytes]], covered: np.ndarray) -> pa.T
         n = int(gone.sum())
         kept = [w for w, g in zip(ws, gone.tolist(), strict=True) if not g] if n else ws
         rows.append((i, len(ws), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
-    return _table(rows, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
+    return table_of(rows, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -282,6 +277,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for i, ws in zip(names, split, strict=True):
             rows.append((i, b" ".join(w for w, g in zip(ws, covered[at : at + len(ws)].tolist(), strict=True) if not g).decode()))
             at += len(ws)
-        return _table(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+        return table_of(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
 
     return removals(docs, texts, "doc_id long, text string")
