@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tracework.llm import decontaminate, fingerprints, language, line_dedup, mixing, quality, substring_dedup, suffix_dedup, warc
+import corpus_pipeline
+from tracework.llm import decontaminate, fingerprints, jaccard_join, language, line_dedup, mixing, quality, substring_dedup, suffix_dedup, warc
 from tracework.llm.common import table
 
 
@@ -17,8 +18,11 @@ def queries() -> dict:
         "op7_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
         "op8_suffix_dedup": lambda spark, d: suffix_dedup.digest(table(spark, d, "documents")),
         "op9_fingerprints": lambda spark, d: fingerprints.digest(table(spark, d, "documents")),
+        "op10_jaccard_join": lambda spark, d: jaccard_join.digest(table(spark, d, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": warc.SQL, "op2_line_dedup": line_dedup.SQL, "op7_mixing": mixing.sql()}
+    found = {"op1_warc": warc.SQL, "op2_line_dedup": line_dedup.SQL, "op7_mixing": mixing.sql()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
