@@ -1,11 +1,13 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-The suffixes of all documents' word sequences are split by variable-length prefixes into memory-sized groups: the first word
-says the group, or, where a prefix is frequent over the whole corpus, the first two words, and so on. A group's task grows the
-subtree of its suffixes from the root, level by level; nodes that hold a single suffix end as leaves. The internal nodes at
-depth 13 are the repeats of at least 13 words, and the least doc_id among a node's leaves says whose occurrence stays.
-
-Two things keep the exchange small and whole. A suffix whose 13-word window is the only one with its hash, over all batches,
+Suffixes of the documents' word sequences are split by variable-length prefixes into memory-sized groups: the first three words
+say the group, or, where a prefix is frequent over the whole corpus, the first four, and so on. So that neighbours travel
+together, the prefix that places a suffix is that of its anchor, the three words of least hash within the 13 that follow: equal
+windows have equal anchors at equal offsets, and runs of suffixes with one anchor are sent as one stretch of words. A group's
+task grows the subtree of its suffixes from the root, level by level; nodes that hold a single suffix end as leaves. The internal
+nodes at depth 13 are the repeats of at least 13 words, and the least doc_id among a node's leaves says whose occurrence stays.
+
+Two things more keep the exchange small and whole. A suffix whose 13-word window is the only one with its hash, over all batches,
 cannot meet another in any subtree and is a leaf from the start; it is not sent. And a batch sends equal windows once, with
 their least doc_id. Groups compare words themselves, coded by a dictionary of each message, never hashes.
 
@@ -30,8 +32,11 @@ from tracework.llm import exchange
 from tracework.llm.exchange import pack, table_of, unpack
 
 WINDOW = 13
-#: Longest prefix by which suffixes are told apart before they are sent, and the share of windows from which a prefix is frequent.
-MOST_PREFIX, FREQUENT = 4, 1024
+#: Words of an anchor, longest prefix by which suffixes are told apart before they are sent, and the share of windows from which a
+#: prefix is frequent.
+ANCHOR, MOST_PREFIX, FREQUENT = 3, 6, 1024
+#: Bytes of text whose repeated suffixes meet in one group, about, and the least number of groups.
+GROUP, LEAST_GROUPS = 48 << 20, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -59,6 +64,21 @@ class Words:
             h ^= h >> np.uint64(31)
         return h
 
+    def anchors(self) -> np.ndarray:
+        """The anchor of each window."""
+        if not len(self.starts):
+            return self.starts
+        h = self.prefix_hashes(ANCHOR, np.arange(len(self.hashes) - ANCHOR + 1))
+        h *= _P
+        h ^= h >> np.uint64(32)
+        h *= _P
+        least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        for k in (1, 2, 4):
+            least = np.minimum(least[:-k], least[k:])
+        last = WINDOW - ANCHOR + 1 - 8
+        least = np.minimum(least[:-last], least[last:])
+        return (least[self.starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
     def window_hashes(self) -> np.ndarray:
         m = len(self.hashes) - WINDOW + 1
         if m <= 0:
@@ -76,38 +96,46 @@ class Words:
 
 
 def frequent_prefixes(w: Words) -> list[tuple[int, int]]:
-    """(prefix hash, count) of the prefixes that start a large share of the batch's windows; few, whatever the batch."""
-    out, starts = [], w.starts
-    least = max(16, len(starts) // FREQUENT)
-    for length in range(1, MOST_PREFIX + 1):
-        if not len(starts):
+    """(prefix hash, count) of the anchor prefixes that place a large share of the batch's windows; few, whatever the batch."""
+    out, at, n = [], *np.unique(w.anchors(), return_counts=True)
+    least = max(16, len(w.starts) // FREQUENT)
+    for length in range(ANCHOR, MOST_PREFIX + 1):
+        at, n = at[at + length <= len(w.hashes)], n[at + length <= len(w.hashes)]
+        if not len(at):
             break
-        known, inverse, n = np.unique(w.prefix_hashes(length, starts), return_inverse=True, return_counts=True)
-        out += [(int(h), int(c)) for h, c in zip(known[n >= least].view(np.int64), n[n >= least], strict=True)]
-        starts = starts[(n >= least)[inverse]]
+        known, inverse = np.unique(w.prefix_hashes(length, at), return_inverse=True)
+        total = np.bincount(inverse, n).astype(np.int64)
+        out += list(zip(known[total >= least].view(np.int64).tolist(), total[total >= least].tolist(), strict=True))
+        at, n = at[total[inverse] >= least], n[total[inverse] >= least]
     return out
 
 
-def groups_of(w: Words, starts: np.ndarray, frequent: np.ndarray, groups: int) -> np.ndarray:
-    """The group of each suffix: by its shortest prefix that is not frequent."""
-    key = w.prefix_hashes(1, starts)
-    open_ = np.arange(len(starts))
-    for length in range(2, MOST_PREFIX + 2):
+def groups_of(w: Words, starts: np.ndarray, anchors: np.ndarray, frequent: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each suffix: by the shortest prefix of its anchor that is not frequent, or the longest within its window."""
+    key = w.prefix_hashes(ANCHOR, anchors)
+    open_ = np.arange(len(anchors))
+    for length in range(ANCHOR + 1, MOST_PREFIX + 2):
         open_ = open_[np.isin(key[open_], frequent)]
+        open_ = open_[anchors[open_] + length <= starts[open_] + WINDOW]
         if not len(open_):
             break
-        key[open_] = w.prefix_hashes(length, starts[open_])
+        key[open_] = w.prefix_hashes(length, anchors[open_])
     return ((key >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
 
 
 def deep_nodes(m: np.ndarray) -> np.ndarray:
-    """Grow the subtree of suffixes given as rows of word codes; the node at full depth of each suffix, or -1 for a leaf above."""
+    """Grow the subtree of suffixes given as rows of word codes, two levels at a time where numbers allow; the node at full depth
+    of each suffix, or -1 for a leaf above."""
     node = np.zeros(len(m), np.int64)
     live = np.arange(len(m))
-    for level in range(m.shape[1]):
-        if not len(live):
-            break
-        _, child, n = np.unique(node[live] * (int(m.max()) + 1) + m[live, level], return_inverse=True, return_counts=True)
+    size, level = int(m.max()) + 1 if len(m) else 1, 0
+    while level < m.shape[1] and len(live):
+        key = node[live] * size + m[live, level].astype(np.int64)
+        level += 1
+        if level < m.shape[1] and (int(node[live].max()) + 1) * size * size < 1 << 62:
+            key = key * size + m[live, level]
+            level += 1
+        _, child, n = np.unique(key, return_inverse=True, return_counts=True)
         node[live] = child
         alone = n[child] == 1
         node[live[alone]] = -1
@@ -116,21 +144,26 @@ def deep_nodes(m: np.ndarray) -> np.ndarray:
 
 
 def message(w: Words, starts: np.ndarray, ids: np.ndarray) -> bytes:
-    """Suffixes for one group: a dictionary of their words, their codes and the doc_ids."""
-    codes = w.codes[starts[:, None] + np.arange(WINDOW)]
+    """Suffixes for one group, sorted by place: stretches of words (a dictionary, codes, lengths) and their doc_ids."""
+    cuts = np.flatnonzero(np.concatenate(([True], starts[1:] != starts[:-1] + 1, [True])))
+    suffixes = np.diff(cuts)
+    length = suffixes + WINDOW - 1
+    codes = w.codes[np.repeat(starts[cuts[:-1]], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
     used, local = np.unique(codes, return_inverse=True)
-    small = local.reshape(codes.shape).T.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-    text = pack(np.frombuffer(b" ".join(w.vocabulary[used]), np.uint8))
-    parts = [text, pack(small.ravel()), pack(ids)]
-    return b"".join([len(starts).to_bytes(4, "little"), small.itemsize.to_bytes(1, "little"), *(len(x).to_bytes(4, "little") for x in parts), *parts])
+    small = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+    parts = [pack(np.frombuffer(b" ".join(w.vocabulary[used]), np.uint8)), pack(small), pack(suffixes.astype(np.int32)), pack(ids[cuts[:-1]])]
+    return b"".join([small.itemsize.to_bytes(1, "little"), *(len(x).to_bytes(4, "little") for x in parts), *parts])
 
 
 def read_message(b: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    n, size = int.from_bytes(b[:4], "little"), b[4]
-    lengths = [int.from_bytes(b[5 + 4 * k : 9 + 4 * k], "little") for k in range(3)]
+    """(words, a row of 13 codes for each suffix, doc_ids)."""
+    lengths = [int.from_bytes(b[1 + 4 * k : 5 + 4 * k], "little") for k in range(4)]
     at = np.concatenate(([17], 17 + np.cumsum(lengths)))
-    part = [b[at[k] : at[k + 1]] for k in range(3)]
-    return unpack(part[0], np.uint8).tobytes().split(b" "), unpack(part[1], {2: np.uint16, 4: np.uint32}[size]).reshape(WINDOW, n).T, unpack(part[2], np.int64)
+    part = [b[at[k] : at[k + 1]] for k in range(4)]
+    codes = unpack(part[1], {2: np.uint16, 4: np.uint32}[b[0]])
+    n = unpack(part[2], np.int32).astype(np.int64)
+    first = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (WINDOW - 1), n)
+    return unpack(part[0], np.uint8).tobytes().split(b" "), codes[first[:, None] + np.arange(WINDOW)], np.repeat(unpack(part[3], np.int64), n)
 
 
 def subtree_answers(messages: list[bytes]) -> list[np.ndarray]:
@@ -140,6 +173,7 @@ def subtree_answers(messages: list[bytes]) -> list[np.ndarray]:
     flat[:] = [x for part in words for x in part]
     known, _ = pd.factorize(flat)
     offsets = np.cumsum([0] + [len(x) for x in words])
+    known = known.astype(np.int32)
     m = np.concatenate([known[a:b][c] for a, b, c in zip(offsets[:-1], offsets[1:], codes, strict=True)])
     node, own = deep_nodes(m), np.concatenate(ids)
     least = np.full(node.max() + 1 if len(node) else 0, np.iinfo(np.int64).max)
@@ -170,6 +204,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
     shift = np.uint64(64 - bits)
 
     shares = max(8, buckets // 16)
+    groups = max(LEAST_GROUPS, -(-batches * exchange.BATCH // GROUP))
 
     def send(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
@@ -209,8 +244,9 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         if not len(starts):
             return table_of([], group_schema)
         one, which = same_windows(w, starts, h)
-        group = groups_of(w, one, frequent, buckets)
-        order = np.argsort(group, kind="stable")
+        anchors = w.anchors()[keep]
+        group = groups_of(w, one, anchors[np.searchsorted(starts, one)], frequent, groups)
+        order = np.lexsort((one, group))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         one, group = one[order], group[order]
