@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tracework.plans import core
+
+GROUPS = (core,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for g in GROUPS for k, v in g.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for g in GROUPS for k, v in g.SQL.items()}
