@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracework.plans import core
+from tracework.plans import analysis, core
 
-GROUPS = (core,)
+GROUPS = (core, analysis)
 
 
 def queries() -> dict:
