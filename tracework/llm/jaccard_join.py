@@ -9,7 +9,8 @@ informative, and pivots, Voronoi cells and triangle-inequality windows work insi
 2. A node opens regions at its rarest shingles, so many that two linked nodes must share one (the first n - ceil(3n/4) + 1 in the
    order of frequency). In each region the least node is the first pivot; nodes within 1/4 of a pivot link with it, and such
    linked nodes need not be compared with each other, as only connection counts.
-3. Regions that still hold more than one component are joined exactly: eight pivots, the farthest from each other; each node
+3. Families of nodes, tied by regions in common, that still hold more than one component are joined exactly, or, where a family
+   is larger than REGION, its regions one by one: eight pivots, the farthest from each other; each node
    belongs to its nearest pivot's cell and is replicated into a later cell where d(x, q) - d(x, p) <= 2/4 and d(x, q) <= the
    cell's radius + 1/4; cells join recursively, and those that do not get smaller, or are small, by comparing all their
    components' members in blocks.
@@ -40,7 +41,7 @@ from tracework.llm.components import components
 from tracework.llm.exchange import table_of, unpack
 
 SHINGLE = 5
-REGION, LEAF, PIVOTS = 4000, 48, 8
+REGION, LEAF, PIVOTS = 8000, 48, 8
 RADIUS = 0.25
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,24 +199,30 @@ def links_of(known: DataFrame, region: int = REGION) -> DataFrame:
     """(a, b): links that connect all nodes (node, n, shingles, openings) which are connected by similarity."""
     opened = checkpointed(known.select("node", "n", F.explode("openings").alias("s")))
     shared = opened.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot != other").select("s", "pivot")
-    member = opened.join(shared, "s")
-    pairs = member.filter("node != pivot").groupBy("node", "pivot").agg(F.first("n").alias("n"))
-    sized = known.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("shingles").alias("ps"))
-    pairs = pairs.join(sized.drop("ps"), "pivot").filter("4 * least(n, pn) >= 3 * greatest(n, pn)").drop("pn")
-    tried = pairs.join(sized, "pivot").join(known.select("node", F.col("shingles").alias("ns")), "node")
+    member = checkpointed(opened.select("node", "s").join(shared, "s"))
+    met = checkpointed(member.filter("node != pivot").select("node", "pivot").distinct())
+    sized = known.select("node", "n", "shingles")
+    pairs = met.join(known.select("node", "n"), "node").join(known.select(F.col("node").alias("pivot"), F.col("n").alias("pn")), "pivot").filter("4 * least(n, pn) >= 3 * greatest(n, pn)")
+    tried = pairs.join(sized.select(F.col("node").alias("pivot"), F.col("shingles").alias("ps")), "pivot").join(sized.select("node", F.col("shingles").alias("ns")), "node")
     both = F.size(F.array_intersect("ns", "ps"))
     stars = checkpointed(tried.withColumn("both", both).filter(100 * F.col("both") >= 75 * (F.col("n") + F.col("pn") - F.col("both"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     labels = components(stars)
-    marked = member.join(labels, "node", "left").select("s", "node", F.coalesce("label", "node").alias("label"))
-    # Regions with more than one component left; of those with the same members one is enough.
-    mixed = marked.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.xxhash64(F.lit("~"), "node").cast("decimal(38,0)")).alias("g"))
-    mixed = mixed.filter("x != y").groupBy("size", "h", "g").agg(F.min("s").alias("s"))
-    left = marked.join(mixed.select("s", "size"), "s")
+    # A family: nodes tied by regions in common. Each with more than one component is one region, unless it is too large.
+    family = components(met.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("label", "family")
+    marked = checkpointed(family.join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")))
+    open_ = marked.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("family", "size")
+    rows = marked.join(open_, "family")
+    small = rows.filter(F.col("size") <= region).select(F.col("family").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "label")
+    # Of a large family each opening is a region; of those with the same members one is enough.
+    large = member.join(rows.filter(F.col("size") > region).select("node", "label"), "node")
+    mixed = large.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.xxhash64(F.lit("~"), "node").cast("decimal(38,0)")).alias("t"))
+    mixed = mixed.filter("x != y").groupBy("size", "h", "t").agg(F.min("s").alias("s"))
+    large = large.join(mixed.select("s", "size"), "s")
     # Blocks of half a region; each pair of blocks meets in a region of its own.
     blocks = F.when(F.col("size") <= region, 1).otherwise(F.ceil(F.col("size") * 2 / region)).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    left = left.select("s", "node", "label", F.explode(meets).alias("pair")).join(known.select("node", "shingles"), "node")
+    large = large.select(F.col("s").cast("string").alias("g"), "node", "label", F.explode(meets).alias("pair")).select("g", "pair.i", "pair.j", "node", "label")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
@@ -223,7 +230,7 @@ def links_of(known: DataFrame, region: int = REGION) -> DataFrame:
         found = region_links([np.asarray(x, np.int64) for x in pdf["shingles"]], pdf["label"].tolist())
         return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype=object)
 
-    more = left.select("s", "pair", "node", "label", "shingles").groupBy("s", "pair.i", "pair.j").applyInPandas(join, "a string, b string")
+    more = small.unionByName(large).join(known.select("node", "shingles"), "node").groupBy("g", "i", "j").applyInPandas(join, "a string, b string")
     return stars.unionByName(more)
 
 
