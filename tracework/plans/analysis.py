@@ -216,7 +216,7 @@ def _sampled(x):
     err = L.stabbed(spans, _cuts(x)).groupBy("t").agg(F.avg((F.col("b") - F.col("t")) / HOUR).alias("err"))
     rows = rows.join(err, "t", "left")
     placed = W.numbered(rows.select("t"), "t")
-    rows = rows.join(placed, "t")
+    rows = rows.join(placed, "t").persist()  # a row a cut
     return rows.filter("n % 2 = 0").drop("n"), rows.filter("n % 2 = 1").drop("n")
 
 

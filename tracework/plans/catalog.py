@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracework.plans import analysis, core
+from tracework.plans import analysis, core, process
 
-GROUPS = (core, analysis)
+GROUPS = (core, analysis, process)
 
 
 def queries() -> dict:

@@ -59,7 +59,7 @@ def declared_attributes(spark: SparkSession, path: str) -> DataFrame:
     """(family, names): declared attribute names of a parameter file, each once, in order."""
     shape = "case_attributes array<struct<name:string>>, global_attributes array<struct<name:string>>, event_attributes array<struct<event_id:string,attributes:array<struct<name:string>>>>"
     raw = spark.read.schema(shape).json(path, multiLine=True)
-    families = {"case": F.col("case_attributes.name"), "global": F.col("global_attributes.name"), "event": F.flatten(F.col("event_attributes.attributes.name"))}
+    families = {"case": F.col("case_attributes.name"), "global": F.col("global_attributes.name"), "event": F.flatten(F.transform("event_attributes", lambda e: e["attributes"]["name"]))}
     items = F.array(*[F.struct(F.lit(k).alias("family"), F.array_distinct(F.filter(F.coalesce(v, F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("names")) for k, v in families.items()])
     return raw.select(F.explode(items).alias("i")).select("i.family", "i.names")
 
