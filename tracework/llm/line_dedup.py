@@ -21,60 +21,60 @@ WINDOW = 3
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
     lines = F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x))
-    per_doc = docs.select(F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_row"), lines.alias("_l")).filter(F.size("_l") >= width)
+    per_doc = docs.select(F.col("doc_id").alias("_ld_id"), row_key(F.col("text")).alias("_ld_row"), lines.alias("_l")).filter(F.size("_l") >= width)
 
     def window(i):
         parts = [F.element_at("_l", (i + k + 1).cast("int")) for k in range(width)]
         return F.struct(i.cast("int").alias("pos"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("~"), *parts).alias("h2"), F.greatest(*[F.length(p) for p in parts]).alias("most"))
 
     hashed = F.transform(F.sequence(F.lit(0), F.size("_l") - width), window)
-    return per_doc.select("_id", "_row", F.explode(hashed).alias("w")).filter("w.most > 0").select("_id", "_row", "w.pos", "w.h1", "w.h2")
+    return per_doc.select("_ld_id", "_ld_row", F.explode(hashed).alias("w")).filter("w.most > 0").select("_ld_id", "_ld_row", "w.pos", "w.h1", "w.h2")
 
 
 def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(_id, _row, starts): where each document's windows repeat an earlier one.
+    """(_ld_id, _ld_row, _ld_starts): where each document's windows repeat an earlier one.
 
     The aggregation combines on the map side, so that a window which a third of all documents hold costs one row a task; the
     join back has one row per window on its right side, and adaptive execution splits a hot left side.
     """
     found = _windows(docs, width)
-    place = F.struct("_id", "_row", "pos")
+    place = F.struct("_ld_id", "_ld_row", "pos")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("NOT first <=> last").select("h1", "h2", "first")
-    later = found.join(repeated, ["h1", "h2"]).filter(~F.struct("_id", "_row", "pos").eqNullSafe(F.col("first")))
-    return later.groupBy("_id", "_row").agg(F.collect_set("pos").alias("starts"))
+    later = found.join(repeated, ["h1", "h2"]).filter(~F.struct("_ld_id", "_ld_row", "pos").eqNullSafe(F.col("first")))
+    return later.groupBy("_ld_id", "_ld_row").agg(F.collect_set("pos").alias("_ld_starts"))
 
 
 def deduplicate_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs with _kept (the remaining text), _n_lines and _n_removed added."""
+    """docs with _ld_kept (the remaining text), _ld_lines and _ld_removed added."""
     found = later_windows(docs, width)
-    keyed = docs.withColumn("_key_row", row_key(F.col("text")))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_key_row"] == found["_row"]), "left")
+    keyed = docs.withColumn("_ld_key", row_key(F.col("text")))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_ld_id"]) & (keyed["_ld_key"] == found["_ld_row"]), "left")
     lines = F.split(F.col("text"), "\n")
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1))))
+    covered = F.flatten(F.transform("_ld_starts", lambda s: F.sequence(s, s + (width - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.array_distinct(covered))
-    out = joined.withColumn("_keep", F.when(F.col("starts").isNotNull(), kept))
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_keep", lambda i: F.element_at(lines, i + 1)), "\n"))
+    out = joined.withColumn("_ld_keep", F.when(F.col("_ld_starts").isNotNull(), kept))
+    text = F.when(F.col("_ld_starts").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_ld_keep", lambda i: F.element_at(lines, i + 1)), "\n"))
     n_lines = F.when(F.length("text") > 0, F.size(lines)).otherwise(0)
     return out.withColumns(
         {
-            "_kept": F.coalesce(text, F.lit("")),
-            "_n_lines": n_lines.cast("long"),
-            "_n_removed": F.when(F.col("starts").isNull(), 0).otherwise(F.size(lines) - F.size("_keep")).cast("long"),
+            "_ld_kept": F.coalesce(text, F.lit("")),
+            "_ld_lines": n_lines.cast("long"),
+            "_ld_removed": F.when(F.col("_ld_starts").isNull(), 0).otherwise(F.size(lines) - F.size("_ld_keep")).cast("long"),
         }
-    ).drop("_key_row", "_id", "_row", "starts", "_keep")
+    ).drop("_ld_key", "_ld_id", "_ld_row", "_ld_starts", "_ld_keep")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the remaining text."""
     out = deduplicate_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), F.sha2("_ld_kept", 256).alias("kept_sha256"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents with the repeated lines gone; a document whose lines all go leaves the corpus, one that was empty before stays."""
     out = deduplicate_lines(docs)
-    out = out.filter((F.col("_n_removed") == 0) | (F.col("_n_lines") > F.col("_n_removed")))
-    return out.withColumns({"text": F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text")), "n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    out = out.filter((F.col("_ld_removed") == 0) | (F.col("_ld_lines") > F.col("_ld_removed")))
+    return out.withColumns({"text": F.when(F.col("_ld_removed") > 0, F.col("_ld_kept")).otherwise(F.col("text")), "n_chars": F.when(F.col("_ld_removed") > 0, F.length("_ld_kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
 #: DuckDB SQL for digest().

@@ -193,11 +193,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_A_CLASS) -
 def scored(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """docs with _score: narrow, Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType(), False)])
+    schema = StructType([*docs.schema.fields, StructField("_ql_score", DoubleType(), False)])
 
     def run(batches):
         for b in batches:
-            yield b.append_column("_score", pa.array(scores(b.column("text").to_pylist(), shared.value), pa.float64()))
+            yield b.append_column("_ql_score", pa.array(scores(b.column("text").to_pylist(), shared.value), pa.float64()))
 
     return docs.mapInArrow(run, schema)
 
@@ -206,10 +206,10 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn(docs, labels)
     out = scored(docs.select("doc_id", "text"), model)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), F.col("_ql_score").alias("score"), F.when(F.col("_ql_score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are not rejected."""
-    return scored(docs, learn(docs, labels)).filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return scored(docs, learn(docs, labels)).filter(F.col("_ql_score") >= THRESHOLD).select(*docs.columns)
 
