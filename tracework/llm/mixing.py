@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracework.llm.common import WORD, checkpointed
+from tracework.llm.common import WORD, checkpointed, row_key
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Topics and the word endings that speak for them; the most frequent wins, the first on a tie.
-TOPICS = {"process": "(?:tion|ción|ung)", "quality": "(?:ble|lich|eux)", "action": "(?:ing|ment|isch)", "people": "(?:ers|tre|ado)"}
+TOPICS = {"process": ("tion", "ción", "ung"), "quality": ("ble", "lich", "eux"), "action": ("ing", "ment", "isch"), "people": ("ers", "tre", "ado")}
 TEMPERATURE = 0.7
 BUDGET = 0.8
 SWEEPS = 6
@@ -32,7 +32,8 @@ CAP_ROUNDS = 4
 def topic(text: Column) -> Column:
     """The topic of a text: that whose word endings occur most often, or 'other'."""
     text = F.coalesce(text, F.lit(""))
-    counts = F.array(*[F.struct(F.regexp_count(text, F.lit(rf"{p}[\x20.,\x0A]")).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, p) in enumerate(TOPICS.items())])
+    count = lambda endings: sum((F.regexp_count(text, F.lit(rf"{e}[\x20.,\x0A]")) for e in endings), F.lit(0))  # noqa: E731 - no two endings overlap
+    counts = F.array(*[F.struct(count(p).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, p) in enumerate(TOPICS.items())])
     best = F.array_max(counts)
     return F.when(best["n"] > 0, best["t"]).otherwise(F.lit("other"))
 
@@ -77,9 +78,17 @@ def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, sweeps: int = SWEEPS, seed: str = "mix") -> DataFrame:
-    """docs with _topic, _tokens, _weight (raked share of its cell), _p and _selected added."""
+    """One row per document: doc_id, _row (hash of its text), _topic, _tokens, _weight (raked weight of its cell), _p, _selected.
+
+    Texts are read once; what follows works on a written table of a few dozen bytes a document.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_topic": topic(F.col("text")), "_tokens": F.regexp_count(text, F.lit(WORD)).cast("long"), "_src": F.coalesce(F.col("source"), F.lit("")), "_lng": F.coalesce(F.col("lang"), F.lit(""))})
+    marked = checkpointed(
+        docs.select(
+            "doc_id", row_key(F.col("text")).alias("_row"), topic(F.col("text")).alias("_topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_tokens"),
+            F.coalesce(F.col("source"), F.lit("")).alias("_src"), F.coalesce(F.col("lang"), F.lit("")).alias("_lng"),
+        )
+    )
     cells = checkpointed(marked.groupBy(F.col("_src").alias("source"), F.col("_lng").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")).coalesce(4))
     targets = targets or {d: tempered(cells, d, temperature) for d in DIMENSIONS}
     found = probabilities(rake(cells, targets, sweeps), budget).select(F.col("source").alias("_src"), F.col("lang").alias("_lng"), F.col("topic").alias("_topic"), F.col("w").alias("_weight"), F.col("p").alias("_p"))
@@ -95,13 +104,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The sampled documents, with their cell's weight and probability."""
-    out = mixed(docs).filter("_selected")
-    return out.select(*docs.columns, F.col("_topic").alias("mix_topic"), F.round("_weight", 6).alias("mix_weight"), F.round("_p", 6).alias("mix_p"))
+    out = mixed(docs).filter("_selected").dropDuplicates(["doc_id", "_row"]).select(F.col("doc_id").alias("_id"), "_row", F.col("_topic").alias("mix_topic"), F.round("_weight", 6).alias("mix_weight"), F.round("_p", 6).alias("mix_p"))
+    keyed = docs.withColumn("_mx_key", row_key(F.col("text")))
+    return keyed.join(out, keyed["doc_id"].eqNullSafe(out["_id"]) & (keyed["_mx_key"] == out["_row"])).select(*[keyed[c] for c in docs.columns], "mix_topic", "mix_weight", "mix_p")
 
 
 def sql() -> str:
     """DuckDB SQL for digest(), the sweeps written out."""
-    counts = ", ".join(f"len(regexp_extract_all(x, '{p}[ .,\\x0A]')) AS t{i}" for i, p in enumerate(TOPICS.values()))
+    counts = ", ".join(f"len(regexp_extract_all(x, '(?:{'|'.join(p)})[ .,\\x0A]')) AS t{i}" for i, p in enumerate(TOPICS.values()))
     most = "greatest(" + ", ".join(f"t{i}" for i in range(len(TOPICS))) + ")"
     named = "CASE WHEN " + most + " = 0 THEN 'other' " + " ".join(f"WHEN t{i} = {most} THEN '{t}'" for i, t in enumerate(TOPICS)) + " END"
     out = f"""
