@@ -113,8 +113,7 @@ def scale_durations(log: DataFrame, factor: float) -> DataFrame:
 
 def swap_roles(log: DataFrame, roles: DataFrame, from_role: str, to_role: str, n_activities: int) -> DataFrame:
     """The first n activities, by name, that only one role does are given to the other's resources in turn."""
-    known = {r["role"] for r in roles.select("role").distinct().limit(10_000).collect()}
-    if from_role == to_role or not {from_role, to_role} <= known:
+    if from_role == to_role or roles.filter(F.col("role").isin(from_role, to_role)).select("role").distinct().count() != 2:
         raise InvalidLog("two different known roles are needed")
     done = log.join(roles, "resource").groupBy("activity").agg(F.min("role").alias("a"), F.max("role").alias("b")).filter((F.col("a") == from_role) & (F.col("b") == from_role))
     chosen = done.select("activity").orderBy("activity").limit(n_activities)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracework.functions.scalar import HOUR, micros, moment
 from tracework.log import case_bounds
 from tracework.operators import assess as B
+from tracework.operators import experiment as X
 from tracework.operators import features as L
 from tracework.operators import models as MO
 from tracework.operators import ranking as R
@@ -183,6 +184,14 @@ def _ladder(x, levels=(0, 25, 50, 100), replicates=2):
 query("t6_m8_ladder")(_ladder)
 query("t6_ladder_utilisation")(lambda x: utilisation(T.relabel_fraction(x.e, "view", "changed", 0.5), x.roles, x.cut, x.end))
 
+query("m8_metric_rows")(lambda x: X.metric_rows(W.cases_in_window(x.e, None, x.cut, HORIZON), W.cases_in_window(x.g, None, x.cut, HORIZON), 0, 0, 0, "B", (x.cut, x.end), x.roles))
+query("j9_replicate_pairs", ", a AS (SELECT activity, CAST(substr(resource, 2) AS INT) AS k, count(*) AS v FROM e GROUP BY ALL), b AS (SELECT activity, CAST(substr(resource, 2) AS INT) AS k, count(*) AS v FROM g GROUP BY ALL) SELECT activity, k, a.v AS baseline, b.v AS simulated FROM a JOIN b USING (activity, k)")(
+    lambda x: X.paired(*[y.groupBy("activity", F.substring("resource", 2, 9).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("value")) for y in (x.e, x.g)], "activity")
+)
+query("j6_stab_join", ", z AS (SELECT min(s) + 43200000000 AS a, max(t) - 86400000000 AS b FROM e), q AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT t FROM e, z WHERE t >= a AND t <= b)) WHERE n IN (SELECT CAST(floor((c - 1) * i / 79) AS BIGINT) FROM (SELECT unnest(range(0, 80)) AS i))) SELECT q.t, id FROM q JOIN e ON e.s <= q.t AND e.t > q.t")(
+    lambda x: L.stabbed(L._active(x.e, "id"), _cuts(x), 5).select("t", "id")
+)
+
 # Features
 
 _CUTS = ", z AS (SELECT min(s) + 43200000000 AS a, max(t) - 86400000000 AS b FROM e), q AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT t FROM e, z WHERE t >= a AND t <= b)) WHERE n IN (SELECT CAST(floor((c - 1) * i / 79) AS BIGINT) FROM (SELECT unnest(range(0, 80)) AS i))), en AS (SELECT *, s - CASE WHEN id % 4 = 0 THEN 7200000000 ELSE 600000000 END AS n FROM e)"
