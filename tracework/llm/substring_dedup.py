@@ -168,13 +168,16 @@ def read_message(b: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def subtree_answers(messages: list[bytes]) -> list[np.ndarray]:
     """For each message: whether the suffix's window also starts in a smaller doc_id elsewhere."""
-    words, codes, ids = zip(*map(read_message, messages), strict=True)
-    flat = np.empty(sum(map(len, words)), object)
-    flat[:] = [x for part in words for x in part]
-    known, _ = pd.factorize(flat)
-    offsets = np.cumsum([0] + [len(x) for x in words])
-    known = known.astype(np.int32)
-    m = np.concatenate([known[a:b][c] for a, b, c in zip(offsets[:-1], offsets[1:], codes, strict=True)])
+    got = [read_message(b) for b in messages]
+    flat = np.empty(sum(len(x[0]) for x in got), object)
+    flat[:] = [w for x in got for w in x[0]]
+    known = pd.factorize(flat)[0].astype(np.int32)
+    del flat
+    ids = [x[2] for x in got]
+    m, at, word = np.empty((sum(map(len, ids)), WINDOW), np.int32), 0, 0
+    for k, (words, codes, _) in enumerate(got):
+        m[at : at + len(codes)] = known[word : word + len(words)][codes]
+        at, word, got[k] = at + len(codes), word + len(words), None
     node, own = deep_nodes(m), np.concatenate(ids)
     least = np.full(node.max() + 1 if len(node) else 0, np.iinfo(np.int64).max)
     deep = node >= 0
