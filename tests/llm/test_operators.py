@@ -214,14 +214,18 @@ def test_region_recursion():
             s = b.copy()
             s[r.integers(0, 60, r.integers(0, 14))] = r.integers(5000, 9000)
             sets.append(np.unique(s))
-    up = jaccard_join.Union(range(len(sets)))
-    for a, b in jaccard_join.region_links(sets, list(range(len(sets))), leaf=6):
-        assert jaccard_join.near(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))
-        up.join(a, b)
-    for a in range(len(sets)):
-        for b in range(a):
-            if jaccard_join.near(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))):
-                assert up.find(a) == up.find(b)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard_join.near(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))]
+    got = jaccard_join.region_links(sets, list(range(len(sets))), leaf=6)
+    assert {(max(p), min(p)) for p in got} <= set(pairs)
+
+    def groups(edges):
+        up = list(range(len(sets)))
+        for a, b in edges:
+            x, y = up[a], up[b]
+            up = [x if u == y else u for u in up]
+        return [up.index(u) for u in up]
+
+    assert groups(got) == groups(pairs)
 
 
 @pytest.mark.parametrize("sent", [100, 0])

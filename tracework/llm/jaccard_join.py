@@ -116,80 +116,84 @@ def nodes(docs: DataFrame) -> DataFrame:
     return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(open_regions, "doc_id long, n long, node string, shingles array<long>, openings array<long>")
 
 
-class Union:
-    """Components within a task."""
+def near(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m elements with `both` in common link, in whole numbers."""
+    return 100 * both >= 75 * (n + m - both)
 
-    def __init__(self, labels):
-        self.up = {x: x for x in labels}
 
-    def find(self, x):
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+class Part:
+    """Some members of a region with their sets laid end to end, so that one set meets all others in a few array steps."""
 
-    def join(self, x, y) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[x] = y
-        return x != y
+    def __init__(self, members: np.ndarray, sets: list[np.ndarray], width: int):
+        self.members = members
+        self.n = np.array([len(sets[i]) for i in members], np.int64)
+        self.flat = np.concatenate([sets[i] for i in members])
+        self.at = np.concatenate(([0], np.cumsum(self.n)))
+        self.mark = np.zeros(width, bool)
 
-
-def near(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m elements with `both` in common link, in whole numbers."""
-    return 100 * both >= 75 * (n + m - both)
+    def common_with(self, k: int) -> np.ndarray:
+        """Sizes of the intersections of member k's set with every member's."""
+        own = self.flat[self.at[k] : self.at[k + 1]]
+        self.mark[own] = True
+        hits = np.add.reduceat(self.mark[self.flat].astype(np.int32), self.at[:-1])
+        self.mark[own] = False
+        return hits
 
 
 def region_links(sets: list[np.ndarray], labels: list, leaf: int = LEAF, pivots: int = PIVOTS) -> list[tuple[int, int]]:
     """Links between members of a region that connect all that is connected, beyond what equal labels say."""
-    union, links = Union(set(labels)), []
-    n = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    _, ids = np.unique(flat, return_inverse=True)
+    _, component = np.unique(np.asarray(labels, object).astype(str), return_inverse=True)
+    links: list[tuple[int, int]] = []
+    flat, n = np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
+    known, ids = np.unique(flat, return_inverse=True)
     sets = np.split(ids, np.cumsum(n)[:-1])
 
-    def link(i: int, j: int) -> None:
-        if union.join(labels[i], labels[j]):
-            links.append((i, j))
+    def link(part: Part, k: int, both: np.ndarray) -> None:
+        """Join member k with those of other components that it links with, one of each component."""
+        i = part.members[k]
+        for j in part.members[near(part.n[k], part.n, both) & (component[part.members] != component[i])].tolist():
+            if component[i] != component[j]:
+                component[component == component[j]] = component[i]
+                links.append((int(i), j))
 
-    def common_with(i: int, members: np.ndarray) -> np.ndarray:
-        mark = np.zeros(len(ids) + 1, bool)
-        mark[sets[i]] = True
-        hit = mark[np.concatenate([sets[k] for k in members])]
-        return np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(n[members])[:-1])))
-
-    def exactly(members: np.ndarray) -> None:
-        for k, i in enumerate(members[:-1].tolist()):
-            own = union.find(labels[i])
-            rest = np.array([j for j in members[k + 1 :].tolist() if union.find(labels[j]) != own and 4 * min(n[i], n[j]) >= 3 * max(n[i], n[j])], np.int64)
-            if len(rest):
-                for j in rest[near(n[i], n[rest], common_with(i, rest))].tolist():
-                    link(i, j)
+    def exactly(part: Part) -> None:
+        """All pairs of different components: each member outside the largest component meets every other."""
+        kinds, sizes = np.unique(component[part.members], return_counts=True)
+        for k in np.flatnonzero(component[part.members] != kinds[sizes.argmax()]).tolist():
+            link(part, k, part.common_with(k))
 
     def split(members: np.ndarray) -> None:
-        if len({union.find(labels[i]) for i in members.tolist()}) < 2:
+        if len(np.unique(component[members])) < 2:
             return
+        part = Part(members, sets, len(known))
         if len(members) <= leaf:
-            exactly(members)
+            exactly(part)
             return
-        chosen, distance = [int(members[0])], []
+        chosen, distance = [0], []
         while True:
-            both = common_with(chosen[-1], members)
-            distance.append(1 - both / (n[members] + n[chosen[-1]] - both))
-            for j in members[near(n[chosen[-1]], n[members], both)].tolist():
-                link(chosen[-1], j)
+            k = chosen[-1]
+            both = part.common_with(k)
+            distance.append(1 - both / (part.n + part.n[k] - both))
+            link(part, k, both)
             far = np.min(distance, axis=0)
             if len(chosen) == pivots or far.max() <= 0:
                 break
-            chosen.append(int(members[far.argmax()]))
+            chosen.append(int(far.argmax()))
         d = np.stack(distance)
         cell = d.argmin(0)
         own = d[cell, np.arange(len(members))]
+        cells = []
         for q in range(len(chosen)):
             mine = cell == q
             if mine.any():
                 window = (cell < q) & (d[q] - own <= 2 * RADIUS + 1e-9) & (d[q] <= d[q][mine].max() + RADIUS + 1e-9)
-                part = members[mine | window]
-                exactly(part) if len(part) == len(members) else split(part)
+                cells.append(mine | window)
+        if max(x.sum() for x in cells) > 0.7 * len(members):  # distances do not tell these apart
+            exactly(part)
+            return
+        del part, d, distance
+        for x in cells:
+            split(members[x])
 
     split(np.arange(len(sets)))
     return links
