@@ -249,6 +249,15 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(x, asked.limit(0)).count() == 0 and decontaminate.leaks(x.limit(0), asked).count() == 0
 
 
+def test_decontamination_after_any_word(spark):
+    items = [(1, "What is the capital of France and who built it?"), (2, "Minutes later the old train left us all behind there"), (3, "we all know that Peter walks slowly home through the old wet garden every day")]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "Question: " + items[0][1]), (2, "A heading\n" + items[0][1]), (3, items[0][1]), (4, "it took 5 " + items[1][1]), (5, "Peter walks slowly home through the old wet garden every"), (6, "Question: Who is the capital of France and who built it?")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (10_000, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(x, asked, most).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
+
+
 def test_mixing(docs, plain):
     got = mixing.digest(docs).collect()
     assert len(got) == len(plain) and all(0 <= r["p"] <= 1 for r in got)
