@@ -258,6 +258,17 @@ def test_decontamination_after_any_word(spark):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(x, asked, most).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
 
 
+def test_decontamination_of_few_plain_words(spark):
+    codes = " ".join(f"{k} Anna Bob" for k in range(10, 17))
+    items = [(1, "What is 12 times 7?"), (2, "Did Anna Smith meet Bob Jones?"), (3, codes), (4, "Is 4 even?"), (5, "..."), (6, None), (7, "how many of the 9 birds flew")]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, f"so it says: {x} and {prose(9)}") for k, x in items[:4]] + [(5, "What is 13 times 7?"), (6, prose(5) + " ... " + prose(6)), (7, "how many of the 8 birds flew"), (8, "did anna smith meet bob jones")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (10_000, 0):
+        got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.leaks(x, asked, most).collect()}
+        assert got == {(1, 1, False), (2, 2, False), (3, 3, False), (4, 4, False), (7, 7, True), (8, 2, False)}
+
+
 def test_mixing(docs, plain):
     got = mixing.digest(docs).collect()
     assert len(got) == len(plain) and all(0 <= r["p"] <= 1 for r in got)
