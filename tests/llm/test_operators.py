@@ -269,6 +269,18 @@ def test_decontamination_of_few_plain_words(spark):
         assert got == {(1, 1, False), (2, 2, False), (3, 3, False), (4, 4, False), (7, 7, True), (8, 2, False)}
 
 
+def test_decontamination_keeps_verbatim_windows_and_rows_apart(spark):
+    head = "every farmer on the hill keeps 12 brown goats behind the old stone barn near the river and feeds them all at dawn"
+    items = [(1, f"{head} before the other 12 go out"), (2, "we saw that Peter had bought 8 green apples at the small market"), (None, prose(15)), (None, "some say that Carla had sold 5 old books at the long fair")]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    again = "we saw that {} had bought {} green apples at the small market"
+    rows = [(1, f"{head} before the other 9 go out"), (None, again.format("Paul", 3)), (None, again.format("Mary", 4)), (7, again.format("John", 5)), (7, again.format("Jane", 6)), (8, items[2][1]), (9, "some say that Frank had sold 6 old books at the long fair")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (10_000, 0):
+        got = [(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.leaks(x, asked, most).collect()]
+        assert sorted(got, key=repr) == sorted([(1, 1, False), (None, 2, True), (None, 2, True), (7, 2, True), (7, 2, True), (8, None, False), (9, None, True)], key=repr)
+
+
 def test_mixing(docs, plain):
     got = mixing.digest(docs).collect()
     assert len(got) == len(plain) and all(0 <= r["p"] <= 1 for r in got)
