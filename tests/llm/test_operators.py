@@ -205,6 +205,15 @@ def test_jaccard_join(spark, docs, plain, region):
     assert jaccard_join.digest(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_by_row(spark):
+    r = random.Random(12)
+    a, b, c, d, e = (prose(60, r) for _ in range(5))
+    rows = [(4, a), (None, a + " tail"), (None, prose(50, r)), (None, prose(50, r)), (None, b), (None, b + " tail"), (None, b + " more"), (7, c), (7, prose(50, r)), (3, c + " tail"), (8, d), (8, d + " tail"), (9, e), (None, None), (None, "")]
+    got = {(x["doc_id"], x["text"]) for x in jaccard_join.stage(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {rows[k] for k in (0, 2, 3, 8, 9, 12, 13, 14)} <= got and not {rows[k] for k in (1, 7)} & got
+    assert sum(i is None and (x or "").startswith(b) for i, x in got) == 1 and sum(i == 8 for i, _ in got) == 1 and len(got) == 10
+
+
 def test_region_recursion():
     r = np.random.default_rng(4)
     sets = []

@@ -65,6 +65,12 @@ def batched(docs: DataFrame, batches: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), data.alias("data"))
 
 
+def rows_in_order(table) -> list[int]:
+    """Row hashes of a batch in the order of in_order()."""
+    ids, rows = table.column("doc_id").to_pylist(), table.column("row").to_pylist()
+    return [r for _, _, r in sorted((i is not None, i or 0, r) for i, r in zip(ids, rows, strict=True))]
+
+
 def in_order(table) -> tuple[np.ndarray, list[bytes], list]:
     """(doc_ids as numbers, texts, doc_ids as they are) of a batch, by doc_id, nulls first, then by row hash."""
     ids = table.column("doc_id").to_pylist()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracework.llm import exchange
-from tracework.llm.common import checkpointed
+from tracework.llm.common import checkpointed, row_key
 from tracework.llm.components import components
 from tracework.llm.exchange import table_of, unpack
 
@@ -77,7 +77,7 @@ def shingle_sets(data: list[bytes]) -> list[np.ndarray]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, shingles, openings) per document; the last three only where a link is possible."""
+    """(doc_id, row, n, node, shingles, openings) per document, row being its row_key; the last three only where a link is possible."""
     batches, buckets, bits = exchange.plan(docs)
     dealt = exchange.batched(docs, batches)
     shift = np.uint64(64 - bits)
@@ -93,7 +93,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         return table_of([(batch, *x) for x in exchange.sent(h, bits, buckets, np.minimum(n, 255).astype(np.uint8))], sent_schema)
 
     replies = exchange.answers(dealt.groupBy("batch").applyInArrow(send, "batch int, bucket int, payload binary, counts binary"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("shingles", pa.list_(pa.int64())), ("openings", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("shingles", pa.list_(pa.int64())), ("openings", pa.list_(pa.int64()))])
 
     def open_regions(left: pa.Table, right: pa.Table) -> pa.Table:
         _, data, names = exchange.in_order(left)
@@ -102,18 +102,18 @@ def nodes(docs: DataFrame) -> DataFrame:
         got = sorted((r["bucket"], r["reply"]) for r in right.to_pylist())
         often = np.concatenate([unpack(x, np.uint8) for _, x in got] or [np.zeros(0, np.uint8)])[inverse]
         rows, at = [], 0
-        for name, s in zip(names, sets, strict=True):
+        for name, row, s in zip(names, exchange.rows_in_order(left), sets, strict=True):
             f = often[at : at + len(s)]
             at += len(s)
             n, alone = len(s), int((f == 1).sum())
             if not n or 4 * alone > n:
-                rows.append((name, n, None, None, None))
+                rows.append((name, row, n, None, None, None))
                 continue
             first = np.lexsort((s, f))[alone : n - -(-3 * n // 4) + 1]
-            rows.append((name, n, hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), s.view(np.int64), s[first].view(np.int64)))
+            rows.append((name, row, n, hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), s.view(np.int64), s[first].view(np.int64)))
         return table_of(rows, schema)
 
-    return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(open_regions, "doc_id long, n long, node string, shingles array<long>, openings array<long>")
+    return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(open_regions, "doc_id long, row long, n long, node string, shingles array<long>, openings array<long>")
 
 
 def near(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -238,13 +238,18 @@ def links_of(known: DataFrame, region: int = REGION) -> DataFrame:
     return stars.unionByName(more)
 
 
-def joined(docs: DataFrame, region: int = REGION) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document."""
+def placed(docs: DataFrame, region: int = REGION) -> DataFrame:
+    """(doc_id, row, n_shingles, label) per document: equal labels are one component, null ones link with nothing."""
     found = checkpointed(nodes(docs))
     known = found.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("openings").alias("openings"))
     known = checkpointed(known)
     labels = components(links_of(known, region))
-    places = found.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return found.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+
+
+def joined(docs: DataFrame, region: int = REGION) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document."""
+    places = placed(docs, region)
     least = places.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return places.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -254,7 +259,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the least doc_id. Documents without a doc_id stay only where no other links with them."""
-    found = joined(docs.select("doc_id", "text"))
-    drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_gone"]), "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document row of each component: that with the least doc_id, nulls last, and of its texts that with the least row_key."""
+    places = placed(docs.select("doc_id", "text")).filter("label IS NOT NULL")
+    own = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
+    least = places.groupBy("label").agg(F.min(own).alias("least"))
+    drop = places.join(least, "label").filter(own != F.col("least")).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_gone_row")).distinct()
+    keyed = docs.withColumn("_jj_key", row_key(F.col("text")))
+    kept = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["_gone"]) & (keyed["_jj_key"] == drop["_gone_row"]), "left_anti")
+    return kept.drop("_jj_key").dropDuplicates(["doc_id", "text"])
