@@ -290,6 +290,13 @@ def test_decontamination_keeps_verbatim_windows_and_rows_apart(spark):
         assert sorted(got, key=repr) == sorted([(1, 1, False), (None, 2, True), (None, 2, True), (7, 2, True), (7, 2, True), (8, None, False), (9, None, True)], key=repr)
 
 
+def test_decontamination_stage_by_row(spark):
+    item, clean = prose(20), [prose(30) for _ in range(4)]
+    rows = [(None, f"so {item} it is"), (None, clean[0]), (None, None), (5, f"and {item} again"), (5, clean[1]), (6, clean[2])]
+    got = decontaminate.stage(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[k] for k in (1, 2, 4, 5)], key=repr) and got.columns == ["doc_id", "text"]
+
+
 def test_mixing(docs, plain):
     got = mixing.digest(docs).collect()
     assert len(got) == len(plain) and all(0 <= r["p"] <= 1 for r in got)
