@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import ctypes
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,12 @@ WORD = rf"[^{SPACE}]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_scratch: list[tuple] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "tracework-checkpoints")
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where it is unset, one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,7 +33,48 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in this run's own folder there, which goes when the driver ends."""
+    shared = shared_dir(spark).rstrip("/")
+    run = next((path for owner, _, path in _scratch if owner is spark and path.startswith(shared + "/")), None)
+    if run is None:
+        run = f"{shared}/tracework-{uuid.uuid4().hex}"
+        if not _scratch:
+            atexit.register(clear_scratch)
+        _scratch.append((spark, spark._jsc.hadoopConfiguration(), run))
+    return f"{run}/{what}-{uuid.uuid4().hex}"
+
+
+def clear_scratch() -> None:
+    """Remove what this driver's runs have written as intermediate tables and archives; results that were not written yet are lost."""
+    while _scratch:
+        spark, conf, path = _scratch.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # noqa: BLE001 - the JVM has ended before: the folder stays for its owner to remove
+            continue
+
+
+def released() -> None:
+    """Give memory that a task no longer needs back to the system, as Python workers live on and wait beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def least_hashed(rows: DataFrame, key: str, most: int) -> pd.DataFrame:
+    """(doc_id, key) of the `most` rows of each value of key whose doc_id has the least hash, on the driver.
+
+    Values are counted first; of a frequent one only rows with a hash below about 2 most / count leave their tasks, so that no
+    value is gathered in one task, and the driver gets about twice what it keeps.
+    """
+    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    counts = rows.groupBy(F.col(key).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    near = rows.join(counts, F.col(key) == F.col("_value")).filter(u < (2 * most + 50) / F.col("_n"))
+    got = near.select("doc_id", key, u.alias("_u")).distinct().toPandas()
+    return got.sort_values(["_u", "doc_id"]).groupby(key, sort=False).head(most)[["doc_id", key]]
 
 
 def row_key(text: Column) -> Column:

@@ -3,32 +3,31 @@
 Texts are read as UTF-8 bytes, whole, in segments of 64. In each segment one gated recurrent unit runs forwards and one
 backwards; together they label every byte position with a probability for each language. A document's probability of a
 language is the mean of its positions'. Parameters are learned in numpy by backpropagation through time, with Adam, from at
-most SAMPLE_A_LANGUAGE documents of each of the at most MOST_LANGUAGES most frequent languages (those with the least hash of
-doc_id, outside the held-out fold: crc32 of doc_id as text, mod 3, is 1), and PARTS segments of each.
+most SAMPLE_A_LANGUAGE documents of each language (those with the least hash of doc_id, outside the held-out fold: crc32 of
+doc_id as text, mod 3, is 1), and PARTS segments of each, evenly spread. Tasks cut the segments, so that the driver gets a few
+hundred bytes a document.
 
-Defined cases: a text that is null or has no letter is 'und' with score 0; null languages are not learned; with nothing to
+Defined cases: a text that is null or has no letter (Unicode categories L) is 'und' with score 0; null languages are not learned; with nothing to
 learn from, all is 'und'; an empty table gives an empty result; very long texts run in blocks of bounded memory; lang,
 source, doc_id and other columns are never inputs.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+
+from tracework.llm.common import least_hashed, released
 
 STEPS, HIDDEN = 64, 8
-SAMPLE_A_LANGUAGE, PARTS, MOST_LANGUAGES = 150, 6, 200
+SAMPLE_A_LANGUAGE, PARTS = 150, 6
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Segments that run together.
 LANES = 1024
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def start(n_languages: int, seed: int = 11) -> dict[str, np.ndarray]:
@@ -129,19 +128,20 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return lanes.reshape(-1, STEPS), n
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 11) -> dict | None:
-    """Parameters and the languages' names."""
+def some_segments(text: str, most: int = PARTS) -> np.ndarray:
+    """At most `most` segments of a text, evenly spread."""
+    own, _ = segments([text.encode("utf-8", "replace")])
+    return own[np.unique(np.linspace(0, len(own) - 1, most).astype(np.int64))]
+
+
+def fit(parts: list[np.ndarray], langs: list[str], seed: int = 11) -> dict | None:
+    """Parameters, learned from segments of each document, and the languages' names."""
     names = sorted(set(langs))
     if not names:
         return None
     r = np.random.default_rng(seed)
-    parts, target = [], []
-    for x, lang in zip(texts, langs, strict=True):
-        own, _ = segments([x.encode("utf-8", "replace")])
-        own = own[r.permutation(len(own))[:PARTS]]
-        parts.append(own)
-        target += [names.index(lang)] * len(own)
-    lanes, y = np.concatenate(parts), np.array(target)
+    number = {x: k for k, x in enumerate(names)}
+    lanes, y = np.concatenate(parts), np.repeat([number[x] for x in langs], [len(x) for x in parts])
     p = start(len(names), seed)
     one, two, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for _ in range(EPOCHS):
@@ -170,7 +170,7 @@ def pooled(texts: list[bytes], p: dict) -> np.ndarray:
 
 
 def predictions(texts: list[str | None], p: dict | None) -> tuple[list[str], list[float]]:
-    """Language and probability of each text; blocks of about LANES segments run at a time."""
+    """Language and probability of each text, 'und' for null; blocks of about LANES segments run at a time."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if p is None:
         return langs, scores
@@ -187,7 +187,7 @@ def predictions(texts: list[str | None], p: dict | None) -> tuple[list[str], lis
         lot, raw, size = [], [], 0
 
     for i, x in enumerate(texts):
-        if x is not None and _LETTER.search(x):
+        if x is not None:
             b = x.encode("utf-8", "replace")
             lot.append(i)
             raw.append(b)
@@ -200,34 +200,43 @@ def predictions(texts: list[str | None], p: dict | None) -> tuple[list[str], lis
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_A_LANGUAGE) -> dict | None:
     """Fit on a bounded sample of the documents outside the held-out fold."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1)).select("doc_id", "lang")
-    top = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.filter(F.col("lang").isin(top)).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_language).select("doc_id", "lang")
-    ids = {(int(r["doc_id"]), r["lang"]) for r in chosen.collect() if r["doc_id"] is not None}  # at most per_language rows a language
-    if not ids:
+    usable = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text")) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    ids = least_hashed(usable.select("doc_id", "lang"), "lang", per_language)  # at most per_language rows a language
+    if not len(ids):
         return None
-    few = docs.sparkSession.createDataFrame(sorted(ids), "id bigint, known string")
-    rows = docs.join(F.broadcast(few), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("known"))).select("id", "text", "lang").toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
-    rows = rows[[bool(_LETTER.search(x)) for x in rows["text"]]] if len(rows) else rows
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+    few = docs.sparkSession.createDataFrame(sorted((int(i), x) for i, x in ids.itertuples(index=False)), "id bigint, known string")
+
+    def cut(batches):
+        for b in batches:
+            lanes = [some_segments(x).tobytes() for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(lanes, pa.binary())], ["id", "lang", "lanes"])
+
+    found = usable.join(F.broadcast(few), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("known"))).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    rows = found.mapInArrow(cut, "id bigint, lang string, lanes binary").toPandas()
+    rows = rows.sort_values(["id", "lang"])
+    return fit([np.frombuffer(x, np.int16).reshape(-1, STEPS) for x in rows["lanes"]], rows["lang"].tolist())
+
+
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter: a character of the Unicode categories L."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def identified(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with _lang and _score: narrow, Arrow batches."""
+    """(doc_id, _lang, _score) of each document: narrow, Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType(), False), StructField("_score", DoubleType(), False)])
+    schema = StructType([docs.schema["doc_id"], StructField("_lang", StringType(), False), StructField("_score", DoubleType(), False)])
 
     def run(batches):
         for b in batches:
             langs, scores = predictions(b.column("text").to_pylist(), shared.value)
-            yield b.append_column("_lang", pa.array(langs, pa.string())).append_column("_score", pa.array(scores, pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
+        released()
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", F.when(has_letter(F.col("text")), F.col("text")).alias("text")).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     model = learn(docs)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
-    return identified(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return identified(docs, model).select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

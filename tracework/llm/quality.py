@@ -6,11 +6,12 @@ passages; the weighted sum of their encodings gives the document's score. Everyt
 alone, by Adam on hand-written gradients, in numpy.
 
 The fit takes at most SAMPLE_A_CLASS labelled documents of each class, those with the least hash of doc_id, all outside the
-held-out fold (crc32 of doc_id as text, mod 5, is 0). Every document's whole text is scored. Neither labels, lang, source nor
+held-out fold (crc32 of doc_id as text, mod 5, is 0), and of each at most MOST_PASSAGES passages, evenly spread. Tasks encode
+them, so that the driver gets a bounded number of bytes a document. Every document's whole text is scored. Neither labels, lang, source nor
 doc_id is an input.
 
 Defined cases: null and empty texts have one passage without words and are scored by the biases alone; null labels are left
-out; of repeated labels the greatest counts; without any usable label each score is 0.5; an empty table gives an empty
+out; of repeated labels the greatest counts, of rows that repeat a doc_id the least text is learned from; without any usable label each score is 0.5; an empty table gives an empty
 result; very long texts are scored in pieces of bounded memory; other columns do not matter.
 """
 
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
+
+from tracework.llm.common import least_hashed, released
 
 PASSAGE = 32
 SHAPES, HASHES, DIM, HIDDEN, ATTENTION = 2048, 2048, 8, 12, 8
-SAMPLE_A_CLASS = 1000
+SAMPLE_A_CLASS, MOST_PASSAGES = 1000, 64
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 THRESHOLD = 0.3
 #: Bytes of text that are encoded at a time.
@@ -132,8 +134,19 @@ def gradients(shape, hashed, offsets, bags, target, weight, p):
     return out
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str, np.ndarray] | None:
-    """Learned parameters, or None where there is nothing to learn from. Classes are weighed alike."""
+def passages_of(text: str | None, most: int = MOST_PASSAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shape codes, hash codes, words of each passage) of at most `most` passages of a text, evenly spread."""
+    shape, hashed, offsets, _ = encoded([text])
+    size = np.diff(offsets)
+    if len(size) > most:
+        chosen = np.unique(np.linspace(0, len(size) - 1, most).astype(np.int64))
+        words = np.isin(np.repeat(np.arange(len(size)), size), chosen)
+        shape, hashed, size = shape[words], hashed[words], size[chosen]
+    return shape.astype(np.int16), hashed.astype(np.int16), size.astype(np.int16)
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> dict[str, np.ndarray] | None:
+    """Parameters learned from documents as passages_of() gives them, or None where there is nothing to learn from. Classes are weighed alike."""
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -141,15 +154,13 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str,
     p, r = start(seed), np.random.default_rng(seed)
     one, two = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    docs = [encoded([x]) for x in texts]
     for _ in range(EPOCHS):
         order = r.permutation(len(docs))
         for lot in np.array_split(order, max(1, len(order) // BATCH)):
             chosen = [docs[i] for i in lot]
-            n = np.cumsum([0] + [len(x[0]) for x in chosen])
-            m = np.cumsum([0] + [x[3][-1] for x in chosen])
-            offsets = np.concatenate([x[2][:-1] + k for x, k in zip(chosen, n, strict=False)] + [n[-1:]])
-            got = gradients(np.concatenate([x[0] for x in chosen]), np.concatenate([x[1] for x in chosen]), offsets, m, y[lot], weight[lot], p)
+            m = np.cumsum([0] + [len(x[2]) for x in chosen])
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate([x[2] for x in chosen]), dtype=np.int64)))
+            got = gradients(np.concatenate([x[0] for x in chosen]).astype(np.int32), np.concatenate([x[1] for x in chosen]).astype(np.int32), offsets, m, y[lot], weight[lot], p)
             step += 1
             for k, v in got.items():
                 one[k] += 0.1 * (v - one[k])
@@ -178,26 +189,39 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_A_CLASS) -
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_class).select(F.col("doc_id").alias("id"), "quality")
-    ids = {int(r["id"]): int(r["quality"]) for r in chosen.collect()}  # at most per_class rows a class
-    if not ids:
+    ids = least_hashed(usable, "quality", per_class)  # at most per_class rows a class
+    if not len(ids):
         return None
-    spark = docs.sparkSession
-    few = spark.createDataFrame(list(ids.items()), "id bigint, quality int")
-    rows = docs.join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("id", "text", "quality").toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
-    return fit(rows["text"].tolist(), rows["quality"].tolist())
+    few = docs.sparkSession.createDataFrame([(int(i), int(q)) for i, q in ids.itertuples(index=False)], "id bigint, quality int")
+
+    def encode(batches):
+        for b in batches:
+            parts = [[x.tobytes() for x in passages_of(t)] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("quality"), *[pa.array([x[k] for x in parts], pa.binary()) for k in range(3)]], ["id", "quality", "shape", "word", "size"])
+
+    chosen = docs.join(F.broadcast(few), F.col("doc_id") == F.col("id")).groupBy("id", "quality").agg(F.min("text").alias("text"))
+    rows = chosen.mapInArrow(encode, "id bigint, quality int, shape binary, word binary, size binary").toPandas()
+    rows = rows.sort_values("id")
+    return fit([tuple(np.frombuffer(x, np.int16) for x in r) for r in rows[["shape", "word", "size"]].itertuples(index=False)], rows["quality"].tolist())
+
+
+def scored_column(docs: DataFrame) -> str:
+    """The name of the score's column, which no column of docs has."""
+    name = "_ql_score"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
 
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    """docs with _score: narrow, Arrow batches."""
+    """docs with the column scored_column(docs): narrow, Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_ql_score", DoubleType(), False)])
+    schema = StructType([*docs.schema.fields, StructField(scored_column(docs), DoubleType(), False)])
 
     def run(batches):
         for b in batches:
-            yield b.append_column("_ql_score", pa.array(scores(b.column("text").to_pylist(), shared.value), pa.float64()))
+            yield b.append_column(schema.names[-1], pa.array(scores(b.column("text").to_pylist(), shared.value), pa.float64()))
+        released()
 
     return docs.mapInArrow(run, schema)
 
@@ -211,5 +235,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are not rejected."""
-    return scored(docs, learn(docs, labels)).filter(F.col("_ql_score") >= THRESHOLD).select(*docs.columns)
+    return scored(docs, learn(docs, labels)).filter(F.col(scored_column(docs)) >= THRESHOLD).select(*docs.columns)
 
