@@ -35,30 +35,27 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     def digit(h: Column) -> Column:
         return F.hex(h.bitwiseAND(2**BITS - 1))
 
-    w, h, m, s = (f"_{out}_{x}" for x in "whms")
+    w, h, m, s, d = (f"_{out}_{x}" for x in "whmsd")
     df = df.withColumn(w, words(F.lower(F.col(text))))
-    shingles = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(SHINGLE)]))
+    shingles = F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
     hashes = F.when(F.size(w) >= SHINGLE, shingles).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(h, F.sort_array(hashes)).drop(w)
     # In sorted order the first hash of each bin is its least. Bins come as 128..255, 0..127, as longs are signed; hence the turn.
     least = F.filter(F.col(h), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(h), i - 1))))
     df = df.withColumn(m, least).drop(h)
     place = lambda x: F.pmod(bin_of(x) + BINS // 2, F.lit(BINS)).cast("int")
-    filled = F.aggregate(F.col(m), F.lit(""), lambda acc, x: F.concat(acc, F.repeat(F.lit("-"), place(x) - F.length(acc)), digit(x)))
-    df = df.withColumn(s, F.rpad(filled, BINS, "-"))
+    gap = lambda x, i: place(x) - F.coalesce(place(F.get(F.col(m), i - 1)), F.lit(-1)) - 1
+    df = df.withColumn(s, F.rpad(F.array_join(F.transform(m, lambda x, i: F.concat(F.repeat(F.lit("-"), gap(x, i)), digit(x))), ""), BINS, "-"))
+    df = df.withColumn(d, F.transform(F.split(s, ""), lambda x: F.when(x != "-", x)))
 
-    def borrowed(i: Column) -> Column:
-        tried = F.aggregate(
-            F.sequence(F.lit(1), F.lit(ATTEMPTS)), F.lit("-"), lambda acc, j: F.when(acc != "-", acc).otherwise(F.substr(F.col(s), F.pmod(F.xxhash64(i, j), F.lit(BINS)).cast("int") + 1, F.lit(1)))
-        )
+    def borrowed(i: Column) -> list[Column]:
+        """The bins that an empty one tries in turn; nulls are empty."""
+        tried = [F.get(F.col(d), F.pmod(F.xxhash64(i, F.lit(j)), F.lit(BINS)).cast("int")) for j in range(1, ATTEMPTS + 1)]
         nearest = F.array_min(F.transform(F.col(m), lambda x: F.struct(F.xxhash64(i, place(x)).alias("o"), digit(x).alias("d"))))["d"]
-        return F.when(tried != "-", tried).otherwise(nearest)
+        return [*tried, nearest]
 
-    def own(i: Column) -> Column:
-        return F.substr(F.col(s), i, F.lit(1))
-
-    dense = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda i: F.when(own(i) != "-", own(i)).otherwise(borrowed(i))), "")
-    return df.withColumn(out, F.when(F.size(m) == 0, "").when(F.instr(s, "-") == 0, F.col(s)).otherwise(dense)).drop(m, s)
+    dense = F.array_join(F.transform(d, lambda x, i: F.coalesce(x, *borrowed(i))), "")
+    return df.withColumn(out, F.when(F.size(m) == 0, "").when(F.instr(s, "-") == 0, F.col(s)).otherwise(dense)).drop(m, s, d)
 
 
 def likeness(a: Column, b: Column) -> Column:
