@@ -3,7 +3,7 @@
 `write_archive` makes what crawlers with a plain gzip pipe make: one gzip stream over a whole file of WARC records.
 `normalise` inflates such a stream once, front to back in bounded memory, and writes every record as a gzip member of its own
 beside a sidecar index (offset, length, id, type, one line a record), so that any record can be read alone. `read_members`
-reads records by that index. Files lie in the folder that driver and executors share, named by task attempt, so that a
+reads records by that index and checks that both agree. Files lie in the folder that driver and executors share, named by task attempt, so that a
 repeated task never meets half a file.
 
 Of pages with equal payloads of at least `min_bytes` bytes the one with the smallest page_id is written as response, the
@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.llm.common import checkpointed, scratch_path
+from tracework.llm.common import checkpointed, released, scratch_path
 
 CHUNK = 1 << 18
 #: Bytes of payloads that one archive holds, about.
 ARCHIVE = 32 << 20
-INDEX_SCHEMA = "path string, offset long, length long"
+ARCHIVE_SCHEMA = "path string, size long"
 PAGE_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -75,16 +75,18 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def inflated(source: BinaryIO) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, in bounded chunks."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file of any number of members, in bounded chunks. A file that ends within a member is an error."""
+    z, begun = zlib.decompressobj(31), False
     while chunk := source.read(CHUNK):
         while chunk:
             yield z.decompress(chunk, CHUNK)
             while z.unconsumed_tail:
                 yield z.decompress(z.unconsumed_tail, CHUNK)
-            chunk = z.unused_data
+            chunk, begun = z.unused_data, not z.eof
             if z.eof:
                 z = zlib.decompressobj(31)
+    if begun:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -119,6 +121,13 @@ def normalise(source: BinaryIO, out: BinaryIO, index: BinaryIO) -> Iterator[tupl
         at += len(member)
 
 
+def read_index(data: bytes) -> Iterator[tuple[int, int, str, str]]:
+    """(offset, length, record id, type) of each line of a sidecar index."""
+    for line in data.splitlines():
+        at, length, name, kind = line.decode().split("\t")
+        yield int(at), int(length), name, kind
+
+
 def read_member(data: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, payload) of one gzip member."""
     whole = zlib.decompress(data, 31)
@@ -127,7 +136,7 @@ def read_member(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def archived(decided: DataFrame, folder: str) -> DataFrame:
-    """(path, offset, length) of every record after writing and normalising; decided has page_id, url, html, kind, refers_to."""
+    """(path, size) of every archive after writing and normalising; decided has page_id, url, html, kind, refers_to."""
 
     def run(batches):
         task = TaskContext.get()
@@ -142,45 +151,50 @@ def archived(decided: DataFrame, folder: str) -> DataFrame:
             with store.open_input_stream(f"{part}.source.warc.gz", compression=None) as source, store.open_output_stream(f"{part}.warc.gz", compression=None) as out, store.open_output_stream(f"{part}.idx") as index:
                 found = list(normalise(source, out, index))
             store.delete_file(f"{part}.source.warc.gz")
-            path = f"{folder.rstrip('/')}/{part.rpartition('/')[2]}.warc.gz"
-            return pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["path", "offset", "length"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{part.rpartition('/')[2]}"]), pa.array([sum(x for _, x in found)], pa.int64())], ["path", "size"])
 
         for b in batches:
-            for r in b.to_pylist():
-                payload = (r["html"] or "").encode("utf-8")
-                lot.append(record(r["kind"], r["page_id"], r["url"], payload, digest_of(payload), r["refers_to"]))
+            columns = [b.column(c) for c in ("kind", "page_id", "url", "html", "refers_to")]
+            for k in range(b.num_rows):  # one payload at a time
+                kind, page, url, html, refers = (c[k].as_py() for c in columns)
+                payload = (html or "").encode("utf-8")
+                lot.append(record(kind, page, url, payload, digest_of(payload), refers))
                 size += len(lot[-1])
                 if size >= ARCHIVE:
                     yield flush()
                     lot, size, n = [], 0, n + 1
         if lot:
             yield flush()
+        released()
 
-    return decided.select("page_id", "url", "html", "kind", "refers_to").mapInArrow(run, INDEX_SCHEMA)
+    return decided.select("page_id", "url", "html", "kind", "refers_to").mapInArrow(run, ARCHIVE_SCHEMA)
 
 
-def read_members(index: DataFrame) -> DataFrame:
-    """One row a record, by the offsets of an index."""
+def read_members(archives: DataFrame) -> DataFrame:
+    """One row a record of (path, size) archives: each is read record by record at the offsets that its sidecar index gives."""
 
-    def run(batches):
-        at, source = None, None
+    def rows_of(path: str):
         number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
+        store, at = opened(path)
+        with store.open_input_stream(f"{at}.idx") as f:
+            index = f.read()
+        with store.open_input_file(f"{at}.warc.gz") as source:
+            for offset, length, name, kind in read_index(index):
+                h, payload = read_member(source.read_at(length, offset))
+                full = kind == "response"
+                if (h["warc-record-id"], h["warc-type"]) != (name, kind) or full and digest_of(payload) != h["warc-payload-digest"].removeprefix("sha1:"):
+                    raise ValueError(f"{path}: the record at {offset} does not match its index or digest")
+                yield number(name), len(payload) if full else int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), kind, None if full else number(h["warc-refers-to"])
+
+    def run(batches):
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                if r["path"] != at:
-                    store, path = opened(r["path"])
-                    at, source = r["path"], store.open_input_file(path)
-                h, payload = read_member(source.read_at(r["length"], r["offset"]))
-                full = h["warc-type"] == "response"
-                if full and digest_of(payload) != h["warc-payload-digest"].removeprefix("sha1:"):
-                    raise ValueError(f"{at}: a payload does not match its digest")
-                rows.append((number(h["warc-record-id"]), len(payload) if full else int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], None if full else number(h["warc-refers-to"])))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return index.mapInArrow(run, PAGE_SCHEMA)
+            for path in b.column("path").to_pylist():
+                columns = list(zip(*rows_of(path), strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        released()
+
+    return archives.mapInArrow(run, PAGE_SCHEMA)
 
 
 def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -196,7 +210,8 @@ def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def digest(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back every page."""
     folder = scratch_path(pages.sparkSession, "warc")
-    return read_members(checkpointed(archived(decided(pages), folder)))
+    made = checkpointed(archived(decided(pages), folder))
+    return read_members(made.repartition(max(1, made.count())))  # a task an archive
 
 
 #: DuckDB SQL for digest(); base 32 from five hexadecimal digits at a time.
