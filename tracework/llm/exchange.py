@@ -1,10 +1,10 @@
 """Packed exchange of sorted hashes between batches of documents.
 
-Documents are dealt into batches of about BATCH bytes by a hash of doc_id. Each batch sends the sorted distinct hashes of its
+Documents are dealt into batches of about BATCH bytes by a hash of doc_id and text, so that null or repeated ids spread, too. Each batch sends the sorted distinct hashes of its
 items (word windows, anchors, shingles) to buckets of the hash range, delta-coded and compressed: one entry per distinct item
 and batch, however often the batch holds it, so that an item which a third of all documents share costs as many entries as
 there are batches. A bucket tells each batch in how many batches, or how often, every hash it sent occurs. Both sides are
-recomputed alike after a lost executor, since a batch's documents are a function of doc_id alone.
+recomputed alike after a lost executor, since a batch's documents are a function of doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.llm.common import row_key, text_bytes
+from tracework.llm.common import released, row_key, text_bytes
 
 #: Bytes of text in a batch, about; what a task holds is some ten times as much.
 BATCH = 6 << 20
@@ -53,6 +53,19 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+def releasing(work):
+    """A group's work that gives its memory back when it is done."""
+
+    def run(*groups):
+        try:
+            return work(*groups)
+        finally:
+            released()
+
+    # Spark tells the forms of these functions by the number of their arguments.
+    return (lambda one: run(one)) if work.__code__.co_argcount == 1 else (lambda one, two: run(one, two))
+
+
 def plan(docs: DataFrame) -> tuple[int, int, int]:
     """(batches, buckets, hash bits) for a table, from the bytes of its texts."""
     size = text_bytes(docs)
@@ -62,7 +75,7 @@ def plan(docs: DataFrame) -> tuple[int, int, int]:
 def batched(docs: DataFrame, batches: int) -> DataFrame:
     """(batch, doc_id, row, data): texts as bytes, null texts empty, null doc_ids kept."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), data.alias("data"))
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), data.alias("data"))
 
 
 def rows_in_order(table) -> list[int]:
@@ -119,4 +132,4 @@ def answers(messages: DataFrame, other=None) -> DataFrame:
         got = met([unpack_sorted(x) for x in pdf["payload"]], counts)
         return pd.DataFrame({"batch": pdf["batch"].to_numpy(), "bucket": bucket, "reply": [pack(x) for x in got]})
 
-    return messages.groupBy("bucket").applyInPandas(run, "batch int, bucket int, reply binary")
+    return messages.groupBy("bucket").applyInPandas(releasing(run), "batch int, bucket int, reply binary")

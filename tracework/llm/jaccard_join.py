@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tracework.llm import exchange
 from tracework.llm.common import checkpointed, row_key
 from tracework.llm.components import components
-from tracework.llm.exchange import table_of, unpack
+from tracework.llm.exchange import releasing, table_of, unpack
 
 SHINGLE = 5
 REGION, LEAF, PIVOTS = 8000, 48, 8
@@ -92,7 +92,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         h, _, n = counted(shingle_sets(exchange.in_order(table)[1]))
         return table_of([(batch, *x) for x in exchange.sent(h, bits, buckets, np.minimum(n, 255).astype(np.uint8))], sent_schema)
 
-    replies = exchange.answers(dealt.groupBy("batch").applyInArrow(send, "batch int, bucket int, payload binary, counts binary"))
+    replies = exchange.answers(dealt.groupBy("batch").applyInArrow(releasing(send), "batch int, bucket int, payload binary, counts binary"))
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("shingles", pa.list_(pa.int64())), ("openings", pa.list_(pa.int64()))])
 
     def open_regions(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -113,7 +113,7 @@ def nodes(docs: DataFrame) -> DataFrame:
             rows.append((name, row, n, hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), s.view(np.int64), s[first].view(np.int64)))
         return table_of(rows, schema)
 
-    return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(open_regions, "doc_id long, row long, n long, node string, shingles array<long>, openings array<long>")
+    return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(releasing(open_regions), "doc_id long, row long, n long, node string, shingles array<long>, openings array<long>")
 
 
 def near(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def links_of(known: DataFrame, region: int = REGION) -> DataFrame:
         found = region_links([np.asarray(x, np.int64) for x in pdf["shingles"]], pdf["label"].tolist())
         return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype=object)
 
-    more = small.unionByName(large).join(known.select("node", "shingles"), "node").groupBy("g", "i", "j").applyInPandas(join, "a string, b string")
+    more = small.unionByName(large).join(known.select("node", "shingles"), "node").groupBy("g", "i", "j").applyInPandas(releasing(join), "a string, b string")
     return stars.unionByName(more)
 
 
@@ -250,7 +250,8 @@ def placed(docs: DataFrame, region: int = REGION) -> DataFrame:
 def joined(docs: DataFrame, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document."""
     places = placed(docs, region)
-    least = places.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join has an exchange of its own on either side and a hot label is split.
+    least = checkpointed(places.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")))
     return places.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -262,7 +263,7 @@ def stage(docs: DataFrame) -> DataFrame:
     """One document row of each component: that with the least doc_id, nulls last, and of its texts that with the least row_key."""
     places = placed(docs.select("doc_id", "text")).filter("label IS NOT NULL")
     own = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
-    least = places.groupBy("label").agg(F.min(own).alias("least"))
+    least = checkpointed(places.groupBy("label").agg(F.min(own).alias("least")))
     drop = places.join(least, "label").filter(own != F.col("least")).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_gone_row")).distinct()
     keyed = docs.withColumn("_jj_key", row_key(F.col("text")))
     kept = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["_gone"]) & (keyed["_jj_key"] == drop["_gone_row"]), "left_anti")

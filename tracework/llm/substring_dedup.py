@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tracework.llm import exchange
-from tracework.llm.exchange import pack, table_of, unpack
+from tracework.llm.exchange import pack, releasing, table_of, unpack
 
 WINDOW = 13
 #: Words of an anchor, longest prefix by which suffixes are told apart before they are sent, and the share of windows from which a
@@ -228,7 +228,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         return [(b, found.tobytes()) for b in range(batches)] if len(found) else []
 
     sent_schema = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("counts", pa.binary())])
-    sent = dealt.groupBy("batch").applyInArrow(send, "batch int, bucket int, payload binary, counts binary")
+    sent = dealt.groupBy("batch").applyInArrow(releasing(send), "batch int, bucket int, payload binary, counts binary")
     first = exchange.answers(sent, sum_prefixes)
 
     def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -261,7 +261,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         return table_of(rows, group_schema)
 
     group_schema = pa.schema([("batch", pa.int32()), ("group", pa.int32()), ("payload", pa.binary())])
-    spread = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(suffixes, "batch int, group int, payload binary")
+    spread = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(releasing(suffixes), "batch int, group int, payload binary")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["group"].iloc[0] < 0:  # what a batch needs to know again of itself
@@ -269,7 +269,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         pdf = pdf.sort_values("batch")
         return pd.DataFrame({"batch": pdf["batch"].to_numpy(), "group": pdf["group"].to_numpy(), "payload": [pack(x.view(np.uint8)) for x in subtree_answers(list(pdf["payload"]))]})
 
-    told = spread.groupBy("group").applyInPandas(grow, "batch int, group int, payload binary")
+    told = spread.groupBy("group").applyInPandas(releasing(grow), "batch int, group int, payload binary")
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, data, names = exchange.in_order(left)
@@ -290,7 +290,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
             np.add.at(cover, gone + WINDOW, -1)
         return finish(names, split, np.cumsum(cover[:-1]) > 0)
 
-    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(end, schema)
+    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(releasing(end), schema)
 
 
 def _digests(names: list, split: list[list[bytes]], covered: np.ndarray) -> pa.Table:

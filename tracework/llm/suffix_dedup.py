@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracework.llm import exchange
-from tracework.llm.exchange import pack, table_of, unpack
+from tracework.llm.exchange import pack, releasing, table_of, unpack
 
 WINDOW, GRAM = 200, 32
 REACH = WINDOW - GRAM + 1  # places for an anchor in a window
@@ -272,7 +272,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         _, _, a = anchored(table)
         return table_of([(batch, *x) for x in exchange.sent(np.unique(a.inner >> shift), bits, buckets)], sent_schema)
 
-    first = exchange.answers(dealt.groupBy("batch").applyInArrow(send, "batch int, bucket int, payload binary, counts binary"))
+    first = exchange.answers(dealt.groupBy("batch").applyInArrow(releasing(send), "batch int, bucket int, payload binary, counts binary"))
     group_schema = pa.schema([("batch", pa.int32()), ("group", pa.int32()), ("payload", pa.binary())])
 
     def sort_runs(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -309,7 +309,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         rows.append((batch, -1 - batch, b"".join([*(len(x).to_bytes(8, "little") for x in parts), *parts])))
         return table_of(rows, group_schema)
 
-    spread = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(sort_runs, "batch int, group int, payload binary")
+    spread = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(releasing(sort_runs), "batch int, group int, payload binary")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["group"].iloc[0] < 0:  # what a batch needs to know again of itself
@@ -318,7 +318,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         got = repeats(list(pdf["payload"]))
         return pd.DataFrame({"batch": pdf["batch"].to_numpy(), "group": pdf["group"].to_numpy(), "payload": [len(x).to_bytes(8, "little") + pack(np.packbits(x)) for x in got]})
 
-    told = spread.groupBy("group").applyInPandas(merge, "batch int, group int, payload binary")
+    told = spread.groupBy("group").applyInPandas(releasing(merge), "batch int, group int, payload binary")
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         _, data, names = exchange.in_order(left)
@@ -342,7 +342,7 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
             covered = c[WINDOW:] > c[:-WINDOW]
         return finish(names, data, covered)
 
-    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(end, schema)
+    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(releasing(end), schema)
 
 
 def _digests(names: list, data: list[bytes], covered: np.ndarray) -> pa.Table:
