@@ -5,12 +5,15 @@ import hashlib
 import io
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tracework.llm import decontaminate, fingerprints, jaccard_join, language, line_dedup, mixing, quality, substring_dedup, suffix_dedup, warc
+from tracework.llm.common import least_hashed
 from tracework.llm.components import components
 from tracework.llm.exchange import met, pack, pack_sorted, unpack, unpack_sorted
 
@@ -165,6 +168,61 @@ def test_fingerprints(docs, plain):
     assert all(len(v) == 1 for v in same.values())
 
 
+def plain_fingerprint(x):
+    """One-permutation MinHash of one text, bin by bin."""
+    ws = words_of(x.lower())
+    grams = [ws[k : k + 5] for k in range(len(ws) - 4)] if len(ws) >= 5 else ([[" ".join(ws)]] if ws else [])
+    bins = {}
+    for g in grams:
+        h = 42
+        for w in g:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        b = h >> 56
+        key = h - 2**64 if h >= 2**63 else h  # as signed numbers
+        bins[b] = min(bins.get(b, 2**63), key)
+    if not bins:
+        return ""
+    # Bins are turned by half, as signed numbers order them.
+    bins = {(b + 128) % 256: k & 15 for b, k in bins.items()}
+    probe = lambda i, j: xxhash.xxh64_intdigest(struct.pack("<i", j), xxhash.xxh64_intdigest(struct.pack("<i", i), 42))
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    out = []
+    for i in range(256):
+        at = next((probe(i, j) % 256 for j in range(1, 25) if probe(i, j) % 256 in bins), None) if i not in bins else i
+        out.append(bins[at] if at is not None else bins[min(bins, key=lambda b, i=i: signed(probe(i, b)))])
+    return "".join(f"{d:X}" for d in out)
+
+
+def plain_likeness(a, b):
+    if not a or not b or a == b:
+        return float(a == b)
+    same = sum(x == y for x, y in zip(a, b, strict=True)) / 256
+    return max(0.0, (same - 1 / 16) / (1 - 1 / 16))
+
+
+def test_fingerprints_by_hand(docs, plain):
+    """Every fingerprint and likeness against plain Python; the next document by id, unique ids alone."""
+    ids = [i for i, _ in plain]
+    rows = {r["doc_id"]: r for r in fingerprints.digest(docs).collect()}
+    ranked = sorted(plain, key=lambda p: first(p[0]))
+    prints = {x: plain_fingerprint(x) for _, x in plain}
+    for k, (i, x) in enumerate(ranked):
+        after = ranked[(k + 1) % len(ranked)][1]
+        if ids.count(i) == 1:
+            m = len(x) // 4
+            e = plain_fingerprint(x[: len(x) - m] + after[:m])
+            r = rows[i]
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (prints[x], e), i
+            assert r["near_edited"] == pytest.approx(plain_likeness(prints[x], e)) and r["near_next"] == pytest.approx(plain_likeness(prints[x], prints[after]))
+
+
+def test_fingerprints_over_many_ranges(spark):
+    rows = [(7 * k % 101, prose(12)) for k in range(101)]
+    x = {r["doc_id"]: r for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), rows_a_range=3).collect()}
+    text = dict(rows)
+    assert all(x[k]["next_text"] == text[(k + 1) % 101] for k in range(101))
+
+
 def shingles(x):
     w = words_of(x)
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -290,6 +348,45 @@ def test_decontamination_keeps_verbatim_windows_and_rows_apart(spark):
         assert sorted(got, key=repr) == sorted([(1, 1, False), (None, 2, True), (None, 2, True), (7, 2, True), (7, 2, True), (8, None, False), (9, None, True)], key=repr)
 
 
+def test_decontamination_of_glued_units_and_number_words(spark):
+    items = [(1, "the tall farmer carried 12kg of apples over the hill to market"), (2, "she had twelve small cats that slept on the warm stone wall")]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, items[0][1]), (2, items[0][1].replace("12kg", "15 kg")), (3, items[0][1].replace("12kg", "7.5lb.")), (4, items[1][1].replace("twelve", "thirteen")), (5, items[1][1].replace("twelve", "40")), (6, items[1][1].replace("twelve", "many"))]
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), asked).collect()}
+    assert got == {(1, 1, False), (2, 1, True), (3, 1, True), (4, 2, True), (5, 2, True)}
+
+
+def test_decontamination_of_a_common_preamble(spark):
+    head = prose(12)
+    items = [(k, f"{head} {prose(14)}") for k in range(40)]
+    rows = [(k, f"{prose(5)} {head} {prose(5)}") for k in range(30)] + [(100, items[7][1]), (101, prose(40)), (102, " ".join(items[9][1].split()[12:]))]
+    for most in (10_000, 0):
+        got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most).collect()
+        assert {r["doc_id"] for r in got} == {*range(30), 100, 102} and len(got) < 60  # not 30 x 40
+        assert {(100, 7), (102, 9)} <= {(r["doc_id"], r["item_id"]) for r in got}
+
+
+def test_decontamination_recall(spark):
+    """Planted verbatim and re-parameterised items among other text: all are found, nothing else is."""
+    r = random.Random(21)
+    names = ["Anna", "Peter", "Clara", "Hugo", "Nina", "Oskar"]
+
+    def item(k):
+        w = prose(r.randint(12, 30), r).split()
+        for _ in range(3):
+            w[r.randrange(1, len(w))] = r.choice([str(r.randint(2, 999)), r.choice(names)])
+        return " ".join(w)
+
+    def changed(x):
+        maps = {}
+        return " ".join(maps.setdefault(w, str(len(maps) + 1000)) if w.isdigit() else maps.setdefault(w, f"Name{chr(97 + len(maps))}") if w in names else w for w in x.split())
+
+    items = [(k, item(k)) for k in range(60)]
+    rows = [(k, f"{prose(20, r)} {x} {prose(20, r)}") for k, x in items] + [(100 + k, f"{prose(20, r)} {changed(x)} {prose(20, r)}") for k, x in items] + [(200 + k, prose(80, r)) for k in range(60)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len({k for k in range(60) if (k, k) in got}) == 60 and len({k for k in range(60) if (100 + k, k) in got}) >= 57 and not {d for d, _ in got if d >= 200}
+
+
 def test_decontamination_stage_by_row(spark):
     item, clean = prose(20), [prose(30) for _ in range(4)]
     rows = [(None, f"so {item} it is"), (None, clean[0]), (None, None), (5, f"and {item} again"), (5, clean[1]), (6, clean[2])]
@@ -297,6 +394,30 @@ def test_decontamination_stage_by_row(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[k] for k in (1, 2, 4, 5)], key=repr) and got.columns == ["doc_id", "text"]
 
 
+def plain_topics(rows):
+    """Topic of each (text, language), as the docstring of mixing says."""
+    split = [[w for w in re.split(mixing.BETWEEN, x or "") if 4 <= len(w) <= 32] for x, _ in rows]
+    best = {}
+    for lang in {y or "" for _, y in rows}:
+        own = [set(ws) for ws, (_, y) in zip(split, rows, strict=True) if (y or "") == lang]
+        total = {w: sum(w in ws for ws in own) for w in set().union(*own)}
+        best[lang] = sorted((w for w, d in total.items() if d >= 2 and d * 10 <= len(own)), key=lambda w, t=total: (-t[w], w))[: mixing.TOPICS]
+    out = []
+    for ws, (_, y) in zip(split, rows, strict=True):
+        b = best[y or ""]
+        out.append(f"topic {1 + max(range(len(b)), key=lambda k, ws=ws, b=b: (ws.count(b[k]), -k))}" if set(b) & set(ws) else "other")
+    return out
+
+
+def test_topics(spark):
+    r = random.Random(31)
+    rows = [(k, prose(6, r), ["en", "de", None][k % 3]) for k in range(150)] + [(None, None, "en"), (7, "", None)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = mixing.with_topic(x, mixing.topic_words(x), "topic").collect()
+    want = zip((i for i, _, _ in rows), (t for _, t, _ in rows), plain_topics([(t, y) for _, t, y in rows]), strict=True)
+    assert sorted((tuple(g[c] for c in ("doc_id", "text", "topic")) for g in got), key=repr) == sorted(want, key=repr) and len({g["topic"] for g in got}) > 5
+
+
 def test_mixing(docs, plain):
     got = mixing.digest(docs).collect()
     assert len(got) == len(plain) and all(0 <= r["p"] <= 1 for r in got)
@@ -304,14 +425,30 @@ def test_mixing(docs, plain):
     assert total == sum(len(words_of(x)) for _, x in plain)
     assert sum(r["n_tokens"] * r["p"] for r in got) <= total * mixing.BUDGET * 1.01
     assert mixing.digest(docs.limit(0)).count() == 0 and set(docs.columns) < set(mixing.stage(docs).columns)
+    odd = docs.withColumnRenamed("batch", "mix_p").withColumnRenamed("node", "mix_topic")
+    assert mixing.stage(odd).count() == mixing.stage(docs).count() and mixing.stage(odd).columns.count("mix_p") == 1
+
+
+def plain_raking(cells, targets):
+    w = {k: float(n) for k, n in cells.items()}
+    for _ in range(500):
+        for d, t in enumerate(targets):
+            m = {v: sum(x for k, x in w.items() if k[d] == v) for v in t}
+            w = {k: x * t[k[d]] / m[k[d]] for k, x in w.items()}
+    return w
 
 
 def test_raking_meets_marginals(spark):
-    cells = spark.createDataFrame([(s, x, t, (i + 1) * 10 + j * 7 + k * 3) for i, s in enumerate("abc") for j, x in enumerate(("en", "de")) for k, t in enumerate("pq")], "source string, lang string, topic string, tokens long")
-    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
-    rows = mixing.rake(cells, {"source": share(a=0.5, b=0.3, c=0.2), "lang": share(en=0.9, de=0.1), "topic": share(p=0.6, q=0.4)}, sweeps=15).collect()
-    assert sum(r["w"] for r in rows if r["lang"] == "en") == pytest.approx(0.9, abs=1e-6)
-    assert sum(r["w"] for r in rows if r["source"] == "a") == pytest.approx(0.5, abs=1e-6)
+    cells = {(s, x, t): (i + 1) * 10 + j * 7 + k * 3 for i, s in enumerate("abc") for j, x in enumerate(("en", "de")) for k, t in enumerate("pq") if (i, j) != (2, 1)}
+    table = spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens long")
+    targets = [{"a": 0.5, "b": 0.3, "c": 0.2}, {"en": 0.7, "de": 0.3}, {"p": 0.6, "q": 0.4}]
+    rows = mixing.rake(table, {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in zip(mixing.DIMENSIONS, targets, strict=True)}).collect()
+    want = plain_raking(cells, targets)
+    assert all(r["w"] == pytest.approx(want[r["source"], r["lang"], r["topic"]], abs=1e-5) and r["error"] <= mixing.TOLERANCE for r in rows)
+    # Targets that the cells cannot meet: the error says so.
+    odd = [{"a": 0.2, "b": 0.2, "c": 0.6}, {"en": 0.1, "de": 0.9}, {"p": 0.6, "q": 0.4}]
+    rows = mixing.rake(table, {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in zip(mixing.DIMENSIONS, odd, strict=True)}, patience=1).collect()
+    assert all(r["error"] > 0.01 for r in rows)
 
 
 def test_warc(spark):
@@ -325,6 +462,8 @@ def test_warc(spark):
         assert r["payload_bytes"] == len(raw) and r["payload_digest"] == warc.digest_of(raw)
         assert (r["record_type"], r["refers_to"]) == (("response", None) if min(kin) == i else ("revisit", min(kin)))
     assert warc.digest(pages.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, "u", "same")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.digest(twice).collect()) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
     assert {r["kind"] for r in warc.decided(pages, min_bytes=10_000_000).collect()} == {"response"}
 
 
@@ -339,6 +478,10 @@ def test_normaliser_round_trip():
     assert gzip.decompress(out.getvalue()) == b"".join(whole) and len(index.getvalue().splitlines()) == 5
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(gzip.compress(whole[1][:-9]))))
+    for cut in (1, 8, 2000):  # without its trailer or within the last member
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(source.getvalue()[:-cut])))
+    assert list(warc.read_index(index.getvalue())) == [(a, n, "<urn:page:" + str(i) + ">", "response") for i, (a, n) in enumerate(places)]
 
 
 def numeric(loss, p, k, i, e=1e-4):
@@ -366,15 +509,55 @@ def test_quality_gradients_and_learning(spark, docs):
         assert numeric(loss, p, k, i, 1e-3) == pytest.approx(got[k][i], rel=0.05, abs=1e-5)
     r = random.Random(1)
     good, bad = [prose(60, r) for _ in range(80)], [" ".join(f"{w}!!" for w in prose(60, r).upper().split()) for _ in range(80)]
-    m = quality.fit(good[:60] + bad[:60], [1] * 60 + [0] * 60)
+    m = quality.fit([quality.passages_of(x) for x in good[:60] + bad[:60]], [1] * 60 + [0] * 60)
     s = quality.scores(good[60:] + bad[60:], m)
     assert s[:20].min() > s[20:].max()
     labels = spark.createDataFrame([(1, 1), (4, None), (None, 0)], "doc_id long, quality int")
     assert quality.digest(docs, labels).count() == docs.count() and quality.digest(docs.limit(0), labels).count() == 0
     assert quality.stage(docs, labels).columns == docs.columns
+    assert quality.stage(docs.withColumnRenamed("node", "_ql_score"), labels).count() == docs.count()
+
+
+def plain_score(x, p):
+    """The score of one text, passage by passage."""
+    data = np.frombuffer(x.encode("utf-8", "replace") + b" ", np.uint8)
+    _, shape, word = quality.word_codes(data)
+    h, e = [], []
+    for k in range(0, max(1, len(shape)), quality.PASSAGE):
+        a, b = shape[k : k + quality.PASSAGE], word[k : k + quality.PASSAGE]
+        mean = np.concatenate((p["shape"][a].mean(0), p["word"][b].mean(0))) if len(a) else np.zeros(2 * quality.DIM)
+        h.append(np.tanh(mean @ p["w1"] + p["b1"]))
+        e.append((np.tanh(h[-1] @ p["v"]) / (1 + np.exp(-(h[-1] @ p["u"])))) @ p["a"])
+    w = np.exp(np.array(e) - max(e))
+    return 1 / (1 + np.exp(-((w / w.sum()) @ np.array(h) @ p["c"] + p["d"][0])))
+
+
+def test_quality_scores_by_hand(plain):
+    p = quality.start(3)
+    p["b1"] += 0.2
+    texts = [x for _, x in plain] + [prose(60_000)]
+    assert quality.scores(texts, p) == pytest.approx([plain_score(x, p) for x in texts], abs=1e-4)
+
+
+def test_sample_of_least_hashes(spark):
+    rows = [(k, "a" if k % 10 else "b") for k in range(3000)] * 2 + [(5, "c")]
+    got = least_hashed(spark.createDataFrame(rows, "doc_id long, kind string"), "kind", 40)
+    assert got.groupby("kind").size().to_dict() == {"a": 40, "b": 40, "c": 1} and not got.duplicated().any()
+
+
+def test_quality_and_language_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(r["score"], known[r["doc_id"]], r["predicted"]) for r in quality.digest(docs, labels).collect() if r["held_out"] and known.get(r["doc_id"]) is not None]
+    good, bad = [s for s, q, _ in rows if q], [s for s, q, _ in rows if not q]
+    assert bad and sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) > 0.85
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    rows = [r for r in language.digest(docs).collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) > 0.95 * len(rows)
 
 
-def test_language_gradients_and_prediction(docs):
+def test_language_gradients_and_prediction(spark, docs):
     p = {k: v.astype(np.float64) for k, v in language.start(3).items()}
     lanes = np.random.default_rng(0).integers(0, 257, (4, language.STEPS)).astype(np.int16)
     y = np.array([0, 1, 2, 1])
@@ -390,8 +573,15 @@ def test_language_gradients_and_prediction(docs):
         assert numeric(loss, p, k, i, 1e-3) == pytest.approx(got[k][i], rel=0.05, abs=1e-5)
     r = random.Random(2)
     make = lambda s: " ".join("".join(r.choice(s) for _ in range(5)) for _ in range(60))
-    m = language.fit([make("abcd") for _ in range(40)] + [make("wxyz") for _ in range(40)], ["aa"] * 40 + ["zz"] * 40)
-    assert language.predictions([make("abcd"), make("wxyz"), None, "123 !", ""], m)[0] == ["aa", "zz", "und", "und", "und"]
+    m = language.fit([language.some_segments(make(s)) for s in ["abcd"] * 40 + ["wxyz"] * 40], ["aa"] * 40 + ["zz"] * 40)
+    texts = [make("abcd"), make("wxyz"), None, "123 !", "", "²½ ① Ⅷ", "ª", prose(9)]
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.identified(x, m).collect()}
+    assert [got[k]["_lang"] for k in range(6)] == ["aa", "zz", "und", "und", "und", "und"] and got[6]["_lang"] != "und"
+    for k in (0, 1, 7):  # one text alone, all positions
+        lanes, _ = language.segments([texts[k].encode()])
+        y = language.position_probabilities(language.forward(lanes, m), m)[lanes.T != 256].mean(0)
+        assert got[k]["_score"] == pytest.approx(float(y.max()), abs=1e-5) and got[k]["_lang"] == m["names"][y.argmax()]
     rows = language.digest(docs).collect()
     assert len(rows) == docs.count() and all(0 <= x["score"] <= 1 for x in rows) and language.digest(docs.limit(0)).count() == 0
 
