@@ -1,6 +1,7 @@
 """Registered queries of the engine against DuckDB over the smallest tables."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -14,7 +15,7 @@ SOME = ["f3_split_into_subsets", "f4_snapshot_subsets", "c2_wip3", "c5_n_ongoing
 def plain(v):
     if v is None or v != v:
         return "-"
-    return f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return f"{float(v):.5f}" if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", SOME)
