@@ -10,20 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracework.operators.running import range_of, ranges, running
-from tracework.operators.sweep import steps
+from tracework.operators.sweep import cuts_of, keyed_steps, steps
+from tracework.operators.windows import fill_enable, normalise_events, normalise_times
 
 VIEWS = ("activity", "activity_case", "activity_resource", "activity_case_resource", "resource", "case", "activity_role", "activity_phase")
-#: What a high score of a view points to.
-HINTS = {
-    "activity": "the process as a whole behaves differently",
-    "activity_case": "cases progress or wait differently",
-    "activity_resource": "staffing, calendars or dispatch differ",
-    "activity_case_resource": "work is paired with other resources",
-    "resource": "staff numbers or their allocation differ",
-    "case": "cases arrive or finish at other times",
-    "activity_role": "roles are staffed or assigned differently",
-    "activity_phase": "waiting and processing times differ",
-}
+#: What differs where a part of a view's key does.
+PARTS = {"activity": "what is done", "case": "which cases are active", "resource": "who does it", "role": "which roles do it", "phase": "how long work waits or takes"}
+
+
+def hint(view: Column) -> Column:
+    """What a high score of a view points to, from the parts of its key."""
+    said = F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv])
+    return F.concat(F.lit("the logs differ in "), F.array_join(F.transform(F.split(view, "_"), lambda p: said[p]), " and "))
 
 
 def has_enable(*events: DataFrame) -> bool:
@@ -66,9 +64,9 @@ def intervals(a: DataFrame, b: DataFrame, views: list[str], role_mapping: bool =
     return one(a, 0).unionByName(one(b, 1))
 
 
-def timeline(found: DataFrame) -> DataFrame:
+def timeline(found: DataFrame, cut: list | None = None) -> DataFrame:
     """(view, start, end, duration, distance, total) between change points of each view."""
-    s = steps(found).filter("next_t IS NOT NULL")
+    s = steps(found, cut).filter("next_t IS NOT NULL")
     return s.select("view", F.col("t").alias("start"), F.col("next_t").alias("end"), (F.col("next_t") - F.col("t")).alias("duration"), F.when(F.col("total") > 0, F.col("apart") / F.col("total")).otherwise(0.0).alias("distance"), "total")
 
 
@@ -77,24 +75,22 @@ def scores(line: DataFrame) -> DataFrame:
     return line.groupBy("view").agg(F.coalesce(F.try_divide(F.sum(F.col("distance") * F.col("duration")), F.sum("duration")), F.lit(0.0)).alias("overall_score"))
 
 
-def key_steps(found: DataFrame) -> DataFrame:
+def key_steps(found: DataFrame, cut: list | None = None) -> DataFrame:
     """(view, key, start, end, apart): stretches over which a key's counts differ by a constant amount."""
-    side = [F.when(F.col("side") == k, F.col("d")).otherwise(0) for k in (0, 1)]
-    edges = found.select("view", "key", "side", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("t").alias("at"), F.lit(-1).alias("d")))).alias("e")).select("view", "key", "side", "e.at", "e.d")
-    deltas = edges.groupBy("view", "key", "at").agg((F.sum(side[0]) - F.sum(side[1])).alias("d"))
-    out = running(deltas, ["view", "key"], "at", ["d"])
-    return out.filter("run_d <> 0").select("view", "key", F.col("at").alias("start"), F.col("next_at").alias("end"), F.abs("run_d").alias("apart"))
+    out = keyed_steps(found, cuts_of(found) if cut is None else cut).withColumn("apart", F.abs(F.col("run_da") - F.col("run_db")))
+    return out.filter("apart <> 0").select("view", "key", F.col("at").alias("start"), F.col("next_at").alias("end"), "apart")
 
 
-def contributors(found: DataFrame) -> DataFrame:
-    """(view, key, contribution, share, rank): each key's part of the area under the distance.
+def contributors(found: DataFrame, cut: list | None = None) -> DataFrame:
+    """(view, key, contribution, share): each key's part of the area under the distance.
 
     With F the running integral of 1 / total over a view's timeline, a key that is apart by c on [s, e) contributes
     c (F(e) - F(s)); both ends are points of the timeline, so two equal joins do.
     """
-    s = steps(found).withColumn("w", F.when(F.col("total") > 0, (F.col("next_t") - F.col("t")) / F.col("total")).otherwise(0.0)).select("view", "t", F.coalesce("w", F.lit(0.0)).alias("w"))
-    area = running(s, ["view"], "t", ["w"]).select("view", "t", (F.col("run_w") - F.col("w")).alias("f"))
-    k = key_steps(found)
+    cut = cuts_of(found) if cut is None else cut  # one sweep serves the timeline and the keys
+    s = steps(found, cut).withColumn("w", F.when(F.col("total") > 0, (F.col("next_t") - F.col("t")) / F.col("total")).otherwise(0.0)).select("view", "t", F.coalesce("w", F.lit(0.0)).alias("w"))
+    area = running(s, ["view"], "t", ["w"], cut).select("view", "t", (F.col("run_w") - F.col("w")).alias("f"))
+    k = key_steps(found, cut)
     k = k.join(area.select("view", F.col("t").alias("start"), F.col("f").alias("f0")), ["view", "start"]).join(area.select("view", F.col("t").alias("end"), F.col("f").alias("f1")), ["view", "end"])
     parts = k.groupBy("view", "key").agg(F.sum(F.col("apart") * (F.col("f1") - F.col("f0"))).alias("contribution")).filter("contribution > 0")
     total = parts.groupBy("view").agg(F.sum("contribution").alias("all"))
@@ -126,5 +122,40 @@ def interpretation(score: DataFrame, parts: DataFrame, views: int = 3, keys: int
     best = score.orderBy(F.desc("overall_score"), "view").limit(views).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("overall_score"), "view")))
     text = F.concat(F.array_join("key", " | "), F.lit(" ("), F.format_string("%.4f", "contribution"), F.lit(")"))
     named = ranked(parts, keys).groupBy("view").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))), lambda x: x["text"]), ", ").alias("names"))
-    hints = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])
-    return best.join(named, "view", "left").select("rank", F.concat(F.col("view"), F.format_string(": overall %.4f, ", "overall_score"), F.coalesce(F.element_at(hints, F.col("view")), F.lit("")), F.coalesce(F.concat(F.lit("; mainly "), F.col("names")), F.lit(""))).alias("line"))
+    return best.join(named, "view", "left").select("rank", F.concat(F.col("view"), F.format_string(": overall %.4f, ", "overall_score"), hint(F.col("view")), F.coalesce(F.concat(F.lit("; mainly "), F.col("names")), F.lit(""))).alias("line"))
+
+
+def top_intervals(line: DataFrame, most: int) -> DataFrame:
+    """(view, rank, start, end, distance, contribution): the `most` intervals of a view that add most to its score; ties by start."""
+    w = Window.partitionBy("view").orderBy(F.desc("contribution"), "start")
+    each = line.withColumn("contribution", F.col("distance") * F.col("duration"))
+    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("view", "rank", "start", "end", "distance", "contribution")
+
+
+def top_views(score: DataFrame, most: int) -> DataFrame:
+    """(rank, view, overall_score): a row a view; ties by name."""
+    return score.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("overall_score"), "view"))).filter(F.col("rank") <= most)  # at most eight rows
+
+
+def assess(a: DataFrame, b: DataFrame, roles: DataFrame | None = None, views: list[str] | None = None, bounds: tuple | bool = False, case_mode: str = "interval", top: int = 5) -> dict[str, DataFrame]:
+    """The whole assessment of two logs, from raw rows: invalid ones are counted and left out, missing enable times are filled from the
+    case, times are scaled to the bounds (given, or those of both logs where True) if wanted, and one sweep serves all views.
+
+    meta: (log, valid, invalid); scores: (rank, view, overall_score); timeline; contributors: ranked, all of them; intervals: the `top`
+    contributors of every interval; text: the interpretation.
+    """
+    pair, meta = [], None
+    for name, log in (("a", a), ("b", b)):
+        events, invalid = normalise_events(log, roles=roles)
+        counts = invalid.select(F.lit(name).alias("log"), (F.col("total") - F.col("invalid")).alias("valid"), "invalid")
+        meta = counts if meta is None else meta.unionByName(counts)
+        pair.append(fill_enable(events))
+    if bounds:
+        pair = list(normalise_times(*pair, *(bounds if isinstance(bounds, tuple) else ())))
+    chosen = select_views(views, *pair, roles is not None)
+    found = intervals(*pair, chosen, roles is not None, case_mode)
+    cut = cuts_of(found)
+    line, parts = timeline(found, cut), contributors(found, cut)
+    score = scores(line)
+    place = F.row_number().over(Window.partitionBy("view").orderBy(F.desc("contribution"), "key"))
+    return {"meta": meta, "scores": top_views(score, len(VIEWS)), "timeline": line, "contributors": parts.withColumn("rank", place), "intervals": interval_contributors(found, line, top), "text": interpretation(score, parts)}

@@ -19,6 +19,13 @@ def wip(log: DataFrame, arrivals_only: bool = False) -> DataFrame:
     return (out.filter("arrived > 0") if arrivals_only else out).select("t", F.col("run_d").alias("wip"))
 
 
+def fixed_cut(log: DataFrame, cut: int) -> DataFrame:
+    """(t, wip): a given time as the cut, with the cases that are active there; none if it lies outside the log."""
+    b = case_bounds(log)
+    at = b.agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count_if((F.col("first") <= cut) & (F.col("last") > cut)).alias("wip"))
+    return at.filter((F.col("a") <= cut) & (F.col("b") >= cut)).select(F.lit(cut).alias("t"), "wip")
+
+
 def wip3(log: DataFrame) -> DataFrame:
     """(target, t): arrivals where work in process is 10, 50 and 90 % of its maximum: the first exact match, else the first above, else the first arrival."""
     series = wip(log, arrivals_only=True)

@@ -39,18 +39,16 @@ def bin_of(c: Column, size: int) -> Column:
     return F.floor(c / size)
 
 
-def remaining_time(a: DataFrame, b: DataFrame, reference: int, size: int = HOUR, normalise: bool = False, metric: str = "wasserstein") -> DataFrame:
+def remaining_time(a: DataFrame, b: DataFrame, reference: int, size: int = HOUR, normalise: bool = False) -> DataFrame:
     """(distance): remaining times of cases from a reference point, in bins; the smaller side is filled up with zeros.
 
-    Empty on either side: null, as the panel of metrics has it. metric `emd` is the moves over the number of cases.
+    Empty on either side: null, as the panel of metrics has it. As both sides are equally large, this also is the moves over the cases.
     """
     hist = counts(case_bounds(a).select(bin_of(F.col("last") - reference, size).alias("bin")), 0).unionByName(counts(case_bounds(b).select(bin_of(F.col("last") - reference, size).alias("bin")), 1))
     n = hist.agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).alias(x) for k, x in enumerate("ab")], F.max("bin").alias("most"))
     fill = n.select(F.lit(0).cast("long").alias("bin"), F.abs(F.col("a") - F.col("b")).alias("n"), F.when(F.col("a") < F.col("b"), 0).otherwise(1).alias("side")).filter("n > 0")
     found = wasserstein(hist.unionByName(fill)).crossJoin(F.broadcast(n))
     value = F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("distance"))
-    if metric == "emd":
-        value = value * F.greatest("a", "b") / F.greatest("a", "b")
     return found.select((F.when(F.col("most") > 0, value / F.greatest("most", F.lit(0))).otherwise(value) if normalise else value).alias("distance"))
 
 

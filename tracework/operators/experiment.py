@@ -12,9 +12,9 @@ from tracework.operators.sweep import state_distances
 def metric_rows(base: DataFrame, sim: DataFrame, level: int, k_baseline: int, k_sim: int, scope: str, window: tuple[int, int], roles: DataFrame | None = None) -> DataFrame:
     """(level, k_baseline, k_sim, scope, family, metric, value): cardinality once, each view's Jaccard distance, and the baselines.
 
-    A baseline that cannot be computed, as one side is empty, is null.
+    A baseline that cannot be computed, as one side is empty, is null; resources without a role have the role `unknown`.
     """
-    state = state_distances(base, sim, roles=roles, window=window)
+    state = state_distances(base, sim, roles=roles, window=window, missing_role="unknown")
     jaccard = state.filter("distance = 'jaccard'").select(F.lit("state").alias("family"), F.concat("view", F.lit(".jaccard")).alias("metric"), F.col("summary_distance").alias("value"))
     cardinality = state.filter("distance = 'cardinality' AND view = 'activity'").select(F.lit("state").alias("family"), F.lit("cardinality").alias("metric"), F.col("summary_distance").alias("value"))
     out = jaccard.unionByName(cardinality)

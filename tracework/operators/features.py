@@ -75,11 +75,15 @@ def by_activity(log: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.select("t", "activity", F.coalesce("wip_enabled", F.lit(0)).alias("wip_enabled"), F.coalesce("wip_ongoing", F.lit(0)).alias("wip_ongoing"), F.greatest(part("e", 0.0), part("o", 0.5)).alias("state"))
 
 
-def samples(log: DataFrame, cuts: DataFrame, horizon: int) -> DataFrame:
-    """One row per cut with all features as columns: wip, rates, and wip_enabled_*, wip_ongoing_*, statevec_* by activity."""
+def samples(log: DataFrame, cuts: DataFrame, horizon: int, targets: DataFrame | None = None) -> DataFrame:
+    """One row per cut with all features as columns: wip, rates, and wip_enabled_*, wip_ongoing_*, statevec_* by activity.
+
+    targets: (t, …) errors at the cuts, as aggregates.error_targets() makes them; joined beside the features, null where missing.
+    """
     acts = by_activity(log, cuts).withColumn("activity", safe_name(F.col("activity")))
     names = sorted(r["activity"] for r in acts.select("activity").distinct().collect())  # the columns to be: one name an activity
     wide = acts.groupBy("t").pivot("activity", names).agg(F.first("wip_enabled").alias("wip_enabled"), F.first("wip_ongoing").alias("wip_ongoing"), F.first("state").alias("statevec"))
     wide = wide.select("t", *[F.col(f"{n}_{k}").cast("double").alias(f"{k}_{n}") for k in ("wip_enabled", "wip_ongoing", "statevec") for n in names])
-    return wip(log, cuts).join(arrival_rate(log, cuts, horizon), "t").join(availability(log, cuts), "t").join(wide, "t")
+    out = wip(log, cuts).join(arrival_rate(log, cuts, horizon), "t").join(availability(log, cuts), "t").join(wide, "t")
+    return out if targets is None else out.join(targets, "t", "left")
 

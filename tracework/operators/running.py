@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most ranges of the axis; each bound is one number on the driver.
-MOST_RANGES = 4096
+#: Most ranges of the axis; each bound is one number on the driver. A task sorts about ROWS_A_RANGE rows.
+MOST_RANGES, ROWS_A_RANGE = 4096, 500_000
 
 
-def ranges(df: DataFrame, order: str, rows_a_range: int = 50_000) -> list:
-    """Bounds that cut the axis into ranges of about equally many rows."""
+def ranges(df: DataFrame, order: str, rows_a_range: int = ROWS_A_RANGE) -> list:
+    """Bounds that cut the axis into ranges of about equally many rows; one pass, and for a large axis a second one."""
     n = df.count()
     k = max(1, min(MOST_RANGES, n // rows_a_range))
     if k == 1:
@@ -35,6 +35,9 @@ def running(df: DataFrame, keys: list[str], order: str, sums: list[str], found:
     key and range, summed by a second, small window.
     """
     found = ranges(df, order) if found is None else found
+    if not found:  # few rows: one range holds all
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumns({f"run_{c}": F.sum(c).over(w) for c in sums} | {f"next_{order}": F.lead(order).over(w)})
     df = df.withColumn("_range", range_of(F.col(order), found))
     total = df.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums], F.min(order).alias("_first"))
     w = Window.partitionBy(*keys).orderBy("_range")

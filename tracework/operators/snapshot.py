@@ -131,13 +131,13 @@ def enabled_events(log: DataFrame, state: DataFrame, nodes: DataFrame, flows: Da
     return at.join(enabled_since(log, at.select("case_id", "name").distinct(), pairs), ["case_id", "name"]).select("case_id", "node_id", "enabled")
 
 
-def upstream_tasks(nodes: DataFrame, flows: DataFrame, kind: str = GATEWAY, deepest: int = 100) -> DataFrame:
+def upstream_tasks(nodes: DataFrame, flows: DataFrame, kind: str = GATEWAY) -> DataFrame:
     """(node_id, task): tasks from which a node is reached through gateways and events alone. Cycles end as nodes are visited once."""
     kinds = nodes.select(F.col("node_id").alias("at"), F.col("kind").alias("at_kind"))
     back = flows.select(F.col("target").alias("at"), F.col("source").alias("to"))
     seen = nodes.filter(F.col("kind") == kind).select("node_id", F.col("node_id").alias("at"))
     front = seen
-    for _ in range(deepest):
+    while True:  # each round finds new pairs of the model's graph, which is finite
         step = front.join(kinds, "at").filter(F.col("at_kind") != TASK).join(back, "at").select("node_id", F.col("to").alias("at")).distinct()
         rows = [(r["node_id"], r["at"]) for r in step.join(seen, ["node_id", "at"], "left_anti").collect()]  # the model's graph, not the log
         if not rows:

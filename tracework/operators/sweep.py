@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracework.functions.scalar import SECOND, micros
-from tracework.operators.running import ranges, running
+from tracework.operators.running import ROWS_A_RANGE, ranges, running
 
 #: View name to the key of an instance.
 VIEWS = {
@@ -26,7 +26,7 @@ DISTANCES = ("jaccard", "cardinality")
 
 
 def _key(*columns: str) -> Column:
-    return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    return F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
 def views_for(*logs: DataFrame, roles: DataFrame | None = None) -> list[str]:
@@ -43,8 +43,8 @@ def with_role(log: DataFrame, roles: DataFrame, missing: str = "error") -> DataF
     return out.withColumn("role", F.coalesce("role", F.lit("unknown"))) if missing == "unknown" else out
 
 
-def instances(a: DataFrame, b: DataFrame, views: list[str], roles: DataFrame | None = None) -> DataFrame:
-    """(view, key, s, t, side): every instance of positive length under every view, one scan a log."""
+def instances(a: DataFrame, b: DataFrame, views: list[str], roles: DataFrame | None = None, missing_role: str = "error") -> DataFrame:
+    """(view, key, s, t, side): every instance of positive length under every view, one scan a log; missing_role as with_role() takes it."""
 
     def one(log: DataFrame, side: int) -> DataFrame:
         log = log.filter("end_time > start_time")
@@ -52,20 +52,30 @@ def instances(a: DataFrame, b: DataFrame, views: list[str], roles: DataFrame | N
             if c not in log.columns:
                 log = log.withColumn(c, F.lit(None).cast("string"))
         if "activity_role" in views:
-            log = with_role(log, roles)
+            log = with_role(log, roles, missing_role)
         keys = F.array(*[F.struct(F.lit(v).alias("view"), VIEWS[v]().alias("key")) for v in views])
         return log.select(F.explode(keys).alias("v"), micros("start_time").alias("s"), micros("end_time").alias("t"), F.lit(side).alias("side")).select("v.view", "v.key", "s", "t", "side")
 
     return one(a, 0).unionByName(one(b, 1))
 
 
-def steps(found: DataFrame) -> DataFrame:
-    """(view, t, next_t, low, high, apart, total) at every boundary: sums over keys of min, max, |a - b| and a + b."""
+def keyed_steps(found: DataFrame, cut: list) -> DataFrame:
+    """(view, key, at, da, db, run_da, run_db, next_at): how many instances of a key each log has from a boundary of the key on."""
     sides = [F.when(F.col("side") == k, F.col("d")).otherwise(0) for k in (0, 1)]
     edges = found.select("view", "key", "side", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("t").alias("at"), F.lit(-1).alias("d")))).alias("e")).select("view", "key", "side", F.col("e.at").alias("at"), F.col("e.d").alias("d"))
     deltas = edges.groupBy("view", "key", "at").agg(F.sum(sides[0]).alias("da"), F.sum(sides[1]).alias("db"))
-    cut = ranges(deltas, "at")
-    keyed = running(deltas, ["view", "key"], "at", ["da", "db"], cut)
+    return running(deltas, ["view", "key"], "at", ["da", "db"], cut)
+
+
+def cuts_of(found: DataFrame) -> list:
+    """Ranges of the time axis by the instances' starts, before anything is summed; each instance has two boundaries."""
+    return ranges(found, "s", ROWS_A_RANGE // 2)
+
+
+def steps(found: DataFrame, cut: list | None = None) -> DataFrame:
+    """(view, t, next_t, low, high, apart, total) at every boundary: sums over keys of min, max, |a - b| and a + b."""
+    cut = cuts_of(found) if cut is None else cut
+    keyed = keyed_steps(found, cut)
     a, b, pa, pb = F.col("run_da"), F.col("run_db"), F.col("run_da") - F.col("da"), F.col("run_db") - F.col("db")
     change = keyed.groupBy("view", "at").agg(
         F.sum(F.least(a, b) - F.least(pa, pb)).alias("low"), F.sum(F.greatest(a, b) - F.greatest(pa, pb)).alias("high"), F.sum(F.abs(a - b) - F.abs(pa - pb)).alias("apart"), F.sum(a + b - pa - pb).alias("total"), F.sum("da").alias("a"), F.sum("db").alias("b")
@@ -94,7 +104,7 @@ def summary(line: DataFrame, window: tuple[int, int] | None = None) -> DataFrame
     return out.select("view", "distance", F.when(length > 0, F.col("area") / length).otherwise(0.0).alias("summary_distance"), (length / SECOND).alias("total_duration_seconds"))
 
 
-def state_distances(a: DataFrame, b: DataFrame, views: list[str] | None = None, roles: DataFrame | None = None, window: tuple[int, int] | None = None) -> DataFrame:
+def state_distances(a: DataFrame, b: DataFrame, views: list[str] | None = None, roles: DataFrame | None = None, window: tuple[int, int] | None = None, missing_role: str = "error") -> DataFrame:
     """All views and distances of two logs in one pass."""
     views = views or views_for(a, b, roles=roles)
-    return summary(timeline(instances(a, b, views, roles)), window)
+    return summary(timeline(instances(a, b, views, roles, missing_role)), window)

@@ -14,8 +14,8 @@ from tracework.operators import ranking as R
 from tracework.operators import sweep as M
 from tracework.operators import transforms as T
 from tracework.operators import windows as W
-from tracework.operators.aggregates import target_activity, utilisation
-from tracework.plans.base import BASE, DAY, HORIZON, Logs, micros_out, rounded
+from tracework.operators.aggregates import aggregate_runs, error_targets, target_activity, utilisation
+from tracework.plans.base import BASE, DAY, HORIZON, Logs, micros_out, rounded, stored
 
 Q: dict = {}
 SQL: dict = {}
@@ -39,7 +39,7 @@ def _events(x, roles=True):
     for log in (x.e, x.g):
         # Enabled half an hour before the start for some rows.
         log = log.withColumn("enable_time", F.when(F.col("id") % 4 == 0, moment(micros("start_time") - HOUR // 2)))
-        out.append(W.normalise_events(log, roles=x.roles if roles else None)[0])
+        out.append(W.fill_enable(W.normalise_events(log, roles=x.roles if roles else None)[0]))
     return out
 
 
@@ -56,8 +56,8 @@ def _assessed(views) -> str:
     if "case" in views:
         extra += " UNION ALL SELECT side, min(s), max(t), 'case', [case_id] FROM o GROUP BY side, case_id"
     if "activity_phase" in views:
-        extra += " UNION ALL SELECT side, s - 1800000000, s, 'activity_phase', [activity, 'waiting'] FROM o WHERE id % 4 = 0"
-    return f""", o AS ({rows}), i AS (SELECT side, s, t, x.v AS view, x.k AS key FROM (SELECT side, s, t, unnest([{items}]) AS x FROM o) WHERE x.v <> ''{extra}),
+        extra += " UNION ALL SELECT side, en, s, 'activity_phase', [activity, 'waiting'] FROM oe WHERE en < s"
+    return f""", o AS ({rows}), oe AS (SELECT *, CASE WHEN id % 4 = 0 THEN s - 1800000000 ELSE lag(t) OVER (PARTITION BY side, case_id ORDER BY s, t, id) END AS en FROM o), i AS (SELECT side, s, t, x.v AS view, x.k AS key FROM (SELECT side, s, t, unnest([{items}]) AS x FROM o) WHERE x.v <> ''{extra}),
 d AS (SELECT view, key, tp, sum(CASE WHEN side = 0 THEN d ELSE 0 END) AS da, sum(CASE WHEN side = 1 THEN d ELSE 0 END) AS db FROM (SELECT view, key, side, s AS tp, 1 AS d FROM i UNION ALL SELECT view, key, side, t, -1 FROM i) GROUP BY ALL),
 c AS MATERIALIZED (SELECT *, sum(da) OVER w AS a, sum(db) OVER w AS b, lead(tp) OVER w AS nx FROM d WINDOW w AS (PARTITION BY view, key ORDER BY tp)),
 k AS (SELECT view, tp, sum(abs(a - b) - abs(a - da - b + db)) AS ap, sum(da + db) AS tot FROM c GROUP BY ALL),
@@ -73,9 +73,17 @@ query("b2_case_running", _assessed(["activity_case"]).replace("'activity_case'",
 query("b3_phase_intervals", _assessed(["activity_phase"]) + " SELECT key[1] AS activity, key[2] AS phase, side, count(*) AS n, round(sum((t - s) / 1e6), 3) AS seconds FROM i GROUP BY ALL")(
     lambda x: B.intervals(*_events(x), ["activity_phase"]).groupBy(F.col("key")[0].alias("activity"), F.col("key")[1].alias("phase"), "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") - F.col("s")), 3).alias("seconds"))
 )
-query("b4_default_views", " SELECT unnest(['activity', 'activity_case', 'activity_resource', 'activity_case_resource', 'resource', 'case', 'activity_role', 'activity_phase']) AS view, (SELECT count(*) > 0 FROM e) AS has_rows")(
-    lambda x: (lambda ev: x.spark.createDataFrame([(v,) for v in B.select_views(None, *ev, True)], "view string").crossJoin(ev[0].agg((F.count(F.lit(1)) > 0).alias("has_rows"))))(_events(x))
+@query(
+    "b4_default_views",
+    _assessed(["activity"]) + ", f0 AS (SELECT bool_or(en < s) AS has FROM oe), v AS (SELECT unnest(['activity', 'activity_case', 'activity_resource', 'activity_case_resource', 'resource', 'case', 'activity_role', 'activity_phase']) AS view) SELECT 'all' AS wanted, view FROM v, f0 WHERE view <> 'activity_phase' OR has UNION ALL SELECT 'no roles', view FROM v, f0 WHERE view <> 'activity_role' AND (view <> 'activity_phase' OR has) UNION ALL SELECT 'no enable times', view FROM v WHERE view <> 'activity_phase' UNION ALL SELECT 'named', view FROM v WHERE view IN ('activity_role', 'case')",
 )
+def _(x):
+    a, b = _events(x)
+    bare = [y.withColumn("enable", F.lit(None).cast("double")) for y in (a, b)]
+    wanted = {"all": B.select_views(None, a, b, True), "no roles": B.select_views(None, a, b, False), "no enable times": B.select_views(None, *bare, True), "named": B.select_views([" Activity-Role ", "CASE", "nonsense"], a, b, True)}
+    return x.spark.createDataFrame([(k, v) for k, vs in wanted.items() for v in vs], "wanted string, view string")
+
+
 query("b5_change_points", _assessed(["activity", "case"]) + " SELECT view, count(*) AS n FROM (SELECT DISTINCT view, tp FROM d) GROUP BY 1")(
     lambda x: M.steps(B.intervals(*_events(x), ["activity", "case"])).groupBy("view").agg(F.count(F.lit(1)).alias("n"))
 )
@@ -93,6 +101,33 @@ def _(x):
     return B.interval_contributors(found, B.timeline(found), 2).select(F.round(F.col("start") * 1e6).cast("long").alias("s"), "rank", F.col("key")[0].alias("key"), "share")
 
 
+_RANKED = ", sc AS (SELECT view, sum(dist * dur) / sum(dur) AS score FROM l GROUP BY view), rq AS (SELECT q.*, row_number() OVER (PARTITION BY view ORDER BY round(contribution, 4) DESC, key) AS rank, contribution / sum(contribution) OVER (PARTITION BY view) AS share FROM q)"
+
+
+def _assess(x):
+    logs = [y.withColumn("enable_time", F.when(F.col("id") % 4 == 0, moment(micros("start_time") - HOUR // 2))) for y in (x.e, x.g)]
+    return B.assess(*logs, roles=x.roles)
+
+
+@query("b_assessment", _assessed(B.VIEWS) + _RANKED + " SELECT view, round(score, 6) AS overall_score, row_number() OVER (ORDER BY score DESC, view) AS rank, n AS contributors, round(c, 2) AS contribution FROM sc JOIN (SELECT view, count(*) AS n, sum(contribution) AS c FROM q GROUP BY 1) USING (view)")
+def _(x):
+    """The assessment in one call, all default views: each view's score, rank and contributors."""
+    found = _assess(x)
+    parts = found["contributors"].groupBy("view").agg(F.count(F.lit(1)).alias("contributors"), F.round(F.sum("contribution"), 2).alias("contribution"))
+    return found["scores"].join(parts, "view").select("view", "overall_score", "rank", "contributors", "contribution")
+
+
+query("o3_top_views", _assessed(["activity", "case", "resource"]) + _RANKED + " SELECT view, rank FROM (SELECT view, row_number() OVER (ORDER BY score DESC, view) AS rank FROM sc) WHERE rank <= 2")(
+    lambda x: B.top_views(B.scores(B.timeline(B.intervals(*_events(x), ["activity", "case", "resource"], True))), 2).select("view", "rank")
+)
+query("o3_top_intervals", _assessed(["activity", "resource"]) + " SELECT view, s, round(c, 2) AS contribution FROM (SELECT view, s, dist * dur AS c, row_number() OVER (PARTITION BY view ORDER BY dist * dur DESC, s) AS rank FROM l) WHERE rank <= 20")(
+    lambda x: B.top_intervals(B.timeline(B.intervals(*_events(x), ["activity", "resource"], True)), 20).select("view", F.round(F.col("start") * 1e6).cast("long").alias("s"), F.round("contribution", 2).alias("contribution"))
+)
+query("o4_ranked_contributors", _assessed(["activity", "activity_resource"]) + _RANKED + " SELECT view, rank, array_to_string(key, '|') AS key FROM rq WHERE rank <= 5")(
+    lambda x: B.ranked(B.contributors(B.intervals(*_events(x), ["activity", "activity_resource"], True)), 5).select("view", "rank", F.array_join("key", "|").alias("key"))
+)
+
+
 @query("b9_interpretation")
 def _(x):
     found = B.intervals(*_events(x), ["activity", "activity_resource", "case", "resource"], True)
@@ -143,13 +178,13 @@ query("t7_scale_durations", " SELECT " + _cols(t="s + CAST(floor((t - s) * 1.5)
 
 
 def _specialised(x):
-    """Rows of two activities only, each of which one role does alone."""
-    keep = ((F.col("activity") == "view") & (F.col("resource") == "R0")) | ((F.col("activity") == "click") & (F.col("resource") == "R3")) | F.col("activity").isin("error", "signup")
-    return x.e.filter(keep)
+    """(log, roles): the whole log with a team of three for each activity; the teams of click and view are one role."""
+    log = x.e.withColumn("resource", F.concat("activity", F.lit("-"), (F.col("id") % 3).cast("string")))
+    return log, log.select("resource", F.when(F.col("activity").isin("click", "view"), "desk").otherwise("field").alias("role")).distinct()
 
 
-query("t8_swap_roles", " SELECT " + _cols(resource="CASE WHEN activity IN ('click', 'view') THEN (SELECT list(resource ORDER BY resource) FROM r WHERE role = 'role1')[id % 3 + 1] ELSE resource END") + " FROM e WHERE (activity = 'view' AND resource = 'R0') OR (activity = 'click' AND resource = 'R3') OR activity IN ('error', 'signup')")(
-    lambda x: out(T.swap_roles(_specialised(x), x.roles, "role0", "role1", 2))
+query("t8_swap_roles", ", w AS (SELECT list(DISTINCT activity || '-' || id % 3 ORDER BY activity || '-' || id % 3) AS l FROM e WHERE activity NOT IN ('click', 'view')) SELECT " + _cols(resource="CASE WHEN activity IN ('click', 'view') THEN l[id % len(l) + 1] ELSE activity || '-' || id % 3 END") + " FROM e, w")(
+    lambda x: (lambda log, roles: out(T.swap_roles(log, roles, "desk", "field", 2)))(*_specialised(x))
 )
 query("t9_shift_clock", ", k AS (SELECT resource FROM r WHERE role = 'role1') SELECT " + _cols(s="s + CASE WHEN resource IN (SELECT resource FROM k) THEN 10800000000 ELSE 0 END", t="t + CASE WHEN resource IN (SELECT resource FROM k) THEN 10800000000 ELSE 0 END") + " FROM e")(lambda x: out(T.shift_clock(x.e, 3, x.roles, "role1")))
 query("t9_shift_all_clocks", " SELECT " + _cols(s="s - 5400000000", t="t - 5400000000") + " FROM e")(lambda x: out(T.shift_clock(x.e, -1.5)))
@@ -212,9 +247,23 @@ query("l3_arrival_rate", _CUTS + ", b AS (SELECT min(s) AS f FROM e GROUP BY cas
 query("l4_availability", _CUTS + " SELECT q.t, round((10 - count(DISTINCT resource)) / 10, 6) AS resource_availability FROM q LEFT JOIN e ON e.s <= q.t AND e.t > q.t GROUP BY 1")(lambda x: L.availability(x.e, _cuts(x)))
 _ACTS = ", v AS (SELECT q.t, activity, count(DISTINCT case_id) FILTER (k = 'o') AS wip_ongoing, count(DISTINCT case_id) FILTER (k = 'e') AS wip_enabled, max(q.t - f) FILTER (k = 'o') AS o, max(q.t - f) FILTER (k = 'e') AS n FROM q JOIN (SELECT activity, case_id, s AS f, t AS u, 'o' AS k FROM en UNION ALL SELECT activity, case_id, n, s, 'e' FROM en) y ON y.f <= q.t AND y.u > q.t GROUP BY 1, 2), w AS (SELECT t, max(greatest(o, n)) AS m FROM v GROUP BY 1), d AS (SELECT DISTINCT activity FROM e), fin2 AS (SELECT q.t, d.activity, coalesce(wip_enabled, 0) AS wip_enabled, coalesce(wip_ongoing, 0) AS wip_ongoing, greatest(coalesce(0.5 * n / nullif(m, 0), 0), coalesce(0.5 + 0.5 * o / nullif(m, 0), 0)) AS state FROM q CROSS JOIN d LEFT JOIN v ON v.t = q.t AND v.activity = d.activity LEFT JOIN w ON w.t = q.t)"
 query("l5_l6_by_activity", _CUTS + _ACTS + " SELECT t, activity, wip_enabled, wip_ongoing, round(state, 6) AS state FROM fin2")(lambda x: L.by_activity(_enabled(x), _cuts(x)))
-query("l7_samples", _CUTS + _ACTS + ", c AS (" + _WIPQ + ") SELECT t, wip, round(max(state) FILTER (activity = 'view'), 6) AS statevec_view, (max(wip_ongoing) FILTER (activity = 'click'))::DOUBLE AS wip_ongoing_click FROM fin2 JOIN c USING (t) GROUP BY 1, 2")(
-    lambda x: L.samples(_enabled(x), _cuts(x), DAY).select("t", "wip", "statevec_view", "wip_ongoing_click")
-)
+def _targets(x):
+    """Errors at the cuts: remaining and elapsed hours of the cases that are active there, mean and interval over the cases."""
+    spans = case_bounds(x.e).select(F.col("first").alias("a"), F.col("last").alias("b"), "case_id")
+    at = L.stabbed(spans, _cuts(x))
+    each = at.select("t", F.lit("RTD").alias("metric"), ((F.col("b") - F.col("t")) / HOUR).alias("value")).unionByName(at.select("t", F.lit("cycle_time").alias("metric"), ((F.col("b") - F.col("a")) / HOUR).alias("value")))
+    return error_targets(aggregate_runs(each, "t", "metric"), "t")
+
+
+_NAMES = ("click", "error", "purchase", "signup", "view")
+query(
+    "l7_samples",
+    _CUTS + _ACTS + ", c AS (" + _WIPQ + "), ar AS (SELECT q.t, count(f) / 24 AS rate FROM q LEFT JOIN (SELECT min(s) AS f FROM e GROUP BY case_id) b ON f > q.t - 86400000000 AND f <= q.t GROUP BY 1), av AS (SELECT q.t, (10 - count(DISTINCT resource)) / 10 AS free FROM q LEFT JOIN e ON e.s <= q.t AND e.t > q.t GROUP BY 1), sp AS (SELECT min(s) AS f, max(t) AS l FROM e GROUP BY case_id), tr AS (SELECT q.t, (l - q.t) / 3600000000 AS r, (l - f) / 3600000000 AS c FROM q JOIN sp ON f <= q.t AND l > q.t), tm AS (SELECT t, avg(r) AS rm, 1.96 * stddev_samp(r) / sqrt(count(r)) AS rc, avg(c) AS cm, 1.96 * stddev_samp(c) / sqrt(count(c)) AS cc FROM tr GROUP BY 1) SELECT c.t, wip, round(rate, 6) AS arrival_rate_per_hour, round(free, 6) AS resource_availability, "
+    + ", ".join(f"x.wip_enabled_{n}, x.wip_ongoing_{n}, x.statevec_{n}" for n in _NAMES)
+    + ", round(rm, 6) AS err_RTD_mean, round(rc, 6) AS err_RTD_ci, round(cm, 6) AS err_cycle_mean, round(cc, 6) AS err_cycle_ci FROM c JOIN ar USING (t) JOIN av USING (t) JOIN (SELECT t, "
+    + ", ".join(f"max(wip_enabled) FILTER (activity = '{n}')::DOUBLE AS wip_enabled_{n}, max(wip_ongoing) FILTER (activity = '{n}')::DOUBLE AS wip_ongoing_{n}, round(max(state) FILTER (activity = '{n}'), 6) AS statevec_{n}" for n in _NAMES)
+    + " FROM fin2 GROUP BY 1) x USING (t) LEFT JOIN tm USING (t)",
+)(lambda x: L.samples(_enabled(x), _cuts(x), DAY, _targets(x)))
 
 # Models: the target is the mean remaining time of active cases at the cut, in hours; even positions train.
 
@@ -225,7 +274,7 @@ def _sampled(x):
     err = L.stabbed(spans, _cuts(x)).groupBy("t").agg(F.avg((F.col("b") - F.col("t")) / HOUR).alias("err"))
     rows = rows.join(err, "t", "left")
     placed = W.numbered(rows.select("t"), "t")
-    rows = rows.join(placed, "t").persist()  # a row a cut
+    rows = stored(rows.join(placed, "t"))  # a row a cut
     return rows.filter("n % 2 = 0").drop("n"), rows.filter("n % 2 = 1").drop("n")
 
 
@@ -261,7 +310,7 @@ query("r1_concordance", _RES + " SELECT a.scope, a.family, a.metric, round(avg(C
 query("r2_spearman", _RES + " SELECT scope, family, metric, round(corr(x, y), 6) AS spearman FROM rk GROUP BY ALL")(lambda x: R.spearman(R.level_means(_results(x), R.GROUP), R.GROUP))
 _TAU = "SELECT a.scope, a.family, a.metric, round(sum(sign(b.m - a.m)) / sqrt(count(*) * count(*) FILTER (b.m <> a.m)), 6) AS kendall FROM lm a JOIN lm b ON a.scope = b.scope AND a.family = b.family AND a.metric = b.metric AND a.level < b.level GROUP BY ALL"
 query("r3_kendall", _RES + " " + _TAU)(lambda x: R.kendall(R.level_means(_results(x), R.GROUP), R.GROUP))
-query("r4_bootstrap")(lambda x: R.bootstrap(_results(x), R.GROUP, 100))
+query("r4_bootstrap")(lambda x: R.bootstrap(_results(x), R.GROUP))
 query("r5_rankings", _RES + ", c AS (SELECT a.family, a.metric, avg(CASE WHEN b.value > a.value THEN 1 WHEN b.value = a.value THEN 0.5 ELSE 0 END) AS c FROM rs a JOIN rs b ON a.family = b.family AND a.metric = b.metric AND a.level < b.level GROUP BY ALL), k AS (" + _TAU + "), n AS (SELECT family, metric, count(*) AS n_levels, min(n) AS mn FROM (SELECT family, metric, level, count(*) AS n FROM rs GROUP BY ALL) GROUP BY ALL) SELECT 'A' AS scope, family, metric, n_levels, mn AS min_replicates_per_level, round(c, 6) AS c_index, (SELECT round(corr(x, y), 6) FROM rk WHERE rk.family = n.family AND rk.metric = n.metric) AS spearman, kendall FROM n JOIN c USING (family, metric) JOIN k USING (family, metric)")(lambda x: R.rankings(_results(x), 0))
 query("j8_replicate_pairs", _RES + " SELECT family, metric, a.level AS low, b.level AS high, count(*) AS pairs FROM rs a JOIN rs b USING (family, metric) WHERE a.level < b.level GROUP BY ALL")(
     lambda x: (lambda n: n.join(n.select("family", "metric", F.col("level").alias("low"), F.col("n").alias("m")), ["family", "metric"]).filter("low < level").select("family", "metric", "low", F.col("level").alias("high"), (F.col("n") * F.col("m")).alias("pairs")))(_results(x).groupBy("family", "metric", "level").agg(F.count(F.lit(1)).alias("n")))

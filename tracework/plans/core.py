@@ -154,7 +154,7 @@ _WIP = """, b AS (SELECT case_id, min(s) AS f, max(t) AS l FROM {log} GROUP BY 1
 w AS (SELECT t, sum(sum(d)) OVER (ORDER BY t) AS wip, sum(a) AS a FROM d GROUP BY t)"""
 _W = _WIP.format(log="e")
 query("c0_wip", _W + " SELECT t, CAST(wip AS BIGINT) AS wip FROM w")(lambda x: C.wip(x.e))
-query("c1_fixed_cut", "SELECT count(*) AS n FROM e WHERE s <= 1705320000000000 AND t > 1705320000000000")(lambda x: x.e.filter((F.col("start_time") <= moment(1705320000000000)) & (F.col("end_time") > moment(1705320000000000))).agg(F.count(F.lit(1)).alias("n")))
+query("c1_fixed_cut", ", b AS (SELECT case_id, min(s) AS f, max(t) AS l FROM e GROUP BY 1) SELECT 1705320000000000 AS t, count(*) FILTER (f <= 1705320000000000 AND l > 1705320000000000) AS wip FROM b HAVING min(f) <= 1705320000000000 AND max(l) >= 1705320000000000")(lambda x: C.fixed_cut(x.e, 1705320000000000))
 query(
     "c2_wip3",
     _W + ", v AS (SELECT * FROM w WHERE a > 0), k AS (SELECT DISTINCT CAST(round_even((SELECT max(wip) FROM v) * q, 0) AS BIGINT) AS target FROM (SELECT unnest([0.1, 0.5, 0.9]) AS q)) SELECT target, coalesce(min(t) FILTER (wip = target), min(t) FILTER (wip > target), min(t)) AS t FROM v, k GROUP BY target",

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracework.functions import scalar as X
 from tracework.functions.scalar import micros, moment
 from tracework.operators import snapshot as P
 from tracework.operators import sweep as M
 from tracework.operators import windows as W
-from tracework.plans.base import BASE, Logs, micros_out, rounded
+from tracework.plans.base import BASE, Logs, folder, micros_out, rounded
 from tracework.sources import files as S
 
 Q: dict = {}
@@ -29,9 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _folder(x, name: str) -> str:
-    """A fresh folder beneath the shared one."""
-    base = x.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tracework-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder(x.spark, name)
 
 
 # A process model whose tasks are the log's activities: view, then a gateway to click or error, then purchase, then the end.
@@ -91,14 +88,25 @@ _EN = " SELECT tg.case_id, node_id, coalesce((SELECT max(dn.t) FROM dn WHERE dn.
 query("p9_enabled_activities", _FULL + _CONC.format(log="sn", th=0.5) + _SINCE + _TG.format(kinds="'task'") + _EN)(lambda x: (lambda s: P.enabled_activities(s[0], s[3], s[1], s[2], P.concurrent_pairs(P.filled_ends(s[0]))))(_state(x)))
 query("p13_enabled_events", _FULL + _CONC.format(log="sn", th=0.5) + _SINCE + _TG.format(kinds="'startEvent', 'endEvent'") + _EN)(lambda x: (lambda s: P.enabled_events(s[0], s[3], s[1], s[2], P.concurrent_pairs(P.filled_ends(s[0]))))(_state(x)))
 _UP = ", up AS (SELECT * FROM (VALUES ('g1', 't1'), ('g2', 't2'), ('g2', 't3')) AS v(node_id, task))"
-query("p10_upstream_tasks", _UP + " SELECT node_id, task, (SELECT count(*) FROM e WHERE activity = CASE task WHEN 't1' THEN 'view' WHEN 't2' THEN 'click' ELSE 'error' END) AS n FROM up")(
-    lambda x: (lambda m: P.upstream_tasks(m[0], m[1]).join(m[0].select(F.col("node_id").alias("task"), F.col("name").alias("activity")), "task").join(x.e.groupBy("activity").agg(F.count(F.lit(1)).alias("n")), "activity").select("node_id", "task", "n"))(_model(x))
-)
+
+
+@query("p10_upstream_tasks", ", a AS (SELECT DISTINCT activity FROM e) SELECT 'g_' || b.activity AS node_id, 't_' || a.activity AS task FROM a, a AS b WHERE a.activity <= b.activity")
+def _(x):
+    """A model made from the log: each activity's task feeds its gateway, and each gateway the next one by name, the last the first task."""
+    acts = x.e.select("activity").distinct().withColumn("next", F.lead("activity").over(Window.orderBy("activity")))  # a row an activity
+    name = lambda p, c: F.concat(F.lit(p), F.col(c))
+    nodes = acts.select(name("t_", "activity").alias("node_id"), F.lit("task").alias("kind")).unionByName(acts.select(name("g_", "activity").alias("node_id"), F.lit("exclusiveGateway").alias("kind")))
+    flows = acts.select(name("t_", "activity").alias("source"), name("g_", "activity").alias("target")).unionByName(acts.filter("next IS NOT NULL").select(name("g_", "activity").alias("source"), name("g_", "next").alias("target")))
+    return P.upstream_tasks(nodes, flows)
+
+
 query(
     "p11_enabled_gateways",
     _FULL + _SINCE + _UP + _TG.format(kinds="'exclusiveGateway'") + " SELECT case_id, node_id, coalesce((SELECT max(dn.t) FROM dn JOIN nd ON nd.name = dn.activity JOIN up ON up.task = nd.node_id WHERE dn.case_id = tg.case_id AND up.node_id = tg.node_id), l, f) AS enabled FROM tg JOIN fi USING (case_id) WHERE NOT EXISTS (SELECT 1 FROM st JOIN up ON up.task = st.element WHERE st.kind = 'activity' AND st.case_id = tg.case_id AND up.node_id = tg.node_id)",
 )(lambda x: (lambda s: P.enabled_gateways(s[0], s[3], s[1], s[2], P.upstream_tasks(s[1], s[2])))(_state(x)))
-query("p12_unfinished_cases", _SNAP + " SELECT DISTINCT case_id FROM sn")(lambda x: (lambda s: P.without_finished(s[0].select("case_id").distinct(), P.enabled_gateways(s[0], s[3], s[1], s[2], P.upstream_tasks(s[1], s[2])), s[1]))(_state(x)))
+query("p12_unfinished_cases", _FULL + " SELECT DISTINCT case_id FROM sn WHERE case_id NOT IN (SELECT case_id FROM st JOIN fw ON flow_id = element JOIN nd ON node_id = target WHERE st.kind = 'flow' AND nd.kind = 'endEvent')")(
+    lambda x: (lambda s: P.without_finished(s[0].select("case_id").distinct(), P.enabled_events(s[0], s[3], s[1], s[2], P.concurrent_pairs(P.filled_ends(s[0]))), s[1]))(_state(x))  # ends that are enabled, be they events
+)
 
 
 def _snapshot(x):
@@ -106,7 +114,12 @@ def _snapshot(x):
     return P.snapshot(_prepared(x), nodes, flows, index, ["case_type"], ["activity"])
 
 
-query("p14_snapshot")(lambda x: _snapshot(x).select("case_id", F.array_join("flows", " ").alias("flows"), F.size("ongoing_activities").alias("ongoing"), F.size("enabled_activities").alias("activities"), F.size("enabled_gateways").alias("gateways"), F.size("enabled_events").alias("events")))
+_P14 = _FULL + _UP + (
+    ", fl AS (SELECT case_id, string_agg(DISTINCT element, ' ' ORDER BY element) AS flows FROM st WHERE kind = 'flow' GROUP BY 1), og AS (SELECT case_id, count(*) AS n FROM sn WHERE t IS NULL GROUP BY 1), tg AS (SELECT DISTINCT case_id, node_id, nd.kind FROM st JOIN fw ON flow_id = element JOIN nd ON node_id = target WHERE st.kind = 'flow'),"
+    " ct AS (SELECT case_id, count(*) FILTER (kind = 'task') AS a, count(*) FILTER (kind IN ('startEvent', 'endEvent')) AS ev, count(*) FILTER (kind = 'exclusiveGateway' AND NOT EXISTS (SELECT 1 FROM st JOIN up ON up.task = st.element WHERE st.kind = 'activity' AND st.case_id = tg.case_id AND up.node_id = tg.node_id)) AS g FROM tg GROUP BY 1),"
+    " ps AS (SELECT c.case_id, coalesce(flows, '') AS flows, coalesce(og.n, 0) AS ongoing, coalesce(a, 0) AS activities, coalesce(g, 0) AS gateways, coalesce(ev, 0) AS events FROM (SELECT DISTINCT case_id FROM sn) c LEFT JOIN fl USING (case_id) LEFT JOIN og USING (case_id) LEFT JOIN ct USING (case_id))"
+)
+query("p14_snapshot", _P14 + " SELECT * FROM ps")(lambda x: _snapshot(x).select("case_id", F.array_join("flows", " ").alias("flows"), F.size("ongoing_activities").alias("ongoing"), F.size("enabled_activities").alias("activities"), F.size("enabled_gateways").alias("gateways"), F.size("enabled_events").alias("events")))
 query("p15_node_kinds", ", nd AS (SELECT * FROM " + _values(_NODES, "node_id, kind, name") + ") SELECT kind, count(*) AS n FROM e JOIN nd ON nd.name = activity GROUP BY 1")(lambda x: x.e.join(_model(x)[0].withColumnRenamed("name", "activity"), "activity").groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 
 # Scalar functions, over times and names of the log as text
@@ -127,8 +140,8 @@ def _(x):
 
 
 query("x3_format_ms", f" SELECT id, substr({_ISO}, 1, 23) AS x FROM e")(lambda x: x.e.select("id", X.format_ms(F.col("start_time")).alias("x")))
-query("x5_safe_name", " SELECT activity, CASE WHEN activity = 'view' THEN 'act' ELSE regexp_replace(activity, 'c', '_') END AS x, count(*) AS n FROM (SELECT CASE WHEN id % 2 = 0 THEN activity END AS activity FROM e) WHERE activity IN ('view', 'click') AND activity IS NOT NULL GROUP BY 1".replace("regexp_replace(activity, 'c', '_')", "'li_k'"))(
-    lambda x: x.e.filter("id % 2 = 0").filter(F.col("activity").isin("view", "click")).select("activity", X.safe_name(F.when(F.col("activity") == "view", "--!").otherwise(F.regexp_replace("activity", "c", "-"))).alias("x")).groupBy("activity", "x").agg(F.count(F.lit(1)).alias("n"))
+query("x5_safe_name", " SELECT id, CASE id % 4 WHEN 0 THEN 'act' WHEN 1 THEN activity || '_' || id % 3 WHEN 2 THEN activity || '_x' ELSE activity END AS x FROM e")(
+    lambda x: x.e.select("id", X.safe_name(F.when(F.col("id") % 4 == 0, "--!").when(F.col("id") % 4 == 1, F.concat(F.lit("("), F.col("activity"), F.lit("#"), (F.col("id") % 3).cast("string"), F.lit(") "))).when(F.col("id") % 4 == 2, F.concat("activity", F.lit("_x"))).otherwise(F.col("activity"))).alias("x"))
 )
 query("x6_format_enabled", f" SELECT id, CASE WHEN id % 2 = 0 THEN substr({_ISO}, 1, 23) ELSE '' END AS x FROM e")(lambda x: x.e.select("id", X.format_enabled(F.when(F.col("id") % 2 == 0, F.col("start_time"))).alias("x")))
 query("x7_consecutive_ids", ", f AS (SELECT case_id, min(s) AS s, arg_min(id, {'s': s, 'id': id}) AS i FROM e GROUP BY 1), n AS (SELECT case_id, row_number() OVER (ORDER BY s, i) - 1 AS case_no FROM f) SELECT id, case_no FROM e JOIN n USING (case_id)")(lambda x: P.consecutive_ids(x.e).select("id", "case_no"))
@@ -190,11 +203,45 @@ def _(x):
     return S.read_snapshot_ids(x.spark, path)
 
 
-@query("s9_s12_s14_outputs", " SELECT activity, count(*) AS n FROM e GROUP BY 1")
+@query("s10_snapshot_round_trip", _P14 + ", la AS (SELECT max(f) AS arrival FROM (SELECT min(s) AS f FROM e GROUP BY case_id)), gl AS (SELECT activity FROM e ORDER BY s DESC, id DESC LIMIT 1), lt AS (SELECT case_id, array_to_string(list_sort(list(activity || ' ' || s)), ',') AS live FROM sn WHERE t IS NULL GROUP BY 1) SELECT ps.*, coalesce(live, '') AS live, arrival, gl.activity AS last_activity FROM ps LEFT JOIN lt USING (case_id), la, gl")
+def _(x):
+    """Everything that a snapshot has, written and read again: header, global attributes and the arrays of each case."""
+    path, made = _folder(x, "snapshot"), _snapshot(x)
+    last = P.global_attributes(x.e, ["activity"])
+    arrival = x.e.groupBy("case_id").agg(F.min(micros("start_time")).alias("f")).agg(F.max("f").alias("last_case_arrival"))
+    S.write_snapshot(path, made, arrival, last)
+    head, cases = S.read_snapshot(x.spark, path, made.schema, last.schema)
+    live = F.array_join(F.array_sort(F.transform("ongoing_activities", lambda a: F.concat(a["label"], F.lit(" "), F.unix_micros(a["start_time"]).cast("string")))), ",")
+    return cases.crossJoin(F.broadcast(head)).select(
+        "case_id", F.array_join("flows", " ").alias("flows"), F.size("ongoing_activities").alias("ongoing"), F.size("enabled_activities").alias("activities"), F.size("enabled_gateways").alias("gateways"),
+        F.size("enabled_events").alias("events"), live.alias("live"), F.col("last_case_arrival").alias("arrival"), F.col("global_attributes.activity").alias("last_activity"),
+    )
+
+
+@query(
+    "s9_s12_s14_outputs",
+    ", n AS (SELECT count(DISTINCT activity) AS a, count(*) AS n, sum((t - s) / 1e9) AS d FROM e) SELECT * FROM (SELECT 'results' AS name, a AS rows, round(d, 3) AS total FROM n UNION ALL SELECT 'utilisation', (SELECT count(DISTINCT role) FROM r), NULL FROM n UNION ALL SELECT 'models', a, round(n, 3) FROM n UNION ALL SELECT 'metadata', 1, round(n, 3) FROM n)",
+)
 def _(x):
+    """Results and utilisation as tables, models and metadata as JSON: written, read again, and summed."""
+    from tracework.operators.aggregates import utilisation
+
     path = _folder(x, "outputs")
-    S.write_outputs(path, results=x.e.groupBy("activity").agg(F.count(F.lit(1)).alias("n")))
-    return x.spark.read.parquet(f"{path}/results")
+    by = x.e.groupBy("activity").agg(F.count(F.lit(1)).alias("n"), F.sum((micros("end_time") - micros("start_time")) / 1e9).alias("value"))
+    S.write_outputs(path, results=by.select("activity", "value"), utilisation=utilisation(x.e, x.roles, x.cut, x.end), models=by.select(F.lit("baseline").alias("method"), "activity", "n"), metadata=x.e.agg(F.count(F.lit(1)).alias("n"), F.lit("events").alias("log")))
+    tables = {"results": (None, "value"), "utilisation": (None, None), "models": ("method string, activity string, n long", "n"), "metadata": ("n long, log string", "n")}
+    out = None
+    for name, (schema, total) in tables.items():
+        part = S.read_output(x.spark, path, name, schema).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.round(F.sum(total), 3).cast("double").alias("total") if total else F.lit(None).cast("double").alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("o2_sorted_sink", " SELECT id, row_number() OVER (ORDER BY s, id) - 1 AS place FROM e")
+def _(x):
+    path = _folder(x, "sorted")
+    S.write_sorted(x.e.select("id", "start_time", "activity"), path)
+    return S.read_places(x.spark, path).select("id", "place")
 
 
 @query("s13_recompute_rankings")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tracework.functions.scalar import parse_datetime
 from tracework.log import REQUIRED, InvalidLog
 
+#: Times in JSON, to the microsecond.
+EXACT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 TIMES = ("enable_time", "start_time", "end_time")
 #: Names that simulators write and those used here.
 CAMEL = {"CaseId": "case_id", "Activity": "activity", "Resource": "resource", "StartTime": "start_time", "EndTime": "end_time", "EnabledTime": "enable_time", "case_id": "case_id", "enabled_time": "enable_time"}
@@ -93,10 +97,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def write_outputs(folder: str, **tables: DataFrame) -> None:
-    """Each table as Parquet beneath a folder: results, utilisation, rankings, samples, evaluations, models."""
+def write_outputs(folder: str, as_json: tuple[str, ...] = ("models", "metadata"), **tables: DataFrame) -> None:
+    """Each table beneath a folder: results, utilisation, rankings, samples, evaluations as Parquet, models and metadata as JSON lines."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+        (df.write.mode("overwrite").json if name in as_json else df.write.mode("overwrite").parquet)(f"{folder.rstrip('/')}/{name}")
+
+
+def read_output(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
+    """A table of write_outputs(); JSON ones by their schema."""
+    path = f"{folder.rstrip('/')}/{name}"
+    return spark.read.schema(schema).json(path) if schema else spark.read.parquet(path)
+
+
+def write_sorted(log: DataFrame, path: str, files: int = 8) -> None:
+    """The log sorted by start (ties by id): files hold ranges of time, in order of their names, and are sorted inside."""
+    log.repartitionByRange(files, "start_time", "id").sortWithinPartitions("start_time", "id").write.mode("overwrite").parquet(path)
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """A written log with `place`, each row's position over all files in the order of their names; one row a file is ordered alone."""
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(sizes.select("_file", before.alias("_before")), "_file").withColumn("place", F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
 
 
 def write_snapshot(folder: str, cases: DataFrame, last_arrival: DataFrame, globals_: DataFrame | None = None) -> None:
@@ -104,8 +127,15 @@ def write_snapshot(folder: str, cases: DataFrame, last_arrival: DataFrame, globa
     head = last_arrival.select(F.col("last_case_arrival"))
     if globals_ is not None:
         head = head.crossJoin(F.broadcast(globals_.select(F.struct(*globals_.columns).alias("global_attributes"))))
-    head.write.mode("overwrite").json(f"{folder.rstrip('/')}/header")
-    cases.write.mode("overwrite").json(f"{folder.rstrip('/')}/cases")
+    head.write.mode("overwrite").option("timestampFormat", EXACT).json(f"{folder.rstrip('/')}/header")
+    cases.write.mode("overwrite").option("timestampFormat", EXACT).json(f"{folder.rstrip('/')}/cases")
+
+
+def read_snapshot(spark: SparkSession, folder: str, cases: StructType, globals_: StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(header, cases) of a snapshot, nested arrays and all, by the schema that the cases were written with."""
+    head = StructType([StructField("last_case_arrival", LongType())] + ([StructField("global_attributes", globals_)] if globals_ else []))
+    read = lambda schema, name: spark.read.schema(schema).option("timestampFormat", EXACT).json(f"{folder.rstrip('/')}/{name}")
+    return read(head, "header"), read(cases, "cases")
 
 
 def read_snapshot_ids(spark: SparkSession, folder: str) -> DataFrame:
