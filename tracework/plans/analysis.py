@@ -15,6 +15,7 @@ from tracework.operators import sweep as M
 from tracework.operators import transforms as T
 from tracework.operators import windows as W
 from tracework.operators.aggregates import aggregate_runs, error_targets, target_activity, utilisation
+from tracework.plans.core import _FA, _FB, _RT, _grams, _sweep, _w1
 from tracework.plans.base import BASE, DAY, HORIZON, Logs, micros_out, rounded, stored
 
 Q: dict = {}
@@ -217,9 +218,104 @@ def _ladder(x, levels=(0, 25, 50, 100), replicates=2):
 
 
 query("t6_m8_ladder")(_ladder)
-query("t6_ladder_utilisation")(lambda x: utilisation(T.relabel_fraction(x.e, "view", "changed", 0.5), x.roles, x.cut, x.end))
 
-query("m8_metric_rows")(lambda x: X.metric_rows(W.cases_in_window(x.e, None, x.cut, HORIZON), W.cases_in_window(x.g, None, x.cut, HORIZON), 0, 0, 0, "B", (x.cut, x.end), x.roles))
+
+# Ladders: each transform at level 0 and at one more, in the window; scope A has the cases that are ongoing at the cut, B all.
+
+
+def _scoped(x, log, ids=None):
+    return W.cases_in_window(log, ids, x.cut, HORIZON)
+
+
+def _transformed(x, name: str, level: int):
+    """The log of a ladder's step before it is cut to the window."""
+    if name == "swap":
+        return T.swap_case_types(x.e, level / 100)
+    if name == "drift":
+        return T.drift_case_types(x.e, level / 100)
+    n = x.e.select("case_id").distinct().count()
+    return T.merge_at_ratio(x.e, x.g, 0.5 + level / 100, n // 2)
+
+
+def _steps(x, name: str, level: int):
+    """(level, replicate, scope, reference, altered) for level 0 and the given one."""
+    ids = W.ongoing_case_ids(x.e, x.cut)
+    if name == "relabel":
+        scopes = {"A": _scoped(x, x.e, ids), "B": _scoped(x, x.e)}
+        activity = target_activity(*scopes.values()).first()["activity"]
+        return [(v, 0, s, log, T.relabel_fraction(log, activity, "changed", v / 100)) for v in (0, level) for s, log in scopes.items()]
+    if name == "rephase":  # after the log is cut to the window
+        base = _scoped(x, x.e, ids)
+        return [(v, 0, "A", base, T.rephase_cases(base, v, x.cut, x.end)) for v in (0, level)]
+    out = []
+    for v in (0, level):
+        base, new = (_transformed(x, name, 0), _transformed(x, name, v)) if name == "mix" else (x.e, _transformed(x, name, v))
+        own = [W.ongoing_case_ids(y, x.cut) for y in (base, new)] if name == "mix" else [ids, ids]
+        out.append((v, 0, "A", _scoped(x, base, own[0]), _scoped(x, new, own[1])))
+    return out
+
+
+_WROW = "id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t, case_type, user_id"
+_WIN = "SELECT " + _WROW + " FROM {log}, p WHERE t > cut AND s < fin"
+_ONG = "(SELECT case_id FROM {log}, p GROUP BY case_id, cut HAVING min(s) < cut AND max(t) > cut)"
+
+
+def _ladder_sql(ctes: str, steps: dict[str, tuple[str, str]], views: list[str]) -> str:
+    """SQL of a ladder: tables for the steps' logs, and (reference, altered) tables by the step's name `level:k:scope`."""
+    a, b = (" UNION ALL ".join(f"SELECT '{k}' AS grp, * FROM {v[i]}" for k, v in steps.items()) for i in (0, 1))
+    sweep = _sweep(views, "la", "lb").replace("x.v AS view", "grp || ':' || x.v AS view")
+    return ctes + f", la AS ({a}), lb AS ({b})" + sweep + " SELECT split_part(view, ':', 1)::INT AS level, split_part(view, ':', 2)::INT AS k_sim, split_part(view, ':', 3) AS scope, 'state' AS family, split_part(view, ':', 4) || '.' || distance AS metric, round(sum(d * coalesce(next_t - t, 0)) / 172800000000, 6) AS value FROM l GROUP BY view, distance"
+
+
+_A = _WIN.format(log="e") + " AND case_id IN " + _ONG.format(log="e")
+_SIX = ["activity_case", "case", "activity", "case_type", "activity_type", "activity_role"]
+_RELABEL = ", {n} AS (SELECT id, case_id, CASE WHEN rn <= round_even(0.3 * c, 0) AND activity = (SELECT activity FROM ta) THEN 'changed' ELSE activity END AS activity, resource, s, t, case_type, user_id FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY md5('relabel:' || id), id) AS rn, count(*) OVER (PARTITION BY activity) AS c FROM {w}))"
+_SQL_OF = {
+    "relabel": (
+        30,
+        _ladder_sql(
+            f", wa AS ({_A}), wb AS ({_WIN.format(log='e')}), ta AS (SELECT coalesce((SELECT activity FROM wa WHERE activity IN (SELECT activity FROM wb) GROUP BY 1 ORDER BY count(*) DESC, activity LIMIT 1), (SELECT activity FROM wb GROUP BY 1 ORDER BY count(*) DESC, activity LIMIT 1)) AS activity)" + _RELABEL.format(n="na", w="wa") + _RELABEL.format(n="nb", w="wb"),
+            {"0:0:A": ("wa", "wa"), "0:0:B": ("wb", "wb"), "30:0:A": ("wa", "na"), "30:0:B": ("wb", "nb")}, _SIX,
+        ),
+    ),
+    "rephase": (
+        2,
+        _ladder_sql(
+            f", wa AS ({_A}), bo AS (SELECT case_id, least(7200000000, greatest(min(s) - cut, 0)) AS lo, least(7200000000, greatest(fin - max(t), 0)) AS hi FROM wa, p GROUP BY case_id, cut, fin), of AS (SELECT case_id, CAST(floor(" + _U.format(seed="rephase", c="case_id") + " * (lo + hi) - lo) AS BIGINT) AS d FROM bo), na AS (SELECT id, case_id, activity, resource, s + d AS s, t + d AS t, case_type, user_id FROM wa JOIN of USING (case_id))",
+            {"0:0:A": ("wa", "wa"), "2:0:A": ("wa", "na")}, _SIX,
+        ),
+    ),
+    "swap": (
+        40,
+        _ladder_sql(
+            f", wa AS ({_A})" + _TAG + ", sn AS (SELECT CAST(floor(0.4 * least(count(*) FILTER (tag = 'blue'), count(*) FILTER (tag = 'red'))) AS BIGINT) AS n FROM y), sk AS (SELECT case_id FROM (SELECT case_id, row_number() OVER (PARTITION BY tag ORDER BY md5(CASE WHEN tag = 'blue' THEN 'swap-a:' ELSE 'swap-b:' END || case_id), case_id) AS rn FROM y), sn WHERE rn <= n), na AS (SELECT * REPLACE (CASE WHEN case_id IN (SELECT case_id FROM sk) THEN CASE case_type WHEN 'blue' THEN 'red' ELSE 'blue' END ELSE case_type END AS case_type) FROM wa)",
+            {"0:0:A": ("wa", "wa"), "40:0:A": ("wa", "na")}, _SIX,
+        ),
+    ),
+    "drift": (50, None),
+    "mix": (20, None),
+}
+for _name, (_level, _sql) in _SQL_OF.items():
+    query(f"t6_ladder_{_name}", _sql)(lambda x, n=_name, v=_level: X.ladder(_steps(x, n, v), (x.cut, x.end), x.roles))
+
+
+query(
+    "t6_ladder_utilisation",
+    ", rs AS (SELECT role, count(*) AS n_resources FROM r GROUP BY 1), lv AS (SELECT unnest([0, 50]) AS level), bz AS (SELECT role, sum(least(t, fin) - greatest(s, cut)) / 1e6 AS b FROM e JOIN r USING (resource), p WHERE t > cut AND s < fin GROUP BY 1) SELECT level, 0 AS k_sim, role, n_resources, round(coalesce(b, 0), 6) AS busy_seconds, 172800.0::DOUBLE AS window_seconds, round(coalesce(b, 0) / (n_resources * 172800.0), 6) AS utilization FROM rs LEFT JOIN bz USING (role), lv",
+)(lambda x: X.ladder_utilisation([(v, 0, T.relabel_fraction(x.e, "view", "changed", v / 100)) for v in (0, 50)], x.roles, (x.cut, x.end)))
+
+_BASELINE = {
+    "ngd_n2": _grams(2).replace("FROM e", "FROM we").replace("FROM g", "FROM wg"),
+    "red": _w1(*[f"SELECT (unnest([s, t]) - f) // 3600000000 AS bin FROM (SELECT s, t, min(s) OVER (PARTITION BY case_id) AS f FROM {k})" for k in ("we", "wg")]),
+    "cycle_time": _w1(*[f"SELECT (max(t) - min(s)) // 3600000000 AS bin FROM {k} GROUP BY case_id" for k in ("we", "wg")]),
+    "rtd": ", xa AS (" + _RT.format(log="we") + "), xb AS (" + _RT.format(log="wg") + "), na AS (SELECT count(*) AS n FROM xa), nb AS (SELECT count(*) AS n FROM xb)" + _w1(_FA, _FB),
+}
+query(
+    "m8_metric_rows",
+    f", we AS ({_WIN.format(log='e')}), wg AS ({_WIN.format(log='g')})" + _sweep(_SIX, "we", "wg").replace("x.k AS key", "replace(x.k, 'role2', 'unknown') AS key")
+    + ", st AS (SELECT view, distance, sum(d * coalesce(next_t - t, 0)) / 172800000000 AS v FROM l GROUP BY ALL) SELECT 0 AS level, 0 AS k_baseline, 0 AS k_sim, 'B' AS scope, family, metric, round(v, 6) AS value FROM (SELECT 'state' AS family, view || '.jaccard' AS metric, v FROM st WHERE distance = 'jaccard' UNION ALL SELECT 'state', 'cardinality', v FROM st WHERE distance = 'cardinality' AND view = 'activity'"
+    + "".join(f" UNION ALL SELECT 'baseline', '{k}', distance FROM (WITH {v.removeprefix(', ')})" for k, v in _BASELINE.items()) + ")",
+)(lambda x: X.metric_rows(W.cases_in_window(x.e, None, x.cut, HORIZON), W.cases_in_window(x.g, None, x.cut, HORIZON), 0, 0, 0, "B", (x.cut, x.end), x.roles.filter("role <> 'role2'")))
 query("j9_replicate_pairs", ", a AS (SELECT activity, CAST(substr(resource, 2) AS INT) AS k, count(*) AS v FROM e GROUP BY ALL), b AS (SELECT activity, CAST(substr(resource, 2) AS INT) AS k, count(*) AS v FROM g GROUP BY ALL) SELECT activity, k, a.v AS baseline, b.v AS simulated FROM a JOIN b USING (activity, k)")(
     lambda x: X.paired(*[y.groupBy("activity", F.substring("resource", 2, 9).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("value")) for y in (x.e, x.g)], "activity")
 )
@@ -310,7 +406,18 @@ query("r1_concordance", _RES + " SELECT a.scope, a.family, a.metric, round(avg(C
 query("r2_spearman", _RES + " SELECT scope, family, metric, round(corr(x, y), 6) AS spearman FROM rk GROUP BY ALL")(lambda x: R.spearman(R.level_means(_results(x), R.GROUP), R.GROUP))
 _TAU = "SELECT a.scope, a.family, a.metric, round(sum(sign(b.m - a.m)) / sqrt(count(*) * count(*) FILTER (b.m <> a.m)), 6) AS kendall FROM lm a JOIN lm b ON a.scope = b.scope AND a.family = b.family AND a.metric = b.metric AND a.level < b.level GROUP BY ALL"
 query("r3_kendall", _RES + " " + _TAU)(lambda x: R.kendall(R.level_means(_results(x), R.GROUP), R.GROUP))
-query("r4_bootstrap")(lambda x: R.bootstrap(_results(x), R.GROUP))
+_DRAWS = """, rb AS (SELECT scope, family, metric, level, value, row_number() OVER (PARTITION BY scope, family, metric, level ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY scope, family, metric, level) AS n FROM rs),
+tr AS (SELECT *, unnest(range(1, {n} + 1)) AS it FROM rb),
+pk AS (SELECT scope, family, metric, level, it, CAST(floor((('0x' || substr(md5('bootstrap:' || concat_ws(':', scope, family, metric, level, k, it)), 1, 8))::BIGINT / 4294967296.0) * n) AS INT) AS k FROM tr),
+dr AS MATERIALIZED (SELECT pk.scope, pk.family, pk.metric, pk.level, it, value FROM pk JOIN rb ON pk.scope = rb.scope AND pk.family = rb.family AND pk.metric = rb.metric AND pk.level = rb.level AND pk.k = rb.k),
+bc AS (SELECT a.scope, a.family, a.metric, a.it, avg(CASE WHEN b.value > a.value THEN 1 WHEN b.value = a.value THEN 0.5 ELSE 0 END) AS c FROM dr a JOIN dr b ON a.scope = b.scope AND a.family = b.family AND a.metric = b.metric AND a.it = b.it AND a.level < b.level GROUP BY ALL),
+bm AS MATERIALIZED (SELECT scope, family, metric, it, level, avg(value) AS m FROM dr GROUP BY ALL),
+br AS (SELECT *, rank() OVER (PARTITION BY scope, family, metric, it ORDER BY level) AS x, rank() OVER (PARTITION BY scope, family, metric, it ORDER BY m) AS y FROM bm),
+bs AS (SELECT scope, family, metric, it, corr(x, y) AS sp FROM br GROUP BY ALL),
+bk AS (SELECT a.scope, a.family, a.metric, a.it, sum(sign(b.m - a.m)) / sqrt(count(*) * count(*) FILTER (b.m <> a.m)) AS ke FROM bm a JOIN bm b ON a.scope = b.scope AND a.family = b.family AND a.metric = b.metric AND a.it = b.it AND a.level < b.level GROUP BY ALL),
+bt AS (SELECT * FROM bc JOIN bs USING (scope, family, metric, it) JOIN bk USING (scope, family, metric, it))"""
+_CI = ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {name}_ci_{side}" for name, c in (("c_index", "c"), ("spearman", "sp"), ("kendall", "ke")) for side, q in (("low", 0.025), ("high", 0.975)))
+query("r4_bootstrap", _RES + _DRAWS.format(n=1000) + f" SELECT scope, family, metric, {_CI} FROM bt GROUP BY ALL")(lambda x: R.bootstrap(_results(x), R.GROUP))
 query("r5_rankings", _RES + ", c AS (SELECT a.family, a.metric, avg(CASE WHEN b.value > a.value THEN 1 WHEN b.value = a.value THEN 0.5 ELSE 0 END) AS c FROM rs a JOIN rs b ON a.family = b.family AND a.metric = b.metric AND a.level < b.level GROUP BY ALL), k AS (" + _TAU + "), n AS (SELECT family, metric, count(*) AS n_levels, min(n) AS mn FROM (SELECT family, metric, level, count(*) AS n FROM rs GROUP BY ALL) GROUP BY ALL) SELECT 'A' AS scope, family, metric, n_levels, mn AS min_replicates_per_level, round(c, 6) AS c_index, (SELECT round(corr(x, y), 6) FROM rk WHERE rk.family = n.family AND rk.metric = n.metric) AS spearman, kendall FROM n JOIN c USING (family, metric) JOIN k USING (family, metric)")(lambda x: R.rankings(_results(x), 0))
 query("j8_replicate_pairs", _RES + " SELECT family, metric, a.level AS low, b.level AS high, count(*) AS pairs FROM rs a JOIN rs b USING (family, metric) WHERE a.level < b.level GROUP BY ALL")(
     lambda x: (lambda n: n.join(n.select("family", "metric", F.col("level").alias("low"), F.col("n").alias("m")), ["family", "metric"]).filter("low < level").select("family", "metric", "low", F.col("level").alias("high"), (F.col("n") * F.col("m")).alias("pairs")))(_results(x).groupBy("family", "metric", "level").agg(F.count(F.lit(1)).alias("n")))

@@ -286,7 +286,40 @@ query("d9_cycle_times", _w1(*[f"SELECT (max(t) - min(s)) // {_H} AS bin FROM {k}
 query("d10_case_arrivals", _w1(*[f"SELECT min(s) // {_H} AS bin FROM {k} GROUP BY case_id" for k in "eg"]))(lambda x: D.case_arrivals(x.e, x.g))
 
 
-@query("d11_metric_panel")
+def _panel() -> str:
+    """The metric panel: subsets of both logs, then each distance as a query of its own."""
+    subsets = "".join(
+        f", b{k} AS (SELECT case_id, min(s) AS f, max(t) AS l FROM {k} GROUP BY 1), v{k} AS (SELECT id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t FROM {k}, p WHERE t >= cut AND s <= fin),"
+        f" o{k} AS (SELECT {k}.* FROM {k} JOIN b{k} USING (case_id), p WHERE f < cut AND l > cut AND t > cut), c{k} AS (SELECT {k}.* FROM {k} JOIN b{k} USING (case_id), p WHERE f >= cut AND f <= fin)"
+        for k in "eg"
+    )
+    both = lambda text, p: [text.format(q=p + k) for k in "eg"]
+    rest = ", xa AS (" + _RT.format(log="oe") + "), xb AS (" + _RT.format(log="og") + "), na AS (SELECT count(*) AS n FROM xa), nb AS (SELECT count(*) AS n FROM xb)"
+    busy = "SELECT (isodow(make_timestamp(h * 3600000000)) - 1) AS day, hour(make_timestamp(h * 3600000000)) AS bin FROM (SELECT DISTINCT resource, unnest(range(s // 3600000000, t // 3600000000 + 1)) AS h FROM {q})"
+    day = "SELECT (isodow(make_timestamp(s)) - 1) AS day, hour(make_timestamp(s)) AS bin FROM {q}"
+    found = {
+        ("event_filter", "n_gram"): _grams(3).replace("FROM e", "FROM ve").replace("FROM g)", "FROM vg)").replace("FROM g ", "FROM vg ").replace("FROM g,", "FROM vg,"),
+        ("event_filter", "absolute_event"): _w1(*both("SELECT s // 3600000000 AS bin FROM {q}", "v")),
+        ("event_filter", "circadian_event"): _w1(*both(day, "v"), "day", "round({d}, 6) AS distance", "x"),
+        ("event_filter", "circadian_workflow"): _w1(*both(busy, "v"), "day", "round({d}, 6) AS distance", "x"),
+        ("ongoing_filter", "RTD"): rest + _w1(_FA, _FB),
+        ("complete_filter", "RED"): _w1(*both("SELECT (unnest([s, t]) - f) // 3600000000 AS bin FROM (SELECT s, t, min(s) OVER (PARTITION BY case_id) AS f FROM {q})", "c")),
+        ("complete_filter", "cycle_time"): _w1(*both("SELECT (max(t) - min(s)) // 3600000000 AS bin FROM {q} GROUP BY case_id", "c")),
+        ("complete_filter", "case_arrival_rate"): _w1(*both("SELECT min(s) // 3600000000 AS bin FROM {q} GROUP BY case_id", "c")),
+    }
+    rows = [f"SELECT '{f}' AS subfamily, '{m}' AS metric, distance::DOUBLE AS value FROM (WITH {q.removeprefix(', ')})" for (f, m), q in found.items()]
+    per = "(SELECT count(*) / nullif(count(DISTINCT case_id), 0) FROM {q})"
+    left = "(SELECT avg(r) FROM (SELECT (max(t) - cut) / 1e6 AS r FROM {q}, p GROUP BY case_id, cut))"
+    n = "(SELECT count(DISTINCT case_id) FROM {q})"
+    more = {
+        "avg_remaining_diff": f"abs({left.format(q='oe')} - {left.format(q='og')}) / nullif({left.format(q='oe')}, 0)", "ongoing_cases_count": n.format(q="og"), "ongoing_cases_count_diff": f"abs({n.format(q='oe')} - {n.format(q='og')})",
+        "avg_events_per_case": per.format(q="og"), "avg_events_per_case_diff": f"abs({per.format(q='oe')} - {per.format(q='og')})",
+    }
+    rows += [f"SELECT 'ongoing_filter', '{m}', ({v})::DOUBLE" for m, v in more.items()]
+    return subsets + " SELECT subfamily, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+@query("d11_metric_panel", _panel())
 def _(x):
     return A.metric_panel(W.split_into_subsets(x.e, x.cut, x.end), W.split_into_subsets(x.g, x.cut, x.end), x.cut)
 

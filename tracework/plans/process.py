@@ -244,7 +244,16 @@ def _(x):
     return S.read_places(x.spark, path).select("id", "place")
 
 
-@query("s13_recompute_rankings")
+def _s13() -> str:
+    """The rankings' SQL, with the intervals' of 20 draws beside it."""
+    from tracework.plans import analysis as Y
+
+    points = Y.SQL["r5_rankings"].removeprefix(BASE).removeprefix(Y._RES)
+    cut = points.index(" SELECT 'A' AS scope")
+    return Y._RES + points[:cut] + ", pt AS (" + points[cut + 1 :] + ")" + Y._DRAWS.format(n=20) + f", ci AS (SELECT scope, family, metric, {Y._CI} FROM bt GROUP BY ALL) SELECT * FROM pt JOIN ci USING (scope, family, metric)"
+
+
+@query("s13_recompute_rankings", _s13())
 def _(x):
     from tracework.plans.analysis import _results
 
