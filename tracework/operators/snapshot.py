@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracework.functions.scalar import HOUR, micros, moment
+from tracework.sources.files import stored
 
 TASK, GATEWAY = "task", "exclusiveGateway"
 EVENTS = ("startEvent", "intermediateCatchEvent", "intermediateThrowEvent", "endEvent")
@@ -23,15 +24,39 @@ def filled_ends(log: DataFrame) -> DataFrame:
     return log.crossJoin(F.broadcast(last)).withColumn("end_time", F.coalesce("end_time", moment(micros("_last") + HOUR))).drop("_last")
 
 
-def concurrent_pairs(log: DataFrame, threshold: float = 0.5) -> DataFrame:
+def ends_before(log: DataFrame) -> DataFrame:
+    """(case_id, id, a, b, n, last): for each instance (of activity a) and each activity b of its case, how many other instances of b have
+    ended by its start, and when the last of them did.
+
+    Rows grow with instances times the activities of a case, not with pairs of instances: starts and ends of one case and activity
+    are run through in order of time. No instance may end before it starts.
+    """
+    rows = log.select("case_id", "id", F.col("activity").alias("a"), micros("start_time").alias("s"), micros("end_time").alias("t"))
+    each = rows.join(rows.groupBy("case_id").agg(F.collect_set("a").alias("acts")), "case_id").withColumn("b", F.explode("acts"))
+    own = F.when((F.col("a") == F.col("b")) & (F.col("t") == F.col("s")), 1).otherwise(0)
+    starts = each.select("case_id", "id", "a", "b", F.col("s").alias("at"), F.lit(None).cast("long").alias("end"), own.alias("own"))
+    ends = rows.select("case_id", F.lit(None).cast(dict(rows.dtypes)["id"]).alias("id"), F.lit(None).cast("string").alias("a"), F.col("a").alias("b"), F.col("t").alias("at"), F.col("t").alias("end"), F.lit(0).alias("own"))
+    w = Window.partitionBy("case_id", "b").orderBy("at")
+    upto, earlier, here = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(0, 0)
+    seen = starts.unionByName(ends).withColumns({"n": F.count("end").over(upto) - F.col("own"), "_here": F.count("end").over(here) - F.col("own"), "_earlier": F.max("end").over(earlier)})
+    return seen.filter("id IS NOT NULL").select("case_id", "id", "a", "b", "n", F.when(F.col("_here") > 0, F.col("at")).otherwise(F.col("_earlier")).alias("last"))
+
+
+def concurrent_pairs(log: DataFrame, threshold: float = 0.5, before: DataFrame | None = None) -> DataFrame:
     """(a, b): activities of which, in cases with both, at least a share of pairs of instances overlap in time [published definition].
 
-    Pairs are made within cases only.
+    Pairs are counted, never made: all of a case less those of which one has ended by the other's start (`before`: ends_before(log)).
     """
-    x = log.select("case_id", F.col("id").alias("i"), F.col("activity").alias("a"), micros("start_time").alias("s1"), micros("end_time").alias("t1"))
-    y = log.select("case_id", F.col("id").alias("j"), F.col("activity").alias("b"), micros("start_time").alias("s2"), micros("end_time").alias("t2"))
-    pairs = x.join(y, "case_id").filter("i <> j AND a <> b").groupBy("a", "b").agg(F.avg(F.when((F.col("s1") < F.col("t2")) & (F.col("s2") < F.col("t1")), 1.0).otherwise(0.0)).alias("share"))
-    return pairs.filter(F.col("share") >= threshold).select("a", "b")
+    other = lambda x, n: x.withColumnsRenamed({"a": "b", "n": n})
+    sizes = log.groupBy("case_id", F.col("activity").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.join(other(sizes, "m"), "case_id").filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("total"))
+    apart = (before if before is not None else ends_before(log)).filter("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    apart = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("apart"))
+    # Two instances of no length at one time have both ended by the other's start: counted twice.
+    points = log.filter("start_time = end_time").groupBy("case_id", "start_time", F.col("activity").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    twice = points.join(other(points, "m"), ["case_id", "start_time"]).filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("twice"))
+    share = (F.col("total") - F.coalesce("apart", F.lit(0)) + F.coalesce("twice", F.lit(0))) / F.col("total")
+    return total.join(apart, ["a", "b"], "left").join(twice, ["a", "b"], "left").filter(share >= threshold).select("a", "b")
 
 
 def enabled_times(log: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -42,11 +67,9 @@ def enabled_times(log: DataFrame, threshold: float = 0.5) -> DataFrame:
     if "enable_time" in log.columns:
         return log
     whole = filled_ends(log)
-    pairs = concurrent_pairs(whole, threshold)
-    me = whole.select("case_id", F.col("id").alias("i"), F.col("activity").alias("a"), micros("start_time").alias("s"))
-    before = whole.select("case_id", F.col("id").alias("j"), F.col("activity").alias("b"), micros("end_time").alias("t"))
-    near = me.join(before, "case_id").filter("i <> j AND t <= s").join(pairs, ["a", "b"], "left_anti")
-    since = near.groupBy(F.col("i").alias("id")).agg(F.max("t").alias("_since"))
+    before = ends_before(whole)
+    near = before.filter("last IS NOT NULL").join(concurrent_pairs(whole, threshold, before), ["a", "b"], "left_anti")
+    since = near.groupBy("id").agg(F.max("last").alias("_since"))
     first = whole.groupBy("case_id").agg(F.min(micros("start_time")).alias("_first"))
     return log.join(since, "id", "left").join(first, "case_id").withColumn("enable_time", moment(F.coalesce("_since", "_first"))).drop("_since", "_first")
 
@@ -170,10 +193,10 @@ def without_finished(cases: DataFrame, gateways: DataFrame, nodes: DataFrame) ->
 
 def snapshot(log: DataFrame, nodes: DataFrame, flows: DataFrame, index: DataFrame, case_names: list[str] = (), event_names: list[str] = ()) -> DataFrame:
     """One row per running case of a prepared log: flows, activities, ongoing_activities, enabled_*, case_ and event_attributes."""
-    log = enabled_times(log)
-    pairs = concurrent_pairs(filled_ends(log))
+    log = stored(enabled_times(log))
+    pairs = stored(concurrent_pairs(filled_ends(log)))
     ongoing = ongoing_activities(log, nodes, list(event_names))
-    state = repaired(markings(traces(log), index), ongoing, nodes, flows)
+    state = stored(repaired(markings(traces(log), index), ongoing, nodes, flows))
     gates = enabled_gateways(log, state, nodes, flows, upstream_tasks(nodes, flows))
 
     def listed(df: DataFrame, name: str) -> DataFrame:

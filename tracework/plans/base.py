@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tracework import log
 from tracework.functions.scalar import HOUR, moment
+from tracework.sources.files import folder, stored
+
+__all__ = ["BASE", "DAY", "HORIZON", "Logs", "folder", "micros_out", "rounded", "stored"]
 
 DAY = 24 * HOUR
 HORIZON = 2 * DAY
@@ -45,19 +47,6 @@ class Logs:
         return self.cut + HORIZON
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for what a query writes: under spark.checkpoint.dir, or, where it is unset, under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A small table that a query reads more than once, written and read again."""
-    path = folder(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def micros_out(df: DataFrame) -> DataFrame:
     """Timestamps as microseconds, so that results compare exactly."""
     return df.select(*[F.unix_micros(c).alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes])

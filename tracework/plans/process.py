@@ -10,7 +10,7 @@ from tracework.functions.scalar import micros, moment
 from tracework.operators import snapshot as P
 from tracework.operators import sweep as M
 from tracework.operators import windows as W
-from tracework.plans.base import BASE, Logs, folder, micros_out, rounded
+from tracework.plans.base import BASE, Logs, folder, micros_out, rounded, stored
 from tracework.sources import files as S
 
 Q: dict = {}
@@ -76,9 +76,9 @@ _FULL = _SNAP + _TRACE.format(log="sn") + _MARK + _STATE
 
 
 def _state(x):
-    log = P.enabled_times(_prepared(x))
+    log = stored(P.enabled_times(_prepared(x)))
     nodes, flows, index = _model(x)
-    return log, nodes, flows, P.repaired(P.markings(P.traces(log), index), P.ongoing_activities(log, nodes), nodes, flows)
+    return log, nodes, flows, stored(P.repaired(P.markings(P.traces(log), index), P.ongoing_activities(log, nodes), nodes, flows))
 
 
 query("p8_repaired_state", _FULL + " SELECT case_id, kind, element FROM st")(lambda x: _state(x)[3])

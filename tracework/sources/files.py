@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -18,6 +20,19 @@ CAMEL = {"CaseId": "case_id", "Activity": "activity", "Resource": "resource", "S
 KEPT = ["case_id", "activity", "resource", "enable_time", "start_time", "end_time"]
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for what is written on the way: under spark.checkpoint.dir, or, where it is unset, under the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table that is read more than once, written and read again; what follows does not compute it anew, and executors may be lost."""
+    path = folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _named(df: DataFrame, rename: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in rename.items() if a in df.columns and a != b})
 
