@@ -55,7 +55,9 @@ def topic_words(docs: DataFrame, most: int = TOPICS) -> DataFrame:
     """(_tw_lang, _tw): the topic words of each language, best first. Each task passes on at most `most` words a language."""
     lang = F.coalesce(F.col("lang"), F.lit("")).alias("_tw_lang")
     held = docs.select(lang, F.explode(F.array_distinct(terms(F.col("text")))).alias("x")).groupBy("_tw_lang", "x").agg(F.count(F.lit(1)).alias("n"))
-    fit = held.join(docs.groupBy(lang).agg(F.count(F.lit(1)).alias("all")), "_tw_lang").filter((F.col("n") >= 2) & (F.col("n") * MOST_HELD <= F.col("all")))
+    sizes = checkpointed(docs.groupBy(lang).agg(F.count(F.lit(1)).alias("all")))
+    # Sent to all tasks, as else words would meet by language.
+    fit = held.join(F.broadcast(sizes) if sizes.count() <= MOST_LANGUAGES else sizes, "_tw_lang").filter((F.col("n") >= 2) & (F.col("n") * MOST_HELD <= F.col("all")))
     place = F.row_number().over(Window.partitionBy("_tw_lang").orderBy(F.desc("n"), "x"))
     best = fit.withColumn("k", place).filter(F.col("k") <= most).groupBy("_tw_lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("w"))
     return best.select("_tw_lang", F.transform("w", lambda e: e["x"]).alias("_tw"))
