@@ -119,6 +119,30 @@ def test_deep_nodes_are_repeats():
         assert (got[i] == -1) == (len(same) == 1) and all(got[j] == got[i] for j in same)
 
 
+def test_deep_nodes_have_depth_and_least_document():
+    """Subtrees of random stretches: occurrences that go are those of windows that a smaller document has; edges run over shared words."""
+    r = np.random.default_rng(6)
+    passage = r.integers(0, 50, 40)
+    stretches = [np.concatenate((r.integers(0, 50, k), passage[:n], r.integers(0, 50, 3))) for k, n in ((0, 40), (3, 40), (5, 30), (2, 25))]
+    m, follows, ids = [], [], []
+    for d, w in enumerate(stretches):
+        for k in range(len(w) - 12):
+            m.append(w[k : k + 13])
+            follows.append(k > 0)
+            ids.append(d)
+    m, follows, ids = np.array(m), np.array(follows), np.array(ids)
+    node, head, depth, least = substring_dedup.repeats(m, follows, ids)
+    first = {}
+    for w, d in zip(m, ids, strict=True):
+        first[tuple(w)] = min(d, first.get(tuple(w), d))
+    for i, w in enumerate(m):
+        same = [k for k in range(len(m)) if (m[k] == w).all()]
+        assert (node[i] < 0) == (len(same) == 1)
+        if len(same) > 1:
+            assert least[node[i]] == first[tuple(w)] and least[head[node[i]]] == first[tuple(w)]
+    assert depth.max() == 25 and set(depth[head[node[node >= 0]]].tolist()) == {25, 17, 22}  # 25 words in all four, then 13 + 4 in three, 13 + 9 in two
+
+
 def test_suffix_dedup(docs, plain):
     count = {}
     raw = [(i, x.encode()) for i, x in plain]

@@ -1,11 +1,15 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
 Suffixes of the documents' word sequences are split by variable-length prefixes into memory-sized groups: the first three words
-say the group, or, where a prefix is frequent over the whole corpus, the first four, and so on. So that neighbours travel
-together, the prefix that places a suffix is that of its anchor, the three words of least hash within the 13 that follow: equal
-windows have equal anchors at equal offsets, and runs of suffixes with one anchor are sent as one stretch of words. A group's
-task grows the subtree of its suffixes from the root, level by level; nodes that hold a single suffix end as leaves. The internal
-nodes at depth 13 are the repeats of at least 13 words, and the least doc_id among a node's leaves says whose occurrence stays.
+say the group, or, where more than FREQUENT windows of the whole corpus share a prefix, the first four, and so on, as far as the
+window goes (equal windows are sent once a batch). So that neighbours travel together, the prefix that places a suffix is that of
+its anchor, the three words of least hash within the 13 that follow: equal windows have equal anchors at equal offsets, and runs
+of suffixes with one anchor are sent as one stretch of words.
+
+A group's task grows the subtree of its suffixes from the root, level by level; nodes that hold a single suffix end as leaves. From
+depth 13 on an edge runs on as long as all suffixes of the node go on alike, over as many words as they share in the group: so each
+deep internal node gets its full depth and the least doc_id among its leaves. These nodes are the maximal repeats, and every
+occurrence in a document that is not the least loses all the node's words.
 
 Two things more keep the exchange small and whole. A suffix whose 13-word window is the only one with its hash, over all batches,
 cannot meet another in any subtree and is a leaf from the start; it is not sent. And a batch sends equal windows once, with
@@ -32,9 +36,8 @@ from tracework.llm import exchange
 from tracework.llm.exchange import pack, releasing, table_of, unpack
 
 WINDOW = 13
-#: Words of an anchor, longest prefix by which suffixes are told apart before they are sent, and the share of windows from which a
-#: prefix is frequent.
-ANCHOR, MOST_PREFIX, FREQUENT = 3, 6, 1024
+#: Words of an anchor, windows of the corpus from which a prefix is frequent and lengthened, and of how many windows one is counted for it.
+ANCHOR, FREQUENT, SAMPLE = 3, 200_000, 2048
 #: Bytes of text whose repeated suffixes meet in one group, about, and the least number of groups.
 GROUP, LEAST_GROUPS = 48 << 20, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -95,18 +98,13 @@ class Words:
         return h[self.starts]
 
 
-def frequent_prefixes(w: Words) -> list[tuple[int, int]]:
-    """(prefix hash, count) of the anchor prefixes that place a large share of the batch's windows; few, whatever the batch."""
-    out, at, n = [], *np.unique(w.anchors(), return_counts=True)
-    least = max(16, len(w.starts) // FREQUENT)
-    for length in range(ANCHOR, MOST_PREFIX + 1):
-        at, n = at[at + length <= len(w.hashes)], n[at + length <= len(w.hashes)]
-        if not len(at):
-            break
-        known, inverse = np.unique(w.prefix_hashes(length, at), return_inverse=True)
-        total = np.bincount(inverse, n).astype(np.int64)
-        out += list(zip(known[total >= least].view(np.int64).tolist(), total[total >= least].tolist(), strict=True))
-        at, n = at[total[inverse] >= least], n[total[inverse] >= least]
+def sampled_prefixes(w: Words) -> list[tuple[int, int]]:
+    """(prefix hash, count) of the anchors' prefixes of every length, over one in SAMPLE of the batch's windows."""
+    out, anchors = [], w.anchors()[::SAMPLE]
+    ends = w.starts[::SAMPLE] + WINDOW
+    for length in range(ANCHOR, WINDOW + 1):
+        known, n = np.unique(w.prefix_hashes(length, anchors[anchors + length <= ends]), return_counts=True)
+        out += list(zip(known.view(np.int64).tolist(), n.tolist(), strict=True))
     return out
 
 
@@ -114,7 +112,7 @@ def groups_of(w: Words, starts: np.ndarray, anchors: np.ndarray, frequent: np.nd
     """The group of each suffix: by the shortest prefix of its anchor that is not frequent, or the longest within its window."""
     key = w.prefix_hashes(ANCHOR, anchors)
     open_ = np.arange(len(anchors))
-    for length in range(ANCHOR + 1, MOST_PREFIX + 2):
+    for length in range(ANCHOR + 1, WINDOW + 1):
         open_ = open_[np.isin(key[open_], frequent)]
         open_ = open_[anchors[open_] + length <= starts[open_] + WINDOW]
         if not len(open_):
@@ -143,6 +141,41 @@ def deep_nodes(m: np.ndarray) -> np.ndarray:
     return node
 
 
+def repeats(m: np.ndarray, follows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The deep internal nodes of a subtree: (node of each suffix or -1, head of each node's edge, depth and least doc_id of heads).
+
+    m has a row of WINDOW word codes for each suffix; follows says whether the row before is the suffix one word earlier. A node
+    whose suffixes all go on to one node, which all its suffixes come from, lies on that node's edge: the edge's first node, its
+    head, has the depth of the edge's end, and all nodes of an edge have the same occurrences, one word on.
+    """
+    node = deep_nodes(m)
+    count = int(node.max()) + 1 if len(node) else 0
+    deep = np.flatnonzero(node >= 0)
+    after, before = np.full(len(node), -1), np.full(len(node), -1)
+    link = np.flatnonzero(follows[1:]) + 1
+    after[link - 1], before[link] = node[link], node[link - 1]
+
+    def only(to: np.ndarray) -> np.ndarray:
+        """The one node that all suffixes of a node have beside them, or -1."""
+        low, high = np.full(count, np.iinfo(np.int64).max), np.full(count, -2)
+        np.minimum.at(low, node[deep], to[deep])
+        np.maximum.at(high, node[deep], to[deep])
+        return np.where(low == high, low, -1)
+
+    on, back = only(after), only(before)
+    size = np.bincount(node[deep], minlength=count)
+    each = np.arange(count)
+    inner = (back >= 0) & (on[back] == each) & (size[back] == size)
+    inner &= back != each
+    head, depth = np.where(inner, back, each), np.full(count, WINDOW)
+    while (head[head] != head).any():
+        head = head[head]
+    np.add.at(depth, head[inner], 1)
+    least = np.full(count, np.iinfo(np.int64).max)
+    np.minimum.at(least, node[deep], ids[deep])
+    return node, head, depth, least
+
+
 def message(w: Words, starts: np.ndarray, ids: np.ndarray) -> bytes:
     """Suffixes for one group, sorted by place: stretches of words (a dictionary, codes, lengths) and their doc_ids."""
     cuts = np.flatnonzero(np.concatenate(([True], starts[1:] != starts[:-1] + 1, [True])))
@@ -156,14 +189,16 @@ def message(w: Words, starts: np.ndarray, ids: np.ndarray) -> bytes:
 
 
 def read_message(b: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, a row of 13 codes for each suffix, doc_ids)."""
+    """(words, a row of 13 codes for each suffix, doc_ids, whether a suffix follows the one before in its stretch)."""
     lengths = [int.from_bytes(b[1 + 4 * k : 5 + 4 * k], "little") for k in range(4)]
     at = np.concatenate(([17], 17 + np.cumsum(lengths)))
     part = [b[at[k] : at[k + 1]] for k in range(4)]
     codes = unpack(part[1], {2: np.uint16, 4: np.uint32}[b[0]])
     n = unpack(part[2], np.int32).astype(np.int64)
     first = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (WINDOW - 1), n)
-    return unpack(part[0], np.uint8).tobytes().split(b" "), codes[first[:, None] + np.arange(WINDOW)], np.repeat(unpack(part[3], np.int64), n)
+    follows = np.ones(n.sum(), bool)
+    follows[np.cumsum(n) - n] = False
+    return unpack(part[0], np.uint8).tobytes().split(b" "), codes[first[:, None] + np.arange(WINDOW)], np.repeat(unpack(part[3], np.int64), n), follows
 
 
 def subtree_answers(messages: list[bytes]) -> list[np.ndarray]:
@@ -175,15 +210,20 @@ def subtree_answers(messages: list[bytes]) -> list[np.ndarray]:
     del flat
     ids = [x[2] for x in got]
     m, at, word = np.empty((sum(map(len, ids)), WINDOW), np.int32), 0, 0
-    for k, (words, codes, _) in enumerate(got):
+    follows = np.concatenate([x[3] for x in got])
+    for k, (words, codes, *_) in enumerate(got):
         m[at : at + len(codes)] = known[word : word + len(words)][codes]
         at, word, got[k] = at + len(codes), word + len(words), None
-    node, own = deep_nodes(m), np.concatenate(ids)
-    least = np.full(node.max() + 1 if len(node) else 0, np.iinfo(np.int64).max)
-    deep = node >= 0
-    np.minimum.at(least, node[deep], own[deep])
-    out = np.zeros(len(own), bool)
-    out[deep] = least[node[deep]] < own[deep]
+    own = np.concatenate(ids)
+    node, head, depth, least = repeats(m, follows, own)
+    del m
+    # Each occurrence of a repeat in a document that is not its least: from the head's suffix on, over the edge.
+    begins = np.flatnonzero(node >= 0)
+    begins = begins[(head[node[begins]] == node[begins]) & (least[node[begins]] < own[begins])]
+    covers = np.zeros(len(own) + 1, np.int32)
+    np.add.at(covers, begins, 1)
+    np.add.at(covers, begins + depth[node[begins]] - WINDOW + 1, -1)
+    out = np.cumsum(covers[:-1]) > 0
     return np.split(out, np.cumsum([len(x) for x in ids])[:-1])
 
 
@@ -213,18 +253,16 @@ def removals(docs: DataFrame, finish, schema: str) -> DataFrame:
         batch = table.column("batch")[0].as_py()
         w = Words(exchange.in_order(table)[1])
         rows = [(batch, k, x, c) for k, x, c in exchange.sent(np.unique(w.window_hashes() >> shift), bits, buckets)]
-        prefixes = frequent_prefixes(w)
+        prefixes = sampled_prefixes(w)
         for k in range(shares):
             if own := [x for x in prefixes if x[0] % shares == k]:
                 rows.append((batch, -1 - k, np.array(own, np.int64).tobytes(), b""))
         return table_of(rows, sent_schema)
 
-    least = max(16, batches * exchange.BATCH // 7 // FREQUENT)  # of all windows, seven bytes a word
-
     def sum_prefixes(payloads: list[bytes]) -> list[tuple[int, bytes]]:
         own = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in payloads])
         known, which = np.unique(own[:, 0], return_inverse=True)
-        found = known[np.bincount(which, own[:, 1]) >= least]  # at most MOST_PREFIX * FREQUENT over all shares
+        found = known[np.bincount(which, own[:, 1]) * SAMPLE >= FREQUENT]
         return [(b, found.tobytes()) for b in range(batches)] if len(found) else []
 
     sent_schema = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("counts", pa.binary())])
