@@ -319,6 +319,28 @@ def test_region_recursion():
     assert groups(got) == groups(pairs)
 
 
+def test_cells_keep_every_link(spark):
+    """Of a large family every linked pair meets in a cell, or in what cells cannot part; cells are small."""
+    r = np.random.default_rng(9)
+    common, sets = r.choice(400, 60, replace=False), []
+    for _ in range(30):
+        b = np.concatenate((r.choice(common, r.integers(0, 50), replace=False), r.choice(400, 40)))
+        for _ in range(4):
+            s = b.copy()
+            s[r.integers(0, len(s), r.integers(0, 8))] = r.integers(400, 9000)
+            sets.append(np.unique(s))
+    pairs = {(a, b) for a in range(len(sets)) for b in range(a) if jaccard_join.near(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))}
+    nodes = spark.createDataFrame([(f"{k:03}", len(s), s.tolist()) for k, s in enumerate(sets)], "node string, n long, shingles array<long>")
+    cells, stubborn, links = jaccard_join.cut_into_cells(nodes.selectExpr("'f' AS g", "node", "node AS label"), nodes, 40)
+    groups = {}
+    for kind, df in (("cell", cells), ("stubborn", stubborn)):
+        for x in df.collect():
+            groups.setdefault((kind, x["g"]), set()).add(int(x["node"]))
+    assert pairs and all(any({a, b} <= g for g in groups.values()) for a, b in pairs)
+    assert sum(k == "cell" for k, _ in groups) > 3 and all(len(g) <= 40 for (k, _), g in groups.items() if k == "cell")
+    assert all((max(p), min(p)) in pairs for p in ((int(x["a"]), int(x["b"])) for x in links.collect()))
+
+
 @pytest.mark.parametrize("sent", [100, 0])
 def test_components(spark, sent):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(30)] + [("x1", "x2")]

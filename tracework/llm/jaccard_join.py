@@ -9,11 +9,12 @@ informative, and pivots, Voronoi cells and triangle-inequality windows work insi
 2. A node opens regions at its rarest shingles, so many that two linked nodes must share one (the first n - ceil(3n/4) + 1 in the
    order of frequency). In each region the least node is the first pivot; nodes within 1/4 of a pivot link with it, and such
    linked nodes need not be compared with each other, as only connection counts.
-3. Families of nodes, tied by regions in common, that still hold more than one component are joined exactly, or, where a family
-   is larger than REGION, its regions one by one: eight pivots, the farthest from each other; each node
+3. Families of nodes, tied by regions in common, that still hold more than one component are joined exactly by pivots: each node
    belongs to its nearest pivot's cell and is replicated into a later cell where d(x, q) - d(x, p) <= 2/4 and d(x, q) <= the
-   cell's radius + 1/4; cells join recursively, and those that do not get smaller, or are small, by comparing all their
-   components' members in blocks.
+   cell's radius + 1/4; cells join recursively. Families of more than REGION nodes are cut into cells by Spark, a round of joins
+   and shuffles a level (`cut_into_cells`); smaller ones, and cells, in a task, with eight pivots far from each other. What does
+   not get smaller by cells, as its members are about equally far from all pivots, is taken apart by its openings and compared in
+   blocks.
 4. Connected components over all links.
 
 Memory is bounded: regions of more than REGION nodes are cut into pairs of blocks of REGION / 2, each pair a region of its own.
@@ -27,6 +28,7 @@ result; other columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -199,6 +201,41 @@ def region_links(sets: list[np.ndarray], labels: list, leaf: int = LEAF, pivots:
     return links
 
 
+def cut_into_cells(members: DataFrame, sets: DataFrame, region: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, stubborn, links) of large families: members (g, node, label), sets (node, n, shingles).
+
+    Each round takes PIVOTS nodes of each group that is still too large, by hash, gives every node to its nearest pivot's cell and
+    copies it into the later cells that the triangle inequality does not rule out. Groups of one component are done; a group of
+    which one cell keeps more than seven tenths is stubborn. The number of pivots is PIVOTS for each `region` nodes at most.
+    """
+    cells, stubborn, links = None, None, None
+    add = lambda x, y: y if x is None else x.unionByName(y)
+    live = checkpointed(members.withColumn("was", F.lit(None).cast("long")))
+    for level in itertools.count():
+        sizes = checkpointed(live.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("was").alias("was")).filter("x != y").drop("x", "y"))
+        rows = live.join(sizes.select("g", "size", F.col("was").alias("before")), "g")
+        stuck = F.col("size") > 0.7 * F.coalesce(F.col("before").cast("double"), F.lit(float("inf")))
+        cells = add(cells, rows.filter(F.col("size") <= region).select("g", "node", "label"))
+        stubborn = add(stubborn, rows.filter((F.col("size") > region) & stuck).select("g", "node", "label"))
+        large = checkpointed(rows.filter((F.col("size") > region) & ~stuck).select("g", "node", "label", "size"))
+        if large.isEmpty():
+            return cells, stubborn, links
+        h = F.xxhash64("node", F.lit(level))
+        chosen = large.groupBy("g", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(h.alias("h"), F.col("node").alias("node")))["node"].alias("pivot"))
+        chosen = checkpointed(chosen.join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("shingles").alias("ps")), "pivot"))
+        met = large.join(chosen.select("g", "k", "pivot"), "g").join(sets, "node").join(chosen.select("g", "k", "pn", "ps"), ["g", "k"])
+        both = F.size(F.array_intersect("shingles", "ps"))
+        far = checkpointed(met.withColumn("both", both).select("g", "node", "label", "size", "k", "pivot", (1 - F.col("both") / (F.col("n") + F.col("pn") - F.col("both"))).alias("d"), (100 * F.col("both") >= 75 * (F.col("n") + F.col("pn") - F.col("both"))).alias("near")))
+        links = add(links, far.filter("near AND node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        own = far.groupBy("g", "node", "label", "size").agg(F.min(F.struct("d", "k")).alias("own"), F.collect_list(F.struct("k", "d")).alias("all"))  # PIVOTS at most
+        own = checkpointed(own)
+        radius = own.groupBy("g", F.col("own.k").alias("k")).agg(F.max("own.d").alias("radius"))
+        each = own.select("g", "node", "label", "size", "own", F.explode("all").alias("q")).select("g", "node", "label", "size", F.col("own.k").alias("home"), F.col("own.d").alias("at"), "q.k", "q.d")
+        window = (F.col("home") < F.col("k")) & (F.col("d") - F.col("at") <= 2 * RADIUS + 1e-9) & (F.col("d") <= F.col("radius") + RADIUS + 1e-9)
+        placed_ = each.join(radius, ["g", "k"]).filter((F.col("home") == F.col("k")) | window)
+        live = checkpointed(placed_.select(F.concat_ws("/", "g", F.col("k").cast("string")).alias("g"), "node", "label", F.col("size").alias("was")))
+
+
 def links_of(known: DataFrame, region: int = REGION) -> DataFrame:
     """(a, b): links that connect all nodes (node, n, shingles, openings) which are connected by similarity."""
     opened = checkpointed(known.select("node", "n", F.explode("openings").alias("s")))
@@ -216,9 +253,14 @@ def links_of(known: DataFrame, region: int = REGION) -> DataFrame:
     marked = checkpointed(family.join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")))
     open_ = marked.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("family", "size")
     rows = marked.join(open_, "family")
-    small = rows.filter(F.col("size") <= region).select(F.col("family").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "label")
-    # Of a large family each opening is a region; of those with the same members one is enough.
-    large = member.join(rows.filter(F.col("size") > region).select("node", "label"), "node")
+    small = rows.filter(F.col("size") <= region).select(F.col("family").alias("g"), "node", "label")
+    large, found = checkpointed(rows.filter(F.col("size") > region).select(F.col("family").alias("g"), "node", "label")), stars
+    if not large.isEmpty():
+        cells, large, more = cut_into_cells(large, sized, region)
+        small, found = small.unionByName(cells), found if more is None else found.unionByName(more)
+    small = small.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "label")
+    # Of what stays large each opening is a region; of those with the same members one is enough.
+    large = member.join(large.select("node", "label").distinct(), "node")
     mixed = large.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.xxhash64(F.lit("~"), "node").cast("decimal(38,0)")).alias("t"))
     mixed = mixed.filter("x != y").groupBy("size", "h", "t").agg(F.min("s").alias("s"))
     large = large.join(mixed.select("s", "size"), "s")
@@ -235,7 +277,7 @@ def links_of(known: DataFrame, region: int = REGION) -> DataFrame:
         return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype=object)
 
     more = small.unionByName(large).join(known.select("node", "shingles"), "node").groupBy("g", "i", "j").applyInPandas(releasing(join), "a string, b string")
-    return stars.unionByName(more)
+    return found.unionByName(more)
 
 
 def placed(docs: DataFrame, region: int = REGION) -> DataFrame:
