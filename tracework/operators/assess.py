@@ -103,15 +103,22 @@ def ranked(parts: DataFrame, most: int) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def interval_contributors(found: DataFrame, line: DataFrame, k: int) -> DataFrame:
+def interval_contributors(found: DataFrame, line: DataFrame, k: int, rows_a_range: int = 500) -> DataFrame:
     """(view, start, end, rank, key, contribution, share): the k largest contributors of every interval.
 
-    Stretches meet the intervals they span by range of the axis, an equal join, then by time.
+    Stretches meet the intervals they span by range of the axis, an equal join, then by time. Of the stretches that span a whole
+    range only the k largest can be among the first k of any of its intervals; all others end or begin in the range, so that an
+    interval meets at most k and as many as its range has boundaries.
     """
-    cut = ranges(line, "start", 2_000)
+    cut = ranges(line, "start", rows_a_range)
     spans = key_steps(found).select("view", "key", "apart", F.col("start").alias("a"), F.col("end").alias("b"))
-    spans = spans.withColumn("r", F.explode(F.sequence(range_of(F.col("a"), cut), range_of(F.col("b"), cut))))
-    each = line.withColumn("r", range_of(F.col("start"), cut)).join(spans, ["view", "r"]).filter((F.col("start") >= F.col("a")) & (F.col("start") < F.col("b")))
+    spans = spans.withColumns({"ra": range_of(F.col("a"), cut), "rb": range_of(F.col("b"), cut)})
+    cols = ["view", "key", "apart", "a", "b", "r"]
+    ends = spans.withColumn("r", F.explode(F.array_distinct(F.array("ra", "rb")))).select(*cols)
+    whole = spans.filter("rb > ra + 1").withColumn("r", F.explode(F.sequence(F.col("ra") + 1, F.col("rb") - 1))).select(*cols)
+    most = F.row_number().over(Window.partitionBy("view", "r").orderBy(F.desc("apart"), "key"))
+    whole = whole.withColumn("most", most).filter(F.col("most") <= k).select(*cols)
+    each = line.withColumn("r", range_of(F.col("start"), cut)).join(ends.unionByName(whole), ["view", "r"]).filter((F.col("start") >= F.col("a")) & (F.col("start") < F.col("b")))
     each = each.withColumn("share", F.col("apart") / F.col("total"))
     w = Window.partitionBy("view", "start").orderBy(F.desc("share"), "key")
     return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("view", "start", "end", "rank", "key", (F.col("share") * F.col("duration")).alias("contribution"), "share")
