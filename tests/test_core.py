@@ -1,5 +1,7 @@
 """Hand-computed cases of the process-log engine."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -11,7 +13,9 @@ from tracework.operators import aggregates as A
 from tracework.operators import assess as B
 from tracework.operators import cuts as C
 from tracework.operators import distances as D
+from tracework.operators import experiment as X
 from tracework.operators import ranking as R
+from tracework.operators import snapshot as P
 from tracework.operators import sweep as M
 from tracework.operators import transforms as T
 from tracework.operators import windows as W
@@ -67,6 +71,94 @@ def test_disjoint_empty_and_zero_length(spark):
     assert M.steps(M.instances(log(spark, ("c", "Z", 10, 10, "R"), ("c", "A", 11, 12, "R")), a.limit(0), ["activity"])).count() == 2
 
 
+def random_pair(spark, n=40):
+    r = random.Random(17)
+    out = []
+    for _ in range(2):
+        starts = [r.randint(0, 40) for _ in range(n)]
+        out.append([(f"c{r.randint(0, 5)}", r.choice("ABC"), s, s + r.randint(0, 9), f"R{r.randint(0, 2)}") for s in starts])
+    return out, [log(spark, *x) for x in out]
+
+
+def active(rows, t, key):
+    return Counter(key(x) for x in rows if x[2] <= t < x[3])
+
+
+def test_state_distances_by_definition(spark):
+    """Every boundary's multisets, built one by one."""
+    (a, b), logs = random_pair(spark)
+    got = {(r["view"], r["distance"]): r["summary_distance"] for r in M.state_distances(*logs, ["activity", "case", "activity_case"]).collect()}
+    times = sorted({t for x in a + b if x[3] > x[2] for t in x[2:4]})
+    for view, key in (("activity", lambda x: x[1]), ("case", lambda x: x[0]), ("activity_case", lambda x: (x[1], x[0]))):
+        jaccard = cardinality = 0.0
+        for t, u in zip(times, times[1:], strict=False):
+            x, y = active(a, t, key), active(b, t, key)
+            most, n, m = sum((x | y).values()), sum(x.values()), sum(y.values())
+            jaccard += (u - t) * (1 - sum((x & y).values()) / most if most else 0)
+            cardinality += (u - t) * (abs(n - m) / max(n, m) if max(n, m) else 0)
+        assert got[view, "jaccard"] == pytest.approx(jaccard / (times[-1] - times[0])) and got[view, "cardinality"] == pytest.approx(cardinality / (times[-1] - times[0]))
+
+
+def test_assessment_by_definition(spark):
+    """Scores, contributions and each interval's contributors from multisets built one by one; waiting times filled within the case."""
+    (a, b), logs = random_pair(spark)
+    found = B.assess(*logs, views=["activity", "activity_phase"], top=2)
+    good = [[x for x in rows if x[3] > x[2]] for rows in (a, b)]
+    assert {r["log"]: (r["valid"], r["invalid"]) for r in found["meta"].collect()} == {k: (len(g), 40 - len(g)) for k, g in zip("ab", good, strict=True)}
+
+    def phases(rows):
+        out, order = [], sorted(range(len(rows)), key=lambda i: (rows[i][2], rows[i][3], i))
+        for n, i in enumerate(order):
+            c, act, s, t, r = rows[i]
+            out.append((c, (act, "processing"), s, t, r))
+            before = [rows[j][3] for j in order[:n] if rows[j][0] == c]
+            if before and before[-1] < s:
+                out.append((c, (act, "waiting"), before[-1], s, r))
+        return out
+
+    score = {r["view"]: r["overall_score"] for r in found["scores"].collect()}
+    parts = {(r["view"], tuple(r["key"])): r["contribution"] for r in found["contributors"].collect()}
+    best = {(r["view"], r["start"], r["rank"]): (tuple(r["key"]), r["share"]) for r in found["intervals"].collect()}
+    zero = DAY.timestamp()
+    for view, key, (x, y) in (("activity", lambda e: (e[1],), good), ("activity_phase", lambda e: e[1], [phases(g) for g in good])):
+        times = sorted({t for e in x + y for t in e[2:4]})
+        area, by, want = 0.0, Counter(), {}
+        for t, u in zip(times, times[1:], strict=False):
+            p, q = active(x, t, key), active(y, t, key)
+            total = sum(p.values()) + sum(q.values())
+            apart = {k: abs(p[k] - q[k]) for k in p | q if p[k] != q[k]}
+            area += (u - t) * 3600 * (sum(apart.values()) / total if total else 0)
+            for k, v in apart.items():
+                by[k] += (u - t) * 3600 * v / total
+            for rank, k in enumerate(sorted(apart, key=lambda k: (-apart[k], k))[:2]):
+                want[view, zero + 3600 * t, rank + 1] = (k, pytest.approx(apart[k] / total))
+        assert score[view] == pytest.approx(area / (times[-1] - times[0]) / 3600)
+        assert {k[1]: v for k, v in parts.items() if k[0] == view} == {k: pytest.approx(v) for k, v in by.items()}
+        assert {k: v for k, v in best.items() if k[0] == view} == want
+
+
+def test_concurrency_by_definition(spark):
+    """Shares of overlapping pairs and the last end before a start, from all pairs of a case."""
+    (a, _), (one_log, _) = random_pair(spark)
+    over, last = {}, {}
+    for i, x in enumerate(a):
+        for j, y in enumerate(a):
+            if i != j and x[0] == y[0]:
+                if x[1] != y[1]:
+                    over.setdefault((x[1], y[1]), []).append(x[2] < y[3] and y[2] < x[3])
+                if y[3] <= x[2]:
+                    last[i, y[1]] = max(y[3], last.get((i, y[1]), -1))
+    for share in (0.1, 0.2, 0.3, 0.5):
+        assert {tuple(r) for r in P.concurrent_pairs(one_log, share).collect()} == {k for k, v in over.items() if sum(v) / len(v) >= share}
+    assert {(r["id"], r["b"]): (r["last"] - us(0)) // HOUR for r in P.ends_before(one_log).collect() if r["last"] is not None} == last
+
+
+def test_metric_rows_with_an_unmapped_resource(spark, pair):
+    roles = spark.createDataFrame([("R1", "desk")], "resource string, role string")
+    got = {r["metric"]: r["value"] for r in X.metric_rows(*pair, 0, 0, 0, "B", (us(9), us(15)), roles).collect()}
+    assert got["activity_role.jaccard"] == pytest.approx(1 / 6)
+
+
 def test_unknown_role_is_an_error(spark, pair):
     with pytest.raises(Exception, match="no role"):
         M.state_distances(*pair, ["activity_role"], roles=spark.createDataFrame([("R1", "x")], "resource string, role string")).collect()
