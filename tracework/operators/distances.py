@@ -25,7 +25,7 @@ def wasserstein(hist: DataFrame, *keys: str) -> DataFrame:
     merged = hist.groupBy(*keys, "bin").agg(*[v.alias(k) for k, v in sides.items()])
     total = merged.groupBy(*keys).agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     line = running(merged, list(keys), "bin", ["na", "nb"])
-    line = line.join(F.broadcast(total), list(keys)) if keys else line.crossJoin(F.broadcast(total))
+    line = line.join(total, list(keys)) if keys else line.crossJoin(F.broadcast(total))
     gap = F.abs(F.try_divide(F.col("run_na"), F.col("ta")) - F.try_divide(F.col("run_nb"), F.col("tb"))) * F.coalesce(F.col("next_bin") - F.col("bin"), F.lit(0))
     return line.groupBy(*keys).agg(F.when((F.max("ta") > 0) & (F.max("tb") > 0), F.sum(gap)).alias("distance"), F.max("ta").alias("na"), F.max("tb").alias("nb"))
 

@@ -69,7 +69,7 @@ def by_activity(log: DataFrame, cuts: DataFrame) -> DataFrame:
     pick = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
     each = both.groupBy("t", "activity").agg(F.count_distinct(pick("enabled", "case_id")).alias("wip_enabled"), F.count_distinct(pick("ongoing", "case_id")).alias("wip_ongoing"), F.max(pick("enabled", "age")).alias("e"), F.max(pick("ongoing", "age")).alias("o"))
     most = each.groupBy("t").agg(F.max(F.greatest("e", "o")).alias("most"))
-    grid = cuts.select("t").crossJoin(F.broadcast(log.select("activity").distinct()))
+    grid = cuts.select("t").crossJoin(log.select("activity").distinct())
     part = lambda c, base: F.coalesce(F.try_divide(F.lit(0.5) * F.col(c), F.col("most")) + base, F.lit(0.0))
     out = grid.join(each, ["t", "activity"], "left").join(most, "t", "left")
     return out.select("t", "activity", F.coalesce("wip_enabled", F.lit(0)).alias("wip_enabled"), F.coalesce("wip_ongoing", F.lit(0)).alias("wip_ongoing"), F.greatest(part("e", 0.0), part("o", 0.5)).alias("state"))

@@ -121,8 +121,8 @@ def swap_roles(log: DataFrame, roles: DataFrame, from_role: str, to_role: str, n
         raise InvalidLog("not enough activities of that role alone")
     target = numbered(roles.filter(F.col("role") == to_role).select("resource").distinct().withColumnRenamed("resource", "_new"), "_new")
     size = target.count()
-    hit = log.join(F.broadcast(chosen.withColumn("_hit", F.lit(True))), "activity", "left").withColumn("_k", F.pmod(F.col("id"), F.lit(size)))
-    return hit.join(F.broadcast(target), hit["_k"] == target["n"], "left").withColumn("resource", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("resource"))).drop("_hit", "_k", "_new", "n")
+    hit = log.join(chosen.withColumn("_hit", F.lit(True)), "activity", "left").withColumn("_k", F.pmod(F.col("id"), F.lit(size)))
+    return hit.join(target, hit["_k"] == target["n"], "left").withColumn("resource", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("resource"))).drop("_hit", "_k", "_new", "n")
 
 
 def shift_clock(log: DataFrame, hours: float, roles: DataFrame | None = None, role: str | None = None) -> DataFrame:
