@@ -470,9 +470,9 @@ def test_mixing(docs, plain):
     total = sum(r["n_tokens"] for r in got)
     assert total == sum(len(words_of(x)) for _, x in plain)
     assert sum(r["n_tokens"] * r["p"] for r in got) <= total * mixing.BUDGET * 1.01
-    assert mixing.digest(docs.limit(0)).count() == 0 and set(docs.columns) < set(mixing.stage(docs).columns)
-    odd = docs.withColumnRenamed("batch", "mix_p").withColumnRenamed("node", "mix_topic")
-    assert mixing.stage(odd).count() == mixing.stage(docs).count() and mixing.stage(odd).columns.count("mix_p") == 1
+    assert mixing.digest(docs.limit(0)).count() == 0
+    odd = mixing.stage(docs.withColumnRenamed("batch", "mix_p").withColumnRenamed("node", "mix_topic"))
+    assert odd.count() == len({r["doc_id"] for r in got if r["selected"]}) and odd.columns.count("mix_p") == 1 and "row" in odd.columns
 
 
 def plain_raking(cells, targets):
