@@ -65,15 +65,16 @@ def released() -> None:
 
 
 def least_hashed(rows: DataFrame, key: str, most: int) -> pd.DataFrame:
-    """(doc_id, key) of the `most` rows of each value of key whose doc_id has the least hash, on the driver.
+    """(doc_id, key) of the `most` ids of each value of key whose doc_id has the least hash, on the driver.
 
-    Values are counted first; of a frequent one only rows with a hash below about 2 most / count leave their tasks, so that no
+    Repeated rows are one. Values are counted first; of a frequent one only rows with a hash below about 2 most / count leave their tasks, so that no
     value is gathered in one task, and the driver gets about twice what it keeps.
     """
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    rows = rows.select("doc_id", key).distinct()
     counts = rows.groupBy(F.col(key).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
     near = rows.join(counts, F.col(key) == F.col("_value")).filter(u < (2 * most + 50) / F.col("_n"))
-    got = near.select("doc_id", key, u.alias("_u")).distinct().toPandas()
+    got = near.select("doc_id", key, u.alias("_u")).toPandas()
     return got.sort_values(["_u", "doc_id"]).groupby(key, sort=False).head(most)[["doc_id", key]]
 
 
