@@ -19,7 +19,7 @@ from tracework.operators import snapshot as P
 from tracework.operators import sweep as M
 from tracework.operators import transforms as T
 from tracework.operators import windows as W
-from tracework.operators.running import running
+from tracework.operators.running import numbered, running
 
 DAY = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "id long, case_id string, activity string, resource string, start_time timestamp, end_time timestamp"
@@ -68,7 +68,7 @@ def test_disjoint_empty_and_zero_length(spark):
     assert one(M.state_distances(a, b, ["activity"]), distance="jaccard")["summary_distance"] == pytest.approx(2 / 3)
     got = one(M.state_distances(a, a.limit(0), ["activity"]), distance="jaccard")
     assert got["summary_distance"] == 1 and got["total_duration_seconds"] == 3600
-    assert M.steps(M.instances(log(spark, ("c", "Z", 10, 10, "R"), ("c", "A", 11, 12, "R")), a.limit(0), ["activity"])).count() == 2
+    assert M.steps(M.keyed_steps(M.instances(log(spark, ("c", "Z", 10, 10, "R"), ("c", "A", 11, 12, "R")), a.limit(0), ["activity"]))).count() == 2
 
 
 def random_pair(spark, n=40):
@@ -172,12 +172,40 @@ def test_validation(spark):
 
 
 def test_running_over_ranges(spark):
-    df = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("t"), (F.col("id") % 3).alias("d"))
-    rows = running(df, ["k"], "t", ["d"], found=[100, 101, 500]).orderBy("t").collect()
-    total = 0
-    for i, r in enumerate(rows):
-        total += i % 3
-        assert r["run_d"] == total and r["next_t"] == (i + 1 if i < 999 else None)
+    """Sums, next places and positions over ranges of 20 rows equal those of one window; orders are numbers, strings and structs, nulls too."""
+    keys = [("k" if i % 3 else None, i, i % 5) for i in range(1000)] + [(f"few{i % 40}", i, 1) for i in range(200)]
+    df = spark.createDataFrame(keys, "k string, t long, d int").repartition(7)
+    df = df.withColumns({"s": F.md5(F.col("t").cast("string")), "o": F.struct((F.col("t") % 10).alias("x"), "t")})
+    for order in ("t", "s", "o"):
+        want = running(df, ["k"], order, ["d"]).collect()
+        got = running(df, ["k"], order, ["d"], rows_a_range=20).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 1200
+        assert got[0].asDict().keys() == want[0].asDict().keys()
+    one = df.filter("k = 'k'")
+    for order in (["t"], ["s"], ["o"], ["d", "t"]):
+        want = sorted(one.collect(), key=lambda r: tuple(r[c] for c in order))
+        got = {r["t"]: r["n"] for r in numbered(one, *order, rows_a_range=20).collect()}
+        assert got == {r["t"]: i for i, r in enumerate(want)}
+    assert sorted(map(repr, running(one, [], "s", ["d"], 20).collect())) == sorted(map(repr, running(one, [], "s", ["d"]).collect()))
+
+
+def test_transforms_over_ranges(spark, monkeypatch):
+    """Draws and arrivals counted over ranges of 20 rows give the rows that one window gives."""
+    rows = [(f"c{i % 150}", "AB"[i % 2], i // 3, i // 3 + 2, f"R{i % 7}") for i in range(600)]
+    x = log(spark, *rows).withColumn("case_type", F.when(F.pmod(F.xxhash64("case_id"), F.lit(3)) == 0, "p").otherwise("q")).repartition(5)
+    other = x.withColumn("activity", F.lower("activity"))
+    made = {
+        "relabel": lambda: T.relabel_fraction(x, "A", "Z", 0.4),
+        "mix": lambda: T.merge_at_ratio(x, other, 0.3, 100),
+        "swap": lambda: T.swap_case_types(x, 0.5),
+        "drift": lambda: T.drift_case_types(x, 0.6),
+        "roles": lambda: T.swap_roles(x, spark.createDataFrame([(f"R{i}", "ab"[i == 6]) for i in range(7)], "resource string, role string"), "a", "b", 0),
+    }
+    want = {k: sorted(map(repr, f().collect())) for k, f in made.items()}
+    changed = [k for k in made if want[k] != sorted(map(repr, x.collect()))]
+    assert {"relabel", "mix", "swap", "drift"} <= set(changed)
+    monkeypatch.setattr(T, "numbered", lambda df, *order: numbered(df, *order, rows_a_range=20))
+    assert {k: sorted(map(repr, f().collect())) for k, f in made.items()} == want
 
 
 def test_cuts(spark):
@@ -234,7 +262,7 @@ def test_subsets(spark):
 
 def test_assessment(pair):
     a, b = (W.normalise_events(x)[0] for x in pair)
-    found = B.intervals(a, b, ["activity"])
+    found = B.Sweep(B.intervals(a, b, ["activity"]))
     assert B.scores(B.timeline(found)).first()["overall_score"] == pytest.approx(1 / 3)
     parts = {r["key"][0]: r["share"] for r in B.contributors(found).collect()}
     assert parts == {"B": pytest.approx(0.5), "C": pytest.approx(0.5)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracework.operators.running import range_of, ranges, running
-from tracework.operators.sweep import cuts_of, keyed_steps, steps
+from tracework.operators.sweep import Sweep, key_names
 from tracework.operators.windows import fill_enable, normalise_events, normalise_times
 
 VIEWS = ("activity", "activity_case", "activity_resource", "activity_case_resource", "resource", "case", "activity_role", "activity_phase")
@@ -64,10 +64,11 @@ def intervals(a: DataFrame, b: DataFrame, views: list[str], role_mapping: bool =
     return one(a, 0).unionByName(one(b, 1))
 
 
-def timeline(found: DataFrame, cut: list | None = None) -> DataFrame:
+def timeline(sweep: Sweep) -> DataFrame:
     """(view, start, end, duration, distance, total) between change points of each view."""
-    s = steps(found, cut).filter("next_t IS NOT NULL")
-    return s.select("view", F.col("t").alias("start"), F.col("next_t").alias("end"), (F.col("next_t") - F.col("t")).alias("duration"), F.when(F.col("total") > 0, F.col("apart") / F.col("total")).otherwise(0.0).alias("distance"), "total")
+    s = sweep.steps.filter("next_t IS NOT NULL")
+    distance = F.when(F.col("total") > 0, F.col("apart") / F.col("total")).otherwise(0.0)
+    return s.select("view", F.col("t").alias("start"), F.col("next_t").alias("end"), (F.col("next_t") - F.col("t")).alias("duration"), distance.alias("distance"), "total")
 
 
 def scores(line: DataFrame) -> DataFrame:
@@ -75,25 +76,26 @@ def scores(line: DataFrame) -> DataFrame:
     return line.groupBy("view").agg(F.coalesce(F.try_divide(F.sum(F.col("distance") * F.col("duration")), F.sum("duration")), F.lit(0.0)).alias("overall_score"))
 
 
-def key_steps(found: DataFrame, cut: list | None = None) -> DataFrame:
-    """(view, key, start, end, apart): stretches over which a key's counts differ by a constant amount."""
-    out = keyed_steps(found, cuts_of(found) if cut is None else cut).withColumn("apart", F.abs(F.col("run_da") - F.col("run_db")))
-    return out.filter("apart <> 0").select("view", "key", F.col("at").alias("start"), F.col("next_at").alias("end"), "apart")
+def key_steps(sweep: Sweep) -> DataFrame:
+    """(view, k1, k2, start, end, apart): stretches over which a key's counts differ by a constant amount."""
+    out = sweep.keyed.withColumn("apart", F.abs(F.col("run_da") - F.col("run_db")))
+    return out.filter("apart <> 0").select("view", "k1", "k2", F.col("at").alias("start"), F.col("next_at").alias("end"), "apart")
 
 
-def contributors(found: DataFrame, cut: list | None = None) -> DataFrame:
+def contributors(sweep: Sweep) -> DataFrame:
     """(view, key, contribution, share): each key's part of the area under the distance.
 
     With F the running integral of 1 / total over a view's timeline, a key that is apart by c on [s, e) contributes
     c (F(e) - F(s)); both ends are points of the timeline, so two equal joins do.
     """
-    cut = cuts_of(found) if cut is None else cut  # one sweep serves the timeline and the keys
-    s = steps(found, cut).withColumn("w", F.when(F.col("total") > 0, (F.col("next_t") - F.col("t")) / F.col("total")).otherwise(0.0)).select("view", "t", F.coalesce("w", F.lit(0.0)).alias("w"))
-    area = running(s, ["view"], "t", ["w"], cut).select("view", "t", (F.col("run_w") - F.col("w")).alias("f"))
-    k = key_steps(found, cut)
+    w = F.when(F.col("total") > 0, (F.col("next_t") - F.col("t")) / F.col("total")).otherwise(0.0)
+    s = sweep.steps.select("view", "t", F.coalesce(w, F.lit(0.0)).alias("w"))
+    area = running(s, ["view"], "t", ["w"], sweep.rows_a_range).select("view", "t", (F.col("run_w") - F.col("w")).alias("f"))
+    k = key_steps(sweep)
     k = k.join(area.select("view", F.col("t").alias("start"), F.col("f").alias("f0")), ["view", "start"]).join(area.select("view", F.col("t").alias("end"), F.col("f").alias("f1")), ["view", "end"])
-    parts = k.groupBy("view", "key").agg(F.sum(F.col("apart") * (F.col("f1") - F.col("f0"))).alias("contribution")).filter("contribution > 0")
+    parts = k.groupBy("view", "k1", "k2").agg(F.sum(F.col("apart") * (F.col("f1") - F.col("f0"))).alias("contribution")).filter("contribution > 0")
     total = parts.groupBy("view").agg(F.sum("contribution").alias("all"))
+    parts = parts.join(key_names(sweep.found), ["view", "k1", "k2"])
     return parts.join(total, "view").select("view", "key", "contribution", (F.col("contribution") / F.col("all")).alias("share"))
 
 
@@ -103,15 +105,17 @@ def ranked(parts: DataFrame, most: int) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def interval_contributors(found: DataFrame, line: DataFrame, k: int, rows_a_range: int = 500) -> DataFrame:
+def interval_contributors(sweep: Sweep, k: int, rows_a_range: int = 500) -> DataFrame:
     """(view, start, end, rank, key, contribution, share): the k largest contributors of every interval.
 
     Stretches meet the intervals they span by range of the axis, an equal join, then by time. Of the stretches that span a whole
     range only the k largest can be among the first k of any of its intervals; all others end or begin in the range, so that an
-    interval meets at most k and as many as its range has boundaries.
+    interval meets at most k and as many as its range has boundaries. Equal amounts are told apart by the key's parts.
     """
+    line = timeline(sweep)
     cut = ranges(line, "start", rows_a_range)
-    spans = key_steps(found).select("view", "key", "apart", F.col("start").alias("a"), F.col("end").alias("b"))
+    named = key_steps(sweep).join(key_names(sweep.found), ["view", "k1", "k2"])
+    spans = named.select("view", "key", "apart", F.col("start").alias("a"), F.col("end").alias("b"))
     spans = spans.withColumns({"ra": range_of(F.col("a"), cut), "rb": range_of(F.col("b"), cut)})
     cols = ["view", "key", "apart", "a", "b", "r"]
     ends = spans.withColumn("r", F.explode(F.array_distinct(F.array("ra", "rb")))).select(*cols)
@@ -160,9 +164,8 @@ def assess(a: DataFrame, b: DataFrame, roles: DataFrame | None = None, views: li
     if bounds:
         pair = list(normalise_times(*pair, *(bounds if isinstance(bounds, tuple) else ())))
     chosen = select_views(views, *pair, roles is not None)
-    found = intervals(*pair, chosen, roles is not None, case_mode)
-    cut = cuts_of(found)
-    line, parts = timeline(found, cut), contributors(found, cut)
+    sweep = Sweep(intervals(*pair, chosen, roles is not None, case_mode))
+    line, parts = timeline(sweep), contributors(sweep)
     score = scores(line)
     place = F.row_number().over(Window.partitionBy("view").orderBy(F.desc("contribution"), "key"))
-    return {"meta": meta, "scores": top_views(score, len(VIEWS)), "timeline": line, "contributors": parts.withColumn("rank", place), "intervals": interval_contributors(found, line, top), "text": interpretation(score, parts)}
+    return {"meta": meta, "scores": top_views(score, len(VIEWS)), "timeline": line, "contributors": parts.withColumn("rank", place), "intervals": interval_contributors(sweep, top), "text": interpretation(score, parts)}

@@ -1,4 +1,9 @@
-"""Running sums over an ordered axis without a window that runs in a single task."""
+"""Positions and running sums over an ordered axis without a window that runs in a single task.
+
+Beyond ROWS_A_RANGE rows Spark's range partitioning cuts the axis: its bounds come from a sample of the order columns themselves,
+whatever their type, and the number of ranges grows with the rows. The table is written with its ranges, each range is summed on
+its own, and one small row per range says what came before it.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most ranges of the axis; each bound is one number on the driver. A task sorts about ROWS_A_RANGE rows.
-MOST_RANGES, ROWS_A_RANGE = 4096, 500_000
+from tracework.sources.scratch import stored
+
+#: A task sorts about so many rows.
+ROWS_A_RANGE = 500_000
+#: Most bins of a time axis by which stretches and points meet (each bound is one number on the driver).
+MOST_RANGES = 4096
 
 
 def ranges(df: DataFrame, order: str, rows_a_range: int = ROWS_A_RANGE) -> list:
-    """Bounds that cut the axis into ranges of about equally many rows; one pass, and for a large axis a second one."""
+    """Bounds that bin a numeric axis into parts of about equally many rows, for joins of stretches with points."""
     n = df.count()
     k = max(1, min(MOST_RANGES, n // rows_a_range))
     if k == 1:
@@ -28,23 +37,59 @@ def range_of(order: Column, found: list) -> Column:
     return F.aggregate(halves, F.lit(0), lambda acc, k: F.when(F.get(array, acc + k - 1) <= order, acc + k).otherwise(acc))
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: list[str], found: list | None = None) -> DataFrame:
+def cut(df: DataFrame, order: list[str], rows: int, rows_a_range: int) -> DataFrame:
+    """df by ranges of the order columns, written, with _range and _at, the row's place in its range in that order."""
+    k = -(-rows // rows_a_range)
+    sorted_rows = df.repartitionByRange(k, *order).sortWithinPartitions(*order)
+    # The id counts a partition's rows as they come, below bit 33.
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(sorted_rows.withColumns({"_range": F.spark_partition_id(), "_at": at}))
+
+
+def numbered(df: DataFrame, *order: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """df with n, its rows' positions from 0 by the order columns (of any type, nulls first), which must tell different rows apart."""
+    rows = df.count()
+    if rows <= rows_a_range:
+        return df.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    df = cut(df, list(order), rows, rows_a_range)
+    sizes = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # a row a range
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(sizes.select("_range", before.alias("_before")), "_range").withColumn("n", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def running(df: DataFrame, keys: list[str], order: str, sums: list[str], rows_a_range: int = ROWS_A_RANGE, kept: bool = False) -> DataFrame:
     """df with run_<c>, the sum of c up to and with this row, for each of sums, and next_<order>.
 
-    Rows must be unique by keys and order. Each range of the axis is summed on its own; what came before it is one row per
-    key and range, summed by a second, small window.
+    Rows must be unique by keys and order. df is written first, as it is counted and then summed; kept says that it is a written
+    table already. Keys are dealt over tasks; only those with more rows than a range has are cut into ranges (split_sums).
     """
-    found = ranges(df, order) if found is None else found
-    if not found:  # few rows: one range holds all
-        w = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumns({f"run_{c}": F.sum(c).over(w) for c in sums} | {f"next_{order}": F.lead(order).over(w)})
-    df = df.withColumn("_range", range_of(F.col(order), found))
+    df = df if kept else stored(df)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_a_range)
+    hot = stored(counts) if keys else counts  # at most rows / rows_a_range of them
+    rows = hot.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    w = Window.partitionBy(*keys).orderBy(order)
+    plain = lambda x: x.withColumns({f"run_{c}": F.sum(c).over(w) for c in sums} | {f"next_{order}": F.lead(order).over(w)})
+    if not rows:
+        return plain(df)
+    if not keys:
+        return split_sums(df, keys, order, sums, rows, rows_a_range)
+    same = [df[k].eqNullSafe(hot[k]) for k in keys]
+    large = df.join(hot, same, "left_semi")
+    return plain(df.join(hot, same, "left_anti")).unionByName(split_sums(large, keys, order, sums, rows, rows_a_range))
+
+
+def split_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], rows: int, rows_a_range: int) -> DataFrame:
+    """running() by ranges along keys and order. A key has one row in each of its ranges, whose sums say what came before."""
+    df = cut(df, [*keys, order], rows, rows_a_range).drop("_at")
     total = df.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums], F.min(order).alias("_first"))
     w = Window.partitionBy(*keys).orderBy("_range")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums], F.lead("_first").over(w).alias("_after"))
+    total = total.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_in"), *[F.sum(f"_t_{c}").over(before).alias(f"_b_{c}") for c in sums], F.lead("_first").over(w).alias("_after"))
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
-    df = df.withColumns({f"_i_{c}": F.sum(c).over(inside) for c in sums} | {"_next": F.lead(order).over(inside)})
-    out = df.join(total, [*keys, "_range"])
-    out = out.withColumns({f"run_{c}": F.col(f"_i_{c}") + F.col(f"_b_{c}") for c in sums} | {f"next_{order}": F.coalesce("_next", "_after")})
-    return out.drop("_range", "_next", "_after", *[f"_{p}_{c}" for p in "ib" for c in sums])
+    out = df.withColumns({f"_i_{c}": F.sum(c).over(inside) for c in sums} | {"_next": F.lead(order).over(inside)})
+    same = F.col("_range") == F.col("_in")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = out.join(total, same)
+    out = out.withColumns({f"run_{c}": F.col(f"_i_{c}") + F.coalesce(F.col(f"_b_{c}"), F.lit(0)) for c in sums} | {f"next_{order}": F.coalesce("_next", "_after")})
+    return out.drop("_range", "_in", "_next", "_after", *[f"_k_{k}" for k in keys], *[f"_{p}_{c}" for p in "ib" for c in sums])

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracework.functions.scalar import SECOND, micros
-from tracework.operators.running import ROWS_A_RANGE, ranges, running
+from tracework.operators.running import ROWS_A_RANGE, running
+from tracework.sources.scratch import stored
 
 #: View name to the key of an instance.
 VIEWS = {
@@ -59,34 +60,56 @@ def instances(a: DataFrame, b: DataFrame, views: list[str], roles: DataFrame | N
     return one(a, 0).unionByName(one(b, 1))
 
 
-def keyed_steps(found: DataFrame, cut: list) -> DataFrame:
-    """(view, key, at, da, db, run_da, run_db, next_at): how many instances of a key each log has from a boundary of the key on."""
+def keyed_steps(found: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """(view, k1, k2, at, da, db, run_da, run_db, next_at): how many instances of a key each log has from a boundary of the key on.
+
+    A key travels as 128 bits of hash; key_names() has its parts.
+    """
     sides = [F.when(F.col("side") == k, F.col("d")).otherwise(0) for k in (0, 1)]
-    edges = found.select("view", "key", "side", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("t").alias("at"), F.lit(-1).alias("d")))).alias("e")).select("view", "key", "side", F.col("e.at").alias("at"), F.col("e.d").alias("d"))
-    deltas = edges.groupBy("view", "key", "at").agg(F.sum(sides[0]).alias("da"), F.sum(sides[1]).alias("db"))
-    return running(deltas, ["view", "key"], "at", ["da", "db"], cut)
+    both = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("t").alias("at"), F.lit(-1).alias("d")))
+    edges = found.select("view", *_hashes(), "side", F.explode(both).alias("e")).select("view", "k1", "k2", "side", "e.at", "e.d")
+    deltas = edges.groupBy("view", "k1", "k2", "at").agg(F.sum(sides[0]).alias("da"), F.sum(sides[1]).alias("db"))
+    return running(deltas, ["view", "k1", "k2"], "at", ["da", "db"], rows_a_range)
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("~"), "key").alias("k2")]
 
 
-def cuts_of(found: DataFrame) -> list:
-    """Ranges of the time axis by the instances' starts, before anything is summed; each instance has two boundaries."""
-    return ranges(found, "s", ROWS_A_RANGE // 2)
+def key_names(found: DataFrame) -> DataFrame:
+    """(view, k1, k2, key): the parts of each key, a row a key."""
+    return found.select("view", *_hashes(), "key").groupBy("view", "k1", "k2").agg(F.first("key").alias("key"))
 
 
-def steps(found: DataFrame, cut: list | None = None) -> DataFrame:
+def steps(keyed: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """(view, t, next_t, low, high, apart, total) at every boundary: sums over keys of min, max, |a - b| and a + b."""
-    cut = cuts_of(found) if cut is None else cut
-    keyed = keyed_steps(found, cut)
     a, b, pa, pb = F.col("run_da"), F.col("run_db"), F.col("run_da") - F.col("da"), F.col("run_db") - F.col("db")
     change = keyed.groupBy("view", "at").agg(
-        F.sum(F.least(a, b) - F.least(pa, pb)).alias("low"), F.sum(F.greatest(a, b) - F.greatest(pa, pb)).alias("high"), F.sum(F.abs(a - b) - F.abs(pa - pb)).alias("apart"), F.sum(a + b - pa - pb).alias("total"), F.sum("da").alias("a"), F.sum("db").alias("b")
+        F.sum(F.least(a, b) - F.least(pa, pb)).alias("low"),
+        F.sum(F.greatest(a, b) - F.greatest(pa, pb)).alias("high"),
+        F.sum(F.abs(a - b) - F.abs(pa - pb)).alias("apart"),
+        F.sum(a + b - pa - pb).alias("total"),
+        F.sum("da").alias("a"),
+        F.sum("db").alias("b"),
     )
-    out = running(change, ["view"], "at", ["low", "high", "apart", "total", "a", "b"], cut)
-    return out.select("view", F.col("at").alias("t"), F.col("next_at").alias("next_t"), *[F.col(f"run_{c}").alias(c) for c in ("low", "high", "apart", "total", "a", "b")])
+    sums = ["low", "high", "apart", "total", "a", "b"]
+    out = running(change, ["view"], "at", sums, rows_a_range)
+    return out.select("view", F.col("at").alias("t"), F.col("next_at").alias("next_t"), *[F.col(f"run_{c}").alias(c) for c in sums])
+
+
+class Sweep:
+    """One sweep of some instances, written once for all that reads it: boundaries of each key, and of each view."""
+
+    def __init__(self, found: DataFrame, rows_a_range: int = ROWS_A_RANGE):
+        self.found = found
+        self.keyed = stored(keyed_steps(found, rows_a_range))
+        self.steps = stored(steps(self.keyed, rows_a_range))
+        self.rows_a_range = rows_a_range
 
 
 def timeline(found: DataFrame) -> DataFrame:
     """(view, distance, t, next_t, d): each distance at each boundary."""
-    s = steps(found)
+    s = steps(keyed_steps(found))
     jaccard = F.when(F.col("high") > 0, 1 - F.col("low") / F.col("high")).otherwise(0.0)
     most = F.greatest("a", "b")
     cardinality = F.when(most > 0, F.abs(F.col("a") - F.col("b")) / most).otherwise(0.0)

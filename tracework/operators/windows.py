@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tracework.functions.scalar import SECOND, micros, moment
 from tracework.log import InvalidLog, bounds, case_bounds
+from tracework.operators.running import numbered
 
 
 def clipped(log: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -157,10 +158,3 @@ def subsample(cuts: DataFrame, most: int | None) -> DataFrame:
     at = sorted({int((n - 1) * k / (most - 1)) if most > 1 else 0 for k in range(most)})
     ranked = numbered(cuts, "t")
     return ranked.filter(F.col("n").isin(at)).select("t")
-
-
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df, unique by `order`, with n, its rows' positions from 0."""
-    from tracework.operators.running import running
-
-    return running(df.withColumn("_one", F.lit(1)), [], order, ["_one"]).withColumn("n", F.col("run__one") - 1).drop("_one", "run__one", f"next_{order}")

@@ -44,6 +44,10 @@ def _events(x, roles=True):
     return out
 
 
+def _swept(x, views, role_mapping=False, case_mode="interval"):
+    return B.Sweep(B.intervals(*_events(x), views, role_mapping, case_mode))
+
+
 _V = {
     "activity": "[activity]", "activity_case": "[activity, case_id]", "activity_resource": "[activity, resource]", "activity_case_resource": "[activity, case_id, resource]",
     "resource": "[role]", "activity_role": "[activity, role]", "activity_phase": "[activity, 'processing']",
@@ -69,10 +73,10 @@ q AS (SELECT c.view, c.key, sum(abs(a - b) * (f2.f - f1.f)) AS contribution FROM
 
 
 _SCORE = " SELECT view, round(sum(dist * dur) / sum(dur), 6) AS overall_score FROM l GROUP BY view"
-query("b1_b6_scores", _assessed(B.VIEWS) + _SCORE)(lambda x: B.scores(B.timeline(B.intervals(*_events(x), list(B.VIEWS), True))))
-query("b2_case_running", _assessed(["activity_case"]).replace("'activity_case'", "'case'").replace("[activity, case_id]", "[case_id]") + _SCORE)(lambda x: B.scores(B.timeline(B.intervals(*_events(x), ["case"], case_mode="running"))))
+query("b1_b6_scores", _assessed(B.VIEWS) + _SCORE)(lambda x: B.scores(B.timeline(_swept(x, list(B.VIEWS), True))))
+query("b2_case_running", _assessed(["activity_case"]).replace("'activity_case'", "'case'").replace("[activity, case_id]", "[case_id]") + _SCORE)(lambda x: B.scores(B.timeline(_swept(x, ["case"], case_mode="running"))))
 query("b3_phase_intervals", _assessed(["activity_phase"]) + " SELECT key[1] AS activity, key[2] AS phase, side, count(*) AS n, round(sum((t - s) / 1e6), 3) AS seconds FROM i GROUP BY ALL")(
-    lambda x: B.intervals(*_events(x), ["activity_phase"]).groupBy(F.col("key")[0].alias("activity"), F.col("key")[1].alias("phase"), "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") - F.col("s")), 3).alias("seconds"))
+    lambda x: _swept(x, ["activity_phase"]).groupBy(F.col("key")[0].alias("activity"), F.col("key")[1].alias("phase"), "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") - F.col("s")), 3).alias("seconds"))
 )
 @query(
     "b4_default_views",
@@ -86,20 +90,19 @@ def _(x):
 
 
 query("b5_change_points", _assessed(["activity", "case"]) + " SELECT view, count(*) AS n FROM (SELECT DISTINCT view, tp FROM d) GROUP BY 1")(
-    lambda x: M.steps(B.intervals(*_events(x), ["activity", "case"])).groupBy("view").agg(F.count(F.lit(1)).alias("n"))
+    lambda x: _swept(x, ["activity", "case"]).steps.groupBy("view").agg(F.count(F.lit(1)).alias("n"))
 )
 query("b6_timeline", _assessed(["activity_role"]) + " SELECT s, round(dist, 6) AS distance, CAST(dur AS BIGINT) AS duration FROM l")(
-    lambda x: B.timeline(B.intervals(*_events(x), ["activity_role"], True)).select(F.round(F.col("start") * 1e6).cast("long").alias("s"), "distance", F.round("duration").cast("long").alias("duration"))
+    lambda x: B.timeline(_swept(x, ["activity_role"], True)).select(F.round(F.col("start") * 1e6).cast("long").alias("s"), "distance", F.round("duration").cast("long").alias("duration"))
 )
 query("b7_contributors", _assessed(["activity", "resource"]) + ", z AS (SELECT view, sum(contribution) AS a FROM q GROUP BY 1) SELECT view, array_to_string(key, '|') AS key, round(contribution, 2) AS contribution, round(contribution / a, 5) AS share FROM q JOIN z USING (view)")(
-    lambda x: B.contributors(B.intervals(*_events(x), ["activity", "resource"], True)).select("view", F.array_join("key", "|").alias("key"), F.round("contribution", 2).alias("contribution"), F.round("share", 5).alias("share"))
+    lambda x: B.contributors(_swept(x, ["activity", "resource"], True)).select("view", F.array_join("key", "|").alias("key"), F.round("contribution", 2).alias("contribution"), F.round("share", 5).alias("share"))
 )
 
 
 @query("b8_interval_contributors", _assessed(["activity"]) + ", m AS (SELECT l.s, l.tot, c.key, abs(a - b) AS u, row_number() OVER (PARTITION BY l.s ORDER BY abs(a - b) DESC, c.key) AS rank FROM l JOIN c ON c.view = l.view AND c.tp <= l.s AND c.nx > l.s WHERE a <> b) SELECT s, rank, key[1] AS key, round(u / tot, 6) AS share FROM m WHERE rank <= 2")
 def _(x):
-    found = B.intervals(*_events(x), ["activity"])
-    return B.interval_contributors(found, B.timeline(found), 2).select(F.round(F.col("start") * 1e6).cast("long").alias("s"), "rank", F.col("key")[0].alias("key"), "share")
+    return B.interval_contributors(_swept(x, ["activity"]), 2).select(F.round(F.col("start") * 1e6).cast("long").alias("s"), "rank", F.col("key")[0].alias("key"), "share")
 
 
 _RANKED = ", sc AS (SELECT view, sum(dist * dur) / sum(dur) AS score FROM l GROUP BY view), rq AS (SELECT q.*, row_number() OVER (PARTITION BY view ORDER BY round(contribution, 4) DESC, key) AS rank, contribution / sum(contribution) OVER (PARTITION BY view) AS share FROM q)"
@@ -119,19 +122,19 @@ def _(x):
 
 
 query("o3_top_views", _assessed(["activity", "case", "resource"]) + _RANKED + " SELECT view, rank FROM (SELECT view, row_number() OVER (ORDER BY score DESC, view) AS rank FROM sc) WHERE rank <= 2")(
-    lambda x: B.top_views(B.scores(B.timeline(B.intervals(*_events(x), ["activity", "case", "resource"], True))), 2).select("view", "rank")
+    lambda x: B.top_views(B.scores(B.timeline(_swept(x, ["activity", "case", "resource"], True))), 2).select("view", "rank")
 )
 query("o3_top_intervals", _assessed(["activity", "resource"]) + " SELECT view, s, round(c, 2) AS contribution FROM (SELECT view, s, dist * dur AS c, row_number() OVER (PARTITION BY view ORDER BY dist * dur DESC, s) AS rank FROM l) WHERE rank <= 20")(
-    lambda x: B.top_intervals(B.timeline(B.intervals(*_events(x), ["activity", "resource"], True)), 20).select("view", F.round(F.col("start") * 1e6).cast("long").alias("s"), F.round("contribution", 2).alias("contribution"))
+    lambda x: B.top_intervals(B.timeline(_swept(x, ["activity", "resource"], True)), 20).select("view", F.round(F.col("start") * 1e6).cast("long").alias("s"), F.round("contribution", 2).alias("contribution"))
 )
 query("o4_ranked_contributors", _assessed(["activity", "activity_resource"]) + _RANKED + " SELECT view, rank, array_to_string(key, '|') AS key FROM rq WHERE rank <= 5")(
-    lambda x: B.ranked(B.contributors(B.intervals(*_events(x), ["activity", "activity_resource"], True)), 5).select("view", "rank", F.array_join("key", "|").alias("key"))
+    lambda x: B.ranked(B.contributors(_swept(x, ["activity", "activity_resource"], True)), 5).select("view", "rank", F.array_join("key", "|").alias("key"))
 )
 
 
 @query("b9_interpretation")
 def _(x):
-    found = B.intervals(*_events(x), ["activity", "activity_resource", "case", "resource"], True)
+    found = _swept(x, ["activity", "activity_resource", "case", "resource"], True)
     return B.interpretation(B.scores(B.timeline(found)), B.contributors(found))
 
 

@@ -341,7 +341,7 @@ l AS (SELECT view, 'jaccard' AS distance, t, next_t, CASE WHEN high > 0 THEN 1 -
 
 _SUM = " SELECT view, distance, round(sum(d * coalesce(next_t - t, 0)) / {len}, 6) AS summary_distance, round({len} / 1e6, 6) AS total_duration_seconds FROM l GROUP BY view, distance"
 _PLAIN = ["activity_case", "case", "activity", "case_type", "activity_type"]
-query("m1_sweep_steps", _sweep(["activity"]) + " SELECT view, t, low::BIGINT AS low, high::BIGINT AS high, apart::BIGINT AS apart, total::BIGINT AS total FROM n")(lambda x: M.steps(M.instances(x.e, x.g, ["activity"])).select("view", "t", "low", "high", "apart", "total"))
+query("m1_sweep_steps", _sweep(["activity"]) + " SELECT view, t, low::BIGINT AS low, high::BIGINT AS high, apart::BIGINT AS apart, total::BIGINT AS total FROM n")(lambda x: M.steps(M.keyed_steps(M.instances(x.e, x.g, ["activity"]))).select("view", "t", "low", "high", "apart", "total"))
 query("m2_role_view", _sweep(["activity_role"]) + _SUM.format(len="(max(t) - min(t))"))(lambda x: M.state_distances(x.e, x.g, ["activity_role"], roles=x.roles))
 query("m3_m4_timeline", _sweep(["case_type"]) + " SELECT distance, t, round(d, 6) AS d FROM l")(lambda x: M.timeline(M.instances(x.e, x.g, ["case_type"])).select("distance", "t", "d"))
 query("m5_state_distance", _sweep(["activity"]) + _SUM.format(len="(max(t) - min(t))") + " HAVING distance = 'jaccard'")(lambda x: M.state_distances(x.e, x.g, ["activity"]).filter("distance = 'jaccard'"))

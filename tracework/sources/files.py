@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -11,6 +9,9 @@ from pyspark.sql.window import Window
 
 from tracework.functions.scalar import parse_datetime
 from tracework.log import REQUIRED, InvalidLog
+from tracework.sources.scratch import scratch_path, stored
+
+__all__ = ["stored"]
 
 #: Times in JSON, to the microsecond.
 EXACT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -21,16 +22,8 @@ KEPT = ["case_id", "activity", "resource", "enable_time", "start_time", "end_tim
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for what is written on the way: under spark.checkpoint.dir, or, where it is unset, under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A table that is read more than once, written and read again; what follows does not compute it anew, and executors may be lost."""
-    path = folder(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A fresh folder for files that a run writes and reads again."""
+    return scratch_path(spark, name)
 
 
 def _named(df: DataFrame, rename: dict[str, str]) -> DataFrame:
