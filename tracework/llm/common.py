@@ -2,59 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracework.sources.scratch import scratch_path
+from tracework.sources.scratch import stored as checkpointed
+
+__all__ = ["checkpointed", "scratch_path"]
+
 #: ASCII white space, as a character class body for Java and RE2 patterns.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-_scratch: list[tuple] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where it is unset, one in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder, once, and read it back. Executors may be lost before and after."""
-    path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, in this run's own folder there, which goes when the driver ends."""
-    shared = shared_dir(spark).rstrip("/")
-    run = next((path for owner, _, path in _scratch if owner is spark and path.startswith(shared + "/")), None)
-    if run is None:
-        run = f"{shared}/tracework-{uuid.uuid4().hex}"
-        if not _scratch:
-            atexit.register(clear_scratch)
-        _scratch.append((spark, spark._jsc.hadoopConfiguration(), run))
-    return f"{run}/{what}-{uuid.uuid4().hex}"
-
-
-def clear_scratch() -> None:
-    """Remove what this driver's runs have written as intermediate tables and archives; results that were not written yet are lost."""
-    while _scratch:
-        spark, conf, path = _scratch.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # noqa: BLE001 - the JVM has ended before: the folder stays for its owner to remove
-            continue
-
-
 def released() -> None:
     """Give memory that a task no longer needs back to the system, as Python workers live on and wait beside the next stage."""
     pa.default_memory_pool().release_unused()
