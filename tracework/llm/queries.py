@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracework.llm import decontaminate, fingerprints, jaccard_join, language, line_dedup, mixing, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, warc
+from tracework.llm import decontaminate, divergence, fingerprints, jaccard_join, language, line_dedup, mixing, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, warc
 from tracework.llm.common import table
 
 
@@ -20,11 +20,12 @@ def queries() -> dict:
         "op9_fingerprints": lambda spark, d: fingerprints.digest(table(spark, d, "documents")),
         "op10_jaccard_join": lambda spark, d: jaccard_join.digest(table(spark, d, "documents")),
         "op11_prefix_trie": lambda spark, d: prefix_trie.digest(table(spark, d, "conversations")),
+        "op12_divergence": lambda spark, d: divergence.digest(table(spark, d, "documents")),
         "op13_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    found = {"op1_warc": warc.SQL, "op2_line_dedup": line_dedup.SQL, "op7_mixing": mixing.sql(), "op11_prefix_trie": prefix_trie.SQL, "op13_sharding": sharding.SQL}
+    found = {"op1_warc": warc.SQL, "op2_line_dedup": line_dedup.SQL, "op7_mixing": mixing.sql(), "op11_prefix_trie": prefix_trie.SQL, "op12_divergence": divergence.SQL, "op13_sharding": sharding.SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
