@@ -433,6 +433,81 @@ def test_decontamination_recall(spark):
     assert len({k for k in range(60) if (k, k) in got}) == 60 and len({k for k in range(60) if (100 + k, k) in got}) >= 57 and not {d for d, _ in got if d >= 200}
 
 
+def test_decontamination_of_one_template(spark):
+    """A copy of any of twenty items of one template is found, the least of which fills two slots alike; so are other fillings, of one kind or the other."""
+    head = "please compute how much {} plus then {} equals in total today {}"
+    items = [(k, head.format(5 if k == 0 else 10 + k, 5 if k == 0 else 40 + k, "")) for k in range(20)]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"{prose(9)} so {items[5][1]} {prose(7)}"), (2, head.format(98, 99, prose(5))), (3, head.format(98, 98, prose(5))), (4, head.replace("plus", "minus").format(12, 42, ""))]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (10_000, 0):
+        for shared in (16, 1):
+            got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.leaks(x, asked, most, shared).collect()}
+            assert (1, 5, False) in got and {d for d, _, _ in got} == {1, 2, 3}
+            assert {(i, p) for d, i, p in got if d == 2} == {(1, True)} and {(i, p) for d, i, p in got if d == 3} == {(0, True)}
+
+
+def test_decontamination_of_repeated_windows(spark):
+    items = [(1, "spam " * 600), (2, "give 7 red balls to the boy near the door and " * 40)]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    x = spark.createDataFrame([(1, items[0][1]), (2, items[1][1].replace("7", "9")), (3, "spam " * 9)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(x, asked).collect()}
+    assert set(got) == {1, 2} and got[1]["n_windows"] == 1 and got[2]["n_windows"] <= 11 and got[2]["reparameterised"]
+
+
+def plain_leaks(rows, items, shared):
+    """Documents that hold a window of an item, verbatim, or consistently over an alignment: all windows of all pairs."""
+    def windows(x, length):
+        t = decontaminate.templates([x])
+        out = []
+        _, pos, h, own = decontaminate.windows(t, length)
+        for p, y, a in zip(pos.tolist(), h.tolist(), own.tolist(), strict=True):
+            out.append((p, y, tuple(t["bare"][t["codes"][k]].lower() for k in range(p + a, p + length) if t["kind"][k])))
+        return out
+
+    found = {}
+    for i, x in items:
+        length = min(decontaminate.WINDOW, len(x.split()))
+        mine = windows(x, length)
+        for d, y in rows:
+            lines = {}
+            for dp, h, filled in windows(y, length):
+                for ip, g, slots in mine:
+                    if h == g and len(slots) == len(filled):
+                        lines.setdefault(dp - ip, []).append((slots, filled))
+            for pairs in lines.values():
+                fill = {p for s, f in pairs for p in zip(s, f, strict=True)}
+                if any(s == f for s, f in pairs) or len(fill) == len({b for b, _ in fill}) == len({c for _, c in fill}):
+                    found.setdefault(d, set()).add(i)
+    return found
+
+
+def test_decontamination_equals_all_pairs(spark):
+    """Documents with leaks are those that a comparison of all windows of all pairs finds; items of few templates, with slots that agree or not."""
+    r = random.Random(77)
+    shapes = [prose(r.randint(9, 16), r).split() for _ in range(4)]
+
+    def filled(w):
+        w = list(w)
+        for k in (2, 5, 7):
+            w[k] = r.choice(["3", "4", "Anna", "Bob"])
+        return " ".join(w)
+
+    items = [(k, filled(r.choice(shapes))) for k in range(50)]
+    rows = []
+    for k in range(150):
+        w = filled(r.choice(shapes)).split()
+        if k % 3 == 0:
+            w[r.randrange(len(w))] = r.choice(["zzz", "9", "Carl"])
+        rows.append((k, f"{prose(4, r)} {' '.join(w[r.randint(0, 2):])} {prose(3, r)}"))
+    want = plain_leaks(rows, items, 16)
+    x, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for y in decontaminate.leaks(x, asked).collect():
+        got.setdefault(y["doc_id"], set()).add(y["item_id"])
+    assert 20 < len(want) < 150 and set(got) == set(want) and all(got[d] <= want[d] for d in got)
+
+
 def test_decontamination_stage_by_row(spark):
     item, clean = prose(20), [prose(30) for _ in range(4)]
     rows = [(None, f"so {item} it is"), (None, clean[0]), (None, None), (5, f"and {item} again"), (5, clean[1]), (6, clean[2])]

@@ -1,20 +1,26 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are stripped of marks and folded; numbers (also in words, and glued to a unit as in 12kg), units after a number and names
-(capitalised within a sentence) become typed placeholders. Windows of ten consecutive template words (of all words, where an item has fewer) are hashed and joined with the
-benchmark's; those with fewer than five plain words, which any text could fill, are hashed by their folded words instead. A window whose first word is a name or unit only by the word before it is hashed with this word as
-it is, too, so that a copy is found after any word. A window pair counts if the placeholders' fillings are consistent: one filling of the item always
-stands for one filling of the document and the other way round, over all windows of the pair that lie on one alignment. So a
-question with other numbers or names is caught, and one that mixes its slots is not. Window pairs that are filled alike are
-verbatim and count in any case.
-
-Items of one text are one item, named after the least id. A template window that more than SHARED items hold, such as a common preamble, counts as an item of its own, named after the least
-of them: a document's window then meets at most SHARED items' windows, and no product of items and documents arises.
+(capitalised within a sentence) become typed placeholders. Windows of ten consecutive template words (of all words, where an item has
+fewer) are hashed and joined with the benchmark's; those with fewer than five plain words, which any text could fill, are hashed by
+their folded words instead. A window whose first word is a name or unit only by the word before it is hashed with this word as it is,
+too, so that a copy is found after any word. A window of an item or a document that repeats is one, with its places.
+
+Verbatim: a document's window with an item's template and fillings is a leak in any case. It names every item that has the window;
+of more than SHARED items the least. No item's own fillings are left out, so that a copy of any of many items of one template is found.
+
+Templates: items that differ in their fillings alone, with equal fillings at the same places, are one template, named after the least item;
+a document fits all of them or none. A template matches a document where the placeholders' fillings are consistent: one filling of the
+item always stands for one filling of the document and the other way round, over all windows that lie on one alignment (a window that
+repeats in an item is placed where it stands first). So a question with other numbers or names is caught, and one that mixes its slots
+is not. A window that more than SHARED templates hold, such as a common preamble with a name in it, is judged alone, once for each way
+in which its fillings can be equal or not, and named after the least item of that way. So a window of a document meets at most
+SHARED items, SHARED templates and some fifty ways to fill it, and no product of items, documents or places arises.
 
 Defined cases: windows with fewer than five plain words, and so all items of fewer than five words, are found word for word only,
-wherever these words stand; items of marks alone are not searched for; null and empty texts match nothing; null ids are carried along; rows that repeat an id and its text give what one row gives, those with other texts stand for themselves, in
-both tables; an empty table gives
-an empty result; other columns do not matter.
+wherever these words stand; items of marks alone are not searched for; null and empty texts match nothing; null ids are carried along;
+items of one text are one item, named after the least id; rows that repeat an id and its text give what one row gives, those with other
+texts stand for themselves, in both tables; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -52,7 +58,7 @@ _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"[-+]?[0-9][0-9.,:/]*$")
 _STRIP = "\"'`´.,;:!?()[]{}<>$€£%#*&|~_-–—…«»“”„¿¡"
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-SCHEMA = "id long, row long, pos int, length int, h long, slots array<string>"
+SCHEMA = "id long, row long, length int, h long, slots array<string>, places array<int>, whole long"
 
 
 def _hash(x: str) -> int:
@@ -141,22 +147,32 @@ def windows(t: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return doc[at], at - starts[doc[at]], h, own
 
 
-def _rows(t: dict, ids: list[tuple], length: int, keep=None) -> list[tuple]:
+def _rows(t: dict, ids: list[tuple], length: int, keep=None, whole: int = 0) -> list[tuple]:
+    """(id, row, length, h, slots, places, whole) of the different windows of each document."""
     doc, pos, h, own = windows(t, length)
     if keep is not None:
         chosen = np.flatnonzero(keep(h))
         doc, pos, h, own = doc[chosen], pos[chosen], h[chosen], own[chosen]
     at = np.concatenate(([0], np.cumsum(t["n"])))[doc] + pos
-    out = []
+    found = {}
     for d, p, x, k, a in zip(doc.tolist(), pos.tolist(), h.view(np.int64).tolist(), at.tolist(), own.tolist(), strict=True):
         filled = np.flatnonzero(t["kind"][k + a : k + length])
-        out.append((*ids[d], p, length, x, [t["bare"][t["codes"][k + a + int(s)]].lower() for s in filled]))
-    return out
+        found.setdefault((d, x, tuple(t["bare"][t["codes"][k + a + int(s)]].lower() for s in filled)), []).append(p)
+    return [(*ids[d], length, x, list(slots), places, whole) for (d, x, slots), places in found.items()]
+
+
+def whole_template(t: dict) -> int:
+    """A hash of an item's template and of which of its slots are filled alike."""
+    at = np.flatnonzero(t["kind"])
+    fillings = [t["bare"][t["codes"][k]].lower() for k in at.tolist()]
+    alike = np.array([fillings.index(x) for x in fillings], np.int32)
+    return xxhash.xxh3_64_intdigest(t["h"].tobytes() + alike.tobytes()) - (1 << 63)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())), strict=True)], ["id", "row", "pos", "length", "h", "slots"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "row", "length", "h", "slots", "places", "whole"])
 
 
 def sliced(b: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -175,7 +191,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for i, r, x in zip(*(b.column(c).to_pylist() for c in ("id", "row", "text")), strict=True):
                 t = templates([x])
                 if any(t["bare"]):
-                    rows += _rows(t, [(i, r)], min(WINDOW, int(t["n"][0])))
+                    rows += _rows(t, [(i, r)], min(WINDOW, int(t["n"][0])), whole=whole_template(t))
             yield _batch(rows)
 
     return benchmark.select(F.col("item_id").cast("long").alias("id"), row_key(F.col("text")).alias("row"), "text").mapInArrow(run, SCHEMA)
@@ -209,31 +225,53 @@ def document_windows(docs: DataFrame, lengths: list[int], sent: np.ndarray | Non
     return docs.select(F.col("doc_id").cast("long").alias("id"), row_key(F.col("text")).alias("row"), "text").mapInArrow(run, SCHEMA)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, row, item_id, n_windows, reparameterised) of each document row (row is its row_key) and item with common windows that are verbatim or consistent."""
+def wanted(items: DataFrame, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
+    """(verbatim, templates): what a document's window can meet, by (length, h, slots) and by (length, h).
+
+    verbatim: the items that have just this window. templates: (item_id, part, place, slots), a row a template, or, for a window that
+    many templates hold, a row for each way in which its slots are filled alike, with a part of its own.
+    """
+    same = ["length", "h", "slots"]
+    own = F.min(F.struct("id", "row")).alias("least")
+    held = items.groupBy(*same).agg(F.count_distinct("row").alias("n"), own)
+    few = items.join(held.filter(F.col("n") <= shared).select(*same), same, "left_semi").select(*same, F.col("id").alias("item_id"), "row")
+    verbatim = few.unionByName(held.filter(F.col("n") > shared).select(*same, F.col("least.id").alias("item_id"), F.col("least.row").alias("row"))).distinct()
+    least = items.groupBy("whole").agg(own)
+    filled = items.filter(F.size("slots") > 0).join(least, "whole").filter(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("row") == F.col("least.row")))
+    common = filled.groupBy("length", "h").agg(F.count_distinct("row").alias("n")).filter(F.col("n") > shared).select("length", "h")
+    alone = filled.join(common, ["length", "h"], "left_anti").select("length", "h", F.col("id").alias("item_id"), F.col("row").alias("part"), F.col("places")[0].alias("place"), "slots")
+    way = F.transform("slots", lambda x: F.array_position("slots", x).cast("int"))
+    ways = filled.join(common, ["length", "h"], "left_semi").groupBy("length", "h", way.alias("way")).agg(F.min(F.struct("id", "row", F.col("places")[0].alias("place"), "slots")).alias("own"))
+    ways = ways.select("length", "h", F.col("own.id").alias("item_id"), F.xxhash64("length", "h", "way").alias("part"), "own.place", "own.slots")
+    return verbatim, alone.unionByName(ways)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, most_sent: int = MOST_SENT, shared: int = SHARED) -> DataFrame:
+    """(doc_id, row, item_id, n_windows, reparameterised) of each document row (row is its row_key) and item: n_windows of its different windows are
+    verbatim or fit the item's template; reparameterised says whether any fits with other fillings."""
     # Items of one text are one item, named after the least id.
-    items = checkpointed(item_windows(benchmark).groupBy("row", "pos", "length", "h", "slots").agg(F.min("id").alias("id")))
-    common = items.groupBy("length", "h").agg(F.count_distinct("row").alias("n"), F.min(F.struct("id", "row", "pos", "slots")).alias("own")).filter(F.col("n") > SHARED)
-    alone = items.join(common.select("length", "h"), ["length", "h"], "left_anti").select("id", "row", "pos", "length", "h", "slots")
-    # A common window is a row of its own (its hash stands for the item's row), so that nothing else is asked to fit with it.
-    items = checkpointed(alone.unionByName(common.select("own.id", F.col("h").alias("row"), "own.pos", "length", "h", "own.slots")))
-    size = items.agg(F.sum(40 + F.octet_length(F.array_join("slots", "    "))).alias("b")).first()["b"] or 0
+    items = checkpointed(item_windows(benchmark).groupBy("row", "length", "h", "slots", "places", "whole").agg(F.min("id").alias("id")))
+    size = items.agg(F.sum(60 + F.octet_length(F.array_join("slots", "    "))).alias("b")).first()["b"] or 0
     few = items.select("h").distinct().limit(most_sent + 1).toPandas()["h"]  # 8 bytes a window, at most most_sent + 1
     small = len(few) <= most_sent
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW
     sent = np.sort(few.to_numpy(np.int64).view(np.uint64)) if small else None
-    found = document_windows(docs, lengths, sent).select(F.col("id").alias("doc_id"), "row", F.col("pos").alias("dp"), "length", "h", F.col("slots").alias("ds")).alias("d")
-    side = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("pos").alias("ip"), "length", "h", F.col("slots").alias("bs"))
-    pairs = found.join(F.broadcast(side) if small and size <= MOST_BYTES else side, ["length", "h"])
-    pairs = pairs.filter(F.size("ds") == F.size("bs")).withColumns({"shift": F.col("dp") - F.col("ip"), "fill": F.zip_with("bs", "ds", lambda b, d: F.struct(b.alias("b"), d.alias("d")))})
-    # The windows of one item on one alignment: never more than the item has.
-    alike = F.when(F.forall("fill", lambda x: x["b"] == x["d"]), F.col("dp"))
-    lines = pairs.groupBy("doc_id", "row", "item_id", "item_row", "shift").agg(F.count_distinct("dp").alias("n"), F.count_distinct(alike).alias("n_alike"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
+    found = checkpointed(document_windows(docs, lengths, sent).select(F.col("id").alias("doc_id"), "row", "length", "h", "slots", "places"))
+    side = F.broadcast if small and size <= MOST_BYTES else lambda x: x
+    verbatim, templates = (side(checkpointed(x)) for x in wanted(items, shared))
+    exact = found.join(verbatim.withColumnRenamed("row", "of"), ["length", "h", "slots"]).select("doc_id", "row", "item_id", "length", "h", "slots", F.lit(False).alias("other"))
+    met = found.filter(F.size("slots") > 0).withColumnRenamed("slots", "filled").join(templates, ["length", "h"]).filter(F.size("slots") == F.size("filled"))
+    met = met.select("doc_id", "row", "item_id", "part", "length", "h", "filled", F.explode("places").alias("at"), "place", F.zip_with("slots", "filled", lambda b, d: F.named_struct(F.lit("b"), b, F.lit("d"), d)).alias("fill"))
+    # The different windows of one template on one alignment: never more than the item has.
+    lines = met.groupBy("doc_id", "row", "item_id", "part", (F.col("at") - F.col("place")).alias("shift")).agg(
+        F.collect_set(F.struct("length", "h", F.col("filled").alias("slots"))).alias("windows"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill")
+    )
     one = lambda k: F.size(F.array_distinct(F.transform("fill", lambda x: x[k])))
-    lines = lines.withColumn("whole", (F.size("fill") == one("b")) & (F.size("fill") == one("d"))).filter("whole OR n_alike > 0")
-    other = F.col("whole") & F.exists("fill", lambda x: x["b"] != x["d"])
-    n = F.when(F.col("whole"), F.col("n")).otherwise(F.col("n_alike"))
-    return lines.groupBy("doc_id", "row", "item_id").agg(F.sum(n).alias("n_windows"), F.max(other).alias("reparameterised"))
+    lines = lines.filter((F.size("fill") == one("b")) & (F.size("fill") == one("d")))
+    other = F.exists("fill", lambda x: x["b"] != x["d"])
+    fitting = lines.select("doc_id", "row", "item_id", F.explode("windows").alias("w"), other.alias("other")).select("doc_id", "row", "item_id", "w.*", "other")
+    every = exact.unionByName(fitting).groupBy("doc_id", "row", "item_id", "length", "h", "slots").agg(F.max("other").alias("other"))
+    return every.groupBy("doc_id", "row", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("other").alias("reparameterised"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
