@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracework.functions.scalar import SECOND, micros
 from tracework.log import case_bounds
 from tracework.operators import distances as D
+from tracework.operators.quantiles import quantiles
 
 
 def avg_remaining_time(log: DataFrame, cut: int) -> DataFrame:
@@ -62,7 +63,8 @@ def target_activity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def duration_percentile(log: DataFrame, p: float = 0.95) -> DataFrame:
     """(horizon_seconds): a percentile of case durations, interpolated, at least a second."""
-    return case_bounds(log).agg(F.greatest(F.percentile((F.col("last") - F.col("first")) / SECOND, F.lit(p)), F.lit(1.0)).alias("horizon_seconds"))
+    found = quantiles(case_bounds(log), (F.col("last") - F.col("first")) / SECOND, [p])
+    return found.select(F.greatest(F.col("quantiles")[0], F.lit(1.0)).alias("horizon_seconds"))
 
 
 def mean_and_ci(value: Column) -> tuple[Column, Column]:

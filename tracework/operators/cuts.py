@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracework.functions.scalar import HOUR, fraction, moment
 from tracework.log import InvalidLog, bounds, case_bounds
 from tracework.operators.running import running
+from tracework.operators.quantiles import quantiles
 from tracework.operators.windows import numbered
 
 
@@ -48,7 +49,7 @@ def segment10(log: DataFrame, horizon: int, seed: str = "segment", segments: int
 def high_wip(log: DataFrame, quantile: float = 0.9) -> DataFrame:
     """(t): the middle, by time, of the boundaries whose work in process reaches a quantile."""
     series = wip(log)
-    least = series.agg(F.percentile("wip", F.lit(quantile)).alias("q"))
+    least = quantiles(series, F.col("wip"), [quantile]).select(F.col("quantiles")[0].alias("q"))
     return middle(series.crossJoin(F.broadcast(least)).filter("wip >= q").select("t"))
 
 

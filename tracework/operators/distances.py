@@ -13,6 +13,9 @@ from tracework.functions.scalar import HOUR, micros
 from tracework.log import case_bounds
 from tracework.operators.running import running
 
+#: Hours of a week, and of the week before the epoch's first hour, a Thursday.
+WEEK, MONDAY = 168, 72
+
 
 def counts(df: DataFrame, side: int, *keys: str) -> DataFrame:
     """(keys, bin, side, n) of a table with a column bin."""
@@ -91,16 +94,33 @@ def circadian_events(a: DataFrame, b: DataFrame) -> DataFrame:
     return wasserstein(_pair(a, b, day, "day"), "day").agg(F.avg("distance").alias("distance"))
 
 
-def circadian_workforce(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(distance): as circadian_events, over distinct busy resources in each hour [published definition]."""
+def busy_hours(log: DataFrame) -> DataFrame:
+    """(day, bin, n): in how many hours of the log, by weekday and hour of day, a resource was busy, summed over resources.
 
-    def busy(x: DataFrame) -> DataFrame:
-        hours = F.sequence(bin_of(micros("start_time"), HOUR), bin_of(micros("end_time"), HOUR))
-        each = x.filter("resource IS NOT NULL AND end_time >= start_time").select("resource", F.explode(hours).alias("h")).distinct()
-        at = F.timestamp_micros(F.col("h") * HOUR)
-        return each.select(F.weekday(at).alias("day"), F.hour(at).cast("long").alias("bin"))
+    An instance is busy from the hour of its start to that of its end. +1 and -1 along a resource's hours, summed, give stretches in
+    which it is busy, each hour once. Whole weeks of a stretch count for all 168 hours of the week; what is left over begins and
+    ends at an hour of the week, so that a stretch, however long, is at most four rows.
+    """
+    hours = log.filter("resource IS NOT NULL AND end_time >= start_time").select("resource", bin_of(micros("start_time"), HOUR).alias("a"), (bin_of(micros("end_time"), HOUR) + 1).alias("b"))
+    both = F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))
+    edges = hours.select("resource", F.explode(both).alias("e")).groupBy("resource", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    busy = running(edges, ["resource"], "at", ["d"]).filter("run_d > 0").select((F.col("next_at") - F.col("at")).alias("len"), F.pmod(F.col("at") + MONDAY, F.lit(WEEK)).alias("h"))
+    rest = F.col("len") % WEEK
+    end = F.col("h") + rest
+    step = lambda at, d: F.struct(at.cast("long").alias("at"), d.cast("long").alias("d"))
+    over = F.when(end > WEEK, F.array(step(F.lit(0), F.lit(1)), step(end - WEEK, F.lit(-1)))).otherwise(F.array(step(end, F.lit(-1))))
+    steps = F.flatten(F.array(F.array(step(F.lit(0), F.floor(F.col("len") / WEEK)), step(F.col("h"), F.lit(1))), over))
+    found = busy.select(F.explode(steps).alias("e")).groupBy("e.at").agg(F.sum("e.d").alias("d"))
+    # At most 169 rows; hours without a step of their own have what the hour before has.
+    week = log.sparkSession.range(WEEK).select(F.col("id").alias("at")).join(F.broadcast(found), "at", "left")
+    n = F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("at"))
+    return week.select(F.floor(F.col("at") / 24).cast("int").alias("day"), (F.col("at") % 24).alias("bin"), n.alias("n")).filter("n > 0")
 
-    return wasserstein(_pair(a, b, busy, "day"), "day").agg(F.avg("distance").alias("distance"))
+
+def circadian_workforce(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(distance): as circadian_events, over distinct busy resources in each hour [published definition]."""
+    hist = busy_hours(a).withColumn("side", F.lit(0)).unionByName(busy_hours(b).withColumn("side", F.lit(1)))
+    return wasserstein(hist, "day").agg(F.avg("distance").alias("distance"))
 
 
 def relative_events(a: DataFrame, b: DataFrame) -> DataFrame:

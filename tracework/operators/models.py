@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracework.operators.aggregates import spread_ci
+from tracework.operators.quantiles import quantiles
 from tracework.operators.windows import numbered
 
 #: Method to the stem of its columns.
@@ -21,7 +22,8 @@ def _groups(rows: DataFrame, group: Column, target: str) -> DataFrame:
 
 def baseline(train: DataFrame, target: str) -> DataFrame:
     """(mean, ci, count, quantiles) over all samples."""
-    return train.agg(F.avg(target).alias("mean"), spread_ci(F.col(target)).alias("ci"), F.count(target).alias("count"), F.percentile(target, F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("quantiles"))
+    found = quantiles(train, F.col(target), [0.05, 0.25, 0.5, 0.75, 0.95])
+    return train.agg(F.avg(target).alias("mean"), spread_ci(F.col(target)).alias("ci"), F.count(target).alias("count")).crossJoin(F.broadcast(found))  # a row each
 
 
 def random_groups(train: DataFrame, target: str, k: int = 3) -> DataFrame:
@@ -33,7 +35,7 @@ def random_groups(train: DataFrame, target: str, k: int = 3) -> DataFrame:
 
 def wip_edges(train: DataFrame, target: str, bins: int = 3) -> list[float]:
     """Quantile edges of wip, the first a little lower; bins + 1 numbers."""
-    got = train.filter(F.col(target).isNotNull() & F.col("wip").isNotNull()).agg(F.percentile("wip", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first()["q"]
+    got = quantiles(train.filter(F.col(target).isNotNull()), F.col("wip"), [i / bins for i in range(bins + 1)]).first()["quantiles"]
     return [] if got is None else [got[0] - 1e-9, *got[1:]]
 
 
