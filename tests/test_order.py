@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from tracework.operators import distances as D
 from tracework.operators import ranking as R
+from tracework.operators import snapshot as P
+from tracework.operators import transforms as T
+from tracework.operators import windows as W
 from tracework.operators.quantiles import quantiles
+from tracework.operators.running import earlier
 
 
 @pytest.mark.parametrize("rows_a_range", [15, 500_000])
@@ -61,3 +65,23 @@ def test_busy_hours(spark):
     got = D.busy_hours(df)
     assert {(x["day"], x["bin"]): x["n"] for x in got.collect()} == dict(want)
     assert D.busy_hours(df.limit(0)).count() == 0
+
+
+def test_sequences_of_split_cases(spark):
+    """One case of 500 rows and others of few, cut into ranges of 20 rows, give what one window gives."""
+    r = random.Random(9)
+    base = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = []
+    for i in range(700):
+        a = base + timedelta(minutes=r.randint(0, 3000))
+        rows.append((i, "long" if i < 500 else f"c{i % 50}" if i % 9 else None, r.choice("ABC"), "R", a, a + timedelta(minutes=r.randint(0, 90))))
+    log = spark.createDataFrame(rows, "id long, case_id string, activity string, resource string, start_time timestamp, end_time timestamp").repartition(6)
+    seconds = log.select("id", "case_id", F.unix_seconds("start_time").cast("double").alias("start"), F.unix_seconds("end_time").cast("double").alias("end"), F.when(F.col("id") % 7 == 0, 1.0).alias("enable"))
+    made = {
+        "fill": lambda n: W.fill_enable(seconds, n), "grams": lambda n: D.n_grams(log, 4, n), "order": lambda n: P.ordered(log, n), "load": lambda n: T.front_back_load(log, 0.4, n),
+        "look": lambda n: earlier(log, ["case_id"], ["start_time", "id"], {"p": ("activity", 1), "q": ("id", 30)}, n), "all": lambda n: earlier(log, [], ["id"], {"p": ("id", 25)}, n),
+    }
+    for name, f in made.items():
+        want, got = f(500_000), f(20)
+        assert sorted(want.columns) == sorted(got.columns), name
+        assert sorted(map(repr, want.select(*sorted(want.columns)).collect())) == sorted(map(repr, got.select(*sorted(want.columns)).collect())), name

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tracework.functions.scalar import HOUR, micros
 from tracework.log import case_bounds
-from tracework.operators.running import running
+from tracework.operators.running import ROWS_A_RANGE, earlier, running
 
 #: Hours of a week, and of the week before the epoch's first hour, a Thursday.
 WEEK, MONDAY = 168, 72
@@ -55,10 +55,10 @@ def remaining_time(a: DataFrame, b: DataFrame, reference: int, size: int = HOUR,
     return found.select((F.when(F.col("most") > 0, value / F.greatest("most", F.lit(0))).otherwise(value) if normalise else value).alias("distance"))
 
 
-def n_grams(log: DataFrame, n: int) -> DataFrame:
-    """(gram): a case's activities by start, padded on both sides, in runs of n."""
+def n_grams(log: DataFrame, n: int, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """(gram): a case's activities by start, padded on both sides, in runs of n; a very long case is cut into ranges."""
     tie = [c for c in ("id",) if c in log.columns]
-    order = Window.partitionBy("case_id").orderBy("kind", "start_time", "end_time", *tie, "pad")
+    order = ["kind", "start_time", "end_time", *tie, "pad"]
     pads = F.explode(F.sequence(F.lit(1), F.lit(n - 1)))
     cases = log.select("case_id").distinct()
     cols = ["case_id", "activity", "start_time", "end_time", *tie]
@@ -66,10 +66,10 @@ def n_grams(log: DataFrame, n: int) -> DataFrame:
     for kind in (0, 2):
         pad = cases.withColumns({c: F.lit(None).cast(dict(log.dtypes)[c]) for c in cols if c != "case_id"} | {"kind": F.lit(kind)}).select("*", pads.alias("pad"))
         rows = rows.unionByName(pad)
-    text = F.coalesce("activity", F.lit("\u0000"))
-    parts = [F.lag(text, k).over(order) for k in range(n - 1, 0, -1)] + [text]
-    whole = F.lag(F.lit(1), n - 1).over(order)
-    return rows.select(F.array(*parts).alias("gram"), whole.alias("w")).filter("w = 1").select("gram")
+    rows = rows.withColumns({"text": F.coalesce("activity", F.lit("\u0000")), "one": F.lit(1)})
+    back = {f"t{k}": ("text", k) for k in range(n - 1, 0, -1)}
+    found = earlier(rows, ["case_id"], order, back | {"w": ("one", n - 1)}, rows_a_range)
+    return found.filter("w = 1").select(F.array(*back, "text").alias("gram"))
 
 
 def n_gram_distance(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:

@@ -64,18 +64,56 @@ def running(df: DataFrame, keys: list[str], order: str, sums: list[str], rows_a_
     table already. Keys are dealt over tasks; only those with more rows than a range has are cut into ranges (split_sums).
     """
     df = df if kept else stored(df)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_a_range)
-    hot = stored(counts) if keys else counts  # at most rows / rows_a_range of them
-    rows = hot.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    hot, rows = large_keys(df, keys, rows_a_range)
     w = Window.partitionBy(*keys).orderBy(order)
     plain = lambda x: x.withColumns({f"run_{c}": F.sum(c).over(w) for c in sums} | {f"next_{order}": F.lead(order).over(w)})
     if not rows:
         return plain(df)
+    few, large = parted(df, keys, hot)
+    found = split_sums(large, keys, order, sums, rows, rows_a_range)
+    return found if few is None else plain(few).unionByName(found)
+
+
+def large_keys(df: DataFrame, keys: list[str], rows_a_range: int = ROWS_A_RANGE) -> tuple[DataFrame, int]:
+    """(keys with more rows than a range has, the number of their rows)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_a_range)
+    hot = stored(counts) if keys else counts  # at most rows / rows_a_range of them
+    return hot, hot.agg(F.sum("_n").alias("n")).first()["n"] or 0
+
+
+def parted(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of other keys and rows of hot keys; without keys all rows are hot."""
     if not keys:
-        return split_sums(df, keys, order, sums, rows, rows_a_range)
+        return None, df
     same = [df[k].eqNullSafe(hot[k]) for k in keys]
-    large = df.join(hot, same, "left_semi")
-    return plain(df.join(hot, same, "left_anti")).unionByName(split_sums(large, keys, order, sums, rows, rows_a_range))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
+def earlier(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, int]], rows_a_range: int = ROWS_A_RANGE, split: bool = True) -> DataFrame:
+    """df with new columns, name to (column, k): that column k rows before, by the order columns, among rows of equal keys; null where there is none.
+
+    Rows must be unique by keys and order. Keys with more rows than a range has are cut into ranges, each of which is given the last
+    rows of those before it (its halo), as many as it may look back. split: whether there may be such keys.
+    """
+    w = lambda *more: Window.partitionBy(*more, *keys).orderBy(*order)
+    seen = lambda x, *more: x.withColumns({name: F.lag(c, k).over(w(*more)) for name, (c, k) in wanted.items()})
+    if not split:
+        return seen(df)
+    hot, rows = large_keys(df, keys, rows_a_range)
+    if not rows:
+        return seen(df)
+    few, large = parted(df, keys, hot)
+    large = cut(large, [*keys, *order], rows, rows_a_range)
+    sizes = large.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # a row a range
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = stored(sizes.withColumn("_start", before))
+    back = max(k for _, k in wanted.values())
+    last = large.join(sizes, "_range").filter(F.col("_at") >= F.col("_size") - back)
+    begins = F.explode(F.sequence(F.col("_start") + F.col("_at") + 1, F.col("_start") + F.col("_at") + back))
+    halo = last.withColumn("_begin", begins).drop("_range", "_size", "_start").join(sizes.select("_range", F.col("_start").alias("_begin")), "_begin")
+    both = large.withColumn("_own", F.lit(True)).unionByName(halo.drop("_begin").withColumn("_own", F.lit(False)))
+    found = seen(both, "_range").filter("_own").drop("_own", "_range", "_at")
+    return found if few is None else seen(few).unionByName(found)
 
 
 def split_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], rows: int, rows_a_range: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracework.functions.scalar import HOUR, micros, moment
+from tracework.operators.running import ROWS_A_RANGE, large_keys, running
 from tracework.sources.files import stored
 
 TASK, GATEWAY = "task", "exclusiveGateway"
@@ -234,6 +235,9 @@ def consecutive_ids(log: DataFrame) -> DataFrame:
     return log.join(numbered(first.select("case_id", order.alias("_o")), "_o").select("case_id", F.col("n").alias("case_no")), "case_id")
 
 
-def ordered(log: DataFrame) -> DataFrame:
-    """log with pos: each row's place in its case, by start, the id ending ties."""
-    return log.withColumn("pos", F.row_number().over(Window.partitionBy("case_id").orderBy("start_time", "id")))
+def ordered(log: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """log with pos: each row's place in its case, by start, the id ending ties; a very long case is counted in ranges."""
+    if not large_keys(log, ["case_id"], rows_a_range)[1]:
+        return log.withColumn("pos", F.row_number().over(Window.partitionBy("case_id").orderBy("start_time", "id")))
+    placed = log.withColumns({"_o": F.struct("start_time", "id"), "_one": F.lit(1)})
+    return running(placed, ["case_id"], "_o", ["_one"], rows_a_range).withColumn("pos", F.col("run__one").cast("int")).drop("_o", "_one", "run__one", "next__o")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tracework.functions.scalar import SECOND, fraction, lot, micros, moment
 from tracework.log import InvalidLog, case_bounds
+from tracework.operators.running import ROWS_A_RANGE, earlier, large_keys, running
 from tracework.operators.windows import numbered
 
 
@@ -147,29 +148,46 @@ def automate(log: DataFrame, activities: list[str], level: float, floor_seconds:
     return log.withColumn("end_time", F.when(F.col("activity").isin(activities), moment(micros("start_time") + new)).otherwise(F.col("end_time")))
 
 
-def relaid(log: DataFrame, length: Column) -> DataFrame:
+def _along(log: DataFrame, sums: list[str], rows_a_range: int, split: bool) -> DataFrame:
+    """log with run_<c> along each case, in its order (start, end, id); with split, very long cases are summed in ranges."""
+    if not split:
+        order = Window.partitionBy("case_id").orderBy("start_time", "end_time", "id")
+        return log.withColumns({f"run_{c}": F.sum(c).over(order) for c in sums})
+    return running(log.withColumn("_ord", F.struct("start_time", "end_time", "id")), ["case_id"], "_ord", sums, rows_a_range).drop("_ord", "next__ord")
+
+
+def relaid(log: DataFrame, length: Column, rows_a_range: int = ROWS_A_RANGE, split: bool | None = None) -> DataFrame:
     """Each case laid out anew with other lengths (microseconds), in its order, the gaps between starts and earlier ends kept."""
-    order = Window.partitionBy("case_id").orderBy("start_time", "end_time", "id")
-    out = log.withColumns({"_new": length, "_old": _duration(log)})
-    moved = F.coalesce(F.sum(F.col("_new") - F.col("_old")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("_start", micros("start_time") + moved)
-    return out.withColumns({"start_time": moment(F.col("_start")), "end_time": moment(F.col("_start") + F.col("_new"))}).drop("_new", "_old", "_start")
+    split = large_keys(log, ["case_id"], rows_a_range)[1] > 0 if split is None else split
+    out = log.withColumn("_new", length).withColumn("_by", F.col("_new") - _duration(log))
+    out = _along(out, ["_by"], rows_a_range, split)
+    out = out.withColumn("_start", micros("start_time") + F.col("run__by") - F.col("_by"))
+    return out.withColumns({"start_time": moment(F.col("_start")), "end_time": moment(F.col("_start") + F.col("_new"))}).drop("_new", "_by", "run__by", "_start")
 
 
-def front_back_load(log: DataFrame, strength: float) -> DataFrame:
+def front_back_load(log: DataFrame, strength: float, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """Weights 1 + s (1 - 2 i / (n - 1)) along each case, scaled so that its working time stays what it was."""
     if not -1 < strength < 1:
         raise ValueError("the strength must lie in (-1, 1)")
     if strength == 0:
         return log
-    own, order = Window.partitionBy("case_id"), Window.partitionBy("case_id").orderBy("start_time", "end_time", "id")
-    out = log.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(own), "_d": _duration(log)})
-    weight = F.when(F.col("_n") > 1, 1 + strength * (1 - 2 * F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1)))).otherwise(1.0)
-    out = out.withColumn("_w", F.col("_d") * weight)
-    share = F.sum("_w").over(order) * F.try_divide(F.sum("_d").over(own), F.sum("_w").over(own))
+    split = large_keys(log, ["case_id"], rows_a_range)[1] > 0
+    out = _along(log.withColumns({"_one": F.lit(1), "_d": _duration(log)}), ["_one"], rows_a_range, split)
+    out = _with_totals(out, {"_n": F.count(F.lit(1)), "_all": F.sum("_d")})
+    weight = F.when(F.col("_n") > 1, 1 + strength * (1 - 2 * (F.col("run__one") - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))).otherwise(1.0)
+    out = _along(out.withColumn("_w", F.col("_d") * weight), ["_w"], rows_a_range, split)
+    out = _with_totals(out, {"_ws": F.sum("_w")})
+    share = F.col("run__w") * F.try_divide(F.col("_all"), F.col("_ws"))
     out = out.withColumn("_c", F.round(F.coalesce(share, F.lit(0.0))).cast("long"))
-    out = out.withColumn("_len", F.when(F.col("_n") > 1, F.col("_c") - F.coalesce(F.lag("_c").over(order), F.lit(0))).otherwise(F.col("_d")))
-    return relaid(out, F.col("_len")).drop("_i", "_n", "_d", "_w", "_c", "_len")
+    out = earlier(out, ["case_id"], ["start_time", "end_time", "id"], {"_b": ("_c", 1)}, rows_a_range, split)
+    out = out.withColumn("_len", F.when(F.col("_n") > 1, F.col("_c") - F.coalesce("_b", F.lit(0))).otherwise(F.col("_d")))
+    return relaid(out, F.col("_len"), rows_a_range, split).drop("_one", "run__one", "_n", "_all", "_d", "_w", "run__w", "_ws", "_c", "_b", "_len")
+
+
+def _with_totals(log: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """log with aggregates of each row's case: joined back, so that a huge case is no single window."""
+    found = log.groupBy(F.col("case_id").alias("_case")).agg(*[v.alias(k) for k, v in totals.items()])
+    return log.join(found, F.col("case_id").eqNullSafe(F.col("_case"))).drop("_case")
 
 
 def swap_profiles(log: DataFrame, front: list[str], back: list[str], level: float) -> DataFrame:

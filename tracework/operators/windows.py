@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracework.functions.scalar import SECOND, micros, moment
 from tracework.log import InvalidLog, bounds, case_bounds
-from tracework.operators.running import numbered
+from tracework.operators.running import ROWS_A_RANGE, earlier, numbered
 
 
 def clipped(log: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -121,10 +120,10 @@ def normalise_events(log: DataFrame, fields: dict[str, str] | None = None, roles
     return out, invalid
 
 
-def fill_enable(events: DataFrame) -> DataFrame:
-    """Missing enable times: the end of the case's row before, by start and end."""
-    w = Window.partitionBy("case_id").orderBy("start", "end", *[c for c in ("id",) if c in events.columns])
-    return events.withColumn("enable", F.coalesce("enable", F.lag("end").over(w)))
+def fill_enable(events: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """Missing enable times: the end of the case's row before, by start and end; a very long case is looked through in ranges."""
+    order = ["start", "end", *[c for c in ("id",) if c in events.columns]]
+    return earlier(events, ["case_id"], order, {"_before": ("end", 1)}, rows_a_range).withColumn("enable", F.coalesce("enable", "_before")).drop("_before")
 
 
 def normalise_times(a: DataFrame, b: DataFrame, start: float | None = None, end: float | None = None) -> tuple[DataFrame, DataFrame]:
