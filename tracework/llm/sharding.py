@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracework.llm.common import checkpointed
-from tracework.operators.running import ROWS_A_RANGE, numbered
+from tracework.operators.running import numbered
 
 SHARDS, OVERHEAD = 40, 16
+#: Rows (some sixty bytes each) that a task numbers.
+ROWS_A_RANGE = 100_000
 
 
 def dealt(sizes: Iterator[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, list[int]]]:
