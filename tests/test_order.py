@@ -85,3 +85,17 @@ def test_sequences_of_split_cases(spark):
         want, got = f(500_000), f(20)
         assert sorted(want.columns) == sorted(got.columns), name
         assert sorted(map(repr, want.select(*sorted(want.columns)).collect())) == sorted(map(repr, got.select(*sorted(want.columns)).collect())), name
+
+
+def test_markings_of_unique_suffixes(spark):
+    """The longest suffix that the index knows with one marking, for random traces and grams, some of them with two."""
+    r = random.Random(12)
+    grams = {tuple(r.choice("ab") for _ in range(r.randint(1, 6))): [r.choice(["m1", "m2", "m3"]) for _ in range(r.choice([1, 1, 2, 3]))] for _ in range(60)}
+    index = [(list(g), [m]) for g, ms in grams.items() for m in ms] + [([], ["never"])]
+    traces = [(f"c{i}", [r.choice("ab") for _ in range(r.randint(0, 30))]) for i in range(200)]
+    got = P.markings(spark.createDataFrame(traces, "case_id string, trace array<string>"), spark.createDataFrame(index, "gram array<string>, marking array<string>"), 4)
+    want = {}
+    for c, t in traces:
+        known = [grams[tuple(t[-k:])][0] for k in range(1, min(4, len(t)) + 1) if len(set(grams.get(tuple(t[-k:]), "xy"))) == 1]
+        want[c] = known[-1:]
+    assert {x["case_id"]: x["marking"] for x in got.collect()} == want and sum(map(len, want.values())) > 50

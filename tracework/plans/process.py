@@ -36,6 +36,8 @@ _NODES = [("n0", "startEvent", "begin"), ("t1", "task", "view"), ("g1", "exclusi
 _FLOWS = [("f0", "n0", "t1"), ("f1", "t1", "g1"), ("f2", "g1", "t2"), ("f3", "g1", "t3"), ("f4", "t2", "g2"), ("f5", "t3", "g2"), ("f6", "g2", "t4"), ("f7", "t4", "n9")]
 _AFTER = {"view": ["f1"], "click": ["f4"], "error": ["f5"], "purchase": ["f7"], "signup": ["f0"]}
 _INDEX = [([f"{a}+COMPLETE"], m) for a, m in _AFTER.items()] + [([f"{a}+START"], [t]) for a, t in (("view", "t1"), ("click", "t2"), ("error", "t3"), ("purchase", "t4"))] + [(["view+COMPLETE", "click+START"], ["t2", "t4"])]
+#: Two grams with two markings each: neither counts, whatever their length.
+_INDEX += [(["<start>", "view+START"], [m]) for m in ("t1", "f0")] + [(["click+COMPLETE", "view+START"], m) for m in (["t1"], ["t1", "f4"])]
 
 
 def _model(x):
@@ -69,7 +71,7 @@ query(
 )(lambda x: micros_out(P.ongoing_activities(P.enabled_times(_prepared(x)), _model(x)[0]).drop("event_attributes")))
 _TRACE = ", tr AS (SELECT case_id, list(l ORDER BY tm, s, id, k) AS trace FROM (SELECT case_id, s AS tm, s, id, 0 AS k, activity || '+START' AS l FROM {log} UNION ALL SELECT case_id, t, s, id, 1, activity || '+COMPLETE' FROM {log} WHERE t IS NOT NULL) GROUP BY 1)"
 query("p6_traces", _TRACE.format(log="e") + " SELECT case_id, '<start> ' || array_to_string(trace, ' ') AS trace FROM tr")(lambda x: P.traces(x.e).select("case_id", F.array_join("trace", " ").alias("trace")))
-_MARK = ", ix AS (SELECT gram, marking FROM " + _values(_INDEX, "gram, marking") + "), mk AS (SELECT case_id, coalesce((SELECT arg_max(marking, len(gram)) FROM ix WHERE list_slice(trace, -len(gram), -1) = gram), CAST([] AS VARCHAR[])) AS marking FROM tr)"
+_MARK = ", ix AS (SELECT gram, min(marking) AS marking FROM " + _values(_INDEX, "gram, marking") + " GROUP BY 1 HAVING min(marking) = max(marking)), mk AS (SELECT case_id, coalesce((SELECT arg_max(marking, len(gram)) FROM ix WHERE list_slice(trace, -len(gram), -1) = gram), CAST([] AS VARCHAR[])) AS marking FROM tr)"
 query("p7_markings", _SNAP + _TRACE.format(log="sn") + _MARK + " SELECT case_id, array_to_string(marking, ' ') AS marking FROM mk")(lambda x: P.markings(P.traces(_prepared(x)), _model(x)[2]).select("case_id", F.array_join("marking", " ").alias("marking")))
 _STATE = ", nd AS (SELECT * FROM " + _values(_NODES, "node_id, kind, name") + "), fw AS (SELECT * FROM " + _values(_FLOWS, "flow_id, source, target") + "), me AS (SELECT case_id, unnest(marking) AS el FROM mk), lv AS (SELECT DISTINCT case_id, node_id AS el FROM sn JOIN nd ON nd.name = activity AND kind = 'task' WHERE t IS NULL), st AS (SELECT case_id, 'flow' AS kind, el AS element FROM me WHERE el IN (SELECT flow_id FROM fw) UNION SELECT case_id, 'activity', el FROM me SEMI JOIN lv USING (case_id, el) WHERE el IN (SELECT node_id FROM nd) UNION SELECT case_id, 'flow', flow_id FROM (SELECT * FROM me ANTI JOIN lv USING (case_id, el)) JOIN fw ON target = el JOIN nd ON nd.node_id = el AND nd.kind = 'task')"
 _FULL = _SNAP + _TRACE.format(log="sn") + _MARK + _STATE
