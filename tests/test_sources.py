@@ -18,7 +18,7 @@ MODEL = """<?xml version="1.0"?><bpmn:definitions xmlns:bpmn="http://www.omg.org
 def test_model_and_upstream(spark, tmp_path):
     (tmp_path / "m.bpmn").write_text(MODEL)
     nodes, flows = S.read_model(spark, str(tmp_path / "m.bpmn"))
-    assert {(r["node_id"], r["kind"], r["name"]) for r in nodes.collect()} == {("s", "startEvent", "Unnamed Event"), ("t1", "task", "A"), ("t2", "task", "Unnamed Task"), ("g", "exclusiveGateway", "G"), ("h", "exclusiveGateway", "Unnamed Gateway"), ("e", "endEvent", "End")}
+    assert {(r["node_id"], r["kind"], r["name"]) for r in nodes.collect()} == {("s", "startEvent", "Unnamed startEvent s"), ("t1", "task", "A"), ("t2", "task", "Unnamed Task t2"), ("g", "exclusiveGateway", "G"), ("h", "exclusiveGateway", "Unnamed exclusiveGateway h"), ("e", "endEvent", "End")}
     assert flows.count() == 5
     assert {(r["node_id"], r["task"]) for r in P.upstream_tasks(nodes, flows).collect()} == {("g", "t1"), ("h", "t1")}
 
@@ -47,3 +47,32 @@ def test_snapshot_attributes_and_ids(spark, tmp_path):
     S.write_snapshot(str(tmp_path / "s"), got, log.agg(F.max("start_time").alias("last_case_arrival")))
     assert [x["case_id"] for x in S.read_snapshot_ids(spark, str(tmp_path / "s")).collect()] == ["c"]
     assert S.read_snapshot_ids(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_model_under_any_prefix(spark, tmp_path):
+    """The same elements with another prefix, without one, and within a sub-process; a name may hold marks."""
+    nodes, flows = S.read_model(spark, _written(tmp_path, "a", MODEL))
+    want = sorted(map(repr, nodes.collect())), sorted(map(repr, flows.collect()))
+    for name, text in (("b", MODEL.replace("bpmn:", "m2:").replace(":bpmn", ":m2")), ("c", MODEL.replace("bpmn:", "").replace("xmlns:bpmn", "xmlns"))):
+        got = S.read_model(spark, _written(tmp_path, name, text))
+        assert tuple(sorted(map(repr, x.collect())) for x in got) == want
+    inner = MODEL.replace('<bpmn:task id="t2"/>', '<bpmn:subProcess id="sub"><bpmn:task id="t2" name="a &lt; b &amp; c"/></bpmn:subProcess>')
+    assert ("t2", "a < b & c") in {(r["node_id"], r["name"]) for r in S.read_model(spark, _written(tmp_path, "d", inner))[0].collect()}
+
+
+def _written(folder, name, text):
+    (folder / f"{name}.bpmn").write_text(text)
+    return str(folder / f"{name}.bpmn")
+
+
+def test_sorted_sink(spark, tmp_path):
+    at = [datetime(2024, 1, 1 + (k * 7) % 20, (k * 5) % 24, tzinfo=timezone.utc) for k in range(300)]
+    log = spark.createDataFrame([(k, t, "A") for k, t in enumerate(at)], "id long, start_time timestamp, activity string").repartition(3)
+    path = str(tmp_path / "sorted")
+    S.write_sorted(log, path, 1000)
+    order = sorted(range(300), key=lambda k: (at[k], k))
+    assert {r["id"]: r["place"] for r in S.read_places(spark, path).collect()} == {k: i for i, k in enumerate(order)}
+    a, b = datetime(2024, 1, 5, tzinfo=timezone.utc), datetime(2024, 1, 6, 12, tzinfo=timezone.utc)
+    got = S.read_between(spark, path, F.lit(a), F.lit(b))
+    assert {r["id"] for r in got.collect()} == {k for k in range(300) if a <= at[k] <= b}
+    assert 0 < len(got.inputFiles()) < len(spark.read.parquet(path).inputFiles()) and S.read_between(spark, path, F.lit(b.replace(year=2030)), F.lit(b.replace(year=2031))).count() == 0

@@ -132,7 +132,14 @@ query("o4_ranked_contributors", _assessed(["activity", "activity_resource"]) + _
 )
 
 
-@query("b9_interpretation")
+_SAID = "CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in B.PARTS.items()) + " END"
+_TEXT = f""", b9 AS (SELECT view, score, row_number() OVER (ORDER BY score DESC, view) AS rank FROM sc),
+nm AS (SELECT view, string_agg(array_to_string(key, ' | ') || ' (' || printf('%.4f', contribution) || ')', ', ' ORDER BY rank) AS names FROM rq WHERE rank <= 3 GROUP BY 1)
+SELECT rank::INT AS rank, view || ': overall ' || printf('%.4f', score) || ', the logs differ in ' || array_to_string(list_transform(string_split(view, '_'), lambda p: {_SAID}), ' and ')
+  || coalesce('; mainly ' || names, '') AS line FROM b9 LEFT JOIN nm USING (view) WHERE rank <= 3"""
+
+
+@query("b9_interpretation", _assessed(["activity", "activity_resource", "case", "resource"]) + _RANKED + _TEXT)
 def _(x):
     found = _swept(x, ["activity", "activity_resource", "case", "resource"], True)
     return B.interpretation(B.scores(B.timeline(found)), B.contributors(found))

@@ -246,6 +246,86 @@ def _(x):
     return S.read_places(x.spark, path).select("id", "place")
 
 
+@query("o2_time_range", " SELECT id FROM e, p WHERE s >= cut AND s <= cut + 86400000000")
+def _(x):
+    """A day's rows, from the files that the manifest names."""
+    path = _folder(x, "sorted")
+    S.write_sorted(x.e.select("id", "start_time", "activity"), path, 1 << 20)
+    return S.read_between(x.spark, path, moment(F.lit(x.cut)), moment(F.lit(x.cut + 86_400_000_000))).select("id")
+
+
+@query(
+    "s7_read_model",
+    """, a AS (SELECT DISTINCT activity FROM e), b AS (SELECT activity, lead(activity) OVER (PARTITION BY case_id ORDER BY s, id) AS next FROM e),
+d AS (SELECT DISTINCT activity, next FROM b WHERE next IS NOT NULL)
+SELECT 'task' AS kind, 't_' || activity AS id, CASE WHEN activity < 'n' THEN activity ELSE 'Unnamed Task t_' || activity END AS name, NULL AS target FROM a
+UNION ALL SELECT 'exclusiveGateway', 'g_' || activity, 'after ' || activity, NULL FROM a UNION ALL SELECT 'endEvent', 'end', 'Unnamed endEvent end', NULL
+UNION ALL SELECT 'flow', 'f_' || activity, 't_' || activity, 'g_' || activity FROM a
+UNION ALL SELECT 'flow', 'f_' || activity || '_' || next, 'g_' || activity, 't_' || next FROM d""",
+)
+def _(x):
+    """A process model of the log (each activity a task before a gateway that leads to what follows it), written, and read again."""
+    follows = x.e.select("activity", F.lead("activity").over(Window.partitionBy("case_id").orderBy("start_time", "id")).alias("next"))
+    acts, pairs = x.e.select("activity").distinct(), follows.filter("next IS NOT NULL").distinct()  # as many as the log has activities, and pairs of them
+    a, n = F.col("activity"), F.col("next")
+    parts = [
+        acts.select(F.format_string('<m:task id="t_%s"%s/>', a, F.when(a < "n", F.format_string(' name="%s"', a)).otherwise("")).alias("e")),
+        acts.select(F.format_string('<m:exclusiveGateway id="g_%s" name="after %s"/><m:sequenceFlow id="f_%s" sourceRef="t_%s" targetRef="g_%s"/>', a, a, a, a, a).alias("e")),
+        pairs.select(F.format_string('<m:sequenceFlow id="f_%s_%s" sourceRef="g_%s" targetRef="t_%s"/>', a, n, a, n).alias("e")),
+    ]
+    body = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.array_join(F.sort_array(F.collect_list("e")), "").alias("b"))
+    head = '<m:definitions xmlns:m="http://www.omg.org/spec/BPMN/20100524/MODEL"><m:process id="p">'
+    path = _folder(x, "model")
+    body.select(F.concat(F.lit(head), "b", F.lit('<m:endEvent id="end"/></m:process></m:definitions>'))).coalesce(1).write.text(path)
+    nodes, flows = S.read_model(x.spark, path)
+    found = nodes.select("kind", F.col("node_id").alias("id"), "name", F.lit(None).cast("string").alias("target"))
+    return found.unionByName(flows.select(F.lit("flow").alias("kind"), F.col("flow_id").alias("id"), F.col("source").alias("name"), "target"))
+
+
+def _s14() -> str:
+    """Each written table's name, rows and total."""
+    from tracework.plans import analysis as Y
+
+    parts = [
+        "SELECT 'samples' AS name, count(*) AS rows, round(sum(wip), 6)::DOUBLE AS total FROM te",
+        "SELECT 'evaluations', count(*), round(sum(abs(err)), 6) FROM ev WHERE baseline_in_ci IS NOT NULL",
+        "SELECT 'models', (SELECT count(*) FROM g2) + (SELECT count(*) FROM g3) + 1, (SELECT sum(round(m, 6)) FROM (SELECT m FROM g1 UNION ALL SELECT m FROM g2 UNION ALL SELECT m FROM g3))",
+        "SELECT 'metadata', 1, (SELECT count(*) FROM tr)",
+        "SELECT 'joined', count(*), round(sum(wip), 6) FROM te JOIN ev USING (t) WHERE baseline_in_ci",
+    ]
+    return Y._SAMPLE + Y._EVAL + " SELECT name, rows, round(total, 6) AS total FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("s14_experiment_outputs", _s14())
+def _(x):
+    """Cut samples, their evaluation, the groups of each method and what the run was: written together, read again, and joined."""
+    from tracework.operators import models as MO
+    from tracework.plans.analysis import _sampled
+
+    path, (train, test) = _folder(x, "outputs"), _sampled(x)
+    iso = F.date_format(moment(F.col("t")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("cut_time_iso")
+    edges = MO.wip_edges(train, "err")
+    groups = {"baseline": MO.baseline(train, "err").withColumn("group_id", F.lit(0)), "random_groups": MO.random_groups(train, "err"), "wip_deciles": MO.wip_groups(train, "err", edges)}
+    models = None
+    for method, df in groups.items():
+        part = df.select(F.lit(method).alias("method"), F.col("group_id").cast("int").alias("group_id"), F.round("mean", 6).alias("mean"), "ci", F.col("count").alias("n"))
+        models = part if models is None else models.unionByName(part)
+    S.write_outputs(
+        path,
+        samples=test.select(iso, F.lit("test").alias("split"), "wip", "err"),
+        evaluations=MO.simple_methods(train, test, "err").select(iso, F.col("err").alias("true_error"), "baseline_mean", "baseline_ci", "baseline_in_ci"),
+        models=models,
+        metadata=train.agg(F.lit("remaining hours").alias("target"), F.count(F.lit(1)).alias("n_train")),
+    )
+    samples, evaluations = (S.read_output(x.spark, path, n) for n in ("samples", "evaluations"))
+    back = S.read_output(x.spark, path, "models", "method string, group_id int, mean double, ci double, n long")
+    meta = S.read_output(x.spark, path, "metadata", "target string, n_train long")
+    joined = MO.joined_samples(samples, evaluations).filter("baseline_in_ci")
+    total = lambda name, df, c: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(c).cast("double").alias("total"))
+    out = total("samples", samples, F.col("wip")).unionByName(total("evaluations", evaluations.filter("baseline_in_ci IS NOT NULL"), F.abs("true_error")))
+    return out.unionByName(total("models", back, F.col("mean"))).unionByName(total("metadata", meta, F.col("n_train"))).unionByName(total("joined", joined, F.col("wip")))
+
+
 def _s13() -> str:
     """The rankings' SQL, with the intervals' of 20 draws beside it."""
     from tracework.plans import analysis as Y

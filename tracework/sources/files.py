@@ -81,16 +81,30 @@ def present(names: list[str], df: DataFrame) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
+#: Element names of the process model notation.
+EVENTS = ("startEvent", "intermediateCatchEvent", "intermediateThrowEvent", "endEvent")
+GATEWAYS = ("exclusiveGateway", "parallelGateway", "inclusiveGateway", "complexGateway", "eventBasedGateway")
+
+
 def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, flows) of a BPMN file: tasks, events and gateways with their names, and sequence flows."""
-    kinds = {"task": "Unnamed Task", "startEvent": "Unnamed Event", "intermediateCatchEvent": "Unnamed Event", "intermediateThrowEvent": "Unnamed Event", "endEvent": "Unnamed Event", "exclusiveGateway": "Unnamed Gateway", "inclusiveGateway": "Unnamed Gateway", "parallelGateway": "Unnamed Gateway"}
-    nodes = None
-    for kind, unnamed in kinds.items():
-        rows = spark.read.format("xml").option("rowTag", f"bpmn:{kind}").schema("_id string, _name string").load(path)
-        part = rows.select(F.col("_id").alias("node_id"), F.lit(kind).alias("kind"), F.coalesce("_name", F.lit(unnamed)).alias("name"))
-        nodes = part if nodes is None else nodes.unionByName(part)
-    rows = spark.read.format("xml").option("rowTag", "bpmn:sequenceFlow").schema("_id string, _sourceRef string, _targetRef string").load(path)
-    return nodes, rows.select(F.col("_id").alias("flow_id"), F.col("_sourceRef").alias("source"), F.col("_targetRef").alias("target"))
+    """(nodes, flows) of a BPMN file: tasks, events and gateways with their names, and sequence flows, at any depth.
+
+    The file is read once, as one text; elements are known by their local names, whatever prefix their namespace has, or none.
+    Elements without a name are called after their kind and id.
+    """
+    text = spark.read.text(path, wholetext=True)
+    at = lambda kind, more: F.xpath("value", F.lit(f"//*[local-name()='{kind}'][@id]{more}"))
+
+    def elements(kind: str) -> Column:
+        unnamed = F.concat(F.lit(f"Unnamed {'Task' if kind == 'task' else kind} "), F.lit(""))
+        node = lambda i, n: F.named_struct(F.lit("node_id"), i, F.lit("kind"), F.lit(kind), F.lit("name"), n)
+        named = F.zip_with(at(kind, "[@name]/@id"), at(kind, "[@name]/@name"), node)
+        return F.concat(named, F.transform(at(kind, "[not(@name)]/@id"), lambda i: node(i, F.concat(unnamed, i))))
+
+    nodes = text.select(F.explode(F.concat(*[elements(k) for k in ("task", *EVENTS, *GATEWAYS)])).alias("n")).select("n.*")
+    ends = [at("sequenceFlow", f"[@sourceRef and @targetRef]/@{a}") for a in ("id", "sourceRef", "targetRef")]
+    flows = text.select(F.explode(F.arrays_zip(*[c.alias(n) for c, n in zip(ends, ("flow_id", "source", "target"), strict=True)])).alias("f"))
+    return nodes, flows.select(*[F.col("f").getField(n).alias(n) for n in ("flow_id", "source", "target")])
 
 
 def prefix(log: DataFrame, cut: Column) -> DataFrame:
@@ -117,17 +131,40 @@ def read_output(spark: SparkSession, folder: str, name: str, schema: str | None
     return spark.read.schema(schema).json(path) if schema else spark.read.parquet(path)
 
 
-def write_sorted(log: DataFrame, path: str, files: int = 8) -> None:
-    """The log sorted by start (ties by id): files hold ranges of time, in order of their names, and are sorted inside."""
-    log.repartitionByRange(files, "start_time", "id").sortWithinPartitions("start_time", "id").write.mode("overwrite").parquet(path)
+def write_sorted(log: DataFrame, path: str, file_bytes: int = 128 << 20) -> None:
+    """The log sorted by start (ties by id): files hold ranges of time, in order of their names, and are sorted inside.
+
+    How many files follows from the bytes of all values. A manifest beside them has a row a file: its first and last start, its
+    rows, and how many rows lie before it.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in log.columns), F.lit(0))
+    files = max(1, -(-(log.agg(F.sum(size).alias("b")).first()["b"] or 0) // file_bytes))
+    sorted_rows = log.repartitionByRange(files, "start_time", "id").sortWithinPartitions("start_time", "id")
+    sorted_rows.write.mode("overwrite").parquet(path)
+    held = log.sparkSession.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file"))
+    bounds = held.agg(F.min("start_time").alias("first"), F.max("start_time").alias("last"), F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds.withColumn("before", before).coalesce(1).write.mode("overwrite").parquet(_manifest(path))
+
+
+def _manifest(path: str) -> str:
+    """A folder that readers of the log skip, as its name begins with _."""
+    return f"{path.rstrip('/')}/_manifest"
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """A written log with `place`, each row's position over all files in the order of their names; one row a file is ordered alone."""
-    df = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    sizes = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(sizes.select("_file", before.alias("_before")), "_file").withColumn("place", F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
+    """A log of write_sorted() with `place`, each row's position over all files: that in its file after what the manifest says lies before it."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    known = spark.read.parquet(_manifest(path)).select(F.col("file").alias("_file"), "before")
+    return rows.join(known, "_file").withColumn("place", F.col("before") + F.col("_at")).drop("_file", "_at", "before")
+
+
+def read_between(spark: SparkSession, path: str, start: Column, end: Column) -> DataFrame:
+    """Rows of a log of write_sorted() that start in [start, end]; other files than those that may hold some are not opened."""
+    held = spark.read.parquet(_manifest(path)).filter((F.col("first") <= end) & (F.col("last") >= start)).select("file")
+    names = [f"{path.rstrip('/')}/{r['file']}" for r in held.collect()]  # files of the asked time
+    rows = spark.read.parquet(*names) if names else spark.read.parquet(path).limit(0)
+    return rows.filter(F.col("start_time").between(start, end))
 
 
 def write_snapshot(folder: str, cases: DataFrame, last_arrival: DataFrame, globals_: DataFrame | None = None) -> None:
