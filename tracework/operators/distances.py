@@ -55,28 +55,29 @@ def remaining_time(a: DataFrame, b: DataFrame, reference: int, size: int = HOUR,
     return found.select((F.when(F.col("most") > 0, value / F.greatest("most", F.lit(0))).otherwise(value) if normalise else value).alias("distance"))
 
 
-def n_grams(log: DataFrame, n: int, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """(gram): a case's activities by start, padded on both sides, in runs of n; a very long case is cut into ranges."""
+def n_grams(log: DataFrame, n: int, rows_a_range: int = ROWS_A_RANGE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, gram): a case's activities by start, padded on both sides, in runs of n; a very long case is cut into ranges."""
     tie = [c for c in ("id",) if c in log.columns]
     order = ["kind", "start_time", "end_time", *tie, "pad"]
     pads = F.explode(F.sequence(F.lit(1), F.lit(n - 1)))
-    cases = log.select("case_id").distinct()
-    cols = ["case_id", "activity", "start_time", "end_time", *tie]
+    whole = [*keys, "case_id"]
+    cases = log.select(*whole).distinct()
+    cols = [*whole, "activity", "start_time", "end_time", *tie]
     rows = log.select(*cols).withColumns({"kind": F.lit(1), "pad": F.lit(0)})
     for kind in (0, 2):
-        pad = cases.withColumns({c: F.lit(None).cast(dict(log.dtypes)[c]) for c in cols if c != "case_id"} | {"kind": F.lit(kind)}).select("*", pads.alias("pad"))
+        pad = cases.withColumns({c: F.lit(None).cast(dict(log.dtypes)[c]) for c in cols if c not in whole} | {"kind": F.lit(kind)}).select("*", pads.alias("pad"))
         rows = rows.unionByName(pad)
     rows = rows.withColumns({"text": F.coalesce("activity", F.lit("\u0000")), "one": F.lit(1)})
     back = {f"t{k}": ("text", k) for k in range(n - 1, 0, -1)}
-    found = earlier(rows, ["case_id"], order, back | {"w": ("one", n - 1)}, rows_a_range)
-    return found.filter("w = 1").select(F.array(*back, "text").alias("gram"))
+    found = earlier(rows, whole, order, back | {"w": ("one", n - 1)}, rows_a_range)
+    return found.filter("w = 1").select(*keys, F.array(*back, "text").alias("gram"))
 
 
-def n_gram_distance(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
-    """(distance): sum of |fa - fb| over sum of fa + fb, over n-grams [published definition]; null if either log is empty."""
-    both = n_grams(a, n).withColumn("d", F.lit(1)).unionByName(n_grams(b, n).withColumn("d", F.lit(-1)))
-    grams = both.groupBy("gram").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("x"), F.count_if(F.col("d") < 0).alias("y"))
-    return grams.agg(F.when((F.sum("x") > 0) & (F.sum("y") > 0), F.sum(F.abs("d")) / F.sum("n")).alias("distance"))
+def n_gram_distance(a: DataFrame, b: DataFrame, n: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, distance): sum of |fa - fb| over sum of fa + fb, over n-grams [published definition]; null if either log is empty."""
+    both = n_grams(a, n, keys=keys).withColumn("d", F.lit(1)).unionByName(n_grams(b, n, keys=keys).withColumn("d", F.lit(-1)))
+    grams = both.groupBy(*keys, "gram").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("x"), F.count_if(F.col("d") < 0).alias("y"))
+    return grams.groupBy(*keys).agg(F.when((F.sum("x") > 0) & (F.sum("y") > 0), F.sum(F.abs("d")) / F.sum("n")).alias("distance"))
 
 
 def _pair(a: DataFrame, b: DataFrame, bins, *keys: str) -> DataFrame:
@@ -123,20 +124,33 @@ def circadian_workforce(a: DataFrame, b: DataFrame) -> DataFrame:
     return wasserstein(hist, "day").agg(F.avg("distance").alias("distance"))
 
 
-def relative_events(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(distance): starts and ends by hours since the case began [published definition]."""
+def _spans(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, case_id, first, last) in microseconds."""
+    return log.groupBy(*keys, "case_id").agg(F.min(micros("start_time")).alias("first"), F.max(micros("end_time")).alias("last"))
+
+
+def relative_events(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, distance): starts and ends by hours since the case began [published definition]."""
 
     def since(x: DataFrame) -> DataFrame:
-        first = case_bounds(x).select("case_id", "first")
         both = F.explode(F.array(micros("start_time"), micros("end_time")))
-        return x.join(first, "case_id").select("first", both.alias("t")).select(bin_of(F.col("t") - F.col("first"), HOUR).alias("bin"))
+        return x.join(_spans(x, keys).drop("last"), [*keys, "case_id"]).select(*keys, "first", both.alias("t")).select(*keys, bin_of(F.col("t") - F.col("first"), HOUR).alias("bin"))
+
+    return wasserstein(_pair(a, b, since, *keys), *keys).select(*keys, "distance")
+
 
-    return wasserstein(_pair(a, b, since)).select("distance")
+def cycle_times(a: DataFrame, b: DataFrame, size: int = HOUR, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, distance): case durations in bins [published definition]."""
+    return wasserstein(_pair(a, b, lambda x: _spans(x, keys).select(*keys, bin_of(F.col("last") - F.col("first"), size).alias("bin")), *keys), *keys).select(*keys, "distance")
 
 
-def cycle_times(a: DataFrame, b: DataFrame, size: int = HOUR) -> DataFrame:
-    """(distance): case durations in bins [published definition]."""
-    return wasserstein(_pair(a, b, lambda x: case_bounds(x).select(bin_of(F.col("last") - F.col("first"), size).alias("bin")))).select("distance")
+def remaining_time_by(a: DataFrame, b: DataFrame, reference: int, keys: tuple[str, ...], size: int = HOUR) -> DataFrame:
+    """(keys, distance): remaining_time() of each group."""
+    hist = _pair(a, b, lambda x: _spans(x, keys).select(*keys, bin_of(F.col("last") - reference, size).alias("bin")), *keys)
+    n = hist.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).alias(x) for k, x in enumerate("ab")])
+    fill = n.select(*keys, F.lit(0).cast("long").alias("bin"), F.abs(F.col("a") - F.col("b")).alias("n"), F.when(F.col("a") < F.col("b"), 0).otherwise(1).alias("side")).filter("n > 0")
+    found = wasserstein(hist.unionByName(fill), *keys).drop("na", "nb").join(n, list(keys))
+    return found.select(*keys, F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("distance")).alias("distance"))
 
 
 def case_arrivals(a: DataFrame, b: DataFrame) -> DataFrame:

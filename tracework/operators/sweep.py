@@ -44,8 +44,11 @@ def with_role(log: DataFrame, roles: DataFrame, missing: str = "error") -> DataF
     return out.withColumn("role", F.coalesce("role", F.lit("unknown"))) if missing == "unknown" else out
 
 
-def instances(a: DataFrame, b: DataFrame, views: list[str], roles: DataFrame | None = None, missing_role: str = "error") -> DataFrame:
-    """(view, key, s, t, side): every instance of positive length under every view, one scan a log; missing_role as with_role() takes it."""
+def instances(a: DataFrame, b: DataFrame, views: list[str], roles: DataFrame | None = None, missing_role: str = "error", group: str | None = None) -> DataFrame:
+    """(view, key, s, t, side): every instance of positive length under every view, one scan a log; missing_role as with_role() takes it.
+
+    With a column of both logs as group, its value and a colon stand before the view's name: each group is compared on its own.
+    """
 
     def one(log: DataFrame, side: int) -> DataFrame:
         log = log.filter("end_time > start_time")
@@ -54,7 +57,8 @@ def instances(a: DataFrame, b: DataFrame, views: list[str], roles: DataFrame | N
                 log = log.withColumn(c, F.lit(None).cast("string"))
         if "activity_role" in views:
             log = with_role(log, roles, missing_role)
-        keys = F.array(*[F.struct(F.lit(v).alias("view"), VIEWS[v]().alias("key")) for v in views])
+        name = lambda v: F.concat(F.col(group), F.lit(f":{v}")) if group else F.lit(v)
+        keys = F.array(*[F.struct(name(v).alias("view"), VIEWS[v]().alias("key")) for v in views])
         return log.select(F.explode(keys).alias("v"), micros("start_time").alias("s"), micros("end_time").alias("t"), F.lit(side).alias("side")).select("v.view", "v.key", "s", "t", "side")
 
     return one(a, 0).unionByName(one(b, 1))

@@ -9,6 +9,7 @@ from tracework.log import case_bounds
 from tracework.operators import assess as B
 from tracework.operators import experiment as X
 from tracework.operators import features as L
+from tracework.operators import ladders as LA
 from tracework.operators import models as MO
 from tracework.operators import ranking as R
 from tracework.operators import sweep as M
@@ -309,6 +310,116 @@ for _name, (_level, _sql) in _SQL_OF.items():
     query(f"t6_ladder_{_name}", _sql)(lambda x, n=_name, v=_level: X.ladder(_steps(x, n, v), (x.cut, x.end), x.roles))
 
 
+# Whole ladders: three levels times five replicates, state rows and baselines, in one plan a flow.
+
+_REPLICATES = 5
+_COLS = "id, case_id, {activity} AS activity, resource, {s} AS s, {t} AS t, {case_type} AS case_type, user_id"
+
+
+def _altered(**new) -> str:
+    return _COLS.format(**({"activity": "activity", "s": "s", "t": "t", "case_type": "case_type"} | new))
+
+
+def _whole_ladder_sql(levels: list, ctes: str, la: str, lb: str, k_baseline: str = "0") -> str:
+    """Rows of all steps: la and lb are queries of the compared logs with level, k and scope, over the tables of ctes and st (level, k)."""
+    grp = "level || ':' || k || ':' || scope AS grp"
+    values = ", ".join(f"{float(v)}::DOUBLE" for v in levels)
+    head = f", st AS (SELECT * FROM (SELECT unnest([{values}]) AS level), (SELECT unnest(range({_REPLICATES})) AS k))" + ctes
+    head += f", la AS MATERIALIZED (SELECT {grp}, * FROM ({la})), lb AS MATERIALIZED (SELECT {grp}, * FROM ({lb}))"
+    sweep = _sweep(_SIX, "la", "lb").replace("x.v AS view", "grp || ':' || x.v AS view")
+    state = """SELECT array_to_string(string_split(view, ':')[1:3], ':') AS grp, 'state' AS family,
+      CASE WHEN distance = 'jaccard' THEN split_part(view, ':', 4) || '.jaccard' ELSE 'cardinality' END AS metric, sum(d * coalesce(next_t - t, 0)) / 172800000000 AS value
+      FROM l WHERE distance = 'jaccard' OR view LIKE '%:activity' GROUP BY view, distance"""
+    grams = """SELECT grp, g, side FROM (SELECT grp, side, [lag(a) OVER w, a] AS g, lag(1) OVER w AS o FROM (
+        SELECT grp, 1 AS side, case_id, activity AS a, 1 AS j, s, t, id FROM la UNION ALL SELECT DISTINCT grp, 1, case_id, '', j, 0, 0, 0 FROM la, (SELECT unnest([0, 2]) AS j)
+        UNION ALL SELECT grp, -1, case_id, activity, 1, s, t, id FROM lb UNION ALL SELECT DISTINCT grp, -1, case_id, '', j, 0, 0, 0 FROM lb, (SELECT unnest([0, 2]) AS j))
+      WINDOW w AS (PARTITION BY grp, side, case_id ORDER BY j, s, t, id)) WHERE o = 1"""
+    ngd = f"""SELECT grp, CASE WHEN sum(x) > 0 AND sum(y) > 0 THEN sum(abs(d)) / sum(n) END AS v
+      FROM (SELECT grp, g, sum(side) AS d, count(*) AS n, count(*) FILTER (side = 1) AS x, count(*) FILTER (side = -1) AS y FROM ({grams}) GROUP BY 1, 2) GROUP BY 1"""
+    spans = "(SELECT grp, case_id, min(s) AS f, max(t) AS l FROM {k} GROUP BY 1, 2)"
+    left = "SELECT grp, CAST(floor((l - cut) / 3600000000) AS BIGINT) AS bin FROM " + spans + ", p"
+    count = "(SELECT count(*) FROM {k} AS n WHERE n.grp = z.grp)"
+    filled = "SELECT grp, bin FROM {own} UNION ALL SELECT grp, 0 FROM (SELECT grp, unnest(range(0, greatest(" + count.format(k="{other}") + " - " + count.format(k="{own}") + ", 0))) FROM (SELECT DISTINCT grp FROM st_grp) AS z)"
+    bins = {
+        "red": [f"SELECT grp, (unnest([s, t]) - f) // 3600000000 AS bin FROM {k} JOIN {spans.format(k=k)} USING (grp, case_id)" for k in ("la", "lb")],
+        "cycle_time": [f"SELECT grp, (l - f) // 3600000000 AS bin FROM {spans.format(k=k)}" for k in ("la", "lb")],
+        "rtd": [filled.format(own="ra", other="rb"), filled.format(own="rb", other="ra")],
+    }
+    sweep += f", ra AS MATERIALIZED ({left.format(k='la')}), rb AS MATERIALIZED ({left.format(k='lb')}), st_grp AS MATERIALIZED (SELECT grp FROM la UNION SELECT grp FROM lb)"
+    parts = [state, f"SELECT grp, 'baseline', 'ngd_n2', v FROM ({ngd})"]
+    parts += [f"SELECT grp, 'baseline', '{m}', v FROM (WITH {_w1(*pair, 'grp', 'grp, {d} AS v').removeprefix(', ')})" for m, pair in bins.items()]
+    k = "split_part(grp, ':', 2)::INT"
+    return head + sweep + f" SELECT split_part(grp, ':', 1)::DOUBLE AS level, {k_baseline.format(k=k)} AS k_baseline, {k} AS k_sim, split_part(grp, ':', 3) AS scope, family, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+_ONE_A = f", wa AS (SELECT 'A' AS scope, * FROM ({_A}))"
+_EACH = "SELECT level, k, scope, " + _altered() + " FROM wa, st"
+_TAGGED = "SELECT level, k, scope, " + _altered(case_type="CASE WHEN nw.case_id IS NOT NULL THEN nw.new ELSE case_type END") + " FROM wa CROSS JOIN st LEFT JOIN nw USING (level, k, case_id)"
+_MOVED = "CAST(floor((('0x' || substr(md5('rephase:' || k || ':' || case_id), 1, 8))::BIGINT / 4294967296.0) * (lo + hi) - lo) AS BIGINT)"
+_DRAWN_MIX = """SELECT level, k, case_id FROM (SELECT k, case_id, row_number() OVER (PARTITION BY k ORDER BY md5('mix-{tag}-' || k || ':' || case_id), case_id) AS rn
+  FROM (SELECT DISTINCT case_id FROM {log}), (SELECT DISTINCT k FROM st)), nl WHERE rn <= {n}"""
+_WHOLE = {
+    "relabel": ([0, 30, 60], _whole_ladder_sql(
+        [0, 30, 60],
+        f", sc AS MATERIALIZED (SELECT 'A' AS scope, * FROM ({_A}) UNION ALL SELECT 'B', * FROM ({_WIN.format(log='e')}))"
+        ", ta AS (SELECT coalesce((SELECT activity FROM sc WHERE scope = 'A' AND activity IN (SELECT activity FROM sc WHERE scope = 'B') GROUP BY 1 ORDER BY count(*) DESC, activity LIMIT 1), (SELECT activity FROM sc WHERE scope = 'B' GROUP BY 1 ORDER BY count(*) DESC, activity LIMIT 1)) AS activity)"
+        ", rk AS (SELECT scope, k, id, row_number() OVER (PARTITION BY scope, k ORDER BY md5('relabel-' || k || ':' || id), id) AS rn, count(*) OVER (PARTITION BY scope, k) AS c FROM sc JOIN ta USING (activity), (SELECT DISTINCT k FROM st))",
+        "SELECT level, k, scope, " + _altered() + " FROM sc, st",
+        "SELECT level, k, scope, " + _altered(activity="CASE WHEN rn <= round_even(level / 100 * c, 0) THEN 'changed' ELSE activity END") + " FROM sc CROSS JOIN st LEFT JOIN rk USING (scope, k, id)",
+    )),
+    "rephase": ([0, 1, 4], _whole_ladder_sql(
+        [0, 1, 4],
+        _ONE_A + ", bo AS (SELECT level, k, case_id, least(level * 3600000000, greatest(min(s) - cut, 0)) AS lo, least(level * 3600000000, greatest(fin - max(t), 0)) AS hi FROM wa, p, st GROUP BY level, k, case_id, cut, fin)"
+        f", mv AS (SELECT level, k, case_id, {_MOVED} AS d FROM bo)",
+        _EACH, "SELECT level, k, scope, " + _altered(s="s + d", t="t + d") + " FROM wa JOIN mv USING (case_id)",
+    )),
+    "swap": ([0, 40, 90], _whole_ladder_sql(
+        [0, 40, 90],
+        _ONE_A + _TAG + ", sn AS (SELECT least(count(*) FILTER (tag = 'blue'), count(*) FILTER (tag = 'red')) AS n FROM y)"
+        ", rk AS (SELECT k, case_id, tag, row_number() OVER (PARTITION BY tag, k ORDER BY md5(CASE WHEN tag = 'blue' THEN 'swap-a-' ELSE 'swap-b-' END || k || ':' || case_id), case_id) AS rn FROM y, (SELECT DISTINCT k FROM st))"
+        ", nw AS (SELECT level, k, case_id, CASE tag WHEN 'blue' THEN 'red' ELSE 'blue' END AS new FROM rk JOIN st USING (k), sn WHERE rn <= CAST(floor(level / 100 * n) AS BIGINT))",
+        _EACH, _TAGGED,
+    )),
+    "drift": ([0, 50, 100], _whole_ladder_sql(
+        [0, 50, 100],
+        _ONE_A + _TAG + ", rk AS (SELECT level, k, case_id, tag, f FROM (SELECT k, case_id, tag, f, row_number() OVER (PARTITION BY k ORDER BY md5('drift-' || k || ':' || case_id), case_id) AS rn, count(*) OVER (PARTITION BY k) AS n FROM y, (SELECT DISTINCT k FROM st)) JOIN st USING (k) WHERE rn <= round_even(level / 100 * n, 0))"
+        ", ps AS (SELECT *, row_number() OVER (PARTITION BY level, k ORDER BY f, case_id) AS pos, min(tag) OVER (PARTITION BY level, k) AS early FROM rk)"
+        ", qs AS (SELECT *, count(*) FILTER (tag = early) OVER (PARTITION BY level, k) AS ne FROM ps)"
+        ", lt AS (SELECT level, k, tag AS later, ne + row_number() OVER (PARTITION BY level, k ORDER BY pos) AS pos FROM qs WHERE tag <> early)"
+        ", nw AS (SELECT level, k, case_id, CASE WHEN pos <= ne THEN early ELSE later END AS new FROM qs LEFT JOIN lt USING (level, k, pos))",
+        _EACH, _TAGGED,
+    )),
+    "mix": ([0, 20, 50], _whole_ladder_sql(
+        [0, 20, 50],
+        ", gr AS MATERIALIZED (SELECT * REPLACE ('g_' || case_id AS case_id, 'green' AS case_type) FROM e), rd AS MATERIALIZED (SELECT * REPLACE ('r_' || case_id AS case_id, 'red' AS case_type) FROM g)"
+        ", nl AS (SELECT level, CAST(round_even((0.5 + level / 100) * c, 0) AS BIGINT) AS ng, c FROM (SELECT DISTINCT level FROM st), (SELECT count(DISTINCT case_id) // 2 AS c FROM e))"
+        f", kp AS MATERIALIZED ({_DRAWN_MIX.format(tag='green', log='gr', n='ng')} UNION ALL {_DRAWN_MIX.format(tag='red', log='rd', n='c - ng')})"
+        f", wx AS MATERIALIZED ({_WIN.format(log='gr')} AND case_id IN {_ONG.format(log='gr')} UNION ALL {_WIN.format(log='rd')} AND case_id IN {_ONG.format(log='rd')})"
+        ", mx AS MATERIALIZED (SELECT level, k, 'A' AS scope, " + _altered() + " FROM wx JOIN kp USING (case_id))",
+        "SELECT st.level, mx.* EXCLUDE (level) FROM mx JOIN st ON st.k = mx.k WHERE mx.level = 0", "SELECT * FROM mx", "{k}",
+    )),
+}
+
+
+def _whole_ladder(x, name: str):
+    steps, window = LA.steps(_WHOLE[name][0], _REPLICATES), (x.cut, x.end)
+    ids = W.ongoing_case_ids(x.e, x.cut)
+    if name == "relabel":
+        base = stored(LA.scoped(x.e, x.cut, HORIZON, "AB", ids))
+        activity = target_activity(base.filter("scope = 'A'"), base.filter("scope = 'B'")).first()["activity"]
+        pair = LA.relabel(base, activity, "changed", steps)
+    elif name == "mix":
+        pair = LA.mix(x.e, x.g, 0.5, x.e.select("case_id").distinct().count() // 2, x.cut, HORIZON, steps)
+    else:
+        base = stored(LA.scoped(x.e, x.cut, HORIZON, "A", ids))
+        pair = LA.rephase(base, *window, steps) if name == "rephase" else (LA.swap if name == "swap" else LA.drift)(x.e, base, steps)
+    return LA.rows(*(stored(y) for y in pair), steps, window, x.roles)
+
+
+for _name, (_, _sql) in _WHOLE.items():
+    query(f"t6_m8_{_name}", _sql)(lambda x, n=_name: _whole_ladder(x, n))
+
+
 query(
     "t6_ladder_utilisation",
     ", rs AS (SELECT role, count(*) AS n_resources FROM r GROUP BY 1), lv AS (SELECT unnest([0, 50]) AS level), bz AS (SELECT role, sum(least(t, fin) - greatest(s, cut)) / 1e6 AS b FROM e JOIN r USING (resource), p WHERE t > cut AND s < fin GROUP BY 1) SELECT level, 0 AS k_sim, role, n_resources, round(coalesce(b, 0), 6) AS busy_seconds, 172800.0::DOUBLE AS window_seconds, round(coalesce(b, 0) / (n_resources * 172800.0), 6) AS utilization FROM rs LEFT JOIN bz USING (role), lv",
