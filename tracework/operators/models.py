@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +9,7 @@ from pyspark.sql.window import Window
 from tracework.operators.aggregates import spread_ci
 from tracework.operators.quantiles import quantiles
 from tracework.operators.windows import numbered
+from tracework.sources.scratch import stored
 
 #: Method to the stem of its columns.
 METHODS = {"baseline": "baseline", "wip_deciles": "wip_decile", "kmeans_simple": "kmeans_simple", "kmeans_advanced_wip": "kmeans_advanced_wip", "kmeans_statevec": "kmeans_statevec", "random_groups": "random_groups"}
@@ -52,20 +51,55 @@ def assign_wip(wip: Column, edges: list[float]) -> Column:
     return F.when(wip.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), at)))
 
 
-def kmeans(train: DataFrame, features: list[str], target: str, k: int = 3, seed: int = 0) -> tuple[KMeansModel, DataFrame] | None:
-    """(model, groups) on rows without nulls; labels are arbitrary."""
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(train.select("t", target, *features).dropna())
-    n = rows.count()
-    if not n:
-        return None
-    model = KMeans(k=max(2, min(k, n)), seed=seed).fit(rows) if n > 1 else None
-    return None if model is None else (model, _groups(model.transform(rows), F.col("prediction"), target))
+def points(rows: DataFrame, features: list[str], *keep: str) -> DataFrame:
+    """(keep, x): rows whose features are all known, as whole millionths, so that sums are exact in any order."""
+    x = F.array(*[F.round(F.col(c).cast("double") * 1e6).cast("long") for c in features])
+    return rows.select(*dict.fromkeys((*keep, *features))).dropna().select(*keep, x.alias("x"))
+
+
+def distances(x: Column, centres: list[list[float]]) -> Column:
+    """Squared distances of a point to a few centres, in their order."""
+    to = lambda c: F.aggregate(F.zip_with(x, F.lit([float(v) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    return F.array(*[to(c) for c in centres])
+
+
+def nearest(x: Column, centres: list[list[float]]) -> Column:
+    """The number of the nearest centre, the first of several."""
+    d = distances(x, centres)
+    return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+
 
+def kmeans(train: DataFrame, features: list[str], target: str, k: int = 3) -> tuple[list[list[float]], DataFrame] | None:
+    """(centres, groups) on rows without nulls, the same wherever it runs.
 
-def assigned(test: DataFrame, model: KMeansModel, features: list[str], name: str) -> DataFrame:
+    The first centre is the earliest sample, each further one the sample farthest from those chosen (the earliest of several; none
+    is added that lies on one). Then samples go to their nearest centre and centres to the mean of theirs, until none moves; a
+    centre without samples stays. A round is one aggregation; k centres reach the driver.
+    """
+    rows = stored(points(train, features, "t", target))
+    first = rows.agg(F.min_by("x", "t").alias("x")).first()["x"]
+    if first is None:
+        return None
+    centres = [[float(v) for v in first]]
+    while len(centres) < k:
+        d = F.array_min(distances(F.col("x"), centres))
+        far = rows.agg(F.max_by(F.struct("x", d.alias("d")), F.struct(d, -F.col("t"))).alias("far")).first()["far"]
+        if far["d"] == 0:
+            break
+        centres.append([float(v) for v in far["x"]])
+    seen = []
+    while centres not in seen:
+        seen = [*seen[-7:], centres]  # equal distances could make it turn in a small circle
+        sums = [F.sum(F.col("x")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(len(features))]
+        means = {r["g"]: [float(r[f"s{i}"]) / r["n"] for i in range(len(features))] for r in rows.groupBy(nearest(F.col("x"), centres).alias("g")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+        centres = [means.get(g, c) for g, c in enumerate(centres)]
+    return centres, _groups(rows, nearest(F.col("x"), centres), target)
+
+
+def assigned(test: DataFrame, centres: list[list[float]], features: list[str], name: str) -> DataFrame:
     """test with `name`, the nearest centre; null where a feature is."""
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(test.select("t", *features).dropna())
-    return test.join(model.transform(rows).select("t", F.col("prediction").alias(name)), "t", "left")
+    at = points(test, features, "t").select("t", nearest(F.col("x"), centres).alias(name))
+    return test.join(at, "t", "left")
 
 
 def applied(test: DataFrame, groups: DataFrame, stem: str, group: Column | None, target: str) -> DataFrame:
@@ -89,13 +123,18 @@ def simple_methods(train: DataFrame, test: DataFrame, target: str, k: int = 3) -
     return applied(out, wip_groups(train, target, edges), "wip_decile", assign_wip(F.col("wip"), edges), target)
 
 
-def all_methods(train: DataFrame, test: DataFrame, target: str, k: int = 3, seed: int = 0) -> DataFrame:
+def feature_sets(columns: list[str]) -> dict[str, list[str]]:
+    """The features of each clustering, out of a sample table's columns."""
+    simple = ["wip", "arrival_rate_per_hour", "resource_availability"]
+    starting = lambda *p: [c for c in columns if c.startswith(p)]
+    return {"kmeans_simple": simple, "kmeans_advanced_wip": simple + starting("wip_enabled_", "wip_ongoing_"), "kmeans_statevec": starting("statevec_")}
+
+
+def all_methods(train: DataFrame, test: DataFrame, target: str, k: int = 3) -> DataFrame:
     """test with the predictions of all six methods."""
     out = simple_methods(train, test, target, k)
-    simple = ["wip", "arrival_rate_per_hour", "resource_availability"]
-    sets = {"kmeans_simple": simple, "kmeans_advanced_wip": simple + [c for c in train.columns if c.startswith("wip_enabled_") or c.startswith("wip_ongoing_")], "kmeans_statevec": [c for c in train.columns if c.startswith("statevec_")]}
-    for stem, features in sets.items():
-        if features and (got := kmeans(train, features, target, k, seed)):
+    for stem, features in feature_sets(train.columns).items():
+        if features and (got := kmeans(train, features, target, k)):
             out = assigned(out, got[0], features, f"{stem}_at")
             out = applied(out, got[1], stem, F.col(f"{stem}_at"), target).drop(f"{stem}_at")
     return out

@@ -509,7 +509,67 @@ query("a16_train_coverage", _SAMPLE + _EVAL.replace("FROM te, ed)", "FROM tr te,
     lambda x: (lambda tr, te: MO.summarised(MO.simple_methods(tr, tr, "err"), "err", with_width=True))(*_sampled(x))
 )
 query("a18_compare_methods", _SAMPLE + _EVAL + _SUMM + " SELECT method_key, row_number() OVER (ORDER BY avg(h::INT) DESC, avg(ci), method_key) AS place FROM un WHERE h IS NOT NULL GROUP BY 1")(lambda x: MO.compared(MO.summarised(MO.simple_methods(*_sampled(x), "err"), "err")).select("method_key", "place"))
-query("l11_l12_all_methods")(lambda x: MO.summarised(MO.all_methods(*_sampled(x), "err"), "err"))
+# Clusterings: centres by farthest samples, then rounds of nearest centre and mean, repeated by recursion.
+
+_WIDE = [f"{k}_{n}" for k in ("wip_enabled", "wip_ongoing", "statevec") for n in _NAMES]
+_PIVOT = ", ".join(f"max({k}) FILTER (activity = '{n}') AS {k}_{n}" for k in ("wip_enabled", "wip_ongoing") for n in _NAMES) + ", " + ", ".join(f"max(state) FILTER (activity = '{n}') AS statevec_{n}" for n in _NAMES)
+_FEATURES = (
+    _ACTS.replace(" UNION ALL SELECT activity, case_id, n, s, 'e' FROM en", "")  # the sampled log has no enable times
+    + ", ar AS (SELECT q.t, count(f) / 24 AS arrival_rate_per_hour FROM q LEFT JOIN (SELECT min(s) AS f FROM e GROUP BY case_id) b ON f > q.t - 86400000000 AND f <= q.t GROUP BY 1)"
+    ", av AS (SELECT q.t, (10 - count(DISTINCT resource)) / 10 AS resource_availability FROM q LEFT JOIN e ON e.s <= q.t AND e.t > q.t GROUP BY 1)"
+    f", fx AS MATERIALIZED (SELECT sm.t, sm.n, sm.err, wip, arrival_rate_per_hour, resource_availability, {', '.join(_WIDE)} FROM sm JOIN ar USING (t) JOIN av USING (t) JOIN (SELECT t, {_PIVOT} FROM fin2 GROUP BY 1) USING (t))"
+)
+_SETS = MO.feature_sets(_WIDE)
+
+
+def _kmeans_sql(stem: str, features: list[str]) -> str:
+    """Tables <stem>_c (the centres of each round), <stem>_g (group, mean, interval, count) and <stem>_t (t, group) of the test samples."""
+    x = "[" + ", ".join(f"round({c} * 1e6)::BIGINT::DOUBLE" for c in features) + "]"
+    far = lambda c: f"list_sum(list_transform(x, lambda v, i: (v - {c}[i]) * (v - {c}[i])))"
+    at = f"list_position(list_transform(c, lambda u: {far('u')}), list_min(list_transform(c, lambda u: {far('u')})))"
+    mean = "[" + ", ".join(f"sum(x[{i + 1}]) / count(*)" for i in range(len(features))) + "]"
+    return f""", {stem}_x AS MATERIALIZED (SELECT t, n, err, {x} AS x FROM fx), {stem}_r AS MATERIALIZED (SELECT * FROM {stem}_x WHERE n % 2 = 0 AND err IS NOT NULL),
+{stem}_1 AS (SELECT arg_min(x, t) AS a FROM {stem}_r), {stem}_2 AS (SELECT a, arg_max(x, {{'d': {far('a')}, 't': -t}}) AS b FROM {stem}_r, {stem}_1 GROUP BY a),
+{stem}_3 AS (SELECT a, b, arg_max(x, {{'d': least({far('a')}, {far('b')}), 't': -t}}) AS c FROM {stem}_r, {stem}_2 GROUP BY a, b),
+{stem}_c AS (SELECT 0 AS it, [a, b, c] AS c FROM {stem}_3 UNION ALL
+  SELECT it + 1, list(coalesce(m, o) ORDER BY g) FROM (SELECT it, g, c[g] AS o FROM (SELECT it, c, unnest([1, 2, 3]) AS g FROM {stem}_c WHERE it < 30))
+    LEFT JOIN (SELECT g, {mean} AS m FROM (SELECT {at} AS g, x FROM {stem}_r, {stem}_c) GROUP BY g) USING (g) GROUP BY it),
+{stem}_f AS MATERIALIZED (SELECT c FROM {stem}_c WHERE it = 30),
+{stem}_g AS MATERIALIZED (SELECT g, avg(err) AS m, CASE WHEN count(err) = 1 THEN 0 ELSE 1.96 * stddev_samp(err) END AS ci, count(err) AS count FROM (SELECT {at} - 1 AS g, err FROM {stem}_r, {stem}_f) GROUP BY 1),
+{stem}_t AS MATERIALIZED (SELECT t, err, {at} - 1 AS g FROM {stem}_x, {stem}_f WHERE n % 2 = 1)"""
+
+
+_CLUSTERS = _SAMPLE + _FEATURES + "".join(_kmeans_sql(*x) for x in _SETS.items())
+
+
+def _clustered(x):
+    train, test = _sampled(x)
+    return train, test, {stem: (features, MO.kmeans(train, features, "err")) for stem, features in MO.feature_sets(train.columns).items()}
+
+
+@query("l11_kmeans_groups", _CLUSTERS + " " + " UNION ALL ".join(f"SELECT '{k}' AS method, g::INT AS group_id, round(m, 6) AS mean, round(ci, 6) AS ci, count FROM {k}_g" for k in _SETS))
+def _(x):
+    out = None
+    for stem, (_, (_, groups)) in _clustered(x)[2].items():
+        part = groups.select(F.lit(stem).alias("method"), "group_id", "mean", "ci", "count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("j7_nearest_centroid", _CLUSTERS + " SELECT t, " + ", ".join(f"{k}_t.g::INT AS {k}" for k in _SETS) + " FROM " + " JOIN ".join(f"{k}_t" + (" USING (t)" if i else "") for i, k in enumerate(_SETS)))
+def _(x):
+    _, test, found = _clustered(x)
+    for stem, (features, (centres, _)) in found.items():
+        test = MO.assigned(test, centres, features, stem)
+    return test.select("t", *found)
+
+
+_ALL = ", un AS (" + _SUMM.split("un AS (", 1)[1].rstrip(")") + "".join(f" UNION ALL SELECT '{k}', abs(z.err - y.m) <= y.ci, y.ci, z.err FROM {k}_t z LEFT JOIN {k}_g y USING (g)" for k in _SETS) + ")"
+query("l11_l12_all_methods", _CLUSTERS + _EVAL + _ALL + " SELECT method_key, count(h) AS n_points, round(avg(h::INT), 6) AS coverage, round(avg(ci) FILTER (h IS NOT NULL), 6) AS avg_ci_width, round(avg(abs(err)) FILTER (h IS NOT NULL), 6) AS avg_abs_error FROM un GROUP BY 1")(
+    lambda x: MO.summarised(MO.all_methods(*_sampled(x), "err"), "err")
+)
+for _name in ("l11_kmeans_groups", "j7_nearest_centroid", "l11_l12_all_methods"):
+    SQL[_name] = SQL[_name].replace("WITH e AS", "WITH RECURSIVE e AS", 1)
 query("j1_samples_with_evaluation", _SAMPLE + _EVAL + " SELECT strftime(make_timestamp(te.t), '%Y-%m-%dT%H:%M:%SZ') AS cut_time_iso, wip, baseline_in_ci FROM te JOIN ev ON strftime(make_timestamp(te.t), '%Y-%m-%dT%H:%M:%SZ') = strftime(make_timestamp(ev.t), '%Y-%m-%dT%H:%M:%SZ')")(
     lambda x: (lambda tr, te: MO.joined_samples(te.select(F.date_format(moment(F.col("t")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("cut_time_iso"), "wip"), MO.simple_methods(tr, te, "err").select(F.date_format(moment(F.col("t")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("cut_time_iso"), "baseline_in_ci")))(*_sampled(x))
 )
