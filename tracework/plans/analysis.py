@@ -77,7 +77,7 @@ _SCORE = " SELECT view, round(sum(dist * dur) / sum(dur), 6) AS overall_score FR
 query("b1_b6_scores", _assessed(B.VIEWS) + _SCORE)(lambda x: B.scores(B.timeline(_swept(x, list(B.VIEWS), True))))
 query("b2_case_running", _assessed(["activity_case"]).replace("'activity_case'", "'case'").replace("[activity, case_id]", "[case_id]") + _SCORE)(lambda x: B.scores(B.timeline(_swept(x, ["case"], case_mode="running"))))
 query("b3_phase_intervals", _assessed(["activity_phase"]) + " SELECT key[1] AS activity, key[2] AS phase, side, count(*) AS n, round(sum((t - s) / 1e6), 3) AS seconds FROM i GROUP BY ALL")(
-    lambda x: _swept(x, ["activity_phase"]).groupBy(F.col("key")[0].alias("activity"), F.col("key")[1].alias("phase"), "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") - F.col("s")), 3).alias("seconds"))
+    lambda x: B.intervals(*_events(x), ["activity_phase"]).groupBy(F.col("key")[0].alias("activity"), F.col("key")[1].alias("phase"), "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") - F.col("s")), 3).alias("seconds"))
 )
 @query(
     "b4_default_views",
@@ -228,7 +228,6 @@ def _ladder(x, levels=(0, 25, 50, 100), replicates=2):
     return got.select(part[0].cast("int").alias("level"), part[1].cast("int").alias("k_sim"), F.lit("B").alias("scope"), F.lit("state").alias("family"), F.concat(part[2], F.lit("."), F.col("distance")).alias("metric"), F.col("summary_distance").alias("value"))
 
 
-query("t6_m8_ladder")(_ladder)
 
 
 # Ladders: each transform at level 0 and at one more, in the window; scope A has the cases that are ongoing at the cut, B all.
@@ -303,9 +302,37 @@ _SQL_OF = {
             {"0:0:A": ("wa", "wa"), "40:0:A": ("wa", "na")}, _SIX,
         ),
     ),
-    "drift": (50, None),
-    "mix": (20, None),
+    "drift": (
+        50,
+        _ladder_sql(
+            f", wa AS ({_A})" + _TAG + ", rk AS (SELECT case_id, tag, f FROM (SELECT *, row_number() OVER (ORDER BY md5('drift:' || case_id), case_id) AS rn, count(*) OVER () AS cn FROM y) WHERE rn <= round_even(0.5 * cn, 0))"
+            ", ps AS (SELECT *, row_number() OVER (ORDER BY f, case_id) AS pos, min(tag) OVER () AS early FROM rk), qs AS (SELECT *, count(*) FILTER (tag = early) OVER () AS ne FROM ps)"
+            ", lt AS (SELECT tag AS later, ne + row_number() OVER (ORDER BY pos) AS pos FROM qs WHERE tag <> early), nw AS (SELECT case_id, CASE WHEN pos <= ne THEN early ELSE later END AS new FROM qs LEFT JOIN lt USING (pos))"
+            ", na AS (SELECT wa.* REPLACE (CASE WHEN nw.case_id IS NOT NULL THEN nw.new ELSE case_type END AS case_type) FROM wa LEFT JOIN nw USING (case_id))",
+            {"0:0:A": ("wa", "wa"), "50:0:A": ("wa", "na")}, _SIX,
+        ),
+    ),
+    "mix": (
+        20,
+        _ladder_sql(
+            ", gr AS MATERIALIZED (SELECT * REPLACE ('g_' || case_id AS case_id, 'green' AS case_type) FROM e), rd AS MATERIALIZED (SELECT * REPLACE ('r_' || case_id AS case_id, 'red' AS case_type) FROM g)"
+            ", nc AS (SELECT count(DISTINCT case_id) // 2 AS cn FROM e)"
+            f", wx AS MATERIALIZED ({_WIN.format(log='gr')} AND case_id IN {_ONG.format(log='gr')} UNION ALL {_WIN.format(log='rd')} AND case_id IN {_ONG.format(log='rd')})"
+            ", rk AS MATERIALIZED (SELECT case_id, true AS green, row_number() OVER (ORDER BY md5('mix-green:' || case_id), case_id) AS rn FROM (SELECT DISTINCT case_id FROM gr) UNION ALL SELECT case_id, false, row_number() OVER (ORDER BY md5('mix-red:' || case_id), case_id) FROM (SELECT DISTINCT case_id FROM rd))"
+            + "".join(f", {t} AS (SELECT wx.* FROM wx JOIN rk USING (case_id), nc WHERE rn <= CASE WHEN green THEN round_even({v} * cn, 0) ELSE cn - round_even({v} * cn, 0) END)" for t, v in (("m0", 0.5), ("m1", 0.7))),
+            {"0:0:A": ("m0", "m0"), "20:0:A": ("m0", "m1")}, _SIX,
+        ),
+    ),
 }
+_LADDER_SQL = (
+    f", wa AS ({_A}), wb AS ({_WIN.format(log='e')}), ta AS (SELECT coalesce((SELECT activity FROM wa WHERE activity IN (SELECT activity FROM wb) GROUP BY 1 ORDER BY count(*) DESC, activity LIMIT 1), (SELECT activity FROM wb GROUP BY 1 ORDER BY count(*) DESC, activity LIMIT 1)) AS activity)"
+    ", st AS (SELECT * FROM (SELECT unnest([0, 25, 50, 100]) AS level), (SELECT unnest([0, 1]) AS rep))"
+    ", rk AS (SELECT rep, id, row_number() OVER (PARTITION BY rep ORDER BY md5('ladder-' || rep || ':' || id), id::VARCHAR) AS rn, count(*) OVER (PARTITION BY rep) AS cn FROM wb JOIN ta USING (activity), (SELECT unnest([0, 1]) AS rep))"
+    ", la AS (SELECT level || ':' || rep AS grp, wb.* FROM wb, st), lb AS (SELECT level || ':' || rep AS grp, wb.* REPLACE (CASE WHEN rn <= round_even(level / 100.0 * cn, 0) THEN 'changed' ELSE activity END AS activity) FROM wb CROSS JOIN st LEFT JOIN rk USING (rep, id))"
+    + _sweep(["activity", "case"], "la", "lb").replace("x.v AS view", "grp || ':' || x.v AS view")
+    + " SELECT split_part(view, ':', 1)::INT AS level, split_part(view, ':', 2)::INT AS k_sim, 'B' AS scope, 'state' AS family, split_part(view, ':', 3) || '.' || distance AS metric, round(sum(d * coalesce(next_t - t, 0)) / 172800000000, 6) AS value FROM l GROUP BY view, distance"
+)
+query("t6_m8_ladder", _LADDER_SQL)(_ladder)
 for _name, (_level, _sql) in _SQL_OF.items():
     query(f"t6_ladder_{_name}", _sql)(lambda x, n=_name, v=_level: X.ladder(_steps(x, n, v), (x.cut, x.end), x.roles))
 
