@@ -189,6 +189,19 @@ def test_running_over_ranges(spark):
     assert sorted(map(repr, running(one, [], "s", ["d"], 20).collect())) == sorted(map(repr, running(one, [], "s", ["d"]).collect()))
 
 
+def test_sweep_over_ranges(spark):
+    """A stored sweep whose keys and views are cut into ranges of 30 rows gives what one window gives, in all that reads it."""
+    r = random.Random(14)
+    side = lambda n: W.normalise_events(log(spark, *[(f"c{r.randint(0, 9)}", r.choice("AB"), (a := r.randint(0, 400)), a + r.randint(1, 60), f"R{i % 3}") for i in range(n)]))[0]
+    found = B.intervals(side(150), side(130), ["activity", "case", "activity_resource"])
+    got = []
+    for n in (30, 500_000):
+        sweep = B.Sweep(found, n)
+        parts = (sweep.keyed, sweep.steps, B.timeline(sweep), B.contributors(sweep), B.interval_contributors(sweep, 2))
+        got.append([sorted([tuple(f"{v:.7g}" if isinstance(v, float) else v for v in row) for row in x.select(*sorted(x.columns)).collect()], key=repr) for x in parts])
+    assert got[0] == got[1]
+
+
 def test_transforms_over_ranges(spark, monkeypatch):
     """Draws and arrivals counted over ranges of 20 rows give the rows that one window gives."""
     rows = [(f"c{i % 150}", "AB"[i % 2], i // 3, i // 3 + 2, f"R{i % 7}") for i in range(600)]

@@ -9,7 +9,7 @@ import pytest
 from tracework.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["b_assessment", "m8_metric_rows", "t6_ladder_relabel", "o2_sorted_sink", "p1_enabled_times", "f3_split_into_subsets", "f4_snapshot_subsets", "c2_wip3", "c5_n_ongoing", "a7_utilisation", "d4_n_gram_3", "d7_circadian_workforce", "m7_all_state_distances", "b1_b6_scores", "t5_drift_case_types", "t11_front_back_load", "l5_l6_by_activity", "r5_rankings", "p8_repaired_state", "p11_enabled_gateways", "x1_fractional_seconds", "s1_read_event_log"]
+SOME = ["b_assessment", "m8_metric_rows", "t6_ladder_relabel", "o2_sorted_sink", "p1_enabled_times", "f3_split_into_subsets", "f4_snapshot_subsets", "c2_wip3", "c5_n_ongoing", "a7_utilisation", "d4_n_gram_3", "d7_circadian_workforce", "m7_all_state_distances", "b1_b6_scores", "t5_drift_case_types", "t11_front_back_load", "l5_l6_by_activity", "r5_rankings", "p8_repaired_state", "p11_enabled_gateways", "x1_fractional_seconds", "s1_read_event_log", "t6_m8_drift", "l11_kmeans_groups", "s7_read_model", "o2_time_range", "b9_interpretation"]
 
 
 def plain(v):

@@ -90,7 +90,7 @@ def contributors(sweep: Sweep) -> DataFrame:
     """
     w = F.when(F.col("total") > 0, (F.col("next_t") - F.col("t")) / F.col("total")).otherwise(0.0)
     s = sweep.steps.select("view", "t", F.coalesce(w, F.lit(0.0)).alias("w"))
-    area = running(s, ["view"], "t", ["w"], sweep.rows_a_range).select("view", "t", (F.col("run_w") - F.col("w")).alias("f"))
+    area = running(s, ["view"], "t", ["w"], sweep.rows_a_range, most=sweep.most).select("view", "t", (F.col("run_w") - F.col("w")).alias("f"))
     k = key_steps(sweep)
     k = k.join(area.select("view", F.col("t").alias("start"), F.col("f").alias("f0")), ["view", "start"]).join(area.select("view", F.col("t").alias("end"), F.col("f").alias("f1")), ["view", "end"])
     parts = k.groupBy("view", "k1", "k2").agg(F.sum(F.col("apart") * (F.col("f1") - F.col("f0"))).alias("contribution")).filter("contribution > 0")

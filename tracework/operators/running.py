@@ -57,16 +57,18 @@ def numbered(df: DataFrame, *order: str, rows_a_range: int = ROWS_A_RANGE) -> Da
     return df.join(sizes.select("_range", before.alias("_before")), "_range").withColumn("n", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: list[str], rows_a_range: int = ROWS_A_RANGE, kept: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, sums: list[str], rows_a_range: int = ROWS_A_RANGE, kept: bool = False, most: int | None = None) -> DataFrame:
     """df with run_<c>, the sum of c up to and with this row, for each of sums, and next_<order>.
 
     Rows must be unique by keys and order. df is written first, as it is counted and then summed; kept says that it is a written
-    table already. Keys are dealt over tasks; only those with more rows than a range has are cut into ranges (split_sums).
+    table already, and most, if known, how many rows a key has at most. Keys are dealt over tasks; only those with more rows than a range has are cut into ranges (split_sums).
     """
-    df = df if kept else stored(df)
-    hot, rows = large_keys(df, keys, rows_a_range)
     w = Window.partitionBy(*keys).orderBy(order)
     plain = lambda x: x.withColumns({f"run_{c}": F.sum(c).over(w) for c in sums} | {f"next_{order}": F.lead(order).over(w)})
+    if most is not None and most <= rows_a_range:
+        return plain(df)
+    df = df if kept else stored(df)
+    hot, rows = large_keys(df, keys, rows_a_range)
     if not rows:
         return plain(df)
     few, large = parted(df, keys, hot)

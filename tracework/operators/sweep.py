@@ -69,11 +69,18 @@ def keyed_steps(found: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame
 
     A key travels as 128 bits of hash; key_names() has its parts.
     """
+    return _keyed_steps(found, rows_a_range)[0]
+
+
+def _keyed_steps(found: DataFrame, rows_a_range: int) -> tuple[DataFrame, int]:
+    """keyed_steps() and the most rows that a view has, which bounds the rows of a key and of a view's boundaries."""
     sides = [F.when(F.col("side") == k, F.col("d")).otherwise(0) for k in (0, 1)]
     both = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("t").alias("at"), F.lit(-1).alias("d")))
     edges = found.select("view", *_hashes(), "side", F.explode(both).alias("e")).select("view", "k1", "k2", "side", "e.at", "e.d")
     deltas = edges.groupBy("view", "k1", "k2", "at").agg(F.sum(sides[0]).alias("da"), F.sum(sides[1]).alias("db"))
-    return running(deltas, ["view", "k1", "k2"], "at", ["da", "db"], rows_a_range)
+    deltas = stored(deltas)
+    most = deltas.groupBy("view").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return running(deltas, ["view", "k1", "k2"], "at", ["da", "db"], rows_a_range, kept=True, most=most), most
 
 
 def _hashes() -> list[Column]:
@@ -85,7 +92,7 @@ def key_names(found: DataFrame) -> DataFrame:
     return found.select("view", *_hashes(), "key").groupBy("view", "k1", "k2").agg(F.first("key").alias("key"))
 
 
-def steps(keyed: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+def steps(keyed: DataFrame, rows_a_range: int = ROWS_A_RANGE, most: int | None = None) -> DataFrame:
     """(view, t, next_t, low, high, apart, total) at every boundary: sums over keys of min, max, |a - b| and a + b."""
     a, b, pa, pb = F.col("run_da"), F.col("run_db"), F.col("run_da") - F.col("da"), F.col("run_db") - F.col("db")
     change = keyed.groupBy("view", "at").agg(
@@ -97,7 +104,7 @@ def steps(keyed: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
         F.sum("db").alias("b"),
     )
     sums = ["low", "high", "apart", "total", "a", "b"]
-    out = running(change, ["view"], "at", sums, rows_a_range)
+    out = running(change, ["view"], "at", sums, rows_a_range, most=most)
     return out.select("view", F.col("at").alias("t"), F.col("next_at").alias("next_t"), *[F.col(f"run_{c}").alias(c) for c in sums])
 
 
@@ -106,14 +113,17 @@ class Sweep:
 
     def __init__(self, found: DataFrame, rows_a_range: int = ROWS_A_RANGE):
         self.found = found
-        self.keyed = stored(keyed_steps(found, rows_a_range))
-        self.steps = stored(steps(self.keyed, rows_a_range))
+        keyed, most = _keyed_steps(found, rows_a_range)
+        self.keyed = stored(keyed)
+        self.steps = stored(steps(self.keyed, rows_a_range, most))
+        self.most = most
         self.rows_a_range = rows_a_range
 
 
 def timeline(found: DataFrame) -> DataFrame:
     """(view, distance, t, next_t, d): each distance at each boundary."""
-    s = steps(keyed_steps(found))
+    keyed, most = _keyed_steps(found, ROWS_A_RANGE)
+    s = steps(keyed, ROWS_A_RANGE, most)
     jaccard = F.when(F.col("high") > 0, 1 - F.col("low") / F.col("high")).otherwise(0.0)
     most = F.greatest("a", "b")
     cardinality = F.when(most > 0, F.abs(F.col("a") - F.col("b")) / most).otherwise(0.0)
