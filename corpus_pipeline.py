@@ -40,7 +40,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
 ]
-#: A learned score and a similarity join do not fit SQL; tests/llm compares the stages with brute force instead.
+#: A learned score and a similarity join do not fit SQL; tests/llm compares each stage with a plain version (the score and the draw: with the operator's own, which are compared by themselves).
 ORACLE_SQL = None
 
 
