@@ -20,9 +20,10 @@ informative, and pivots, Voronoi cells and triangle-inequality windows work insi
 Memory is bounded: regions of more than REGION nodes are cut into pairs of blocks of REGION / 2, each pair a region of its own.
 No pairs of copies or of linked nodes are ever written.
 
-Defined cases: null and empty texts have the empty set and link with nothing; fewer than five words are one shingle; rows that
-repeat a doc_id or a text are one node; a null doc_id never is a component's id beside others; an empty table gives an empty
-result; other columns do not matter.
+Defined cases: null and empty texts have the empty set and link with nothing; fewer than five words are one shingle; rows with
+equal sets are one node, whatever their ids; rows that repeat a doc_id with another text stand for themselves, each in its own
+component, named after the least doc_id there; a null doc_id never is a component's id beside others; an empty table gives an
+empty result; other columns do not matter.
 """
 
 from __future__ import annotations
