@@ -81,7 +81,10 @@ def _(x):
 
 
 _IN_WINDOW = "SELECT id, case_id, activity, greatest(s, cut) AS start_time, least(t, fin) AS end_time FROM e, p WHERE t > cut AND s < fin"
-query("f5_cases_in_window", f", b AS (SELECT case_id, min(s) AS f, max(t) AS l FROM e GROUP BY 1) {_IN_WINDOW} AND case_id IN (SELECT case_id FROM b, p WHERE f < cut AND l > cut)")(lambda x: rows(W.cases_in_window(x.e, W.ongoing_case_ids(x.e, x.cut), x.cut, HORIZON)))
+query("f5_cases_in_window", (
+    f", b AS (SELECT case_id, min(s) AS f, max(t) AS l FROM e GROUP BY 1) {_IN_WINDOW} AND case_id IN (SELECT case_id"
+    f" FROM b, p WHERE f < cut AND l > cut)"
+))(lambda x: rows(W.cases_in_window(x.e, W.ongoing_case_ids(x.e, x.cut), x.cut, HORIZON)))
 query("f6_ongoing_case_ids", "SELECT case_id FROM e GROUP BY 1 HAVING min(s) < (SELECT cut FROM p) AND max(t) > (SELECT cut FROM p)")(lambda x: W.ongoing_case_ids(x.e, x.cut))
 query(
     "f7_prepare_snapshot",
@@ -115,7 +118,10 @@ def _raw(x):
     return x.e.select("id", "case_id", "activity", "resource", F.when(F.col("id") % 3 == 0, (micros("start_time") / 1e6).cast("decimal(20,6)").cast("string")).otherwise(F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("start_time"), bad.alias("end_time"))
 
 
-_NORM = ", n AS (SELECT id, case_id, activity, resource, s / 1e6 AS st, CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN s / 1e6 ELSE t / 1e6 END AS en FROM e), v AS (SELECT * FROM n WHERE en > st)"
+_NORM = (
+    ", n AS (SELECT id, case_id, activity, resource, s / 1e6 AS st, CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN s / 1e6 ELSE t / 1e6 END AS en"
+    " FROM e), v AS (SELECT * FROM n WHERE en > st)"
+)
 
 
 @query("f11_normalise_events", _NORM + " SELECT v.id, v.case_id, v.activity, r.role, round(st, 6) AS start, round(en, 6) AS \"end\" FROM v LEFT JOIN r USING (resource)")
@@ -134,7 +140,11 @@ def _(x):
     return W.fill_enable(W.normalise_events(_raw(x))[0]).select("id", "enable")
 
 
-@query("f14_normalise_times", ", z AS (SELECT min(s) / 1e6 AS a, max(t) / 1e6 AS b FROM (SELECT s, t FROM e WHERE t > s UNION ALL SELECT s, t FROM g WHERE t > s)) SELECT id, round((s / 1e6 - a) / (b - a), 6) AS start, round((t / 1e6 - a) / (b - a), 6) AS \"end\" FROM e, z WHERE t > s")
+@query("f14_normalise_times", (
+    ", z AS (SELECT min(s) / 1e6 AS a, max(t) / 1e6 AS b FROM (SELECT s, t FROM e WHERE t > s UNION ALL SELECT s, t FROM g"
+    " WHERE t > s)) SELECT id, round((s / 1e6 - a) / (b - a), 6) AS start, round((t / 1e6 - a) / (b - a), 6) AS \"end\""
+    " FROM e, z WHERE t > s"
+))
 def _(x):
     a, _b = W.normalise_times(W.normalise_events(x.e)[0], W.normalise_events(x.g)[0])
     return a.select("id", "start", "end")
@@ -145,7 +155,10 @@ query("f15_candidate_cuts", _CANDIDATES + " SELECT t FROM q")(lambda x: W.candid
 query("f15_candidate_case_ends", _CANDIDATES + ", w AS (SELECT case_id, max(t) AS t FROM e GROUP BY 1) SELECT DISTINCT w.t FROM w, z WHERE w.t >= a AND w.t <= b")(lambda x: W.candidate_cuts(x.e, DAY, "case_end"))
 query(
     "f16_subsample_cuts",
-    _CANDIDATES + ", k AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS n, count(*) OVER () AS c FROM q) SELECT t FROM k WHERE n IN (SELECT CAST(floor((c - 1) * i / 149) AS BIGINT) FROM (SELECT unnest(range(0, 150)) AS i))",
+    _CANDIDATES + (
+        ", k AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS n, count(*) OVER () AS c FROM q) SELECT t FROM k"
+        " WHERE n IN (SELECT CAST(floor((c - 1) * i / 149) AS BIGINT) FROM (SELECT unnest(range(0, 150)) AS i))"
+    ),
 )(lambda x: W.subsample(W.candidate_cuts(x.e, DAY), 150))
 
 # Cuts
@@ -154,14 +167,27 @@ _WIP = """, b AS (SELECT case_id, min(s) AS f, max(t) AS l FROM {log} GROUP BY 1
 w AS (SELECT t, sum(sum(d)) OVER (ORDER BY t) AS wip, sum(a) AS a FROM d GROUP BY t)"""
 _W = _WIP.format(log="e")
 query("c0_wip", _W + " SELECT t, CAST(wip AS BIGINT) AS wip FROM w")(lambda x: C.wip(x.e))
-query("c1_fixed_cut", ", b AS (SELECT case_id, min(s) AS f, max(t) AS l FROM e GROUP BY 1) SELECT 1705320000000000 AS t, count(*) FILTER (f <= 1705320000000000 AND l > 1705320000000000) AS wip FROM b HAVING min(f) <= 1705320000000000 AND max(l) >= 1705320000000000")(lambda x: C.fixed_cut(x.e, 1705320000000000))
+query("c1_fixed_cut", (
+    ", b AS (SELECT case_id, min(s) AS f, max(t) AS l FROM e GROUP BY 1)"
+    " SELECT 1705320000000000 AS t, count(*) FILTER (f <= 1705320000000000 AND l > 1705320000000000) AS wip"
+    " FROM b HAVING min(f) <= 1705320000000000 AND max(l) >= 1705320000000000"
+))(lambda x: C.fixed_cut(x.e, 1705320000000000))
 query(
     "c2_wip3",
-    _W + ", v AS (SELECT * FROM w WHERE a > 0), k AS (SELECT DISTINCT CAST(round_even((SELECT max(wip) FROM v) * q, 0) AS BIGINT) AS target FROM (SELECT unnest([0.1, 0.5, 0.9]) AS q)) SELECT target, coalesce(min(t) FILTER (wip = target), min(t) FILTER (wip > target), min(t)) AS t FROM v, k GROUP BY target",
+    _W + (
+        ", v AS (SELECT * FROM w WHERE a > 0), k AS (SELECT DISTINCT CAST(round_even((SELECT max(wip)"
+        " FROM v) * q, 0) AS BIGINT) AS target FROM (SELECT unnest([0.1, 0.5, 0.9]) AS q))"
+        " SELECT target, coalesce(min(t) FILTER (wip = target), min(t) FILTER (wip > target), min(t)) AS t FROM v, k"
+        " GROUP BY target"
+    ),
 )(lambda x: C.wip3(x.e))
 query(
     "c3_segment10",
-    ", z AS (SELECT min(s) + 172800000000 AS a, max(t) - 172800000000 AS b FROM e) SELECT k::INT AS segment, CAST(floor(a + (k + ('0x' || substr(md5('segment:' || k), 1, 8))::BIGINT / 4294967296.0) * ((b - a) / 10)) AS BIGINT) AS t FROM z, (SELECT unnest(range(0, 10)) AS k)",
+    (
+        ", z AS (SELECT min(s) + 172800000000 AS a, max(t) - 172800000000 AS b FROM e)"
+        " SELECT k::INT AS segment, CAST(floor(a + (k + ('0x' || substr(md5('segment:' || k), 1, 8))::BIGINT / 4294967296.0) * ((b - a) / 10)) AS BIGINT) AS t"
+        " FROM z, (SELECT unnest(range(0, 10)) AS k)"
+    ),
 )(lambda x: C.segment10(x.e, HORIZON))
 _MIDDLE = "(SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS n, count(*) OVER () AS c FROM {q}) WHERE n = c // 2)"
 query("c4_high_wip", _W + ", h AS (SELECT t FROM w WHERE wip >= (SELECT quantile_cont(wip, 0.9) FROM w)) SELECT * FROM " + _MIDDLE.format(q="h"))(lambda x: C.high_wip(x.e))
@@ -189,7 +215,12 @@ def _(x):
 
 @query(
     "c9_warmup_shift",
-    _WIP.format(log="g") + ", o AS (SELECT count(*) AS n FROM (SELECT case_id FROM e GROUP BY 1 HAVING min(s) < (SELECT cut FROM p) AND max(t) > (SELECT cut FROM p))), m AS (SELECT coalesce((SELECT min(w.t) FROM w, o, p WHERE a > 0 AND w.t <= cut AND wip = o.n), (SELECT cut FROM p)) AS m) SELECT id, s + cut - m AS start_time, t + cut - m AS end_time FROM g, p, m",
+    _WIP.format(log="g") + (
+        ", o AS (SELECT count(*) AS n FROM (SELECT case_id FROM e GROUP BY 1 HAVING min(s) < (SELECT cut"
+        " FROM p) AND max(t) > (SELECT cut FROM p))), m AS (SELECT coalesce((SELECT min(w.t) FROM w, o, p"
+        " WHERE a > 0 AND w.t <= cut AND wip = o.n), (SELECT cut FROM p)) AS m)"
+        " SELECT id, s + cut - m AS start_time, t + cut - m AS end_time FROM g, p, m"
+    ),
 )
 def _(x):
     n = W.ongoing_case_ids(x.e, x.cut).count()
@@ -203,13 +234,27 @@ _REM = "(SELECT coalesce(avg(l - cut) / 1e6, 0) FROM (SELECT case_id, max(t) AS
 query("a2_avg_remaining_time", "SELECT round(" + _REM.format(log="e") + ", 6) AS avg_remaining")(lambda x: A.avg_remaining_time(x.e, x.cut))
 query("a3_remaining_difference", ", z AS (SELECT " + _REM.format(log="e") + " AS x, " + _REM.format(log="g") + " AS y) SELECT round(abs(x - y) / nullif(x, 0), 6) AS value FROM z")(lambda x: A.remaining_difference(x.e, x.g, x.cut))
 query("a4_events_per_case", "SELECT count(DISTINCT case_id) AS cases, count(*) AS events, round(count(*) / count(DISTINCT case_id), 6) AS events_per_case FROM e")(lambda x: A.case_counts(x.e))
-query("a5_case_differences", "SELECT abs(count(DISTINCT case_id) - (SELECT count(DISTINCT case_id) FROM g)) AS cases_diff, round(abs(count(*) / count(DISTINCT case_id) - (SELECT count(*) / count(DISTINCT case_id) FROM g)), 6) AS events_per_case_diff FROM e")(lambda x: A.case_differences(x.e, x.g))
+query("a5_case_differences", (
+    "SELECT abs(count(DISTINCT case_id) - (SELECT count(DISTINCT case_id)"
+    " FROM g)) AS cases_diff, round(abs(count(*) / count(DISTINCT case_id) - (SELECT count(*) / count(DISTINCT case_id)"
+    " FROM g)), 6) AS events_per_case_diff FROM e"
+))(lambda x: A.case_differences(x.e, x.g))
 query("a6_last_arrival", "SELECT max(f) AS last_case_arrival FROM (SELECT min(s) AS f FROM e GROUP BY case_id)")(lambda x: A.last_arrival(x.e))
 query(
     "a7_utilisation",
-    ", n AS (SELECT role, count(*) AS n_resources FROM r GROUP BY 1), u AS (SELECT role, sum(least(t, fin) - greatest(s, cut)) / 1e6 AS b FROM e JOIN r USING (resource), p WHERE t > cut AND s < fin GROUP BY 1) SELECT role, n_resources, round(coalesce(b, 0), 6) AS busy_seconds, 172800.0 AS window_seconds, round(coalesce(b, 0) / (n_resources * 172800), 6) AS utilization FROM n LEFT JOIN u USING (role)",
+    (
+        ", n AS (SELECT role, count(*) AS n_resources FROM r GROUP BY 1)"
+        ", u AS (SELECT role, sum(least(t, fin) - greatest(s, cut)) / 1e6 AS b FROM e JOIN r USING (resource), p"
+        " WHERE t > cut AND s < fin GROUP BY 1)"
+        " SELECT role, n_resources, round(coalesce(b, 0), 6) AS busy_seconds, 172800.0 AS window_seconds, round(coalesce(b, 0) / (n_resources * 172800), 6) AS utilization"
+        " FROM n LEFT JOIN u USING (role)"
+    ),
 )(lambda x: A.utilisation(x.e, x.roles, x.cut, x.end))
-query("a8_target_activity", ", a AS (SELECT activity, count(*) AS n FROM e GROUP BY 1), b AS (SELECT activity, count(*) AS m FROM g GROUP BY 1) SELECT activity FROM (SELECT b.activity, n, m FROM b LEFT JOIN a USING (activity)) ORDER BY n IS NULL, n DESC, m DESC, activity LIMIT 1")(lambda x: A.target_activity(x.e, x.g))
+query("a8_target_activity", (
+    ", a AS (SELECT activity, count(*) AS n FROM e GROUP BY 1), b AS (SELECT activity, count(*) AS m FROM g GROUP BY 1)"
+    " SELECT activity FROM (SELECT b.activity, n, m FROM b LEFT"
+    " JOIN a USING (activity)) ORDER BY n IS NULL, n DESC, m DESC, activity LIMIT 1"
+))(lambda x: A.target_activity(x.e, x.g))
 query("a9_duration_percentile", "SELECT round(greatest(quantile_cont(d, 0.95), 1), 6) AS horizon_seconds FROM (SELECT (max(t) - min(s)) / 1e6 AS d FROM e GROUP BY case_id)")(lambda x: A.duration_percentile(x.e))
 
 
@@ -220,16 +265,28 @@ def _metrics(x):
 
 _MET = ", m AS (SELECT resource, 'all' AS subfamily, activity AS metric, avg((t - s) / 1e6) AS value FROM e GROUP BY ALL)"
 query("a10_a11_aggregate_runs", _MET + " SELECT subfamily, metric, round(avg(value), 6) AS mean, round(1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS ci FROM m GROUP BY ALL")(lambda x: A.aggregate_runs(_metrics(x), "subfamily", "metric"))
-query("a12_aggregate_cuts", _MET + ", k AS (SELECT CAST(substr(resource, 2) AS INT) % 2 AS cut, metric, avg(value) AS mean FROM m GROUP BY ALL) SELECT metric, round(avg(mean), 6) AS mean FROM k GROUP BY 1")(
+query("a12_aggregate_cuts", _MET + (
+    ", k AS (SELECT CAST(substr(resource, 2) AS INT) % 2 AS cut, metric, avg(value) AS mean FROM m GROUP BY ALL)"
+    " SELECT metric, round(avg(mean), 6) AS mean FROM k GROUP BY 1"
+))(
     lambda x: A.aggregate_cuts(A.aggregate_runs(_metrics(x).withColumn("cut", F.substring("resource", 2, 9).cast("int") % 2), "cut", "metric"), "metric")
 )
-query("a13_compare", ", a AS (SELECT activity, avg((t - s) / 1e6) AS x FROM e GROUP BY 1), b AS (SELECT activity, avg((t - s) / 1e6) AS y FROM g GROUP BY 1) SELECT activity, CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN x < y THEN 'A' WHEN x > y THEN 'B' ELSE 'tie' END AS winner FROM a FULL JOIN b USING (activity)")(
+query("a13_compare", (
+    ", a AS (SELECT activity, avg((t - s) / 1e6) AS x FROM e GROUP BY 1), b AS (SELECT activity, avg((t - s) / 1e6) AS y"
+    " FROM g GROUP BY 1) SELECT activity, CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN x < y THEN 'A' WHEN x > y THEN 'B' ELSE 'tie' END AS winner"
+    " FROM a FULL JOIN b USING (activity)"
+))(
     lambda x: A.compare(*[y.groupBy("activity").agg(F.avg((micros("end_time") - micros("start_time")) / 1e6).alias("mean")) for y in (x.e, x.g)], ["activity"])
 )
 query("a14_spread", _MET + " SELECT metric, round(CASE WHEN count(value) = 1 THEN 0 ELSE 1.96 * stddev_samp(value) END, 6) AS ci FROM m GROUP BY 1")(lambda x: _metrics(x).groupBy("metric").agg(A.spread_ci(F.col("value")).alias("ci")))
 query(
     "a19_error_targets",
-    _MET + ", k AS (SELECT CASE metric WHEN 'view' THEN 'RTD' WHEN 'click' THEN 'cycle_time' END AS m, avg(value) AS mean, 1.96 * stddev_samp(value) / sqrt(count(value)) AS ci, subfamily FROM m GROUP BY metric, subfamily) SELECT subfamily, round(max(CASE WHEN m = 'RTD' THEN mean END), 6) AS \"err_RTD_mean\", round(max(CASE WHEN m = 'RTD' THEN ci END), 6) AS \"err_RTD_ci\", round(max(CASE WHEN m = 'cycle_time' THEN mean END), 6) AS err_cycle_mean, round(max(CASE WHEN m = 'cycle_time' THEN ci END), 6) AS err_cycle_ci FROM k GROUP BY 1",
+    _MET + (
+        ", k AS (SELECT CASE metric WHEN 'view' THEN 'RTD' WHEN 'click' THEN 'cycle_time' END AS m, avg(value) AS mean, 1.96 * stddev_samp(value) / sqrt(count(value)) AS ci, subfamily"
+        " FROM m GROUP BY metric, subfamily)"
+        " SELECT subfamily, round(max(CASE WHEN m = 'RTD' THEN mean END), 6) AS \"err_RTD_mean\", round(max(CASE WHEN m = 'RTD' THEN ci END), 6) AS \"err_RTD_ci\", round(max(CASE WHEN m = 'cycle_time' THEN mean END), 6) AS err_cycle_mean, round(max(CASE WHEN m = 'cycle_time' THEN ci END), 6) AS err_cycle_ci"
+        " FROM k GROUP BY 1"
+    ),
 )(lambda x: A.error_targets(A.aggregate_runs(_metrics(x), "subfamily", "metric").withColumn("metric", F.when(F.col("metric") == "view", "RTD").when(F.col("metric") == "click", "cycle_time")), "subfamily"))
 
 # Histogram distances
@@ -254,7 +311,12 @@ def _ongoing(x, name):
     return W.cases_in_window(getattr(x, name), W.ongoing_case_ids(getattr(x, name), x.cut), x.cut, HORIZON)
 
 
-_ON = ", oe AS (SELECT case_id, least(t, fin) AS t FROM e, p WHERE t > cut AND s < fin AND case_id IN (SELECT case_id FROM e GROUP BY 1 HAVING min(s) < (SELECT cut FROM p) AND max(t) > (SELECT cut FROM p))), og AS (SELECT case_id, least(t, fin) AS t FROM g, p WHERE t > cut AND s < fin AND case_id IN (SELECT case_id FROM g GROUP BY 1 HAVING min(s) < (SELECT cut FROM p) AND max(t) > (SELECT cut FROM p))), xa AS (" + _RT.format(log="oe") + "), xb AS (" + _RT.format(log="og") + "), na AS (SELECT count(*) AS n FROM xa), nb AS (SELECT count(*) AS n FROM xb)"
+_ON = (
+    ", oe AS (SELECT case_id, least(t, fin) AS t FROM e, p WHERE t > cut AND s < fin AND case_id IN (SELECT case_id FROM e"
+    " GROUP BY 1 HAVING min(s) < (SELECT cut FROM p) AND max(t) > (SELECT cut FROM p)))"
+    ", og AS (SELECT case_id, least(t, fin) AS t FROM g, p WHERE t > cut AND s < fin AND case_id IN (SELECT case_id FROM g"
+    " GROUP BY 1 HAVING min(s) < (SELECT cut FROM p) AND max(t) > (SELECT cut FROM p))), xa AS ("
+) + _RT.format(log="oe") + "), xb AS (" + _RT.format(log="og") + "), na AS (SELECT count(*) AS n FROM xa), nb AS (SELECT count(*) AS n FROM xb)"
 _FA = "SELECT bin FROM xa UNION ALL SELECT 0 FROM na, nb, (SELECT unnest(range(0, greatest((SELECT n FROM nb) - (SELECT n FROM na), 0))))"
 _FB = "SELECT bin FROM xb UNION ALL SELECT 0 FROM na, nb, (SELECT unnest(range(0, greatest((SELECT n FROM na) - (SELECT n FROM nb), 0))))"
 query("d1_remaining_time", _ON + _w1(_FA, _FB))(lambda x: D.remaining_time(_ongoing(x, "e"), _ongoing(x, "g"), x.cut))
@@ -272,7 +334,11 @@ def _grams(n: int) -> str:
     cols = ", ".join(f"lag(a, {k}) OVER w AS a{k}" for k in range(1, n))
     one = f"""SELECT g FROM (SELECT [{", ".join(f"a{k}" for k in range(n - 1, 0, -1))}, a] AS g, o FROM (SELECT a, {cols}, lag(1, {n - 1}) OVER w AS o FROM
 (SELECT case_id, activity AS a, 1 AS k, s, t, id, 0 AS z FROM {{log}} UNION ALL SELECT DISTINCT case_id, '', j, 0, 0, 0, z FROM {{log}}, (SELECT unnest([0, 2]) AS j), (SELECT unnest(range(1, {n})) AS z)) WINDOW w AS (PARTITION BY case_id ORDER BY k, s, t, id, z))) WHERE o = 1"""
-    return f", x AS ({one.format(log='e')}), y AS ({one.format(log='g')}), m AS (SELECT g, sum(d) AS d, count(*) AS n FROM (SELECT g, 1 AS d FROM x UNION ALL SELECT g, -1 FROM y) GROUP BY g) SELECT round(sum(abs(d)) / sum(n), 6) AS distance FROM m"
+    return (
+        f", x AS ({one.format(log='e')}), y AS ({one.format(log='g')}), m AS (SELECT g, sum(d) AS d, count(*) AS n"
+        f" FROM (SELECT g, 1 AS d FROM x UNION ALL SELECT g, -1 FROM y) GROUP BY g)"
+        f" SELECT round(sum(abs(d)) / sum(n), 6) AS distance FROM m"
+    )
 
 
 query("d4_n_gram_3", _grams(3))(lambda x: D.n_gram_distance(x.e, x.g, 3))
@@ -289,13 +355,18 @@ query("d10_case_arrivals", _w1(*[f"SELECT min(s) // {_H} AS bin FROM {k} GROUP B
 def _panel() -> str:
     """The metric panel: subsets of both logs, then each distance as a query of its own."""
     subsets = "".join(
-        f", b{k} AS (SELECT case_id, min(s) AS f, max(t) AS l FROM {k} GROUP BY 1), v{k} AS (SELECT id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t FROM {k}, p WHERE t >= cut AND s <= fin),"
+        f", b{k} AS (SELECT case_id, min(s) AS f, max(t) AS l"
+            f" FROM {k} GROUP BY 1), v{k} AS (SELECT id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t"
+            f" FROM {k}, p WHERE t >= cut AND s <= fin),"
         f" o{k} AS (SELECT {k}.* FROM {k} JOIN b{k} USING (case_id), p WHERE f < cut AND l > cut AND t > cut), c{k} AS (SELECT {k}.* FROM {k} JOIN b{k} USING (case_id), p WHERE f >= cut AND f <= fin)"
         for k in "eg"
     )
     both = lambda text, p: [text.format(q=p + k) for k in "eg"]
     rest = ", xa AS (" + _RT.format(log="oe") + "), xb AS (" + _RT.format(log="og") + "), na AS (SELECT count(*) AS n FROM xa), nb AS (SELECT count(*) AS n FROM xb)"
-    busy = "SELECT (isodow(make_timestamp(h * 3600000000)) - 1) AS day, hour(make_timestamp(h * 3600000000)) AS bin FROM (SELECT DISTINCT resource, unnest(range(s // 3600000000, t // 3600000000 + 1)) AS h FROM {q})"
+    busy = (
+        "SELECT (isodow(make_timestamp(h * 3600000000)) - 1) AS day, hour(make_timestamp(h * 3600000000)) AS bin"
+        " FROM (SELECT DISTINCT resource, unnest(range(s // 3600000000, t // 3600000000 + 1)) AS h FROM {q})"
+    )
     day = "SELECT (isodow(make_timestamp(s)) - 1) AS day, hour(make_timestamp(s)) AS bin FROM {q}"
     found = {
         ("event_filter", "n_gram"): _grams(3).replace("FROM e", "FROM ve").replace("FROM g)", "FROM vg)").replace("FROM g ", "FROM vg ").replace("FROM g,", "FROM vg,"),
@@ -345,7 +416,12 @@ query("m1_sweep_steps", _sweep(["activity"]) + " SELECT view, t, low::BIGINT AS
 query("m2_role_view", _sweep(["activity_role"]) + _SUM.format(len="(max(t) - min(t))"))(lambda x: M.state_distances(x.e, x.g, ["activity_role"], roles=x.roles))
 query("m3_m4_timeline", _sweep(["case_type"]) + " SELECT distance, t, round(d, 6) AS d FROM l")(lambda x: M.timeline(M.instances(x.e, x.g, ["case_type"])).select("distance", "t", "d"))
 query("m5_state_distance", _sweep(["activity"]) + _SUM.format(len="(max(t) - min(t))") + " HAVING distance = 'jaccard'")(lambda x: M.state_distances(x.e, x.g, ["activity"]).filter("distance = 'jaccard'"))
-query("m6_windowed_distance", _sweep(["activity"], "we", "wg").replace(", i AS", ", we AS (SELECT id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t, case_type, user_id FROM e, p WHERE t > cut AND s < fin), wg AS (SELECT id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t, case_type, user_id FROM g, p WHERE t > cut AND s < fin), i AS", 1) + _SUM.format(len="172800000000"))(
+query("m6_windowed_distance", _sweep(["activity"], "we", "wg").replace(", i AS", (
+    ", we AS (SELECT id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t, case_type, user_id"
+    " FROM e, p WHERE t > cut AND s < fin)"
+    ", wg AS (SELECT id, case_id, activity, resource, greatest(s, cut) AS s, least(t, fin) AS t, case_type, user_id FROM g, p"
+    " WHERE t > cut AND s < fin), i AS"
+), 1) + _SUM.format(len="172800000000"))(
     lambda x: M.state_distances(W.cases_in_window(x.e, None, x.cut, HORIZON), W.cases_in_window(x.g, None, x.cut, HORIZON), ["activity"], window=(x.cut, x.end))
 )
 query("m7_all_state_distances", _sweep([*_PLAIN, "activity_role"]) + _SUM.format(len="(max(t) - min(t))"))(lambda x: M.state_distances(x.e, x.g, roles=x.roles))

@@ -50,7 +50,15 @@ def _values(rows, names) -> str:
 
 
 _SNAP = ", sn AS (SELECT id, case_id, activity, resource, s, CASE WHEN t <= cut THEN t END AS t, case_type FROM e, p WHERE s <= cut AND case_id IN (SELECT case_id FROM e, p WHERE s > cut OR t > cut))"
-_CONC = ", fl AS (SELECT id, case_id, activity, s, coalesce(t, (SELECT max(t) FROM {log}) + 3600000000) AS t FROM {log}), cp AS (SELECT x.activity AS a, y.activity AS b FROM fl x JOIN fl y ON x.case_id = y.case_id AND x.id <> y.id AND x.activity <> y.activity GROUP BY 1, 2 HAVING avg(CASE WHEN x.s < y.t AND y.s < x.t THEN 1.0 ELSE 0 END) >= {th}), en AS (SELECT x.id, coalesce((SELECT max(y.t) FROM fl y WHERE y.case_id = x.case_id AND y.id <> x.id AND y.t <= x.s AND NOT EXISTS (SELECT 1 FROM cp WHERE cp.a = x.activity AND cp.b = y.activity)), min(x.s) OVER (PARTITION BY x.case_id)) AS enable_time FROM fl x)"
+_CONC = (
+    ", fl AS (SELECT id, case_id, activity, s, coalesce(t, (SELECT max(t) FROM {log}) + 3600000000) AS t FROM {log})"
+    ", cp AS (SELECT x.activity AS a, y.activity AS b FROM fl x"
+    " JOIN fl y ON x.case_id = y.case_id AND x.id <> y.id AND x.activity <> y.activity"
+    " GROUP BY 1, 2 HAVING avg(CASE WHEN x.s < y.t AND y.s < x.t THEN 1.0 ELSE 0 END) >= {th})"
+    ", en AS (SELECT x.id, coalesce((SELECT max(y.t) FROM fl y"
+    " WHERE y.case_id = x.case_id AND y.id <> x.id AND y.t <= x.s AND NOT EXISTS (SELECT 1 FROM cp"
+    " WHERE cp.a = x.activity AND cp.b = y.activity)), min(x.s) OVER (PARTITION BY x.case_id)) AS enable_time FROM fl x)"
+)
 
 
 def _prepared(x):
@@ -62,18 +70,40 @@ query("p1_enabled_times", _CONC.format(log="e", th=0.5) + " SELECT id, enable_ti
 query("p2_row_attributes", " SELECT id, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END + 1 AS n, case_type FROM e")(
     lambda x: (lambda d: d.select("id", F.size("m").alias("n"), F.element_at("m", "case_type").alias("case_type")))(x.e.withColumn("extra", F.when(F.col("id") % 3 == 0, F.col("id"))).withColumn("m", P.row_attributes(["case_type", "extra"])))
 )
-query("p3_case_attributes", ", q AS (SELECT *, CASE WHEN id % 3 = 0 THEN id END AS season FROM e) SELECT case_id, arg_min(season, {'s': s, 'id': id}) FILTER (season IS NOT NULL) AS season FROM q GROUP BY 1")(lambda x: P.case_attributes(x.e.withColumn("season", F.when(F.col("id") % 3 == 0, F.col("id"))), ["season"]))
-query("p4_latest_attributes", ", q AS (SELECT *, CASE WHEN id % 3 = 0 THEN id END AS season, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, id DESC) AS rn FROM e) SELECT case_id, season FROM q WHERE rn = 1")(lambda x: P.latest_attributes(x.e.withColumn("season", F.when(F.col("id") % 3 == 0, F.col("id"))), ["season"]))
+query("p3_case_attributes", (
+    ", q AS (SELECT *, CASE WHEN id % 3 = 0 THEN id END AS season FROM e)"
+    " SELECT case_id, arg_min(season, {'s': s, 'id': id}) FILTER (season IS NOT NULL) AS season FROM q GROUP BY 1"
+))(lambda x: P.case_attributes(x.e.withColumn("season", F.when(F.col("id") % 3 == 0, F.col("id"))), ["season"]))
+query("p4_latest_attributes", (
+    ", q AS (SELECT *, CASE WHEN id % 3 = 0 THEN id END AS season, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, id DESC) AS rn"
+    " FROM e) SELECT case_id, season FROM q WHERE rn = 1"
+))(lambda x: P.latest_attributes(x.e.withColumn("season", F.when(F.col("id") % 3 == 0, F.col("id"))), ["season"]))
 query("p4_global_attributes", " SELECT id AS season, activity FROM e ORDER BY s DESC, id DESC LIMIT 1")(lambda x: P.global_attributes(x.e.withColumn("season", F.col("id")), ["season", "activity"]))
 query(
     "p5_ongoing_activities",
-    _SNAP + _CONC.format(log="sn", th=0.5) + ", nd AS (SELECT * FROM " + _values(_NODES, "node_id, kind, name") + ") SELECT case_id, node_id, activity AS label, s AS start_time, resource, CASE WHEN node_id IS NOT NULL THEN enable_time END AS enabled_time FROM sn LEFT JOIN nd ON nd.name = activity AND nd.kind = 'task' JOIN en USING (id) WHERE t IS NULL",
+    _SNAP + _CONC.format(log="sn", th=0.5) + ", nd AS (SELECT * FROM " + _values(_NODES, "node_id, kind, name") + (
+        ") SELECT case_id, node_id, activity AS label, s AS start_time, resource, CASE WHEN node_id IS NOT NULL THEN enable_time END AS enabled_time"
+        " FROM sn LEFT JOIN nd ON nd.name = activity AND nd.kind = 'task' JOIN en USING (id) WHERE t IS NULL"
+    ),
 )(lambda x: micros_out(P.ongoing_activities(P.enabled_times(_prepared(x)), _model(x)[0]).drop("event_attributes")))
-_TRACE = ", tr AS (SELECT case_id, list(l ORDER BY tm, s, id, k) AS trace FROM (SELECT case_id, s AS tm, s, id, 0 AS k, activity || '+START' AS l FROM {log} UNION ALL SELECT case_id, t, s, id, 1, activity || '+COMPLETE' FROM {log} WHERE t IS NOT NULL) GROUP BY 1)"
+_TRACE = (
+    ", tr AS (SELECT case_id, list(l ORDER BY tm, s, id, k) AS trace"
+    " FROM (SELECT case_id, s AS tm, s, id, 0 AS k, activity || '+START' AS l FROM {log} UNION ALL"
+    " SELECT case_id, t, s, id, 1, activity || '+COMPLETE' FROM {log} WHERE t IS NOT NULL) GROUP BY 1)"
+)
 query("p6_traces", _TRACE.format(log="e") + " SELECT case_id, '<start> ' || array_to_string(trace, ' ') AS trace FROM tr")(lambda x: P.traces(x.e).select("case_id", F.array_join("trace", " ").alias("trace")))
-_MARK = ", ix AS (SELECT gram, min(marking) AS marking FROM " + _values(_INDEX, "gram, marking") + " GROUP BY 1 HAVING min(marking) = max(marking)), mk AS (SELECT case_id, coalesce((SELECT arg_max(marking, len(gram)) FROM ix WHERE list_slice(trace, -len(gram), -1) = gram), CAST([] AS VARCHAR[])) AS marking FROM tr)"
+_MARK = ", ix AS (SELECT gram, min(marking) AS marking FROM " + _values(_INDEX, "gram, marking") + (
+    " GROUP BY 1 HAVING min(marking) = max(marking)), mk AS (SELECT case_id, coalesce((SELECT arg_max(marking, len(gram))"
+    " FROM ix WHERE list_slice(trace, -len(gram), -1) = gram), CAST([] AS VARCHAR[])) AS marking FROM tr)"
+)
 query("p7_markings", _SNAP + _TRACE.format(log="sn") + _MARK + " SELECT case_id, array_to_string(marking, ' ') AS marking FROM mk")(lambda x: P.markings(P.traces(_prepared(x)), _model(x)[2]).select("case_id", F.array_join("marking", " ").alias("marking")))
-_STATE = ", nd AS (SELECT * FROM " + _values(_NODES, "node_id, kind, name") + "), fw AS (SELECT * FROM " + _values(_FLOWS, "flow_id, source, target") + "), me AS (SELECT case_id, unnest(marking) AS el FROM mk), lv AS (SELECT DISTINCT case_id, node_id AS el FROM sn JOIN nd ON nd.name = activity AND kind = 'task' WHERE t IS NULL), st AS (SELECT case_id, 'flow' AS kind, el AS element FROM me WHERE el IN (SELECT flow_id FROM fw) UNION SELECT case_id, 'activity', el FROM me SEMI JOIN lv USING (case_id, el) WHERE el IN (SELECT node_id FROM nd) UNION SELECT case_id, 'flow', flow_id FROM (SELECT * FROM me ANTI JOIN lv USING (case_id, el)) JOIN fw ON target = el JOIN nd ON nd.node_id = el AND nd.kind = 'task')"
+_STATE = ", nd AS (SELECT * FROM " + _values(_NODES, "node_id, kind, name") + "), fw AS (SELECT * FROM " + _values(_FLOWS, "flow_id, source, target") + (
+    "), me AS (SELECT case_id, unnest(marking) AS el FROM mk), lv AS (SELECT DISTINCT case_id, node_id AS el FROM sn"
+    " JOIN nd ON nd.name = activity AND kind = 'task' WHERE t IS NULL), st AS (SELECT case_id, 'flow' AS kind, el AS element"
+    " FROM me WHERE el IN (SELECT flow_id FROM fw) UNION SELECT case_id, 'activity', el FROM me SEMI"
+    " JOIN lv USING (case_id, el) WHERE el IN (SELECT node_id FROM nd) UNION SELECT case_id, 'flow', flow_id FROM (SELECT *"
+    " FROM me ANTI JOIN lv USING (case_id, el)) JOIN fw ON target = el JOIN nd ON nd.node_id = el AND nd.kind = 'task')"
+)
 _FULL = _SNAP + _TRACE.format(log="sn") + _MARK + _STATE
 
 
@@ -86,7 +116,10 @@ def _state(x):
 query("p8_repaired_state", _FULL + " SELECT case_id, kind, element FROM st")(lambda x: _state(x)[3])
 _SINCE = ", fi AS (SELECT case_id, min(s) AS f, max(t) AS l FROM sn GROUP BY 1), dn AS (SELECT case_id, activity, max(t) AS t FROM sn WHERE t IS NOT NULL GROUP BY 1, 2)"
 _TG = ", tg AS (SELECT DISTINCT case_id, node_id, name FROM st JOIN fw ON flow_id = element JOIN nd ON node_id = target WHERE st.kind = 'flow' AND nd.kind IN ({kinds}))"
-_EN = " SELECT tg.case_id, node_id, coalesce((SELECT max(dn.t) FROM dn WHERE dn.case_id = tg.case_id AND NOT EXISTS (SELECT 1 FROM cp WHERE a = tg.name AND b = dn.activity)), f) AS enabled FROM tg JOIN fi USING (case_id)"
+_EN = (
+    " SELECT tg.case_id, node_id, coalesce((SELECT max(dn.t) FROM dn WHERE dn.case_id = tg.case_id AND NOT EXISTS (SELECT 1"
+    " FROM cp WHERE a = tg.name AND b = dn.activity)), f) AS enabled FROM tg JOIN fi USING (case_id)"
+)
 query("p9_enabled_activities", _FULL + _CONC.format(log="sn", th=0.5) + _SINCE + _TG.format(kinds="'task'") + _EN)(lambda x: (lambda s: P.enabled_activities(s[0], s[3], s[1], s[2], P.concurrent_pairs(P.filled_ends(s[0]))))(_state(x)))
 query("p13_enabled_events", _FULL + _CONC.format(log="sn", th=0.5) + _SINCE + _TG.format(kinds="'startEvent', 'endEvent'") + _EN)(lambda x: (lambda s: P.enabled_events(s[0], s[3], s[1], s[2], P.concurrent_pairs(P.filled_ends(s[0]))))(_state(x)))
 _UP = ", up AS (SELECT * FROM (VALUES ('g1', 't1'), ('g2', 't2'), ('g2', 't3')) AS v(node_id, task))"
@@ -104,9 +137,17 @@ def _(x):
 
 query(
     "p11_enabled_gateways",
-    _FULL + _SINCE + _UP + _TG.format(kinds="'exclusiveGateway'") + " SELECT case_id, node_id, coalesce((SELECT max(dn.t) FROM dn JOIN nd ON nd.name = dn.activity JOIN up ON up.task = nd.node_id WHERE dn.case_id = tg.case_id AND up.node_id = tg.node_id), l, f) AS enabled FROM tg JOIN fi USING (case_id) WHERE NOT EXISTS (SELECT 1 FROM st JOIN up ON up.task = st.element WHERE st.kind = 'activity' AND st.case_id = tg.case_id AND up.node_id = tg.node_id)",
+    _FULL + _SINCE + _UP + _TG.format(kinds="'exclusiveGateway'") + (
+        " SELECT case_id, node_id, coalesce((SELECT max(dn.t) FROM dn JOIN nd ON nd.name = dn.activity"
+        " JOIN up ON up.task = nd.node_id WHERE dn.case_id = tg.case_id AND up.node_id = tg.node_id), l, f) AS enabled FROM tg"
+        " JOIN fi USING (case_id) WHERE NOT EXISTS (SELECT 1 FROM st JOIN up ON up.task = st.element"
+        " WHERE st.kind = 'activity' AND st.case_id = tg.case_id AND up.node_id = tg.node_id)"
+    ),
 )(lambda x: (lambda s: P.enabled_gateways(s[0], s[3], s[1], s[2], P.upstream_tasks(s[1], s[2])))(_state(x)))
-query("p12_unfinished_cases", _FULL + " SELECT DISTINCT case_id FROM sn WHERE case_id NOT IN (SELECT case_id FROM st JOIN fw ON flow_id = element JOIN nd ON node_id = target WHERE st.kind = 'flow' AND nd.kind = 'endEvent')")(
+query("p12_unfinished_cases", _FULL + (
+    " SELECT DISTINCT case_id FROM sn WHERE case_id NOT IN (SELECT case_id FROM st JOIN fw ON flow_id = element"
+    " JOIN nd ON node_id = target WHERE st.kind = 'flow' AND nd.kind = 'endEvent')"
+))(
     lambda x: (lambda s: P.without_finished(s[0].select("case_id").distinct(), P.enabled_events(s[0], s[3], s[1], s[2], P.concurrent_pairs(P.filled_ends(s[0]))), s[1]))(_state(x))  # ends that are enabled, be they events
 )
 
@@ -117,9 +158,16 @@ def _snapshot(x):
 
 
 _P14 = _FULL + _UP + (
-    ", fl AS (SELECT case_id, string_agg(DISTINCT element, ' ' ORDER BY element) AS flows FROM st WHERE kind = 'flow' GROUP BY 1), og AS (SELECT case_id, count(*) AS n FROM sn WHERE t IS NULL GROUP BY 1), tg AS (SELECT DISTINCT case_id, node_id, nd.kind FROM st JOIN fw ON flow_id = element JOIN nd ON node_id = target WHERE st.kind = 'flow'),"
-    " ct AS (SELECT case_id, count(*) FILTER (kind = 'task') AS a, count(*) FILTER (kind IN ('startEvent', 'endEvent')) AS ev, count(*) FILTER (kind = 'exclusiveGateway' AND NOT EXISTS (SELECT 1 FROM st JOIN up ON up.task = st.element WHERE st.kind = 'activity' AND st.case_id = tg.case_id AND up.node_id = tg.node_id)) AS g FROM tg GROUP BY 1),"
-    " ps AS (SELECT c.case_id, coalesce(flows, '') AS flows, coalesce(og.n, 0) AS ongoing, coalesce(a, 0) AS activities, coalesce(g, 0) AS gateways, coalesce(ev, 0) AS events FROM (SELECT DISTINCT case_id FROM sn) c LEFT JOIN fl USING (case_id) LEFT JOIN og USING (case_id) LEFT JOIN ct USING (case_id))"
+    ", fl AS (SELECT case_id, string_agg(DISTINCT element, ' ' ORDER BY element) AS flows FROM st WHERE kind = 'flow'"
+        " GROUP BY 1), og AS (SELECT case_id, count(*) AS n FROM sn WHERE t IS NULL GROUP BY 1)"
+        ", tg AS (SELECT DISTINCT case_id, node_id, nd.kind FROM st JOIN fw ON flow_id = element JOIN nd ON node_id = target"
+        " WHERE st.kind = 'flow'),"
+    " ct AS (SELECT case_id, count(*) FILTER (kind = 'task') AS a, count(*) FILTER (kind IN ('startEvent', 'endEvent')) AS ev, count(*) FILTER (kind = 'exclusiveGateway' AND NOT EXISTS (SELECT 1"
+        " FROM st JOIN up ON up.task = st.element"
+        " WHERE st.kind = 'activity' AND st.case_id = tg.case_id AND up.node_id = tg.node_id)) AS g FROM tg GROUP BY 1),"
+    " ps AS (SELECT c.case_id, coalesce(flows, '') AS flows, coalesce(og.n, 0) AS ongoing, coalesce(a, 0) AS activities, coalesce(g, 0) AS gateways, coalesce(ev, 0) AS events"
+        " FROM (SELECT DISTINCT case_id FROM sn) c LEFT JOIN fl USING (case_id) LEFT JOIN og USING (case_id) LEFT"
+        " JOIN ct USING (case_id))"
 )
 query("p14_snapshot", _P14 + " SELECT * FROM ps")(lambda x: _snapshot(x).select("case_id", F.array_join("flows", " ").alias("flows"), F.size("ongoing_activities").alias("ongoing"), F.size("enabled_activities").alias("activities"), F.size("enabled_gateways").alias("gateways"), F.size("enabled_events").alias("events")))
 query("p15_node_kinds", ", nd AS (SELECT * FROM " + _values(_NODES, "node_id, kind, name") + ") SELECT kind, count(*) AS n FROM e JOIN nd ON nd.name = activity GROUP BY 1")(lambda x: x.e.join(_model(x)[0].withColumnRenamed("name", "activity"), "activity").groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
@@ -146,7 +194,11 @@ query("x5_safe_name", " SELECT id, CASE id % 4 WHEN 0 THEN 'act' WHEN 1 THEN act
     lambda x: x.e.select("id", X.safe_name(F.when(F.col("id") % 4 == 0, "--!").when(F.col("id") % 4 == 1, F.concat(F.lit("("), F.col("activity"), F.lit("#"), (F.col("id") % 3).cast("string"), F.lit(") "))).when(F.col("id") % 4 == 2, F.concat("activity", F.lit("_x"))).otherwise(F.col("activity"))).alias("x"))
 )
 query("x6_format_enabled", f" SELECT id, CASE WHEN id % 2 = 0 THEN substr({_ISO}, 1, 23) ELSE '' END AS x FROM e")(lambda x: x.e.select("id", X.format_enabled(F.when(F.col("id") % 2 == 0, F.col("start_time"))).alias("x")))
-query("x7_consecutive_ids", ", f AS (SELECT case_id, min(s) AS s, arg_min(id, {'s': s, 'id': id}) AS i FROM e GROUP BY 1), n AS (SELECT case_id, row_number() OVER (ORDER BY s, i) - 1 AS case_no FROM f) SELECT id, case_no FROM e JOIN n USING (case_id)")(lambda x: P.consecutive_ids(x.e).select("id", "case_no"))
+query("x7_consecutive_ids", (
+    ", f AS (SELECT case_id, min(s) AS s, arg_min(id, {'s': s, 'id': id}) AS i FROM e GROUP BY 1)"
+    ", n AS (SELECT case_id, row_number() OVER (ORDER BY s, i) - 1 AS case_no FROM f) SELECT id, case_no FROM e"
+    " JOIN n USING (case_id)"
+))(lambda x: P.consecutive_ids(x.e).select("id", "case_no"))
 query("x8_iso_z", " SELECT id, strftime(make_timestamp(s), '%Y-%m-%dT%H:%M:%SZ') AS x FROM e")(lambda x: x.e.select("id", X.format_iso_z(F.col("start_time")).alias("x")))
 query("x9_missing_to_null", " SELECT count(*) FILTER (id % 4 <> 0) AS n FROM e")(lambda x: x.e.agg(F.count(X.missing_to_null(F.when(F.col("id") % 4 == 0, F.lit(float("nan"))).otherwise(1.0))).alias("n")))
 query("x12_epoch_seconds", " SELECT id, CASE id % 3 WHEN 0 THEN round(s / 1e6, 3) WHEN 1 THEN (s - s % 1000000) / 1e6 END AS x FROM e")(
@@ -182,7 +234,10 @@ def _(x):
     return S.read_roles(x.spark, path)
 
 
-@query("s5_s6_declared_attributes", " SELECT 'case' AS family, 'case_type' AS names, (SELECT count(*) FROM e) AS rows UNION ALL SELECT 'event', 'activity', (SELECT count(*) FROM e) UNION ALL SELECT 'global', '', (SELECT count(*) FROM e)")
+@query("s5_s6_declared_attributes", (
+    " SELECT 'case' AS family, 'case_type' AS names, (SELECT count(*) FROM e) AS rows UNION ALL"
+    " SELECT 'event', 'activity', (SELECT count(*) FROM e) UNION ALL SELECT 'global', '', (SELECT count(*) FROM e)"
+))
 def _(x):
     path = _folder(x, "attributes.json")
     one = x.e.agg(F.count(F.lit(1)).alias("n"), F.array(F.struct(F.lit("case_type").alias("name")), F.struct(F.lit("case_type").alias("name"))).alias("case_attributes"), F.array(F.struct(F.lit("t").alias("event_id"), F.array(F.struct(F.lit("activity").alias("name")), F.struct(F.lit("absent").alias("name"))).alias("attributes"))).alias("event_attributes"))
@@ -205,7 +260,13 @@ def _(x):
     return S.read_snapshot_ids(x.spark, path)
 
 
-@query("s10_snapshot_round_trip", _P14 + ", la AS (SELECT max(f) AS arrival FROM (SELECT min(s) AS f FROM e GROUP BY case_id)), gl AS (SELECT activity FROM e ORDER BY s DESC, id DESC LIMIT 1), lt AS (SELECT case_id, array_to_string(list_sort(list(activity || ' ' || s)), ',') AS live FROM sn WHERE t IS NULL GROUP BY 1) SELECT ps.*, coalesce(live, '') AS live, arrival, gl.activity AS last_activity FROM ps LEFT JOIN lt USING (case_id), la, gl")
+@query("s10_snapshot_round_trip", _P14 + (
+    ", la AS (SELECT max(f) AS arrival FROM (SELECT min(s) AS f FROM e GROUP BY case_id)), gl AS (SELECT activity"
+    " FROM e ORDER BY s DESC, id DESC LIMIT 1)"
+    ", lt AS (SELECT case_id, array_to_string(list_sort(list(activity || ' ' || s)), ',') AS live FROM sn WHERE t IS NULL"
+    " GROUP BY 1) SELECT ps.*, coalesce(live, '') AS live, arrival, gl.activity AS last_activity FROM ps LEFT"
+    " JOIN lt USING (case_id), la, gl"
+))
 def _(x):
     """Everything that a snapshot has, written and read again: header, global attributes and the arrays of each case."""
     path, made = _folder(x, "snapshot"), _snapshot(x)
@@ -222,7 +283,12 @@ def _(x):
 
 @query(
     "s9_s12_s14_outputs",
-    ", n AS (SELECT count(DISTINCT activity) AS a, count(*) AS n, sum((t - s) / 1e9) AS d FROM e) SELECT * FROM (SELECT 'results' AS name, a AS rows, round(d, 3) AS total FROM n UNION ALL SELECT 'utilisation', (SELECT count(DISTINCT role) FROM r), NULL FROM n UNION ALL SELECT 'models', a, round(n, 3) FROM n UNION ALL SELECT 'metadata', 1, round(n, 3) FROM n)",
+    (
+        ", n AS (SELECT count(DISTINCT activity) AS a, count(*) AS n, sum((t - s) / 1e9) AS d FROM e) SELECT *"
+        " FROM (SELECT 'results' AS name, a AS rows, round(d, 3) AS total FROM n UNION ALL"
+        " SELECT 'utilisation', (SELECT count(DISTINCT role) FROM r), NULL FROM n UNION ALL SELECT 'models', a, round(n, 3)"
+        " FROM n UNION ALL SELECT 'metadata', 1, round(n, 3) FROM n)"
+    ),
 )
 def _(x):
     """Results and utilisation as tables, models and metadata as JSON: written, read again, and summed."""
@@ -356,7 +422,10 @@ def _(x):
 query("j2_semi_join", " SELECT id FROM e WHERE case_id IN (SELECT case_id FROM g WHERE activity = 'rework')")(lambda x: x.e.join(x.g.filter("activity = 'rework'"), "case_id", "left_semi").select("id"))
 query("j3_anti_join", " SELECT id FROM e WHERE case_id NOT IN (SELECT case_id FROM g WHERE activity = 'rework')")(lambda x: x.e.join(x.g.filter("activity = 'rework'"), "case_id", "left_anti").select("id"))
 query("j4_role_lookup", " SELECT id, coalesce(CASE WHEN role <> 'role2' THEN role END, 'unknown') AS role FROM e LEFT JOIN r USING (resource)")(lambda x: M.with_role(x.e, x.roles.filter("role <> 'role2'"), "unknown").select("id", "role"))
-query("j5_multiset_alignment", ", a AS (SELECT activity, count(*) AS n FROM e GROUP BY 1), b AS (SELECT activity, count(*) AS m FROM g GROUP BY 1) SELECT activity, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM a FULL JOIN b USING (activity)")(
+query("j5_multiset_alignment", (
+    ", a AS (SELECT activity, count(*) AS n FROM e GROUP BY 1), b AS (SELECT activity, count(*) AS m FROM g GROUP BY 1)"
+    " SELECT activity, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM a FULL JOIN b USING (activity)"
+))(
     lambda x: x.e.select("activity", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(x.g.select("activity", F.lit(0).alias("n"), F.lit(1).alias("m"))).groupBy("activity").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 )
 query("u1_boundary_union", " SELECT count(*) AS n FROM (SELECT s AS t FROM e UNION SELECT t FROM e UNION SELECT s FROM g UNION SELECT t FROM g)")(
