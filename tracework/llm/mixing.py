@@ -36,9 +36,8 @@ MOST_HELD = 10
 MOST_LANGUAGES = 10_000
 TEMPERATURE = 0.7
 BUDGET = 0.8
-#: Largest error of a marginal's share at which raking ends, sweeps between two looks at it, looks in which it must fall by a tenth to go
-#: on, and the most rounds of dealing what is over 1.
-TOLERANCE, SWEEPS, PATIENCE, MOST_ROUNDS = 1e-7, 4, 2, 50
+#: Largest error of a marginal's share at which raking ends, sweeps between two looks at it, and looks in which it must fall by a tenth to go on.
+TOLERANCE, SWEEPS, PATIENCE = 1e-7, 4, 2
 #: Cells up to this number, a row each, are raked in one task without shuffles.
 FEW_CELLS = 100_000
 #: ASCII characters between a text's alphanumeric words.
@@ -113,7 +112,7 @@ def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Cells with p, the probability of a document: rates w / tokens scaled to the token budget, capped at 1, the excess dealt anew."""
     rated = raked.withColumn("r", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
     scale, before = rated.agg((F.sum("tokens") * budget / F.sum("w")).alias("c")).first()["c"] or 0.0, -1
-    for _ in range(MOST_ROUNDS):
+    while True:  # the capped cells only grow in number: it ends when none is added
         over = F.col("r") * scale >= 1
         x = rated.agg(F.sum("tokens").alias("t"), F.sum(F.when(over, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("free")).first()
         if x["t"] is None or x["full"] == before:
