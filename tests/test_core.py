@@ -286,3 +286,15 @@ def test_scalar_functions(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00+00:00", "a b!"), (None, "--")], "t string, n string")
     got = df.select(ensure_fractional_seconds(F.col("t")).alias("t"), safe_name(F.col("n")).alias("n")).collect()
     assert [r["t"] for r in got] == ["2024-01-01T10:00:00.000+00:00", None] and [r["n"] for r in got] == ["a_b", "act"]
+
+
+def test_rounding_as_sql_has_it(spark):
+    """Halves of the sixth digit, and of a second, as DuckDB rounds them."""
+    import duckdb
+
+    from tracework.plans.base import rounded
+
+    values = [41 / 640, 1 / 128, 3 / 128, 0.0003125, 77 / 3200, -1 / 128, 0.5, 2.5, 1e6 / 3]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    got = [r["x"] for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").coalesce(1).sortWithinPartitions("i")).collect()]
+    assert got == want and want[0] == 0.064062
