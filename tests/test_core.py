@@ -298,3 +298,19 @@ def test_rounding_as_sql_has_it(spark):
     want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
     got = [r["x"] for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").coalesce(1).sortWithinPartitions("i")).collect()]
     assert got == want and want[0] == 0.064062
+
+
+def test_sweep_by_ranges_of_time(spark):
+    """Ranges send an instance once a range, and where all instances overlap, boundaries are dealt by their keys; the results are the same."""
+    r = random.Random(5)
+    make = lambda n, far: log(spark, *[(f"c{r.randint(0, 9)}", r.choice("AB"), (a := r.randint(0, 400)), a + r.randint(1, far), f"R{i % 3}") for i in range(n)])
+    for far in (5, 2000):
+        rows, keys = B.spans(*[W.normalise_events(make(n, far))[0] for n in (200, 180)], ["activity", "case", "activity_resource"])
+        one, many = (B.Sweep(rows, n, keys) for n in (1_000_000, 40))
+        assert one.cut == [] and (many.cut is None if far == 2000 else len(many.cut) > 5)
+        if many.cut:
+            plan = many.swept._sc._jvm.PythonSQLUtils.explainString(many.swept._jdf.queryExecution(), "simple")
+            assert plan.count("Exchange") == 1, plan
+        for read in (lambda s: s.steps, B.swept_scores, B.contributors, lambda s: B.interval_contributors(s, 2, 20), lambda s: M.summary(M.timeline(s, whole=False))):
+            a, b = (sorted(repr([f"{v:.7g}" if isinstance(v, float) else v for v in row]) for row in read(s).collect()) for s in (one, many))
+            assert a == b and a
