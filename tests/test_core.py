@@ -314,3 +314,15 @@ def test_sweep_by_ranges_of_time(spark):
         for read in (lambda s: s.steps, B.swept_scores, B.contributors, lambda s: B.interval_contributors(s, 2, 20), lambda s: M.summary(M.timeline(s, whole=False))):
             a, b = (sorted(repr([f"{v:.7g}" if isinstance(v, float) else v for v in row]) for row in read(s).collect()) for s in (one, many))
             assert a == b and a
+
+
+def test_cuts_are_found_once(spark):
+    """Features read a table of cuts, and a span meets only the cuts of the ranges it touches."""
+    from tracework.operators import features as L
+
+    x = log(spark, *[(f"c{i}", "A", i, i + 3, "R") for i in range(200)])
+    cuts = W.subsample(x.select(F.unix_micros("end_time").alias("t")).distinct(), 80)
+    assert cuts.count() == 80 and cuts.inputFiles()
+    assert "Window" not in cuts._sc._jvm.PythonSQLUtils.explainString(cuts._jdf.queryExecution(), "simple")
+    found = L.stabbed(L._active(x), cuts)
+    assert found.count() == sum(1 for i in range(200) for (t,) in cuts.collect() if us(i) <= t < us(i + 3))
