@@ -55,3 +55,19 @@ def test_rows_of_equal_logs_are_zero(spark):
     green, red = log, log.withColumn("activity", F.lower("activity"))
     _, new = LA.mix(green, red, 0.5, 30, a + 20 * 3_600_000_000, 10 * 3_600_000_000, LA.steps([0, 20, 90], 2))
     assert {r["level"] for r in new.select("level").distinct().collect()} == {0.0, 20.0}
+
+
+def test_steps_are_dealt_over_tasks(spark):
+    """A ladder's steps share ranges of time but not tasks; ranges and groups change no result."""
+    from tracework.operators import sweep as M
+
+    _, base = scoped(spark)
+    steps = LA.steps([0, 40], 3)
+    base, new = LA.relabel(base, "A", "Z", steps)
+    a, b = (x.withColumn("group", F.concat_ws(":", "level", "k", "scope")) for x in (LA.each_step(base, steps), new))
+    rows, keys = M.spans(a, b, ["activity", "case"], group="group")
+    one, many = M.Sweep(rows, 10**9, keys), M.Sweep(rows, 60, keys, "group")
+    assert many.deals == 6 and len(many.cut) > 2 and many.changes.rdd.getNumPartitions() == 6 * (len(many.cut) + 1)
+    for read in (lambda s: M.timeline(s), lambda s: M.summary(M.timeline(s, whole=False))):
+        x, y = (sorted(repr([f"{v:.7g}" if isinstance(v, float) else v for v in row]) for row in read(s).collect()) for s in (one, many))
+        assert x == y and x
