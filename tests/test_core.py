@@ -20,6 +20,7 @@ from tracework.operators import sweep as M
 from tracework.operators import transforms as T
 from tracework.operators import windows as W
 from tracework.operators.running import numbered, running
+from tracework.plans import catalog
 
 DAY = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "id long, case_id string, activity string, resource string, start_time timestamp, end_time timestamp"
@@ -273,6 +274,37 @@ def test_subsets(spark):
     assert {r["case_id"] for r in o.collect()} == {"c1", "c2"} and {r["case_id"] for r in c.collect()} == {"c3"}
 
 
+def test_subsets_dealt_over_tasks(spark):
+    """Random cases, some without id or times, dealt over few and many tasks, give what is counted case by case; the tasks grow with the log."""
+    r = random.Random(19)
+    rows = []
+    for _ in range(600):
+        s = r.choice([None, *range(20)])
+        rows.append((r.choice([None, "hot", "hot", *[f"c{k}" for k in range(80)]]), r.choice("AB"), s, None if s is None else r.choice([None, s, s + 1, s + 5]), "R"))
+    x = spark.createDataFrame([(i, c, a, "R", None if s is None else at(s), None if t is None else at(t)) for i, (c, a, s, t, _) in enumerate(rows)], SCHEMA).repartition(5)
+    given = ["c1", "c1", "c2", "absent", None]
+    cut, end = 10, 14
+    spans = {c: [f(v) if (v := [row[k] for row in rows if row[0] == c and row[k] is not None]) else None for f, k in ((min, 2), (max, 3))] for c in {row[0] for row in rows} - {None}}
+    ongoing = {c for c, (a, b) in spans.items() if c in given or (a is not None and b is not None and a < cut < b)}
+    complete = {c for c, (a, _) in spans.items() if c not in ongoing and a is not None and cut <= a < end}
+    want = [sorted((i, c, None if s is None else at(max(s, cut) if k == 0 else s), None if t is None else at(t)) for i, (c, _, s, t, _) in enumerate(rows) if c in found) for k, found in enumerate((ongoing, complete))]
+    assert want[0] and want[1]
+    utc = lambda t: t and t.astimezone(timezone.utc)
+    for size in (500_000, 20):
+        parts = W.snapshot_subsets(x, spark.createDataFrame([(c,) for c in given], "case_id string"), us(cut), us(end), size)
+        assert [sorted((q["id"], q["case_id"], utc(q["start_time"]), utc(q["end_time"])) for q in p.collect()) for p in parts] == want
+    labelled = W.snapshot_labelled(x, spark.createDataFrame([("c1",)], "case_id string"), us(cut), us(end), 20)
+    assert labelled.rdd.getNumPartitions() == 30
+    empty = W.snapshot_labelled(x.limit(0), spark.createDataFrame([("c1",)], "case_id string"), us(cut), us(end))
+    assert empty.count() == 0
+
+
+def test_snapshot_query_joins_once_without_sorts(spark):
+    """A task neither sorts its rows nor holds both subsets' joins at once."""
+    plan = catalog.queries()["f4_snapshot_subsets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan
+
+
 def test_assessment(pair):
     a, b = (W.normalise_events(x)[0] for x in pair)
     found = B.Sweep(B.intervals(a, b, ["activity"]))
