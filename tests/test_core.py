@@ -299,6 +299,16 @@ def test_subsets_dealt_over_tasks(spark):
     assert empty.count() == 0
 
 
+def test_case_bounds_dealt_over_tasks(spark):
+    """Bounds joined back over many tasks are those over one, and the tasks grow with the log."""
+    x = log(spark, *[("hot" if i % 3 else f"c{i % 7}", "A", i % 11, i % 11 + 1 + i % 4, "R") for i in range(100)])
+    few, many = W.with_case_bounds(x), W.with_case_bounds(x, 20)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() == 100
+    assert many.rdd.getNumPartitions() == 5
+    plan = many._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan
+
+
 def test_snapshot_query_joins_once_without_sorts(spark):
     """A task neither sorts its rows nor holds both subsets' joins at once."""
     plan = catalog.queries()["f4_snapshot_subsets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
